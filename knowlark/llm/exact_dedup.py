@@ -1,8 +1,8 @@
 """Exact dedup by content sort, in DataFrame functions only.
 
 Sampled splitters range-partition the normalised texts, each partition is sorted (Spark's external sort),
-and neighbours are compared in full: a window over the sorted run gives each text's keeper. Range partitioning
-by (text, piece) already satisfies the window's distribution, so the texts are shuffled once.
+and neighbours are compared in full: a window over the sorted run gives each text's keeper. The range partitioning
+already satisfies the window's distribution, so the texts are shuffled once.
 """
 
 from __future__ import annotations
@@ -13,13 +13,16 @@ from pyspark.sql import functions as F
 from knowlark.llm.common import WHITESPACE, checkpointed, hot_pieces, partitions, text_of
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_piece: int = 64) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_piece: int = 64, lead: int = 24) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical without the characters of `[\\x20\\x09-\\x0D]`; null counts as empty, and all
     empty texts are one group. The row with most code points in its original text stays, then the smallest
     id (a null id comes last). Of repeated rows with one id, one is kept. Other columns of docs are ignored.
 
+    Splitters are sampled from (first `lead` characters, hash, piece), which keeps the sample that goes to the driver small
+    whatever the texts' lengths; rows are sorted by these and then the whole text.
+
     Hot texts: one with more rows than rows / (4 x partitions) is dealt out to pieces by id. Inside a piece texts
     are compared in full; the pieces of one hot text, at most one row each, are joined by SHA-256.
     """
@@ -32,13 +35,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hashed = base.withColumn("_h", F.xxhash64("_norm"))
     hot = checkpointed(hot_pieces(hashed.select("_h"), "_h", bound))
     dealt = hashed.join(F.broadcast(hot), "_h", "left").select(
-        "_id", "_points", "_norm", "_pieces", F.coalesce(F.expr("pmod(xxhash64(_id), _pieces)"), F.lit(0)).alias("_piece")
+        "_id", "_points", "_norm", "_h", F.substring("_norm", 1, lead).alias("_lead"), "_pieces", F.coalesce(F.expr("pmod(xxhash64(_id), _pieces)"), F.lit(0)).alias("_piece")
     )
-    run = Window.partitionBy("_norm", "_piece")
+    run = Window.partitionBy("_lead", "_h", "_norm", "_piece")
     order = run.orderBy(F.desc("_points"), F.asc_nulls_last("_id"))
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = checkpointed(
-        dealt.repartitionByRange(count, "_norm", "_piece").select(
+        dealt.repartitionByRange(count, "_lead", "_h", "_piece").select(
             "_id",
             "_pieces",
             F.row_number().over(order).alias("_rank"),

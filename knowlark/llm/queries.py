@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from knowlark.llm.decontaminate import decontaminate
 from knowlark.llm.exact_dedup import exact_dedup
 from knowlark.llm.mixing import mix
 from knowlark.llm.sharding import shard
+from knowlark.llm.token_counts import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,12 +27,23 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(_table(spark, sf_dir, "documents"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_exact_dedup, op4_mixing, op6_sharding)}
+    return {f.__name__: f for f in (op1_exact_dedup, op4_mixing, op5_decontaminate, op6_sharding, op9_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -47,4 +60,29 @@ def oracle_sql() -> dict[str, str]:
                      count(*) over (partition by norm) as group_size
               from d)
             select doc_id, keep_id, group_size, rn = 1 as kept, sha256(norm) as text_sha256 from w""",
+        "op5_decontaminate": r"""
+            with d as (
+              select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+              from documents),
+            b as (
+              select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                 '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+              from benchmark),
+            items as (select cast(item_id as varchar) as item, w, least(10, len(w)) as k from b where len(w) > 0),
+            windows as (
+              select distinct item, k, array_to_string(w[p:p + k - 1], ' ') as win
+              from (select item, w, k, unnest(range(1, len(w) - k + 2)) as p from items)),
+            spots as (
+              select doc_id, p, k, array_to_string(w[p:p + k - 1], ' ') as win
+              from (select doc_id, w, k, unnest(range(1, len(w) - k + 2)) as p
+                    from d cross join (select distinct k from items) where len(w) >= k)),
+            found as (select s.doc_id, s.p, s.k, i.item from spots s join windows i on s.k = i.k and s.win = i.win),
+            hits as (select doc_id, count(distinct h) as n_hit from (select doc_id, unnest(range(p, p + k)) as h from found) group by 1),
+            names as (
+              select doc_id, count(*) as n_items, sha256(string_agg(item, ',' order by item)) as sha
+              from (select distinct doc_id, item from found) group by 1)
+            select d.doc_id, cast(len(d.w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+                   coalesce(sha, sha256('')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+            from d left join hits using (doc_id) left join names using (doc_id)""",
     }
