@@ -10,6 +10,7 @@ from knowlark.llm.decontaminate import decontaminate
 from knowlark.llm.exact_dedup import exact_dedup
 from knowlark.llm.mixing import mix
 from knowlark.llm.sharding import shard
+from knowlark.llm.simhash import near_duplicates
 from knowlark.llm.suffix_dedup import suffix_dedup
 from knowlark.llm.token_counts import token_counts
 
@@ -37,6 +38,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(_table(spark, sf_dir, "documents"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(_table(spark, sf_dir, "documents")).drop("spans")
 
@@ -48,7 +53,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_exact_dedup, op4_mixing, op5_decontaminate, op6_sharding, op8_suffix_dedup, op9_token_counts)}
+    return {f.__name__: f for f in (op1_exact_dedup, op4_mixing, op5_decontaminate, op6_sharding, op7_simhash, op8_suffix_dedup, op9_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
