@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from knowlark.llm.decontaminate import decontaminate
 from knowlark.llm.exact_dedup import exact_dedup
 from knowlark.llm.mixing import mix
+from knowlark.llm.quality import quality
 from knowlark.llm.sharding import shard
 from knowlark.llm.simhash import near_duplicates
 from knowlark.llm.suffix_dedup import suffix_dedup
@@ -25,6 +26,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -53,7 +58,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_exact_dedup, op4_mixing, op5_decontaminate, op6_sharding, op7_simhash, op8_suffix_dedup, op9_token_counts)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_quality, op4_mixing, op5_decontaminate, op6_sharding, op7_simhash, op8_suffix_dedup, op9_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
