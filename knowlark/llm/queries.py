@@ -14,6 +14,7 @@ from knowlark.llm.sharding import shard
 from knowlark.llm.simhash import near_duplicates
 from knowlark.llm.suffix_dedup import suffix_dedup
 from knowlark.llm.token_counts import token_counts
+from knowlark.llm.toxicity import toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +31,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -58,7 +63,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_quality, op4_mixing, op5_decontaminate, op6_sharding, op7_simhash, op8_suffix_dedup, op9_token_counts)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_quality, op3_toxicity, op4_mixing, op5_decontaminate, op6_sharding, op7_simhash, op8_suffix_dedup, op9_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
