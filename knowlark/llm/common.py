@@ -11,15 +11,17 @@ WHITESPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared folder of spark.checkpoint.dir and cut its lineage.
-
-    A folder of our own is set only where the session names none (local tests).
-    """
-    spark = df.sparkSession
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder of spark.checkpoint.dir; one of our own only where the session names none (local tests)."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Materialise df in the shared folder and cut its lineage."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 

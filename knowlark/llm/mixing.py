@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from knowlark.llm.common import WORD, checkpointed, small, text_of
@@ -44,11 +44,46 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     document at the threshold would overshoot with documents that fit. Reruns agree. Rows with one id and text get one
     decision. An empty table gives an empty result; a null source is a source.
     """
-    slim = checkpointed(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), text_of(text_col).alias("_text")).select(
-            "doc_id", "source", F.regexp_count("_text", F.lit(WORD)).cast("long").alias("size"), F.shiftrightunsigned(F.xxhash64("doc_id", "_text"), 64 - BITS * LEVELS).alias("_h")
-        )
+    slim, bounds = _decided(_hashed(docs, id_col, text_col, source_col), cycle, cap)
+    return (
+        slim.join(small(bounds), F.col("source").eqNullSafe(F.col("_s")))
+        .withColumn("copies", _copies())
+        .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
     )
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cycle: int = 3, cap: float = 3.0) -> DataFrame:
+    """docs with each row as often as mix() takes it, in its own columns. Texts are hashed again where they lie, not shuffled."""
+    names = docs.columns
+    own = docs.toDF(*(f"_column{k}" for k in range(len(names))))  # whatever the columns are called, none clashes
+    at = [f"_column{names.index(c)}" for c in (id_col, text_col, source_col)]
+    _, bounds = _decided(_hashed(docs, id_col, text_col, source_col), cycle, cap)
+    taken = own.select("*", *_measures(*at)).join(small(bounds), F.col("_source").eqNullSafe(F.col("_s"))).withColumn("_n", _copies("_size"))
+    taken = taken.where("_n > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
+    return taken.select(*own.columns).toDF(*names)
+
+
+def _measures(id_col: str, text_col: str, source_col: str) -> list[Column]:
+    return [
+        F.col(source_col).cast("string").alias("_source"),
+        F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long").alias("_size"),
+        F.shiftrightunsigned(F.xxhash64(id_col, text_of(text_col)), 64 - BITS * LEVELS).alias("_h"),
+    ]
+
+
+def _hashed(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    source, size, hashed = _measures(id_col, text_col, source_col)
+    return docs.select(F.col(id_col).alias("doc_id"), source.alias("source"), size.alias("size"), hashed)
+
+
+def _copies(size: str = "size") -> Column:
+    extra = (F.col("_h") < F.col("_end")) | ((F.col(size) <= F.col("_left")) & (F.col("_h") < F.col("_end2")))
+    return F.when(F.col(size) > 0, F.col("_whole") + extra.cast("int")).otherwise(0).cast("long")
+
+
+def _decided(hashed: DataFrame, cycle: int, cap: float) -> tuple[DataFrame, DataFrame]:
+    """The slim table of all rows, checkpointed, and each source's whole copies and thresholds."""
+    slim = checkpointed(hashed)
     targets = source_targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), cycle, cap)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     budget = targets.select(
@@ -62,13 +97,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     )
     second = _thresholds(beyond, first.drop("_end"), nearer=True).select(F.col("_s").alias("_s2"), F.col("_left").alias("_fits"), F.col("_end").alias("_end2"))
     bounds = checkpointed(first.join(small(second), F.col("_s").eqNullSafe(F.col("_s2"))).drop("_s2", "_fits"))
-    extra = (F.col("_h") < F.col("_end")) | ((F.col("size") <= F.col("_left")) & (F.col("_h") < F.col("_end2")))
-    copies = F.when(F.col("size") > 0, F.col("_whole") + extra.cast("int")).otherwise(0).cast("long")
-    return (
-        slim.join(small(bounds), slim["source"].eqNullSafe(F.col("_s")))
-        .withColumn("copies", copies)
-        .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
-    )
+    return slim, bounds
 
 
 def _thresholds(rows: DataFrame, budget: DataFrame, nearer: bool) -> DataFrame:

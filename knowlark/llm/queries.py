@@ -15,6 +15,7 @@ from knowlark.llm.simhash import near_duplicates
 from knowlark.llm.suffix_dedup import suffix_dedup
 from knowlark.llm.token_counts import token_counts
 from knowlark.llm.toxicity import toxicity
+from knowlark.llm.url_filter import filter_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,8 +63,34 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+#: (verdict, host, path). Fixed values.
+URL_RULES = (
+    ("block", "com", "/en/"),
+    ("allow", "example.com", "/en/7"),
+    ("allow", "net", "/de/"),
+    ("block", "example.net", "/de/8"),
+    ("block", "org", "/es/"),
+)
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_quality, op3_toxicity, op4_mixing, op5_decontaminate, op6_sharding, op7_simhash, op8_suffix_dedup, op9_token_counts)}
+    ops = (
+        op1_exact_dedup,
+        op2_quality,
+        op3_toxicity,
+        op4_mixing,
+        op5_decontaminate,
+        op6_sharding,
+        op7_simhash,
+        op8_suffix_dedup,
+        op9_token_counts,
+        op10_url_filter,
+    )
+    return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -9,6 +9,7 @@ and their counts is a range-join: linked fingerprints meet in a cell. There, the
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from itertools import combinations
 
 import numpy as np
@@ -16,6 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from knowlark.llm.common import checkpointed, hot_pieces, partitions, text_of
 from knowlark.llm.graph import components
@@ -193,3 +195,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     moved = linked.join(least, "root").select("fp", "_least")
     of = prints.join(moved, "fp", "left").select("fp", F.coalesce("_least", "_min").alias("component_id"))
     return rows.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each component: that with the smallest id; columns stay as they are.
+
+    Of repeated rows with one id, one stays. A row with a null id stays only where its component has null ids alone: one of each
+    fingerprint.
+    """
+    names = docs.columns
+    own = docs.toDF(*(f"_column{k}" for k in range(len(names))))  # whatever the columns are called, none clashes
+    row, text = f"_column{names.index(id_col)}", names.index(text_col)
+    near = near_duplicates(docs, id_col, text_col)
+    kept = checkpointed(near.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_kept")).agg(F.count(F.lit(1)).alias("_times")))
+    stay = own.join(kept.select("_kept"), F.col(row) == F.col("_kept"), "left_semi")
+    if kept.where("_times > 1").limit(1).count():
+        stay = stay.dropDuplicates([row])
+    lost = near.where("doc_id is null and component_id is null").select("fingerprint").distinct()
+    if lost.limit(1).count():
+        nulls = own.where(F.col(row).isNull())
+        printed = nulls.mapInArrow(partial(_with_print, column=text), T.StructType([*own.schema.fields, T.StructField("_fp", T.LongType())]))
+        named = F.lpad(F.lower(F.hex("_fp")), 16, "0")
+        stay = stay.unionByName(printed.join(lost, named == F.col("fingerprint"), "left_semi").dropDuplicates(["_fp"]).drop("_fp"))
+    return stay.toDF(*names)
+
+
+def _with_print(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        prints = np.fromiter(map(fingerprint, batch.column(column).to_pylist()), np.uint64, batch.num_rows)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints.view(np.int64))], [*batch.schema.names, "_fp"])

@@ -283,3 +283,15 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), text_of(text_col).alias("_text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(partial(_scored, lexicon=lexicon, threshold=threshold), f"doc_id {kind}, held_out boolean, score double, predicted int")
+
+
+def _clean(batches: Iterator[pa.RecordBatch], lexicon: object, threshold: float, column: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield batch.filter(pa.array([lexicon.value.score(t) < threshold for t in batch.column(column).to_pylist()], pa.bool_()))
+
+
+def reject_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", threshold: float = 0.5, most: int = 20_000) -> DataFrame:
+    """docs without the rows that toxicity() predicts; rows and columns of the rest stay as they are."""
+    training = checkpointed(training_rows(docs, labels, label, most, id_col, text_col))
+    lexicon = docs.sparkSession.sparkContext.broadcast(learn(training))
+    return docs.mapInArrow(partial(_clean, lexicon=lexicon, threshold=threshold, column=docs.columns.index(text_col)), docs.schema)
