@@ -8,7 +8,8 @@ buckets, and a pass goes on only with suffixes whose group isn't settled:
    share it, and a text has one anchor in some 35 bytes. A bucket of one settles all its windows as unique.
 2. Digit two is the anchor with all bytes that its windows can reach. Equal ones repeat each other window by window; a bucket
    with a single value of it is settled.
-3. The last digit is the whole window, for windows of anchors that stand in several contexts.
+3. Digit three, for anchors that stand in several contexts, is the core that neighbouring windows of an anchor have in common, and
+   the last digit is the window. What is dealt are the pieces of text that such neighbours cover.
 
 Buckets are dealt by digit, sorted there, and the first of each equal group (smaller document, then earlier start) stays.
 Each task combines equal values before the shuffle, so a passage in a third of all rows is a row for each task. Fingerprints
@@ -25,7 +26,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from knowlark.llm.common import checkpointed, partitions, text_of
@@ -35,7 +36,9 @@ BLOCK, FLUSH = 1 << 20, 1 << 24
 #: Odd multipliers and mixing constants of the fingerprints (any odd numbers do).
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 MIX = (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)
-ANCHORS, COVERED, OPEN, WINDOWS, SEEN = range(5)
+ANCHORS, COVERED, OPEN, PIECES, SEEN = range(5)
+#: Windows that share a core and travel as one piece of text.
+TOGETHER = 17
 NONE = np.iinfo(np.int64).max
 U64 = np.uint64
 
@@ -118,21 +121,21 @@ class Shape:
         return sums, base, places, (keys[places] & U64(0xFFFFFFFF)).astype(np.int64)
 
 
-def _pack(kind: int, *columns: np.ndarray) -> bytes:
+def _pack(kind: int, *columns: np.ndarray, tail: bytes = b"") -> bytes:
     """Columns of one length; signed ones (documents, starts) as differences, which compress well."""
     parts = [c if c.dtype == U64 else np.diff(c, prepend=0) for c in columns]
-    raw = b"".join(np.ascontiguousarray(p).tobytes() for p in parts)
+    raw = b"".join([*(np.ascontiguousarray(p).tobytes() for p in parts), tail])
     types = "".join("u" if c.dtype == U64 else "i" for c in columns).encode()
-    return struct.pack("<BBQ", kind, len(columns), len(columns[0])) + types + pa.compress(raw, codec="zstd", asbytes=True)
+    return struct.pack("<BBQQ", kind, len(columns), len(columns[0]), len(raw)) + types + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-def _unpack(blob: bytes) -> tuple[int, list[np.ndarray]]:
-    kind, count, n = struct.unpack_from("<BBQ", blob)
-    head = struct.calcsize("<BBQ")
+def _unpack(blob: bytes) -> tuple[list[np.ndarray], bytes]:
+    _, count, n, size = struct.unpack_from("<BBQQ", blob)
+    head = struct.calcsize("<BBQQ")
     types = blob[head : head + count]
-    raw = pa.decompress(blob[head + count :], decompressed_size=8 * n * count, codec="zstd", asbytes=True)
-    parts = np.frombuffer(raw, np.int64).reshape(count, n)
-    return kind, [p.view(U64) if t == ord("u") else np.cumsum(p) for p, t in zip(parts, types, strict=True)]
+    raw = pa.decompress(blob[head + count :], decompressed_size=size, codec="zstd", asbytes=True)
+    parts = np.frombuffer(raw, np.int64, n * count).reshape(count, n)
+    return [p.view(U64) if t == ord("u") else np.cumsum(p) for p, t in zip(parts, types, strict=True)], raw[8 * n * count :]
 
 
 def _batch(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
@@ -140,15 +143,46 @@ def _batch(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
 
 
-def _split(kind: int, part: np.ndarray, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+def _part(doc: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The part of each document, as Spark's xxhash64 gives it (XXH64 of eight bytes, seed 42)."""
+    one, two, three, four, five = (U64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+    def turned(x: np.ndarray, n: int) -> np.ndarray:
+        return (x << U64(n)) | (x >> U64(64 - n))
+
+    h = (U64(42) + five + U64(8)) ^ (turned(doc.astype(np.int64).view(U64) * two, 31) * one)
+    h = turned(h, 27) * one + four
+    h = (h ^ (h >> U64(33))) * two
+    h = (h ^ (h >> U64(29))) * three
+    return ids[(h ^ (h >> U64(32))).view(np.int64) % len(ids)]
+
+
+def _grouped(part: np.ndarray) -> Iterator[np.ndarray]:
+    """The rows of each part, in the given order."""
+    if len(part):
+        order = np.argsort(part, kind="stable")
+        yield from np.split(order, np.flatnonzero(np.diff(part[order])) + 1)
+
+
+def _split(kind: int, part: np.ndarray, columns: list[np.ndarray]) -> list[tuple[int, bytes]]:
     """One blob for each part, rows in the given order."""
-    if not len(part):
-        return
-    order = np.argsort(part, kind="stable")
-    ordered = part[order]
-    cuts = np.flatnonzero(np.diff(ordered)) + 1
-    rows = [(int(part[r[0]]), _pack(kind, *(c[r] for c in columns))) for r in np.split(order, cuts)]
-    yield _batch(rows)
+    return [(int(part[r[0]]), _pack(kind, *(c[r] for c in columns))) for r in _grouped(part)]
+
+
+def _bytes_of(buffer: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Slices of buffer one after another."""
+    ends = np.cumsum(size)
+    return buffer[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - ends + size, size)]
+
+
+def _runs(doc: np.ndarray, copy: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """Single windows as (document, number, first start, windows) of consecutive starts."""
+    order = np.lexsort((at, copy, doc))
+    doc, copy, at = doc[order], copy[order], at[order]
+    new = np.ones(len(at), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (copy[1:] != copy[:-1]) | (at[1:] != at[:-1] + 1)
+    begin = np.flatnonzero(new)
+    return [doc[begin], copy[begin], at[begin], np.diff(begin, append=len(at))]
 
 
 def _first(keys: tuple[np.ndarray, np.ndarray], place: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -167,7 +201,7 @@ def _first(keys: tuple[np.ndarray, np.ndarray], place: list[np.ndarray]) -> tupl
     return order, begins, group, later
 
 
-def _scan(batches: Iterator[pa.RecordBatch], shape: Shape, buckets: int, parts: int) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch], shape: Shape, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Digit one and two of all anchors of a task's documents, equal ones combined."""
     held: list[tuple[np.ndarray, ...]] = []
     size = 0
@@ -176,9 +210,10 @@ def _scan(batches: Iterator[pa.RecordBatch], shape: Shape, buckets: int, parts:
         gram, context, doc, copy, at = (np.concatenate(c) for c in zip(*held, strict=True))
         order, begins, _, later = _first((gram, context), [doc, copy, at])
         rest = order[later]
-        yield from _split(COVERED, doc[rest] % parts, [doc[rest], copy[rest], at[rest]])
         keep = np.sort(order[begins])
-        yield from _split(ANCHORS, (gram[keep] % U64(buckets)).astype(np.int64), [gram[keep], context[keep], doc[keep], copy[keep], at[keep]])
+        rows = _split(COVERED, _part(doc[rest], ids), [doc[rest], copy[rest], at[rest]])
+        rows += _split(ANCHORS, ids[(gram[keep] % U64(len(ids))).astype(np.int64)], [gram[keep], context[keep], doc[keep], copy[keep], at[keep]])
+        yield _batch(rows)
 
     for batch in batches:
         docs, copies = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -216,62 +251,69 @@ def _scan(batches: Iterator[pa.RecordBatch], shape: Shape, buckets: int, parts:
         yield from flush()
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], kind: int) -> Iterator[pa.RecordBatch | list[np.ndarray]]:
-    """Blobs of other kinds are passed on; at the end the columns of this kind, if there are any."""
-    held = []
+def _gathered(batches: Iterator[pa.RecordBatch], kind: int, others: list[tuple[int, bytes]]) -> tuple[list[np.ndarray], bytes] | None:
+    """The columns and tails of this kind; blobs of other kinds go to others."""
+    held, tails = [], []
     for batch in batches:
-        other = []
         for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if blob[0] == kind:
-                held.append(_unpack(blob)[1])
+                columns, tail = _unpack(blob)
+                held.append(columns)
+                tails.append(tail)
             else:
-                other.append((part, blob))
-        if other:
-            yield _batch(other)
-    if held:
-        yield [np.concatenate(c) for c in zip(*held, strict=True)]
+                others.append((part, blob))
+    return ([np.concatenate(c) for c in zip(*held, strict=True)], b"".join(tails)) if held else None
 
 
-def _settle_anchors(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    for got in _gathered(batches, ANCHORS):
-        if isinstance(got, pa.RecordBatch):
-            yield got
-            continue
-        gram, context, doc, copy, at = got
+def _settle_anchors(batches: Iterator[pa.RecordBatch], ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+    rows: list[tuple[int, bytes]] = []
+    got = _gathered(batches, ANCHORS, rows)
+    if got is not None:
+        gram, context, doc, copy, at = got[0]
         order, begins, _, later = _first((gram, context), [doc, copy, at])
-        rest = order[later]
-        yield from _split(COVERED, doc[rest] % parts, [doc[rest], copy[rest], at[rest]])
         heads = order[begins]
-        same = np.zeros(len(heads), bool)
         g = gram[heads]
+        same = np.zeros(len(heads), bool)
         same[1:] = g[1:] == g[:-1]
         same[:-1] |= g[1:] == g[:-1]
-        heads = heads[same]
-        yield from _split(OPEN, doc[heads] % parts, [doc[heads], copy[heads], at[heads]])
+        # One blob to a part: documents, and whether the anchor is covered or open.
+        rest, open_ = order[later], heads[same]
+        both = np.concatenate([rest, open_])
+        which = np.repeat(np.array([COVERED, OPEN]), [len(rest), len(open_)])
+        back = np.lexsort((at[both], copy[both], doc[both]))
+        both, which = both[back], which[back]
+        rows += _split(OPEN, _part(doc[both], ids), [doc[both], copy[both], at[both], which])
+    yield _batch(rows)
 
 
-def _by_document(records: pa.Table, kinds: tuple[int, ...]) -> dict[int, dict[tuple[int, int], np.ndarray]]:
-    """Starts by kind and (document, number)."""
-    found: dict[int, dict[tuple[int, int], np.ndarray]] = {k: {} for k in kinds}
-    held: dict[int, list] = {k: [] for k in kinds}
+def _by_document(records: pa.Table) -> dict[int, dict[tuple[int, int], np.ndarray]]:
+    """Rows of (start,) or (start, windows) by kind and (document, number)."""
+    held: dict[int, list[np.ndarray]] = {COVERED: [], OPEN: [], SEEN: []}
     for blob in records.column("blob").to_pylist():
-        if blob[0] in held:
-            held[blob[0]].append(_unpack(blob)[1])
-    for kind, columns in held.items():
-        if columns:
-            doc, copy, at = (np.concatenate(c) for c in zip(*columns, strict=True))
-            order = np.lexsort((at, copy, doc))
-            doc, copy, at = doc[order], copy[order], at[order]
-            cuts = np.flatnonzero((np.diff(doc) != 0) | (np.diff(copy) != 0)) + 1
-            for begin, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(at)], strict=True):
-                found[kind][int(doc[begin]), int(copy[begin])] = at[begin:end]
+        columns = np.stack(_unpack(blob)[0])
+        if blob[0] == OPEN:
+            held[COVERED].append(columns[:3, columns[3] == COVERED])
+            held[OPEN].append(columns[:3, columns[3] == OPEN])
+        else:
+            held[blob[0]].append(columns)
+    found: dict[int, dict[tuple[int, int], np.ndarray]] = {}
+    for kind, parts in held.items():
+        of = found[kind] = {}
+        if parts:
+            all_ = np.concatenate(parts, axis=1)
+            all_ = all_[:, np.lexsort(all_[2::-1])]
+            cuts = np.flatnonzero((np.diff(all_[0]) != 0) | (np.diff(all_[1]) != 0)) + 1
+            for columns in np.split(all_, cuts, axis=1):
+                if columns.shape[1]:
+                    of[int(columns[0, 0]), int(columns[1, 0])] = columns[2:]
     return found
 
 
-def _open_windows(docs: pa.Table, records: pa.Table, shape: Shape, buckets: int, parts: int) -> pa.Table:
-    """The last digit of windows whose anchors stand in several contexts, equal ones combined."""
-    found = _by_document(records, (COVERED, OPEN))
+def _open_windows(docs: pa.Table, records: pa.Table, shape: Shape, ids: np.ndarray) -> pa.Table:
+    """Pieces of text under windows whose anchors stand in several contexts, equal pieces combined."""
+    found = _by_document(records)
     held: list[tuple[np.ndarray, ...]] = []
+    texts: list[np.ndarray] = []
     seen: set[tuple[int, int]] = set()
     for doc, copy, text in zip(docs.column("_doc").to_pylist(), docs.column("_copy").to_pylist(), docs.column("_text").to_pylist(), strict=True):
         key = (doc, copy)
@@ -279,56 +321,102 @@ def _open_windows(docs: pa.Table, records: pa.Table, shape: Shape, buckets: int,
         if open_ is None or key in seen:  # a repeated row is the same document
             continue
         seen.add(key)
+        open_ = open_[0]
         raw = text.encode("utf-8", "surrogatepass")
         done = np.zeros(len(raw) + 1, np.int32)
         if (covered := found[COVERED].get(key)) is not None:
-            np.add.at(done, np.maximum(0, covered - shape.reach), 1)
-            np.add.at(done, covered + 1, -1)
+            np.add.at(done, np.maximum(0, covered[0] - shape.reach), 1)
+            np.add.at(done, covered[0] + 1, -1)
         done = np.cumsum(done) > 0
         for block in shape.segments([raw]):
             sums, _, places, anchor = shape.anchored([raw], block)
             begin = block[0][1]
-            at, start = anchor + begin, places + begin
-            mine = np.minimum(np.searchsorted(open_, at), len(open_) - 1)
-            take = (open_[mine] == at) & ~done[start]
-            places, start = places[take], start[take]
-            if len(places):
-                buffer = np.frombuffer(raw[block[0][1] : block[0][2]], np.uint8)
-                other = Sums(buffer, BASES[1]).of(places, places + shape.length)
-                held.append((_mixed(sums.of(places, places + shape.length), MIX[0]), _mixed(other, MIX[1]), np.full(len(start), doc), np.full(len(start), copy), start))
-    batches: list[pa.RecordBatch] = []
+            mine = np.minimum(np.searchsorted(open_, anchor + begin), len(open_) - 1)
+            take = (open_[mine] == anchor + begin) & ~done[places + begin]
+            places, anchor = places[take], anchor[take]
+            if not len(places):
+                continue
+            core = anchor - (anchor - places) // TOGETHER * TOGETHER
+            new = np.ones(len(places), bool)
+            new[1:] = (core[1:] != core[:-1]) | (places[1:] != places[:-1] + 1)
+            head = np.flatnonzero(new)
+            n = np.diff(head, append=len(places))
+            core, place = core[head], places[head]
+            end = place + n - 1 + shape.length
+            one = _mixed(sums.of(core, core + shape.length - TOGETHER + 1), MIX[0])
+            two = _mixed(sums.of(place, end) + ((core - place) * 1_000_003 + n).astype(U64), MIX[1])
+            held.append((one, two, np.full(len(n), doc), np.full(len(n), copy), place + begin, n))
+            texts.append(_bytes_of(np.frombuffer(raw[begin : block[0][2]], np.uint8), place, n - 1 + shape.length))
+    rows: list[tuple[int, bytes]] = []
     if held:
-        one, two, doc, copy, at = (np.concatenate(c) for c in zip(*held, strict=True))
+        one, two, doc, copy, at, n = (np.concatenate(c) for c in zip(*held, strict=True))
+        buffer = np.concatenate(texts)
+        size = n - 1 + shape.length
+        from_ = np.cumsum(size) - size
+        order, begins, _, later = _first((one, two), [doc, copy, at])
+        rest, keep = np.sort(order[later]), np.sort(order[begins])
+        rows += _split(SEEN, _part(doc[rest], ids), [doc[rest], copy[rest], at[rest], n[rest]])
+        part = ids[(one[keep] % U64(len(ids))).astype(np.int64)]
+        for r in _grouped(part):
+            k = keep[r]
+            rows.append((int(part[r[0]]), _pack(PIECES, one[k], two[k], doc[k], copy[k], at[k], n[k], tail=_bytes_of(buffer, from_[k], size[k]).tobytes())))
+    return pa.Table.from_batches([_batch(rows)])
+
+
+def _settle_windows(batches: Iterator[pa.RecordBatch], shape: Shape, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+    rows: list[tuple[int, bytes]] = []
+    got = _gathered(batches, PIECES, rows)
+    if got is not None:
+        (one, two, doc, copy, at, n), tail = got
+        buffer = np.frombuffer(tail, np.uint8)
+        size = n - 1 + shape.length
+        from_ = np.cumsum(size) - size
         order, begins, _, later = _first((one, two), [doc, copy, at])
-        rest, keep = order[later], np.sort(order[begins])
-        batches += _split(SEEN, doc[rest] % parts, [doc[rest], copy[rest], at[rest]])
-        batches += _split(WINDOWS, (one[keep] % U64(buckets)).astype(np.int64), [one[keep], two[keep], doc[keep], copy[keep], at[keep]])
-    return pa.Table.from_batches(batches or [_batch([])])
-
-
-def _settle_windows(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    for got in _gathered(batches, WINDOWS):
-        if isinstance(got, pa.RecordBatch):
-            yield got
-            continue
-        one, two, doc, copy, at = got
-        order, _, _, later = _first((one, two), [doc, copy, at])
         rest = order[later]
-        yield from _split(SEEN, doc[rest] % parts, [doc[rest], copy[rest], at[rest]])
+        seen = [[c[rest] for c in (doc, copy, at, n)]]
+        # Of a core's different pieces, compare the windows; a core with one piece is settled.
+        heads = order[begins]
+        core = one[heads]
+        same = np.zeros(len(heads), bool)
+        same[1:] = core[1:] == core[:-1]
+        same[:-1] |= core[1:] == core[:-1]
+        heads = heads[same]
+        # Cores come in order, so chunks of whole cores bound what is expanded at once.
+        cuts = np.flatnonzero(np.diff(np.cumsum(size[heads]) // shape.block)) + 1
+        core = one[heads]
+        cuts = np.unique([int(np.searchsorted(core, core[c], "left")) for c in cuts]) if len(cuts) else cuts
+        for h in np.split(heads, cuts.astype(np.int64)):
+            if not len(h):
+                continue
+            text = _bytes_of(buffer, from_[h], size[h])
+            base = np.cumsum(size[h]) - size[h]
+            step = np.arange(int(n[h].sum())) - np.repeat(np.cumsum(n[h]) - n[h], n[h])
+            place = np.repeat(base, n[h]) + step
+            keys = tuple(_mixed(Sums(text, b).of(place, place + shape.length), m) for b, m in zip(BASES, MIX, strict=True))
+            where = [np.repeat(doc[h], n[h]), np.repeat(copy[h], n[h]), np.repeat(at[h], n[h]) + step]
+            order, _, _, later = _first(keys, where)
+            rest = order[later]
+            seen.append(_runs(*(c[rest] for c in where)))
+        doc, copy, at, n = (np.concatenate(c) for c in zip(*seen, strict=True))
+        back = np.lexsort((at, copy, doc))
+        rows += _split(SEEN, _part(doc[back], ids), [doc[back], copy[back], at[back], n[back]])
+    yield _batch(rows)
 
 
 def _removed(docs: pa.Table, records: pa.Table, shape: Shape) -> pa.Table:
-    found = _by_document(records, (COVERED, SEEN))
+    found = _by_document(records)
     rows = []
     for doc, copy, text in zip(docs.column("_doc").to_pylist(), docs.column("_copy").to_pylist(), docs.column("_text").to_pylist(), strict=True):
         raw = text.encode("utf-8", "surrogatepass")
         mark = np.zeros(len(raw) + 1, np.int32)
-        if (at := found[COVERED].get((doc, copy))) is not None:
+        if (got := found[COVERED].get((doc, copy))) is not None:
+            at = got[0]
             np.add.at(mark, np.maximum(0, at - shape.reach), 1)
             np.add.at(mark, np.minimum(at, len(raw) - shape.length) + shape.length, -1)
-        if (at := found[SEEN].get((doc, copy))) is not None:
+        if (got := found[SEEN].get((doc, copy))) is not None:
+            at, n = got
             np.add.at(mark, at, 1)
-            np.add.at(mark, at + shape.length, -1)
+            np.add.at(mark, at + n - 1 + shape.length, -1)
         gone = np.cumsum(mark) > 0
         edges = np.flatnonzero(np.diff(gone, prepend=False))
         spans = [{"start": b, "end": e} for b, e in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)]
@@ -341,10 +429,11 @@ def _removed(docs: pa.Table, records: pa.Table, shape: Shape) -> pa.Table:
     )
 
 
-def _prime(n: int) -> int:
-    while any(n % k == 0 for k in range(2, int(n**0.5) + 1)):
-        n += 1
-    return n
+def _part_ids(spark: SparkSession, count: int) -> list[int]:
+    """For each of count hash partitions a number that Spark deals to it, so that parts and partitions are the same."""
+    tried = spark.range(0, 64 * count, 1, 1).select(F.col("id").cast("int").alias("id"))
+    found = tried.groupBy(F.pmod(F.hash("id"), F.lit(count)).alias("at")).agg(F.min("id").alias("id")).collect()
+    return [r["id"] for r in sorted(found, key=lambda r: r["at"])]
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, gram: int = 32, block: int = BLOCK, flush: int = FLUSH) -> DataFrame:
@@ -360,7 +449,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     spark = docs.sparkSession
     shape, count = Shape(length, gram, block, flush), partitions(spark)
-    buckets, parts = 8 * count, _prime(16 * count + 1)
+    numbers = _part_ids(spark, count)
+    ids = np.array(numbers)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("_text")).withColumn("_doc", F.coalesce("doc_id", F.lit(NONE)))
     if rows.groupBy("_doc").count().where("count > 1").limit(1).count():
         rows = rows.withColumn("_hash", F.xxhash64("_text"))
@@ -369,18 +459,18 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     else:
         rows = rows.withColumn("_copy", F.lit(1).cast("long"))
     schema = "part int, blob binary"
-    found = rows.select("_doc", "_copy", "_text").mapInArrow(partial(_scan, shape=shape, buckets=buckets, parts=parts), schema)
-    anchors = checkpointed(found.repartition(count, "part").mapInArrow(partial(_settle_anchors, parts=parts), schema))
-    dealt = rows.withColumn("part", F.pmod("_doc", F.lit(parts)).cast("int")).repartition(count, "part")
+    found = rows.select("_doc", "_copy", "_text").mapInArrow(partial(_scan, shape=shape, ids=ids), schema)
+    anchors = checkpointed(found.repartition(count, "part").mapInArrow(partial(_settle_anchors, ids=ids), schema))
+    dealt = rows.withColumn("part", F.element_at(F.lit(numbers), (F.pmod(F.xxhash64("_doc"), F.lit(len(numbers))) + 1).cast("int"))).repartition(count, "part")
     by_part = dealt.groupBy("part")
 
     def windows(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _open_windows(left, right, shape, buckets, parts)
+        return _open_windows(left, right, shape, ids)
 
     def removed(left: pa.Table, right: pa.Table) -> pa.Table:
         return _removed(left, right, shape)
 
     open_ = by_part.cogroup(anchors.groupBy("part")).applyInArrow(windows, schema)
-    seen = open_.repartition(count, "part").mapInArrow(partial(_settle_windows, parts=parts), schema)
+    seen = open_.repartition(count, "part").mapInArrow(partial(_settle_windows, shape=shape, ids=ids), schema)
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>"
     return by_part.cogroup(anchors.unionByName(seen).groupBy("part")).applyInArrow(removed, out)
