@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from knowlark.plans import search_queries, table_queries
+
 Query = Callable[[SparkSession, str], DataFrame]
+PARTS = (search_queries, table_queries)
+SMALLEST = "/root/testdata/sf0.001"
 
 
 def entry(spark: SparkSession) -> DataFrame:
-    raise NotImplementedError
+    return search_queries.bm25_search(spark, SMALLEST)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: q for part in PARTS for name, q in part.QUERIES_OF.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for part in PARTS for name, sql in part.SQL.items()}
