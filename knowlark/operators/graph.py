@@ -72,10 +72,10 @@ def match_entities(entities: DataFrame, queries: DataFrame, top: int = 5, strict
     """
     grams = query_grams(queries, strict)
     size = grams.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_grams"))
-    name = F.coalesce("name", F.lit(""))
-    lowered = F.lower(name)
+    named = entities.select("entity_id", F.coalesce("name", F.lit("")).alias("name"))
+    lowered = F.lower("name")
     pairs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(lowered) - 1, F.lit(1))), lambda i: F.substr(lowered, i, F.lit(2))))
-    found = entities.select("entity_id", name.alias("name"), F.explode(pairs).alias("pair"))
+    found = named.select("entity_id", "name", F.explode(pairs).alias("pair"))
     seek = grams.select("query_id", F.lower("gram").alias("gram"), F.substring(F.lower("gram"), 1, 2).alias("pair")).distinct()
     candidates = found.join(seek, "pair").where(F.contains(F.lower("name"), F.col("gram"))).select("query_id", "entity_id", "name").distinct()
     lists = grams.groupBy("query_id").agg(F.collect_list("gram").alias("grams"))  # one query's grams

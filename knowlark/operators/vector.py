@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from knowlark.functions.text import tokens
 from knowlark.functions.vectors import dot, l2_distance, token_slot, token_weight
@@ -65,7 +66,7 @@ def ann_search(vectors: DataFrame, queries: DataFrame, k: int, lists: int = 32,
         return each
 
     def dealt(df: DataFrame, n: int) -> DataFrame:
-        schema = df.schema.add("lists", "array<int>")
+        schema = T.StructType([*df.schema.fields, T.StructField("lists", T.ArrayType(T.IntegerType()))])
         return df.mapInArrow(listed(n), schema).withColumn("list", F.explode("lists")).drop("lists")
 
     q = dealt(queries.select("query_id", "vec"), min(probes, len(centre))).withColumnRenamed("vec", "qvec")

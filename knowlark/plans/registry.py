@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from knowlark.plans import search_queries, table_queries
+from knowlark.plans import graph_queries, search_queries, table_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-PARTS = (search_queries, table_queries)
+PARTS = (search_queries, table_queries, graph_queries)
 SMALLEST = "/root/testdata/sf0.001"
 
 
