@@ -96,10 +96,10 @@ class Lexicon:
     def __post_init__(self) -> None:
         self.trie = Trie(list(self.words), self.stems)
         self.near = Trie(self.loose, [])
-        # An edit leaves the first or the last half of a word as it is.
+        # An edit leaves the first half of a word as it is, or what is beyond the letter after it.
         self.heads = {w[: len(w) // 2] for w in self.loose}
-        self.tails = {w[-(len(w) // 2) :] for w in self.loose}
-        self.halves = sorted({len(h) for h in self.heads})
+        self.tails = {w[len(w) // 2 + 1 :] for w in self.loose}
+        self.halves, self.rests = sorted({len(h) for h in self.heads}), sorted({len(t) for t in self.tails})
         self.sizes = {n for w in self.loose for n in (len(w) - 1, len(w), len(w) + 1)}
 
     def __getstate__(self) -> dict:
@@ -112,7 +112,7 @@ class Lexicon:
         """A term's own weight, EXACT for one that a stem begins, FUZZY for a misspelled one, else 0."""
         if (term := self.trie.exact(word)) is not None:
             return self.words.get(term, EXACT)
-        if len(word) in self.sizes and any(word[:n] in self.heads or word[-n:] in self.tails for n in self.halves) and self.near.fuzzy(word):
+        if len(word) in self.sizes and (any(word[:n] in self.heads for n in self.halves) or any(word[-n:] in self.tails for n in self.rests)) and self.near.fuzzy(word):
             return FUZZY
         return 0.0
 
