@@ -64,10 +64,10 @@ def tokens(c: Column) -> Column:
     return F.concat(words, F.when(n > 0, grams).otherwise(F.array().cast("array<string>")))
 
 
-def keyword_score(query: Column, text: Column) -> Column:
-    """0.7 x share of the query's different tokens that the text has + 0.3 x their occurrences (2 at most each) in the text over
-    those in the query. 0 for a query without tokens; can be over 1."""
-    q, t = tokens(query), tokens(text)
+def keyword_score(q: Column, t: Column) -> Column:
+    """Of token arrays of a query and a text: 0.7 x share of the query's different tokens that the text has + 0.3 x their occurrences
+    (2 at most each) in the text over those in the query. 0 for a query without tokens; can be over 1. The arrays should be
+    columns of their own: as expressions they would be tokenized again for every term."""
     terms = F.array_distinct(q)
 
     def times(where: Column, term: Column) -> Column:

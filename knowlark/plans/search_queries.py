@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knowlark.functions.text import STOP_BIGRAMS, STOP_CHARS, keyword_score, tokens
+from knowlark.functions.text import STOP_BIGRAMS, STOP_CHARS, tokens
 from knowlark.functions.vectors import l2_normalize
 from knowlark.operators import fusion, lexical, retrieve, vector
 from knowlark.plans import catalog as c
@@ -52,7 +52,7 @@ def _keyword_pairs(spark, sf):
 
 
 def keyword_scores(spark, sf):
-    return _keyword_pairs(spark, sf).select("chunk_id", F.round(keyword_score(F.col("query"), F.col("content")), 6).alias("score"))
+    return fusion.keyword_scored(_keyword_pairs(spark, sf)).select("chunk_id", F.round("keyword_score", 6).alias("score"))
 
 
 def vector_topk(spark, sf):
