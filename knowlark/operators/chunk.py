@@ -45,11 +45,20 @@ def fixed_spans(text: Column, size: int, overlap: int) -> Column:
     return F.when(n > 0, walked["spans"]).otherwise(empty)
 
 
+def _cut(clean: Column, size: int, overlap: int) -> Column:
+    """Trimmed, non-empty chunks of a text with plain line feeds. clean should be a column or a lambda's variable: it is used
+    in every step."""
+    return _filled(F.transform(fixed_spans(clean, size, overlap), lambda s: F.substr(clean, s["start"] + 1, s["end"] - s["start"])))
+
+
+def _once(value: Column, use) -> Column:
+    """use(value) with value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def fixed(text: Column, size: int = 600, overlap: int = 100) -> Column:
     """Array of trimmed, non-empty chunks; none for a blank text."""
-    clean = unix_lines(text)
-    parts = F.transform(fixed_spans(clean, size, overlap), lambda s: F.substr(clean, s["start"] + 1, s["end"] - s["start"]))
-    return F.when(blank(text), F.array().cast("array<string>")).otherwise(_filled(parts))
+    return F.when(blank(text), F.array().cast("array<string>")).otherwise(_once(unix_lines(text), lambda c: _cut(c, size, overlap)))
 
 
 def paragraphs(text: Column, size: int = 600, overlap: int = 100) -> Column:
@@ -63,7 +72,7 @@ def paragraphs(text: Column, size: int = 600, overlap: int = 100) -> Column:
         return F.when(state["buffer"] == "", state["out"]).otherwise(F.concat(state["out"], F.array(state["buffer"])))
 
     def pack(state: Column, p: Column) -> Column:
-        long_ = F.struct(F.concat(flushed(state), fixed(p, size, overlap)).alias("out"), F.lit("").alias("buffer"))
+        long_ = F.struct(F.concat(flushed(state), _cut(p, size, overlap)).alias("out"), F.lit("").alias("buffer"))
         apart = F.struct(flushed(state).alias("out"), p.alias("buffer"))
         joined = F.struct(state["out"].alias("out"), F.when(state["buffer"] == "", p).otherwise(F.concat_ws("\n", state["buffer"], p)).alias("buffer"))
         return F.when(F.length(p) > size, long_).when(F.length(state["buffer"]) + F.length(p) + 1 > size, apart).otherwise(joined)
@@ -76,7 +85,7 @@ def parent_child(text: Column, size: int = 600, overlap: int = 100) -> Column:
     """Array of (child, parent): parents are fixed chunks, children a third of their size."""
     child = max(120, size // 3)
     inner = min(overlap, child // 2)
-    return F.flatten(F.transform(fixed(text, size, overlap), lambda p: F.transform(fixed(p, child, inner), lambda c: F.struct(c.alias("child"), p.alias("parent")))))
+    return F.flatten(F.transform(fixed(text, size, overlap), lambda p: F.transform(_cut(p, child, inner), lambda c: F.struct(c.alias("child"), p.alias("parent")))))
 
 
 STRATEGIES = {"fixed": fixed, "paragraph": paragraphs}
