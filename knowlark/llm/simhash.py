@@ -184,7 +184,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     count = partitions(docs.sparkSession)
     rows = checkpointed(fingerprints(docs, id_col, text_col))
-    prints = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("_min")))
+    prints = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("_min"), F.count(F.lit(1)).alias("_n")))
     # 20 cells for each fingerprint; the bound keeps hot cells to a few times the partitions.
     cells = _cells(prints.select("fp"), count, max(min_cell, 20 * prints.count() // (4 * count)))
     dealt = cells.repartition(count, "mask", "cell").sortWithinPartitions("mask", "cell", "fp")
@@ -193,8 +193,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = checkpointed(prints.join(roots, F.col("fp") == F.col("node")).select("fp", "root", "_min"))
     least = linked.groupBy("root").agg(F.min("_min").alias("_least"))
     moved = linked.join(least, "root").select("fp", "_least")
-    of = prints.join(moved, "fp", "left").select("fp", F.coalesce("_least", "_min").alias("component_id"))
-    return rows.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    of = checkpointed(prints.join(moved, "fp", "left").select("fp", F.coalesce("_least", "_min").alias("component_id"), "_n"))
+    # Fingerprints of over rows / (4 x partitions) rows are at most four times the partitions: their rows stay where they are.
+    bound = max(64, rows.count() // (4 * count))
+    hot = of.where(F.col("_n") > bound).select("fp", F.lit(1).alias("_hot"), F.col("component_id").alias("_of"))
+    marked = rows.join(F.broadcast(hot), "fp", "left")
+    cold = marked.where("_hot is null").select("doc_id", "fp").join(of.where(F.col("_n") <= bound), "fp").select("doc_id", "fp", "component_id")
+    joined = cold.unionByName(marked.where("_hot = 1").select("doc_id", "fp", F.col("_of").alias("component_id")))
+    return joined.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
