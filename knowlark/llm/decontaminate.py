@@ -173,12 +173,11 @@ def _spans(hits: np.ndarray) -> list[dict[str, int]]:
     return [{"first": b, "end": e} for b, e in _runs(hits, 1)] if hits.any() else []
 
 
-def _clean(text: str | None, automaton: Automaton, coverage: float) -> str | None:
-    """The text without its hit spans; None if they cover more than `coverage` of its words."""
-    n, hits, _ = match(text, automaton)
+def _cut(text: str | None, hits: np.ndarray, coverage: float) -> str | None:
+    """The text without its hit words' spans; None if they cover more than `coverage` of its words."""
     if not hits.any():
         return text or ""
-    if hits.sum() > coverage * n:
+    if hits.sum() > coverage * len(hits):
         return None
     raw = text.encode("utf-8", "surrogatepass")
     at = [m.span() for m in TOKEN.finditer(raw.lower())]
@@ -263,19 +262,41 @@ def _united(docs: DataFrame, groups: list, id_col: str, text_col: str, window: i
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = 10, coverage: float = 0.5, limit_mb: float = 16) -> DataFrame:
     """docs without what the benchmark leaked: hit spans are cut from the text, and a document of whose words
-    more than `coverage` are hit goes. Documents without a hit stay as they are; all columns are kept."""
-    spark = docs.sparkSession
-    for items in _items(benchmark, "item_id", "text", limit_mb):
-        shared = spark.sparkContext.broadcast(items)
-
-        docs = docs.mapInArrow(partial(_each, items=shared, window=window, row=partial(_cut_batch, column=docs.columns.index(text_col), coverage=coverage)), docs.schema)
-    return docs
+    more than `coverage` are hit goes. Documents without a hit stay as they are; all columns are kept.
 
-
-def _cut_batch(batch: pa.RecordBatch, automaton: Automaton, column: int, coverage: float) -> pa.RecordBatch:
+    Several automata gather their spans on the text as it came, in a column of its own; the text is cut once, by all of them."""
+    spark = docs.sparkSession
+    groups = _items(benchmark, "item_id", "text", limit_mb)
+    column, schema = docs.columns.index(text_col), docs.schema
+    own = "_spans" + "_" * max(map(len, docs.columns))  # a name that no column has
+    marked = docs if len(groups) == 1 else docs.withColumn(own, F.expr("cast(array() as array<struct<first:int,end:int>>)"))
+    for items in groups[:-1]:
+        row = partial(_mark_batch, column=column)
+        marked = marked.mapInArrow(partial(_each, items=spark.sparkContext.broadcast(items), window=window, row=row), marked.schema)
+    row = partial(_cut_batch, column=column, coverage=coverage, marked=len(groups) > 1)
+    return marked.mapInArrow(partial(_each, items=spark.sparkContext.broadcast(groups[-1]), window=window, row=row), schema)
+
+
+def _mark_batch(batch: pa.RecordBatch, automaton: Automaton, column: int) -> pa.RecordBatch:
+    """The batch with the automaton's spans added to its last column."""
+    texts, old = batch.column(column).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
+    spans = [[*o, *_spans(match(t, automaton)[1])] for t, o in zip(texts, old, strict=True)]
+    return batch.set_column(batch.num_columns - 1, batch.schema.field(batch.num_columns - 1), pa.array(spans, SPANS))
+
+
+def _cut_batch(batch: pa.RecordBatch, automaton: Automaton, column: int, coverage: float, marked: bool) -> pa.RecordBatch:
+    """The batch cut by the automaton's hits and, if marked, the spans in its last column, which goes."""
     was = batch.column(column).to_pylist()
-    now = [_clean(t, automaton, coverage) for t in was]
-    kept = pa.array([t is not None for t in now])
+    spans = batch.column(batch.num_columns - 1).to_pylist() if marked else [[]] * len(was)
+    now = []
+    for text, old in zip(was, spans, strict=True):
+        hits = match(text, automaton)[1]
+        for s in old:
+            hits[s["first"] : s["end"]] = True
+        now.append(_cut(text, hits, coverage))
+    kept = pa.array([t is not None for t in now], pa.bool_())
+    if marked:
+        batch = batch.select(range(batch.num_columns - 1))
     # A null text has no words and stays null.
     text = pa.array([w if w is None else t for w, t in zip(was, now, strict=True)], batch.schema.field(column).type)
     return batch.set_column(column, batch.schema.field(column), text).filter(kept)

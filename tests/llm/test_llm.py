@@ -146,6 +146,20 @@ def test_decontaminate(spark, corpus):
     assert decontaminate(df, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_clean_unites_automata(spark):
+    w = [f"w{k}" for k in range(1, 16)]
+    items = [(k, " ".join(w[a : a + 10])) for k, a in ((1, 0), (2, 5))]
+    bench = spark.createDataFrame([*items, (3, "aa ab ac"), (4, "ba bb bc")], "item_id long, text string")
+    # Overlapping items of different automata; two hits of 30 % each, which are over half together only.
+    texts = ["start here " + " ".join(w) + "".join(f" end{k}" for k in range(20)), "aa ab ac x0 x1 x2 x3 ba bb bc", "plain text", "", None]
+    df = spark.createDataFrame([(k, t, "kept") for k, t in enumerate(texts)], "doc_id long, text string, _spans string")
+    one = {tuple(r) for r in clean(df, bench).collect()}
+    assert {i for i, _, _ in one} == {0, 2, 3, 4} and not any("w" in (t or "") for i, t, _ in one if i == 0)
+    for limit in (0.0001, 0.00005, 0.00002, 0.000005):
+        split = clean(df, bench, limit_mb=limit)
+        assert split.columns == df.columns and {tuple(r) for r in split.collect()} == one, limit
+
+
 def brute_fingerprint(text):
     low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
     words = re.findall("[^\x20\x09-\x0d]+", low)
