@@ -8,10 +8,11 @@ contexts and never in clean ones. Contexts are counted instead of occurrences, s
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import partial
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -55,7 +56,8 @@ class Trie:
         return node.get("word")
 
     def fuzzy(self, word: str, edits: int = 1) -> set[str]:
-        """Whole words of the trie within `edits` insertions, deletions, substitutions or swaps of neighbours of `word`.
+        """Whole words of the trie within `edits` insertions, deletions, substitutions or swaps of neighbours of `word`, and stems
+        within as many of a beginning of it.
 
         A state of the word's Levenshtein automaton is the row of distances up to edits + 1. The walk goes through trie and
         automaton together and leaves a branch when its row has no distance within edits.
@@ -76,6 +78,8 @@ class Trie:
                 if min(now) <= edits:
                     if "word" in child and now[-1] <= edits:
                         found.add(child["word"])
+                    if "stem" in child:
+                        found.add(child["stem"])
                     walk(child, now, row, c)
 
         walk(self.root, first, None, "")
@@ -84,26 +88,32 @@ class Trie:
 
 @dataclass
 class Lexicon:
-    """Terms with what their hits weigh, and the memo of words met. loose are the words whose misspellings count."""
+    """Terms with what their hits weigh, and the memo of words met. loose are the words whose misspellings count, roots the
+    beginnings of words for which an edit in them does."""
 
     words: dict[str, float]
     stems: list[str]
     loose: list[str]
     bias: float = -4.0
     slopes: tuple[float, float] = (6.0, 0.0)
+    roots: list[str] = field(default_factory=list)
     memo: dict[str, float] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         self.trie = Trie(list(self.words), self.stems)
-        self.near = Trie(self.loose, [])
+        self.near = Trie(self.loose, self.roots)
         # An edit leaves the first half of a word as it is, or what is beyond the letter after it.
         self.heads = {w[: len(w) // 2] for w in self.loose}
         self.tails = {w[len(w) // 2 + 1 :] for w in self.loose}
         self.halves, self.rests = sorted({len(h) for h in self.heads}), sorted({len(t) for t in self.tails})
         self.sizes = {n for w in self.loose for n in (len(w) - 1, len(w), len(w) + 1)}
+        # The same for roots, whose end is not the word's: what is beyond the letter is there or one letter off.
+        self.begins = {r[: len(r) // 2] for r in self.roots}
+        self.parts = {(len(r) // 2 + 1 + d, r[len(r) // 2 + 1 :]) for r in self.roots for d in (-1, 0, 1)}
+        self.firsts, self.places = sorted({len(b) for b in self.begins}), sorted({(k, k + len(t)) for k, t in self.parts})
 
     def __getstate__(self) -> dict:
-        return {k: getattr(self, k) for k in ("words", "stems", "loose", "bias", "slopes")}
+        return {k: getattr(self, k) for k in ("words", "stems", "loose", "bias", "slopes", "roots")}
 
     def __setstate__(self, state: dict) -> None:
         self.__init__(**state)
@@ -112,9 +122,9 @@ class Lexicon:
         """A term's own weight, EXACT for one that a stem begins, FUZZY for a misspelled one, else 0."""
         if (term := self.trie.exact(word)) is not None:
             return self.words.get(term, EXACT)
-        if len(word) in self.sizes and (any(word[:n] in self.heads for n in self.halves) or any(word[-n:] in self.tails for n in self.rests)) and self.near.fuzzy(word):
-            return FUZZY
-        return 0.0
+        like_word = len(word) in self.sizes and (any(word[:n] in self.heads for n in self.halves) or any(word[-n:] in self.tails for n in self.rests))
+        like_root = any(word[:n] in self.begins for n in self.firsts) or any((k, word[k:e]) in self.parts for k, e in self.places)
+        return FUZZY if (like_word or like_root) and self.near.fuzzy(word) else 0.0
 
     def weights(self, words: list[str]) -> list[float]:
         memo = self.memo
@@ -179,9 +189,9 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.int64()), strict=True)], ["word", "before", "y", "row"])
 
 
-def _guarded(batches: Iterator[pa.RecordBatch], words: list[str]) -> Iterator[pa.RecordBatch]:
-    """Terms that are an edit from a word of clean rows, once for each such word."""
-    lexicon = Lexicon(dict.fromkeys(words, EXACT), [], words)
+def _guarded(batches: Iterator[pa.RecordBatch], words: list[str], stems: list[str], roots: list[str]) -> Iterator[pa.RecordBatch]:
+    """Terms and roots that are an edit from a word of clean rows, or from its beginning, once for each such word."""
+    lexicon = Lexicon(dict.fromkeys(words, EXACT), stems, words, roots=roots)
     for batch in batches:
         near = [t for w in batch.column(0).to_pylist() if lexicon.weight(w) == FUZZY for t in lexicon.near.fuzzy(w)]
         yield pa.RecordBatch.from_arrays([pa.array(near, pa.string())], ["term"])
@@ -230,13 +240,25 @@ def learn(training: DataFrame, rows: int = 2, endings: int = 3, impure: float =
     for stem in sorted((r["stem"] for r in found.collect()), key=lambda s: (len(s), s)):
         if not any(stem.startswith(t) for t in stems):
             stems.append(stem)
+    loose = {w for w, x in words.items() if len(w) >= 4 and x > 0.9}
     words = {w: x for w, x in words.items() if not any(w.startswith(t) for t in stems)}
-    loose = sorted(w for w, x in words.items() if len(w) >= 4 and x > 0.9)
+    roots: list[str] = []
+    if stems:
+        # A stem's pure words may be misspelled as any other, and so may what all of them begin with, whatever follows it.
+        spark = training.sparkSession
+        begun = grown.where(pure).join(F.broadcast(spark.createDataFrame([(t,) for t in stems], "stem string")), "stem")
+        family_of: dict[str, list[str]] = defaultdict(list)
+        for row in begun.orderBy(F.desc("contexts"), "word").limit(terms).select("stem", "word").collect():
+            family_of[row["stem"]].append(row["word"])
+        loose.update(w for ws in family_of.values() for w in ws)
+        # With a letter missing it must still be as long as a stem.
+        roots = sorted({t for ws in family_of.values() if len(t := commonprefix(ws)) > STEMS[0]})
+    loose = sorted(loose)
     if loose:
         clean = counts.where("contexts = 0 or clean > 0").select("word")
-        shaky = {r["term"] for r in clean.mapInArrow(partial(_guarded, words=loose), "term string").distinct().collect()}
-        loose = [w for w in loose if w not in shaky]
-    lexicon = Lexicon(words, stems, loose)
+        shaky = {r["term"] for r in clean.mapInArrow(partial(_guarded, words=loose, stems=stems, roots=roots), "term string").distinct().collect()}
+        loose, roots = [w for w in loose if w not in shaky], [t for t in roots if t not in shaky]
+    lexicon = Lexicon(words, stems, loose, roots=roots)
     shared = training.sparkSession.sparkContext.broadcast(lexicon)
     fitted = training.select("label", "_text").mapInArrow(partial(_inputs, lexicon=shared), "y int, a double, b double").collect()
     lexicon.bias, lexicon.slopes = _slopes(np.array(sorted(tuple(r) for r in fitted), dtype=float).reshape(-1, 3))

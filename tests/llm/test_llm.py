@@ -326,6 +326,24 @@ def test_toxicity(spark):
     assert toxicity(docs, labels.limit(0)).where("predicted = 1").count() == 0
 
 
+def test_toxicity_stems(spark):
+    rnd = random.Random(6)
+    plain = [f"{rnd.choice('bcdfg')}a{rnd.choice('lmnpr')}o{k % 40}" for k in range(400)]
+    family = ["grumblax", "grumblaxes", "grumblaxing", "grumblaxed"]
+    rows = []
+    for k in range(400):
+        words = [rnd.choice(plain) for _ in range(30)]
+        if k % 8 == 0:
+            for _ in range(4):
+                words.insert(rnd.randint(0, 29), rnd.choice(family))
+        rows.append((k, " ".join(words), int(k % 8 == 0)))
+    wrong = ["grunblaxes grumlaxing", "gumblax and grmublaxed", "grumbblaxing gtumblaxes", "grumblsxer and gruumblaxish"]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(9000 + k, f"such {t} people {t}") for k, t in enumerate(wrong)] + [(9900, "grab the rumble axes")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, x) for i, _, x in rows], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity(docs, labels).collect()}
+    assert [got[9000 + k] for k in range(len(wrong))] == [1] * len(wrong) and got[9900] == 0 and all(got[i] == x for i, _, x in rows)
+
+
 def brute_rule(url, rules):
     if not url or "://" not in url:
         return "", "", None
