@@ -12,11 +12,6 @@ from knowlark.plans.catalog import ENTITIES, ENTITY_CHUNK, RELATIONS, SUPPLIER
 ASKED = ((1, "Supplier 000000001 parts"), (2, "an almond steel part?"), (3, ""))
 
 
-def _few(spark, sf):
-    """Relations of every 97th line item, for views that would else be the whole graph."""
-    return c.relations(spark, sf).where("relation_id % 97 = 0")
-
-
 def graph_degree(spark, sf):
     return graph.degrees(c.relations(spark, sf)).select("entity_id", "degree")
 
@@ -34,12 +29,12 @@ def graph_stats(spark, sf):
 
 def graph_bfs(spark, sf):
     seeds = spark.createDataFrame([(SUPPLIER + 1,), (SUPPLIER + 2,)], "node long")
-    return graph.bfs(_few(spark, sf), seeds, 2).select("node", F.col("depth").cast("long").alias("depth"))
+    return graph.bfs(c.relations(spark, sf), seeds, 2).select("node", F.col("depth").cast("long").alias("depth"))
 
 
 def graph_view(spark, sf):
     focus = spark.createDataFrame([(SUPPLIER + k,) for k in range(1, 9)], "entity_id long")
-    return graph.focus_view(c.entities(spark, sf), _few(spark, sf), focus).select("relation_id", "source_id", "target_id")
+    return graph.focus_view(c.entities(spark, sf), c.relations(spark, sf), focus).select("relation_id", "source_id", "target_id")
 
 
 def graph_multi_merge(spark, sf):
@@ -66,7 +61,7 @@ def _matched(spark, sf):
 
 
 def graph_retrieve(spark, sf):
-    found = graph.graph_retrieve(_matched(spark, sf), _few(spark, sf), c.entity_chunk(spark, sf))
+    found = graph.graph_retrieve(_matched(spark, sf), c.relations(spark, sf), c.entity_chunk(spark, sf))
     return found.select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
