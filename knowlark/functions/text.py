@@ -12,6 +12,7 @@ STOP_BIGRAMS = (
     "现在 已经 通过 对于 还有 不是 一些 相关 然后 这样 那样 起来 下来 出来 过去 东西 地方 事情 情况 需要 "
     "使用 能够 更加 非常 主要 包括 关于 由于 因此 其中"
 ).split()
+#: File name extensions of media, and of documents by parser. Fixed values.
 IMAGE_EXT = ("png", "jpg", "jpeg", "gif", "bmp", "webp", "svg", "ico", "tiff")
 VIDEO_EXT = ("mp4", "mov", "avi", "mkv", "webm", "flv", "wmv", "m4v", "ts")
 PARSERS = {
@@ -64,21 +65,6 @@ def tokens(c: Column) -> Column:
     return F.concat(words, F.when(n > 0, grams).otherwise(F.array().cast("array<string>")))
 
 
-def keyword_score(q: Column, t: Column) -> Column:
-    """Of token arrays of a query and a text: 0.7 x share of the query's different tokens that the text has + 0.3 x their occurrences
-    (2 at most each) in the text over those in the query. 0 for a query without tokens; can be over 1. The arrays should be
-    columns of their own: as expressions they would be tokenized again for every term."""
-    terms = F.array_distinct(q)
-
-    def times(where: Column, term: Column) -> Column:
-        return F.least(F.size(F.filter(where, lambda x: x == term)), F.lit(2))
-
-    hit = F.filter(terms, lambda x: F.array_contains(t, x))
-    total = F.aggregate(terms, F.lit(0), lambda a, x: a + times(q, x))
-    found = F.aggregate(hit, F.lit(0), lambda a, x: a + times(t, x))
-    return F.when(F.size(terms) == 0, 0.0).otherwise(0.7 * F.size(hit) / F.size(terms) + 0.3 * found / total)
-
-
 def levenshtein_similarity(a: Column, b: Column) -> Column:
     """1 - distance / longer length; 0 with null, 1 for equal strings."""
     return (

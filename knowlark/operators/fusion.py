@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from knowlark.functions.text import keyword_score, lenient_json, round4, tokens
+from knowlark.functions.text import lenient_json, round4
+from knowlark.operators.lexical import keyword_scores
 
 RRF_K = 60
 SCORE_WEIGHT, KEYWORD_WEIGHT = 0.65, 0.35
@@ -45,20 +46,26 @@ def merge_graph(hits: DataFrame, graph_hits: DataFrame) -> DataFrame:
     return joined.select("query_id", "chunk_id", F.greatest("score", "gscore").alias("score"), source.alias("source"))
 
 
-def keyword_scored(pairs: DataFrame, name: str = "keyword_score") -> DataFrame:
-    """pairs (query, content, ...) plus their keyword score. Each text is tokenized once, in a projection of its own."""
-    split = pairs.withColumn("_q", tokens(F.col("query"))).withColumn("_t", tokens(F.col("content")))
-    return split.withColumn(name, keyword_score(F.col("_q"), F.col("_t"))).drop("_q", "_t")
+def settled(score: Column) -> Column:
+    """Nine places. What is within 1e-11 of an edge goes up, so that the order of additions can't change a score."""
+    return F.round(score + F.lit(1e-11), 9)
+
+
+def keyword_scored(hits: DataFrame) -> DataFrame:
+    """hits (query_id, chunk_id, query, content, ...) plus keyword_score; as they are if they have it."""
+    if "keyword_score" in hits.columns:
+        return hits
+    scores = keyword_scores(hits, hits.select("query_id", "query").dropDuplicates(["query_id"]), hits.select("chunk_id", "content").dropDuplicates(["chunk_id"]))
+    return hits.join(scores, ["query_id", "chunk_id"])
 
 
 def _hybrid(score: Column) -> Column:
-    return SCORE_WEIGHT * F.greatest(score, F.lit(0.0)) + KEYWORD_WEIGHT * F.col("_kw")
+    return settled(SCORE_WEIGHT * F.greatest(score, F.lit(0.0)) + KEYWORD_WEIGHT * F.col("keyword_score"))
 
 
 def hybrid_rerank(hits: DataFrame, top_k: int) -> DataFrame:
-    """hits with query and content: 0.65 x score (not below 0) + 0.35 x keyword score; the best top_k of each query."""
-    scored = keyword_scored(hits, "_kw").withColumn("score", F.round(_hybrid(F.col("score")), 6))
-    return ranked(scored.drop("_kw")).where(F.col("rank") <= top_k)
+    """hits with query and content, or keyword_score: 0.65 x score (not below 0) + 0.35 x keyword score; the best top_k of each query."""
+    return ranked(keyword_scored(hits).withColumn("score", _hybrid(F.col("score"))).drop("keyword_score")).where(F.col("rank") <= top_k)
 
 
 def no_rerank(hits: DataFrame, top_k: int) -> DataFrame:
@@ -69,23 +76,24 @@ def llm_rerank(hits: DataFrame, top_k: int) -> DataFrame:
     """hits with a model's answer per query: `{"scores": [...]}` out of 10, one for each candidate in rank order; otherwise hybrid."""
     scores = F.from_json(lenient_json(F.col("answer")), "scores array<double>")["scores"]
     n = F.count(F.lit(1)).over(Window.partitionBy("query_id"))
-    given = ranked(keyword_scored(hits, "_kw").withColumn("_scores", scores)).withColumn("_n", n)
+    given = ranked(keyword_scored(hits).withColumn("_scores", scores)).withColumn("_n", n)
     fits = F.col("_scores").isNotNull() & (F.size("_scores") == F.col("_n"))
     new = F.when(fits, F.element_at("_scores", F.col("rank")) / 10).otherwise(_hybrid(F.col("score")))
-    return ranked(given.withColumn("score", F.round(new, 6)).drop("_scores", "_n", "_kw")).where(F.col("rank") <= top_k)
+    return ranked(given.withColumn("score", settled(new)).drop("_scores", "_n", "keyword_score")).where(F.col("rank") <= top_k)
 
 
 def api_rerank(hits: DataFrame, top_k: int) -> DataFrame:
     """hits with an interface's answer per query: `results` of (index, relevance_score) replace scores, indices out of range are
     dropped and what isn't named goes; a query without any usable result falls back to hybrid."""
     kind = T.StructType([T.StructField("results", T.ArrayType(T.StructType([T.StructField("index", T.IntegerType()), T.StructField("relevance_score", T.DoubleType())])))])
-    base = ranked(keyword_scored(hits, "_kw")).withColumn("_results", F.from_json("answer", kind)["results"])
+    base = ranked(keyword_scored(hits)).withColumn("_results", F.from_json("answer", kind)["results"])
     mine = F.filter("_results", lambda r: r["index"] == F.col("rank") - 1)
     named = base.withColumn("_score", F.get(mine, F.lit(0))["relevance_score"])
     usable = F.max(F.col("_score").isNotNull()).over(Window.partitionBy("query_id"))
     named = named.withColumn("_usable", usable).where(~F.col("_usable") | F.col("_score").isNotNull())
-    out = named.withColumn("score", F.round(F.when(F.col("_usable"), F.col("_score")).otherwise(_hybrid(F.col("score"))), 6)).withColumn("source", F.when(F.col("_usable"), "rerank").otherwise(F.col("source")))
-    return ranked(out.drop("_results", "_score", "_usable", "_kw")).where(F.col("rank") <= top_k)
+    new = F.when(F.col("_usable"), F.col("_score")).otherwise(_hybrid(F.col("score")))
+    out = named.withColumn("score", settled(new)).withColumn("source", F.when(F.col("_usable"), "rerank").otherwise(F.col("source")))
+    return ranked(out.drop("_results", "_score", "_usable", "keyword_score")).where(F.col("rank") <= top_k)
 
 
 RERANKERS: dict[str, Callable[[DataFrame, int], DataFrame]] = {"none": no_rerank, "hybrid": hybrid_rerank, "llm": llm_rerank, "rerank_model": api_rerank}

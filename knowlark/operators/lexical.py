@@ -1,4 +1,4 @@
-"""BM25 over postings: one row per (knowledge base, term, chunk)."""
+"""BM25 and keyword scores over postings: one row per (knowledge base, term, chunk)."""
 
 from __future__ import annotations
 
@@ -10,6 +10,12 @@ from knowlark.functions.text import tokens
 K1, B = 1.5, 0.75
 
 
+def tokenized(chunks: DataFrame, *keys: str) -> DataFrame:
+    """keys and terms of chunks. The generator of one row is a barrier: a filter on terms can't be pushed below it, where it would
+    tokenize every text once more."""
+    return chunks.select(*keys, F.explode(F.array(tokens(F.col("content")))).alias("terms"))
+
+
 def postings(chunks: DataFrame) -> DataFrame:
     """(kb_id, chunk_id, term, tf) of chunks (kb_id, chunk_id, content). Counted per chunk on the map side."""
     terms = chunks.select("kb_id", "chunk_id", F.explode(tokens(F.col("content"))).alias("term"))
@@ -42,8 +48,7 @@ def bm25(chunks: DataFrame, queries: DataFrame, limit: int, per_kb: bool = True)
     queries' terms before anything is scored, and statistics are per knowledge base. The queries' side is broadcast only
     where Spark's own size threshold allows it.
     """
-    chunks = chunks.select("kb_id", "chunk_id", "content")
-    sized = chunks.select("kb_id", "chunk_id", tokens(F.col("content")).alias("terms")).withColumn("dl", F.size("terms")).where("dl > 0")
+    sized = tokenized(chunks, "kb_id", "chunk_id").withColumn("dl", F.size("terms")).where("dl > 0")
     stats = sized.groupBy("kb_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.avg("dl").alias("avg_len"))
     asked = query_terms(queries)
     posted = sized.select("kb_id", "chunk_id", "dl", F.explode("terms").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
@@ -57,3 +62,21 @@ def bm25(chunks: DataFrame, queries: DataFrame, limit: int, per_kb: bool = True)
     keys = ["query_id", "kb_id"] if per_kb else ["query_id"]
     best = Window.partitionBy(*keys).orderBy(F.desc("score"), "chunk_id")
     return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
+
+
+def keyword_scores(pairs: DataFrame, queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, keyword_score) of pairs (query_id, chunk_id): 0.7 x share of the query's different tokens that the chunk has
+    + 0.3 x their occurrences (2 at most each) in the chunk over those in the query; 0 for a query without tokens.
+
+    A chunk of several pairs is tokenized once, and only the queries' terms of it go on.
+    """
+    pairs = pairs.select("query_id", "chunk_id").distinct()
+    asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.least(F.count(F.lit(1)), F.lit(2)).alias("_asked"))
+    size = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("_terms"), F.sum("_asked").alias("_total"))
+    wanted = chunks.select("chunk_id", "content").join(pairs.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    terms = wanted.select("chunk_id", F.explode(tokens(F.col("content"))).alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    terms = terms.groupBy("chunk_id", "term").agg(F.least(F.count(F.lit(1)), F.lit(2)).alias("_times"))
+    found = pairs.join(asked.drop("_asked"), "query_id").join(terms, ["chunk_id", "term"]).groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias("_hits"), F.sum("_times").alias("_found"))
+    score = 0.7 * F.col("_hits") / F.col("_terms") + 0.3 * F.col("_found") / F.col("_total")
+    scored = found.join(size, "query_id").select("query_id", "chunk_id", score.alias("keyword_score"))
+    return pairs.join(scored, ["query_id", "chunk_id"], "left").select("query_id", "chunk_id", F.coalesce("keyword_score", F.lit(0.0)).alias("keyword_score"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from knowlark.operators.fusion import RERANKERS, merge_graph, minmax, rrf
-from knowlark.operators.lexical import bm25
+from knowlark.operators.lexical import bm25, keyword_scores
 from knowlark.operators.vector import sparse_search
 
 
@@ -48,8 +48,9 @@ def stages(chunks: DataFrame, queries: DataFrame, params: Params = Params(), gra
         fused = vector.where(F.col("score") >= params.min_score).withColumn("source", F.lit("vector"))
     if graph_hits is not None:
         fused = merge_graph(fused, graph_hits)
-    full = fused.join(queries.select("query_id", "query"), "query_id").join(content, "chunk_id")
-    reranked = RERANKERS[params.rerank](full, params.limit)
+    scores = keyword_scores(fused, queries, content)
+    best = RERANKERS[params.rerank](fused.join(scores, ["query_id", "chunk_id"]), params.limit)
+    reranked = best.join(queries.select("query_id", "query"), "query_id").join(content, "chunk_id")  # texts of the best alone
     return {"vector": vector.withColumn("source", F.lit("vector")), "keyword": keyword.withColumn("source", F.lit("keyword")), "fused": fused, "reranked": reranked}
 
 

@@ -2,58 +2,148 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from knowlark.functions.text import tokens
-from knowlark.functions.vectors import dot, l2_distance, token_slot, token_weight
+from knowlark.functions.vectors import DIM, dot, token_slot, token_weight
+
+
+#: Queries to a matrix, and numbers that one step of a distance may hold.
+QUERIES, CELLS = 2048, 1 << 22
 
 
 def _top(scored: DataFrame, keys: list[str], k: int, order) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(order, "chunk_id"))).where(F.col("rank") <= k)
 
 
+def check_dimension(vectors: DataFrame, size: int) -> DataFrame:
+    """vectors; a row whose vec isn't of `size` numbers fails the job, as a store of fixed dimension refuses it."""
+    told = F.concat(F.lit(f"a vector is not of {size} dimensions: chunk "), F.col("chunk_id").cast("string"))
+    return vectors.withColumn("vec", F.when(F.size("vec") == size, F.col("vec")).otherwise(F.raise_error(told).cast(vectors.schema["vec"].dataType)))
+
+
+def blocks(queries: DataFrame, width: int = QUERIES) -> Iterator[list]:
+    """The rows of queries, about `width` at a time: the driver and the broadcast hold one block, however many queries there are."""
+    count = max(1, -(-queries.count() // width))
+    for b in range(count):
+        if rows := queries.where(F.pmod(F.xxhash64("query_id"), F.lit(count)) == b).collect():
+            yield rows
+
+
+def _best(score: np.ndarray, chunk: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k greatest scores, of equal ones those of the smaller chunks."""
+    if len(score) > k:
+        at = np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k])
+        return at[np.lexsort((chunk[at], -score[at]))[:k]] if len(at) > k else at
+    return np.arange(len(score))
+
+
+def _each_block(vectors: DataFrame, queries: DataFrame, pack: Callable, score: Callable, k: int, least: float | None, kb: bool) -> DataFrame:
+    """Scores of vectors (kb_id, chunk_id, ...) for blocks of queries: a matrix product for each Arrow batch, of which the best k of a
+    query (and kb) go on. pack turns rows into a matrix, on either side; score makes (vectors x queries) of two."""
+    out, spark = None, vectors.sparkSession
+    key = vectors.schema["chunk_id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+    names = (["kb_id"] if kb else []) + ["query_id", "chunk_id", "score"]
+    schema = (f"kb_id {vectors.schema['kb_id'].dataType.simpleString()}, " if kb else "") + f"query_id {key[1]}, chunk_id {key[0]}, score double"
+    for rows in blocks(queries):
+        shared = spark.sparkContext.broadcast(([r["query_id"] for r in rows], pack([r.asDict() for r in rows])))
+
+        def each(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, asked = shared.value
+            for batch in batches:
+                made = pack(batch.to_pylist())
+                chunk = np.array(batch.column("chunk_id").to_pylist())
+                group = np.array(batch.column("kb_id").to_pylist()) if kb else np.zeros(len(chunk), int)
+                parts = [np.flatnonzero(group == g) for g in dict.fromkeys(group.tolist())]
+                found: list[list] = [[] for _ in names]
+                step = max(1, CELLS // max(1, len(chunk)))
+                for first in range(0, len(ids), step):
+                    table = score(made, asked, slice(first, first + step))
+                    for q in range(table.shape[1]):
+                        for part in parts:
+                            mine = part if least is None else part[(table[part, q] > 0) & (table[part, q] >= least)]
+                            mine = mine[_best(table[mine, q], chunk[mine], k)]
+                            columns = ([group[mine]] if kb else []) + [[ids[first + q]] * len(mine), chunk[mine], table[mine, q]]
+                            for c, x in zip(found, columns, strict=True):
+                                c.extend(x)
+                yield pa.RecordBatch.from_arrays([pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(found, fields, strict=True)], names)
+
+        fields = T._parse_datatype_string(schema).fields
+        some = vectors.mapInArrow(each, schema)
+        out = some if out is None else out.unionByName(some)
+    return spark.createDataFrame([], schema) if out is None else out
+
+
+def _dense(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of one length as a matrix, and which rows have that length; the others score nothing."""
+    sizes = [len(r["vec"] or ()) for r in rows]
+    width = max(sizes, default=0)
+    good = np.array([n == width for n in sizes], bool)
+    return np.array([r["vec"] if n == width else [0.0] * width for r, n in zip(rows, sizes, strict=True)], dtype=float).reshape(len(rows), width), good
+
+
+def _cosine(vectors: tuple, queries: tuple, some: slice) -> np.ndarray:
+    (x, good), (q, fits) = vectors, queries
+    if x.shape[1] != q.shape[1]:
+        return np.zeros((len(x), len(q[some])))
+    return np.round(x @ q[some].T, 6) * good[:, None] * fits[some]
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int, min_score: float = 0.0) -> DataFrame:
     """Exact cosine top k of (kb_id, chunk_id, vec) for queries (query_id, vec) in each kb; scores are over 0 and at least min_score.
 
-    Every query meets every vector, as an exact search must; vectors are dropped as soon as they are scored, and each
-    task keeps k rows a query before the shuffle.
+    Every query meets every vector, as an exact search must, in matrix products of a block of queries and a batch of vectors;
+    of each the best k alone leave the worker. A vector of another length than the others' scores 0; check_dimension refuses it.
     """
-    pairs = vectors.join(queries.select("query_id", F.col("vec").alias("qvec")))
-    scored = pairs.select("query_id", "kb_id", "chunk_id", F.round(dot(F.col("vec"), F.col("qvec")), 6).alias("score"))
-    return _top(scored.where((F.col("score") > 0) & (F.col("score") >= min_score)), ["query_id", "kb_id"], k, F.desc("score"))
+    scored = _each_block(vectors.select("kb_id", "chunk_id", "vec"), queries.select("query_id", "vec"), _dense, _cosine, k, min_score, True)
+    return _top(scored, ["query_id", "kb_id"], k, F.desc("score"))
+
+
+def _distance(vectors: tuple, queries: tuple, some: slice) -> np.ndarray:
+    x, q = vectors[0], queries[0][some]
+    return -np.round(np.sqrt(np.stack([((x - v) ** 2).sum(1) for v in q], axis=1)), 6)
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The k least Euclidean distances of each query."""
-    pairs = vectors.join(queries.select("query_id", F.col("vec").alias("qvec")))
-    scored = pairs.select("query_id", "chunk_id", F.round(l2_distance(F.col("vec"), F.col("qvec")), 6).alias("distance"))
-    return _top(scored, ["query_id"], k, F.asc("distance"))
+    scored = _each_block(vectors.select("chunk_id", "vec"), queries.select("query_id", "vec"), _dense, _distance, k, None, False)
+    return _top(scored.select("query_id", "chunk_id", (-F.col("score")).alias("distance")), ["query_id"], k, F.asc("distance"))
 
 
-def centroids(vectors: DataFrame, lists: int, sample: int = 20_000, rounds: int = 8, seed: int = 42) -> np.ndarray:
-    """Spherical k-means on at most about `sample` vectors, chosen by the hash of their ids."""
+def centroids(vectors: DataFrame, lists: int | None = None, sample: int = 20_000, rounds: int = 8, seed: int = 42, k: int = 10, recall: float = 0.97) -> tuple[np.ndarray, int]:
+    """Spherical k-means on at most about `sample` vectors, chosen by the hash of their ids, and the number of nearest lists that holds
+    the share `recall` of the k nearest neighbours of sampled vectors. lists: the square root of all vectors, up to 4096."""
     total = vectors.count()
-    some = vectors if total <= sample else vectors.where(F.pmod(F.xxhash64("chunk_id"), F.lit(1_000_000)) < int(1_000_000 * sample / total))
+    some = vectors if total <= sample else vectors.where(F.pmod(F.xxhash64("chunk_id"), F.lit(1 << 30)) < int((1 << 30) * sample / total))
     x = np.array([r["vec"] for r in some.orderBy("chunk_id").select("vec").collect()], dtype=np.float32)
     rng = np.random.default_rng(seed)
-    centre = x[rng.choice(len(x), min(lists, len(x)), replace=False)]
+    centre = x[rng.choice(len(x), min(lists or max(1, min(4096, round(total**0.5))), len(x)), replace=False)]
     for _ in range(rounds):
         near = (x @ centre.T).argmax(1)
         for c in range(len(centre)):
             if (mine := near == c).any():
                 mean = x[mine].sum(0)
                 centre[c] = mean / max(np.linalg.norm(mean), 1e-9)
-    return centre
+    asked = x[rng.choice(len(x), min(400, len(x)), replace=False)]
+    found = np.argsort(-(asked @ x.T), axis=1)[:, :k]  # itself included, as where queries are indexed
+    order = np.argsort(np.argsort(-(asked @ centre.T), axis=1), axis=1)
+    need = np.take_along_axis(order, (x @ centre.T).argmax(1)[found], axis=1) + 1
+    return centre, int(np.sort(need, axis=None)[min(need.size - 1, int(recall * need.size))])
 
 
-def ann_search(vectors: DataFrame, queries: DataFrame, k: int, lists: int = 32, probes: int = 16) -> DataFrame:
+def ann_search(vectors: DataFrame, queries: DataFrame, k: int, lists: int | None = None, probes: int | None = None, piece: int = 50_000) -> DataFrame:
     """Approximate cosine top k: each vector is in the list of its nearest centroid, and a query is compared with the vectors
-    of its `probes` nearest lists. Lists hold all their vectors; a join by list deals them out."""
-    centre = centroids(vectors, lists)
+    of its `probes` nearest lists, by default as many as reach a recall of 0.97 on the sample. Lists hold all their vectors; a join by
+    list deals them out, and a list of over `piece` vectors in pieces, each of which meets the list's queries."""
+    centre, enough = centroids(vectors, lists, k=k)
+    probes = probes or enough
     shared = vectors.sparkSession.sparkContext.broadcast(centre)
 
     def listed(n: int):
@@ -70,8 +160,12 @@ def ann_search(vectors: DataFrame, queries: DataFrame, k: int, lists: int = 32,
         return df.mapInArrow(listed(n), schema).withColumn("list", F.explode("lists")).drop("lists")
 
     q = dealt(queries.select("query_id", "vec"), min(probes, len(centre))).withColumnRenamed("vec", "qvec")
-    pairs = dealt(vectors.select("kb_id", "chunk_id", "vec"), 1).join(q, "list")
-    scored = pairs.select("query_id", "chunk_id", F.round(dot(F.col("vec"), F.col("qvec")), 6).alias("score"))
+    all_ = dealt(vectors.select("kb_id", "chunk_id", "vec"), 1)
+    sizes = {r["list"]: -(-r["n"] // piece) for r in all_.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a list
+    pieces = F.get(F.lit([sizes.get(c, 1) for c in range(len(centre))]), F.col("list"))
+    all_ = all_.withColumn("piece", F.pmod(F.xxhash64("chunk_id"), pieces))
+    q = q.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), pieces.cast("long") - 1)))
+    scored = all_.join(q, ["list", "piece"]).select("query_id", "chunk_id", F.round(dot(F.col("vec"), F.col("qvec")), 6).alias("score"))
     return _top(scored.where("score > 0"), ["query_id"], k, F.desc("score"))
 
 
@@ -84,10 +178,35 @@ def hash_embed(texts: DataFrame) -> DataFrame:
     return slots.select("kb_id", "chunk_id", "slot", F.when(norm == 0, F.col("raw")).otherwise(F.col("raw") / norm).alias("value"))
 
 
+def _packed(rows: list[dict]) -> np.ndarray:
+    out = np.zeros((len(rows), DIM))
+    for k, r in enumerate(rows):
+        out[k, [p["slot"] for p in r["parts"]]] = [p["value"] for p in r["parts"]]
+    return out
+
+
 def sparse_search(texts: DataFrame, queries: DataFrame, k: int, min_score: float = 0.0) -> DataFrame:
-    """Cosine top k per query and kb between hashed embeddings, by an equi-join on slots instead of dense products."""
-    docs = hash_embed(texts)
+    """Cosine top k per query and kb between hashed embeddings. A text's slots, 512 at most, are packed to a row where its norm was
+    computed, and rows meet the queries in matrix products."""
+    parts = F.collect_list(F.struct("slot", "value")).alias("parts")
+    docs = hash_embed(texts).groupBy("kb_id", "chunk_id").agg(parts)
     q = hash_embed(queries.select(F.lit(0).alias("kb_id"), F.col("query_id").alias("chunk_id"), F.col("query").alias("content")))
-    q = q.select(F.col("chunk_id").alias("query_id"), "slot", F.col("value").alias("qvalue"))
-    scored = docs.join(q, "slot").groupBy("query_id", "kb_id", "chunk_id").agg(F.round(F.sum(F.col("value") * F.col("qvalue")), 6).alias("score"))
-    return _top(scored.where((F.col("score") > 0) & (F.col("score") >= min_score)), ["query_id", "kb_id"], k, F.desc("score"))
+    q = q.groupBy(F.col("chunk_id").alias("query_id")).agg(parts)
+    scored = _each_block(docs, q, _packed, lambda x, y, some: np.round(x @ y[some].T, 6), k, min_score, True)
+    return _top(scored, ["query_id", "kb_id"], k, F.desc("score"))
+
+
+def embed(texts: DataFrame, model: Callable[[list[str]], list], batch: int = 16) -> DataFrame:
+    """(kb_id, chunk_id, vec) of texts (kb_id, chunk_id, content): unit vectors by a model that takes a list of texts, `batch` at a time.
+    A model that fails fails the task, which Spark tries again."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for got in batches:
+            some = [t or "" for t in got.column(2).to_pylist()]
+            made = [v for at in range(0, len(some), batch) for v in model(some[at : at + batch])]
+            unit = [(x / max(np.linalg.norm(x), 1e-300)).tolist() if (x := np.asarray(v, float)).any() else x.tolist() for v in made]
+            yield pa.RecordBatch.from_arrays([*got.columns[:2], pa.array(unit, pa.list_(pa.float64()))], ["kb_id", "chunk_id", "vec"])
+
+    some = texts.select("kb_id", "chunk_id", "content")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in some.schema.fields[:2])
+    return some.mapInArrow(each, f"{kinds}, vec array<double>")

@@ -47,8 +47,8 @@ def relation_dedup(spark, sf):
 
 
 def entity_provenance(spark, sf):
-    found = graph.provenance(c.entities(spark, sf).where("entity_id <= 100").drop("kb_id"), c.entity_chunk(spark, sf), c.chunks(spark, sf))
-    return found.select("entity_id", "name", "chunk_id", F.substring("content", 1, 40).alias("preview"))
+    found = graph.provenance(c.entities(spark, sf).drop("kb_id"), c.entity_chunk(spark, sf), c.chunks(spark, sf))
+    return found.select("entity_id", "name", "chunk_id", "content")
 
 
 def entity_match(spark, sf):
@@ -105,7 +105,7 @@ def graph_from_json(spark, sf):
     return a.unionByName(relations.select("batch_id", F.lit("relation").alias("kind"), F.col("source").alias("name"), "target"))
 
 
-_EDGES = "few as (select * from relations where relation_id % 97 = 0), ends as (select source_id as node, target_id as other from few union select target_id, source_id from few)"
+_EDGES = "few as (select * from relations), ends as (select source_id as node, target_id as other from few union select target_id, source_id from few)"
 _NATIONS = """nations as (
   select n_nationkey::bigint as entity_id, n_name as name from nation union all select n_nationkey + 100, n_name || 'S' from nation union all select n_nationkey + 200, n_name from nation)"""
 SQL = {
@@ -124,7 +124,7 @@ SQL = {
         select relation_id, source_key, target_key, relation_type from k
         qualify row_number() over (partition by least(source_key, target_key), greatest(source_key, target_key) order by kb, relation_id) = 1""",
     "relation_dedup": f"with {RELATIONS} select relation_id, source_id, target_id, relation_type from relations where source_id <> target_id qualify row_number() over (partition by source_id, target_id, relation_type order by relation_id) = 1",
-    "entity_provenance": f"with {ENTITIES}, {ENTITY_CHUNK} select e.entity_id, e.name, k.chunk_id, substr(d.text, 1, 40) as preview from entities e join entity_chunk k using (entity_id) join documents d on d.doc_id = k.chunk_id where e.entity_id <= 100",
+    "entity_provenance": f"with {ENTITIES}, {ENTITY_CHUNK} select e.entity_id, e.name, k.chunk_id, d.text as content from entities e join entity_chunk k using (entity_id) join documents d on d.doc_id = k.chunk_id",
     "entity_match": rf"""with {ENTITIES}, q as (select * from (values (1::bigint, '{ASKED[0][1]}'), (2::bigint, '{ASKED[1][1]}')) v(query_id, query)),
           p as (select query_id, query, regexp_replace(query, '[\s[:punct:]]+', '', 'g') as plain from q),
           g as (select distinct query_id, unnest(list_concat(list_transform(regexp_extract_all(query, '[a-zA-Z0-9]+'), lambda x: 'w' || lower(x)), list_transform(range(1, length(plain)), lambda i: substr(plain, i, 2)))) as gram from p),

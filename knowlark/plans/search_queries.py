@@ -48,11 +48,12 @@ def tokenize(spark, sf):
 
 
 def _keyword_pairs(spark, sf):
-    return c.chunks(spark, sf).select("chunk_id", "content").join(F.broadcast(one_query(spark)))
+    """One query beside every chunk."""
+    return c.chunks(spark, sf).select(F.lit(1).cast("long").alias("query_id"), F.lit(FIXED_QUERY).alias("query"), "chunk_id", "content")
 
 
-def keyword_scores(spark, sf):
-    return fusion.keyword_scored(_keyword_pairs(spark, sf)).select("chunk_id", F.round("keyword_score", 6).alias("score"))
+def keyword_score(spark, sf):
+    return fusion.keyword_scored(_keyword_pairs(spark, sf)).select("chunk_id", fusion.settled(F.col("keyword_score")).alias("score"))
 
 
 def vector_topk(spark, sf):
@@ -92,7 +93,7 @@ def _sides(spark, sf):
 
 def rrf_fusion(spark, sf):
     vec, key = _sides(spark, sf)
-    return fusion.rrf(vec, key, 0.1).select("query_id", "chunk_id", F.round("score", 9).alias("score"), "source")
+    return fusion.rrf(vec, key, 0.1).select("query_id", "chunk_id", fusion.settled(F.col("score")).alias("score"), "source")
 
 
 def minmax_norm(spark, sf):
@@ -104,7 +105,7 @@ def score_distribution(spark, sf):
 
 
 def hybrid_rerank(spark, sf):
-    hits = _keyword_pairs(spark, sf).withColumn("query_id", F.lit(1).cast("long")).withColumn("score", (F.col("chunk_id") % 7 - 2) / 10.0)
+    hits = _keyword_pairs(spark, sf).withColumn("score", (F.col("chunk_id") % 7 - 2) / 10.0)
     return fusion.hybrid_rerank(hits, 20).select("chunk_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
@@ -114,7 +115,7 @@ def hybrid_retrieve(spark, sf):
 
 def retrieve_stages(spark, sf):
     found = retrieve.stages(c.chunks(spark, sf), c.queries(spark, sf))
-    out = [found[s].select("query_id", F.lit(s).alias("stage"), "chunk_id", F.round("score", 6).alias("score"), "source") for s in ("vector", "keyword", "fused", "reranked")]
+    out = [found[s].select("query_id", F.lit(s).alias("stage"), "chunk_id", fusion.settled(F.col("score")).alias("score"), "source") for s in ("vector", "keyword", "fused", "reranked")]
     return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
 
 
@@ -151,7 +152,7 @@ _STAGES = f"""with {CHUNKS}, {QUERIES}, {SIZED}, {BM25},
     select query_id, chunk_id, sum(part) as score, case when count(distinct side) > 1 then 'both' else min(side) end as source from parts group by all),
   {_KW}, kws as ({_KWS}),
   rescored as (
-    select f.query_id, f.chunk_id, round(0.65 * greatest(f.score, 0) + 0.35 * coalesce(kw, 0), 6) as score, source
+    select f.query_id, f.chunk_id, round(0.65 * greatest(f.score, 0) + 0.35 * coalesce(kw, 0) + 1e-11, 9) as score, source
     from fused f left join kws using (query_id, chunk_id)),
   reranked as (select *, {_TOP.format("query_id")} as rank from rescored qualify rank <= 8)"""
 
@@ -171,7 +172,7 @@ SQL = {
             case when i < length(han) and substr(han, i, 2) not in ({", ".join(f"'{b}'" for b in STOP_BIGRAMS)}) then 'c2' || substr(han, i, 2) end,
             case when i + 1 < length(han) then 'c3' || substr(han, i, 3) end])), lambda t: t is not null))), ' ') as tokens from h""",
     "keyword_score": f"""with {CHUNKS}, {_Q1}, {SIZED}, {_KW}, k as ({_KWS})
-        select c.chunk_id, round(coalesce(kw, 0), 6) as score from chunks c left join k using (chunk_id)""",
+        select c.chunk_id, round(coalesce(kw, 0) + 1e-11, 9) as score from chunks c left join k using (chunk_id)""",
     "vector_topk": f"""with {VECTORS}, {QUERY_VECTORS}, s as (
           select query_id, chunk_id, round(list_sum(list_transform(list_zip(vec, q), lambda p: p[1] * p[2])), 6) as score from vectors, qvec)
         select query_id, chunk_id, score, {_TOP.format("query_id")} as rank from s where score > 0 qualify rank <= 10""",
@@ -186,7 +187,7 @@ SQL = {
         select chunk_id, i - 1 as i, round(t[i] / s, 6) as x from (select chunk_id, t, s, unnest(range(1, len(t) + 1)) as i from n)""",
     "hash_embed": f"with {CHUNKS}, {SIZED}, {EMBED.format(name='e', source='sized')} select chunk_id, slot, round(value, 6) as value from e",
     "hash_embed_sim": f"{_STAGES} select query_id, kb_id, chunk_id, score, {_TOP.format('query_id, kb_id')} as rank from sim qualify rank <= 10",
-    "rrf_fusion": f"{_STAGES} select query_id, chunk_id, round(score, 9) as score, source from fused",
+    "rrf_fusion": f"{_STAGES} select query_id, chunk_id, round(score + 1e-11, 9) as score, source from fused",
     "minmax_norm": f"""{_STAGES}, w as (select *, min(score) over p as low, max(score) over p as high, count(*) over p as n from vec window p as (partition by query_id))
         select query_id, chunk_id, round(case when n < 2 or high - low < 1e-9 then score else (score - low) / (high - low) end, 6) as score from w""",
     "score_distribution": f"""{_STAGES}, a as (
@@ -196,14 +197,14 @@ SQL = {
                floor(md * 10000 + 0.5) / 10000 as p50_score, floor(greatest(0, floor(av * 20 + 0.5) / 20) * 10000 + 0.5) / 10000 as band_low,
                floor(least(1, floor((md + (hi - md) * 0.3) * 20 + 0.5) / 20) * 10000 + 0.5) / 10000 as band_high from b""",
     "hybrid_rerank": f"""with {CHUNKS}, {_Q1}, {SIZED}, {_KW}, k as ({_KWS}),
-          s as (select c.chunk_id, round(0.65 * greatest((c.chunk_id % 7 - 2) / 10.0, 0) + 0.35 * coalesce(kw, 0), 6) as score from chunks c left join k using (chunk_id))
+          s as (select c.chunk_id, round(0.65 * greatest((c.chunk_id % 7 - 2) / 10.0, 0) + 0.35 * coalesce(kw, 0) + 1e-11, 9) as score from chunks c left join k using (chunk_id))
         select chunk_id, score, row_number() over (order by score desc, chunk_id) as rank from s qualify rank <= 20""",
     "hybrid_retrieve": f"{_STAGES} select query_id, chunk_id, score, source, rank from reranked",
     "retrieve_stages": f"""{_STAGES}
-        select query_id, 'vector' as stage, chunk_id, round(score, 6) as score, 'vector' as source from vec
-        union all select query_id, 'keyword', chunk_id, round(score, 6), 'keyword' from kwd
-        union all select query_id, 'fused', chunk_id, round(score, 6), source from fused
-        union all select query_id, 'reranked', chunk_id, round(score, 6), source from reranked""",
+        select query_id, 'vector' as stage, chunk_id, round(score + 1e-11, 9) as score, 'vector' as source from vec
+        union all select query_id, 'keyword', chunk_id, round(score + 1e-11, 9), 'keyword' from kwd
+        union all select query_id, 'fused', chunk_id, round(score + 1e-11, 9), source from fused
+        union all select query_id, 'reranked', chunk_id, round(score + 1e-11, 9), source from reranked""",
     "hit_at_k": f"""{_STAGES}, expected as (
           select q.query_id, min(d.doc_id) as doc_id from queries q join documents d on contains(d.text, substr(q.query, 1, 60)) group by 1),
           hit as (select distinct query_id from reranked r join expected e using (query_id) where r.chunk_id = e.doc_id)
@@ -213,7 +214,7 @@ SQL = {
 
 QUERIES_OF = {
     "bm25_search": bm25_search, "bm25_batch": bm25_batch, "bm25_stats": bm25_stats, "doc_freq": doc_freq, "term_freq": term_freq, "tokenize": tokenize,
-    "keyword_score": keyword_scores, "vector_topk": vector_topk, "vector_retrieve": vector_retrieve, "l2_topk": l2_topk, "l2_normalize": l2_norm, "ann_topk": ann_topk,
+    "keyword_score": keyword_score, "vector_topk": vector_topk, "vector_retrieve": vector_retrieve, "l2_topk": l2_topk, "l2_normalize": l2_norm, "ann_topk": ann_topk,
     "hash_embed": hash_embed, "hash_embed_sim": hash_embed_sim, "rrf_fusion": rrf_fusion, "minmax_norm": minmax_norm, "score_distribution": score_distribution,
     "hybrid_rerank": hybrid_rerank, "hybrid_retrieve": hybrid_retrieve, "retrieve_stages": retrieve_stages, "hit_at_k": hit_at_k,
 }

@@ -36,8 +36,8 @@ def garbage_ratio(spark, sf):
 
 
 def lev_similarity(spark, sf):
-    """Neighbouring suppliers' names and parts' names."""
-    p = c.table(spark, sf, "part").where("p_partkey <= 2000").select("p_partkey", F.col("p_name").alias("a"), F.col("p_type").alias("b"))
+    """A part's name beside its type."""
+    p = c.table(spark, sf, "part").select("p_partkey", F.col("p_name").alias("a"), F.col("p_type").alias("b"))
     return p.select("p_partkey", F.round(t.levenshtein_similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
 
 
@@ -172,8 +172,8 @@ def system_info(spark, sf):
 
 
 def _with_meta(spark, sf):
-    meta = F.when(F.col("doc_id") % 3 == 0, F.to_json(F.struct(F.concat(F.lit("file"), F.col("doc_id").cast("string")).alias("fileName"), F.substring("text", 1, 20).alias("parent")))).otherwise("{}")
-    return c.table(spark, sf, "documents").select("doc_id", F.col("doc_id").alias("chunk_id"), F.substring("text", 1, 10).alias("content"), meta.alias("meta"))
+    meta = F.when(F.col("doc_id") % 3 == 0, F.to_json(F.struct(F.concat(F.lit("file"), F.col("doc_id").cast("string")).alias("fileName"), F.concat(F.lit("all of "), "text").alias("parent")))).otherwise("{}")
+    return c.table(spark, sf, "documents").select("doc_id", F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), meta.alias("meta"))
 
 
 def parent_expand(spark, sf):
@@ -194,7 +194,7 @@ def conversation_export(spark, sf):
 
 
 def _cited(spark, sf):
-    d = c.table(spark, sf, "documents").where("doc_id < 200")
+    d = c.table(spark, sf, "documents")
     return d.select(
         F.floor(F.col("doc_id") / 5).cast("long").alias("query_id"), (F.col("doc_id") % 5 + 1).cast("int").alias("rank"), F.col("doc_id").alias("chunk_id"),
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("doc_name"), F.lit(2).alias("position"), F.when(F.col("doc_id") % 2 == 0, "graph").otherwise("vector").alias("source"), F.col("text").alias("content"), F.lit("why?").alias("query"),
@@ -202,17 +202,17 @@ def _cited(spark, sf):
 
 
 def build_context(spark, sf):
-    return chat.build_context(_cited(spark, sf).withColumn("content", F.substring("content", 1, 50)))
+    return chat.build_context(_cited(spark, sf))
 
 
 def citations(spark, sf):
-    answers = spark.range(0, 40).select(F.col("id").alias("query_id"), F.lit("As [2] and [9] say [abc] [1], [2] [0] [99999999999] [5].").alias("answer"))
+    answers = _cited(spark, sf).select("query_id").distinct().select("query_id", F.lit("As [2] and [9] say [abc] [1], [2] [0] [99999999999] [5].").alias("answer"))
     return chat.citations(answers, _cited(spark, sf)).select("query_id", F.col("ord").cast("long").alias("ord"), F.col("cited").cast("long").alias("cited"), "chunk_id", "doc_name", "preview")
 
 
 def contextual_parse(spark, sf):
     answers = c.table(spark, sf, "conversations").where("turn < 2").select(
-        F.col("conv_id").alias("batch_id"), F.concat(F.lit("x\n 1: "), F.substring("text", 1, 8), F.lit("\n2： head two \nnoise")).alias("answer"), "turn"
+        F.col("conv_id").alias("batch_id"), F.concat(F.lit("x\n 1: "), F.regexp_replace("text", r"\s+", " "), F.lit("\n2： head two \nnoise")).alias("answer"), "turn"
     )
     return chat.contextual_headers(answers.where("turn = 0").drop("turn")).select("batch_id", F.col("number").cast("long").alias("number"), "head")
 
@@ -252,7 +252,7 @@ _FIXED = """
   pieces as (select doc_id, k, regexp_replace(substr(text, s + 1, e - s), '^[\\x00-\\x20]+|[\\x00-\\x20]+$', '', 'g') as content from cuts)"""
 _CITED = """cited as (
   select cast(floor(doc_id / 5) as bigint) as query_id, doc_id % 5 + 1 as rank, doc_id as chunk_id, 'd' || doc_id as doc_name,
-         case when doc_id % 2 = 0 then 'graph' else 'vector' end as source, text as content, (doc_id % 7) / 10.0 as score from documents where doc_id < 200)"""
+         case when doc_id % 2 = 0 then 'graph' else 'vector' end as source, text as content, (doc_id % 7) / 10.0 as score from documents)"""
 SQL = {
     "file_ext": f"with {NAMED} select id, lower(regexp_extract(name, '\\.([^.]*)$', 1)) as ext from names",
     "parser_dispatch": f"""with {NAMED}, e as (select id, lower(regexp_extract(name, '\\.([^.]*)$', 1)) as x from names)
@@ -261,7 +261,7 @@ SQL = {
     "media_filter": f"""with {NAMED}, e as (select id, lower(regexp_extract(name, '\\.([^.]*)$', 1)) as x from names)
         select id, case when x in ('png', 'jpg', 'jpeg', 'gif', 'bmp', 'webp', 'svg', 'ico', 'tiff') then 'image' when x in ('mp4', 'mov', 'avi', 'mkv', 'webm', 'flv', 'wmv', 'm4v', 'ts') then 'video' else 'other' end as kind from e""",
     "garbage_ratio": r"select doc_id, round(length(regexp_replace(substr(text, 1, 4000), '[^\x00-\x08\x0b\x0c\x0e-\x1f\x{fffd}]', '', 'g')) / least(length(text), 4000), 6) as ratio from documents",
-    "lev_similarity": "select p_partkey, round(case when p_name = p_type then 1 else 1 - levenshtein(p_name, p_type) / greatest(length(p_name), length(p_type)) end, 6) as similarity from part where p_partkey <= 2000",
+    "lev_similarity": "select p_partkey, round(case when p_name = p_type then 1 else 1 - levenshtein(p_name, p_type) / greatest(length(p_name), length(p_type)) end, 6) as similarity from part",
     "normalize_name": r"select c_custkey, lower(regexp_replace(c_name || ' - ' || c_mktsegment, '[\s[:punct:]]+', '', 'g')) as name from customer",
     "safe_file_name": r"""select page_id, regexp_replace(url, '[\\/:*?"<>|\s]+', '_', 'g') as file from pages""",
     "mask_secret": "select c_custkey, case when length(s) <= 8 then '****' else left(s, 4) || '****' || right(s, 4) end as masked from (select c_custkey, c_mktsegment || case when c_custkey % 2 = 0 then c_name else '' end as s from customer)",
@@ -286,18 +286,18 @@ SQL = {
     "kb_counts": f"with {c.CHUNKS} select kb_id, count(*) as n_chunks, count(distinct doc_id) as n_docs from chunks group by 1",
     "kb_view": "select n_nationkey, n_name as name, r_name as category, (select count(*) from customer where c_nationkey = n_nationkey) as n_documents from nation left join region on n_regionkey = r_regionkey",
     "system_info": "select 'documents' as name, count(*) as n from documents union all select 'conversations', count(*) from conversations union all select 'embeddings', count(*) from embeddings union all select 'pages', count(*) from pages",
-    "parent_expand": "select doc_id as chunk_id, substr(text, 1, case when doc_id % 3 = 0 then 20 else 10 end) as content from documents",
+    "parent_expand": "select doc_id as chunk_id, case when doc_id % 3 = 0 then 'all of ' || text else text end as content from documents",
     "doc_name_resolve": "select doc_id as chunk_id, case when doc_id % 3 = 0 then 'file' || doc_id when doc_id % 2 = 0 then 'doc-' || doc_id || '.txt' else '文档' || doc_id end as doc_name from documents",
     "history_tail": "select conv_id, turn, role, text from conversations qualify row_number() over (partition by conv_id order by turn desc) <= 3",
     "conversation_export": r"select conv_id, string_agg('## ' || case role when 'user' then '用户' when 'assistant' then '助手' else role end || E'\n\n' || text, E'\n\n' order by turn) as content from conversations group by 1",
-    "build_context": rf"""with {_CITED} select query_id, string_agg('[' || rank || '] 来源：' || doc_name || '（第3段）' || case source when 'graph' then '【图谱召回】' else '' end || E'\n' || substr(content, 1, 50), E'\n\n' order by rank) || E'\n\n【问题】why?' as context from cited group by 1""",
+    "build_context": rf"""with {_CITED} select query_id, string_agg('[' || rank || '] 来源：' || doc_name || '（第3段）' || case source when 'graph' then '【图谱召回】' else '' end || E'\n' || content, E'\n\n' order by rank) || E'\n\n【问题】why?' as context from cited group by 1""",
     "citations": f"with {_CITED} select query_id, case rank when 2 then 1 when 1 then 2 else 3 end::bigint as ord, rank as cited, chunk_id, doc_name, substr(content, 1, 200) as preview from cited where rank in (1, 2, 5)",
-    "contextual_parse": r"select conv_id as batch_id, 1::bigint as number, trim(regexp_extract(' 1: ' || substr(text, 1, 8), '^\s*(\d+)[:：]\s*(.+)$', 2)) as head from conversations where turn = 0 union all select conv_id, 2::bigint, 'head two' from conversations where turn = 0",
+    "contextual_parse": r"select conv_id as batch_id, 1::bigint as number, trim(regexp_replace(text, '\s+', ' ', 'g')) as head from conversations where turn = 0 union all select conv_id, 2::bigint, 'head two' from conversations where turn = 0",
     "rerank_llm": f"""with {_CITED}, r as (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rk from cited),
-          s as (select query_id, chunk_id, round(case when query_id % 2 = 0 then [1, 9, 5, 3, 7][rk] / 10 else 0.65 * score + 0.35 * case when regexp_matches(content, '(?i)(^|[^a-z0-9])why([^a-z0-9]|$)') then 1 else 0 end end, 6) as score from r)
+          s as (select query_id, chunk_id, round(case when query_id % 2 = 0 then [1, 9, 5, 3, 7][rk] / 10 else 0.65 * score + 0.35 * case when regexp_matches(content, '(?i)(^|[^a-z0-9])why([^a-z0-9]|$)') then 1 else 0 end end + 1e-11, 9) as score from r)
         select query_id, chunk_id, score, row_number() over (partition by query_id order by score desc, chunk_id) as rank from s qualify rank <= 3""",
     "rerank_api": f"""with {_CITED}, r as (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rk from cited),
-          s as (select query_id, chunk_id, round(case when query_id % 2 = 0 then case rk when 5 then 0.9 else 0.4 end else 0.65 * score + 0.35 * case when regexp_matches(content, '(?i)(^|[^a-z0-9])why([^a-z0-9]|$)') then 1 else 0 end end, 6) as score,
+          s as (select query_id, chunk_id, round(case when query_id % 2 = 0 then case rk when 5 then 0.9 else 0.4 end else 0.65 * score + 0.35 * case when regexp_matches(content, '(?i)(^|[^a-z0-9])why([^a-z0-9]|$)') then 1 else 0 end end + 1e-11, 9) as score,
                        case when query_id % 2 = 0 then 'rerank' else source end as source from r where query_id % 2 = 1 or rk in (1, 5))
         select query_id, chunk_id, score, source, row_number() over (partition by query_id order by score desc, chunk_id) as rank from s qualify rank <= 3""",
     "extract_batches": f"with {c.CHUNKS} select kb_id, cast(floor((row_number() over (partition by kb_id order by doc_id, chunk_id) - 1) / 4) as bigint) as batch_id, chunk_id from chunks",

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from knowlark.functions import text as t
 from knowlark.functions.vectors import token_hash
 from knowlark.operators import chat, chunk, fusion, graph, lexical, retrieve, vector
+from knowlark.plans import search_queries as registered
 from knowlark.settings import Settings, check_knowledge_base
 from knowlark.sources import files
 from knowlark.streaming import ingest
+from tests.conftest import SF
 
 
 def one(spark, value, make):
@@ -85,10 +87,41 @@ def test_ann_recall(spark):
     x = rng.normal(size=(3000, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     vectors = spark.createDataFrame([(0, k, v.tolist()) for k, v in enumerate(x)], "kb_id long, chunk_id long, vec array<float>")
-    queries = vectors.where("chunk_id < 20").select(F.col("chunk_id").alias("query_id"), "vec")
+    queries = vectors.where("chunk_id < 50").select(F.col("chunk_id").alias("query_id"), "vec")
     exact = {(r["query_id"], r["chunk_id"]) for r in vector.search(vectors, queries, 10).collect()}
-    near = {(r["query_id"], r["chunk_id"]) for r in vector.ann_search(vectors, queries, 10, lists=32, probes=24).collect()}
+    near = {(r["query_id"], r["chunk_id"]) for r in vector.ann_search(vectors, queries, 10).collect()}
     assert len(exact & near) / len(exact) >= 0.95
+    pieces = {(r["query_id"], r["chunk_id"]) for r in vector.ann_search(vectors, queries, 10, piece=9).collect()}
+    assert pieces == near
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_ann_recall_registered(spark, sf):
+    """The registered query with its own parameters, on the tables that it is run on."""
+    folder = SF.replace("sf0.001", sf)
+    exact = {(r["query_id"], r["chunk_id"]) for r in registered.vector_topk(spark, folder).collect()}
+    near = {(r["query_id"], r["chunk_id"]) for r in registered.ann_topk(spark, folder).collect()}
+    assert len(exact & near) / len(exact) >= 0.95
+
+
+def test_search_by_blocks(spark, monkeypatch):
+    """Blocks of queries, ties and vectors of another length, against a plain loop."""
+    rng = np.random.default_rng(3)
+    x = [v.tolist() for v in rng.integers(-2, 3, (90, 3)).astype(float)] + [[1.0, 2.0], None]
+    vectors = spark.createDataFrame([(k % 2, k, v) for k, v in enumerate(x)], "kb_id long, chunk_id long, vec array<double>").repartition(3)
+    queries = vectors.where("chunk_id < 7").select(F.col("chunk_id").alias("query_id"), "vec")
+    want = []
+    for q in range(7):
+        for kb in (0, 1):
+            scores = sorted(((-float(np.dot(x[q], v)), k) for k, v in enumerate(x[:90]) if k % 2 == kb and np.dot(x[q], v) > 0))[:4]
+            want += [(q, kb, k, -s, n) for n, (s, k) in enumerate(scores, 1)]
+    for width in (2048, 2):
+        monkeypatch.setattr(vector.blocks, "__defaults__", (width,))
+        got = vector.search(vectors, queries, 4).select("query_id", "kb_id", "chunk_id", "score", "rank").collect()
+        assert sorted(map(tuple, got)) == sorted(want)
+    with pytest.raises(Exception, match="not of 3 dimensions"):
+        vector.check_dimension(vectors, 3).collect()
+    assert vector.search(vectors, queries.limit(0), 4).count() == 0
 
 
 def test_graph_resolve(spark):
