@@ -33,13 +33,13 @@ def token_hash(token: Column) -> Column:
     return F.aggregate(F.split(token, ""), F.lit(0).cast("long"), lambda a, c: F.pmod(a * 31 + F.ascii(c), F.lit(1 << 32)))
 
 
-def token_weight(token: Column) -> Column:
-    """Signed weight of a token in the embedding: by kind and length, negative if the signed hash is."""
+def token_weight(token: Column, hashed: Column) -> Column:
+    """Signed weight of a token in the embedding, by kind and length; negative if its signed hash is."""
+    word = F.least(F.lit(2.5), 0.8 + (F.length(token) - 1) * 0.25)
     kind = F.substring(token, 1, 2)
-    size = F.when(kind == "c1", 0.6).when(kind == "c2", 1.0).when(kind == "c3", 1.5).otherwise(F.least(F.lit(2.5), 0.8 + (F.length(token) - 1) * 0.25))
-    size = F.when(F.substring(token, 1, 1) == "c", size).otherwise(F.least(F.lit(2.5), 0.8 + (F.length(token) - 1) * 0.25))
-    return F.when(token_hash(token) >= (1 << 31), -size).otherwise(size)
+    size = F.when(F.substring(token, 1, 1) != "c", word).when(kind == "c1", 0.6).when(kind == "c2", 1.0).when(kind == "c3", 1.5).otherwise(word)
+    return F.when(hashed >= (1 << 31), -size).otherwise(size)
 
 
-def token_slot(token: Column) -> Column:
-    return F.pmod(token_hash(token), F.lit(DIM)).cast("int")
+def token_slot(hashed: Column) -> Column:
+    return F.pmod(hashed, F.lit(DIM)).cast("int")

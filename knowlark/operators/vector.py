@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from knowlark.functions.text import tokens
-from knowlark.functions.vectors import DIM, dot, token_slot, token_weight
+from knowlark.functions.vectors import DIM, dot, token_hash, token_slot, token_weight
 
 
 #: Queries to a matrix, and numbers that one step of a distance may hold.
@@ -29,12 +29,13 @@ def check_dimension(vectors: DataFrame, size: int) -> DataFrame:
     return vectors.withColumn("vec", F.when(F.size("vec") == size, F.col("vec")).otherwise(F.raise_error(told).cast(vectors.schema["vec"].dataType)))
 
 
-def blocks(queries: DataFrame, width: int = QUERIES) -> Iterator[list]:
+def blocks(queries: DataFrame, width: int = QUERIES) -> Iterator[pa.Table]:
     """The rows of queries, about `width` at a time: the driver and the broadcast hold one block, however many queries there are."""
     count = max(1, -(-queries.count() // width))
     for b in range(count):
-        if rows := queries.where(F.pmod(F.xxhash64("query_id"), F.lit(count)) == b).collect():
-            yield rows
+        rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(count)) == b).toArrow()
+        if rows.num_rows:
+            yield rows.combine_chunks()
 
 
 def _best(score: np.ndarray, chunk: np.ndarray, k: int) -> np.ndarray:
@@ -53,12 +54,12 @@ def _each_block(vectors: DataFrame, queries: DataFrame, pack: Callable, score: C
     names = (["kb_id"] if kb else []) + ["query_id", "chunk_id", "score"]
     schema = (f"kb_id {vectors.schema['kb_id'].dataType.simpleString()}, " if kb else "") + f"query_id {key[1]}, chunk_id {key[0]}, score double"
     for rows in blocks(queries):
-        shared = spark.sparkContext.broadcast(([r["query_id"] for r in rows], pack([r.asDict() for r in rows])))
+        shared = spark.sparkContext.broadcast((rows.column("query_id").to_pylist(), pack(rows.to_batches()[0])))
 
         def each(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, asked = shared.value
             for batch in batches:
-                made = pack(batch.to_pylist())
+                made = pack(batch)
                 chunk = np.array(batch.column("chunk_id").to_pylist())
                 group = np.array(batch.column("kb_id").to_pylist()) if kb else np.zeros(len(chunk), int)
                 parts = [np.flatnonzero(group == g) for g in dict.fromkeys(group.tolist())]
@@ -81,12 +82,20 @@ def _each_block(vectors: DataFrame, queries: DataFrame, pack: Callable, score: C
     return spark.createDataFrame([], schema) if out is None else out
 
 
-def _dense(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Of an array of lists: each row's length, each value's row, and the values. A null list is empty."""
+    sizes = np.array(column.value_lengths().fill_null(0))
+    return sizes, np.repeat(np.arange(len(sizes)), sizes), column.flatten()
+
+
+def _dense(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """Vectors of one length as a matrix, and which rows have that length; the others score nothing."""
-    sizes = [len(r["vec"] or ()) for r in rows]
-    width = max(sizes, default=0)
-    good = np.array([n == width for n in sizes], bool)
-    return np.array([r["vec"] if n == width else [0.0] * width for r, n in zip(rows, sizes, strict=True)], dtype=float).reshape(len(rows), width), good
+    sizes, row, values = _lists(batch.column("vec"))
+    width = int(sizes.max(initial=0))
+    good = sizes == width
+    out = np.zeros((len(sizes), width))
+    out[good] = np.asarray(values, dtype=float)[good[row]].reshape(-1, width)
+    return out, good
 
 
 def _cosine(vectors: tuple, queries: tuple, some: slice) -> np.ndarray:
@@ -172,16 +181,17 @@ def ann_search(vectors: DataFrame, queries: DataFrame, k: int, lists: int | None
 def hash_embed(texts: DataFrame) -> DataFrame:
     """Sparse unit embeddings (kb_id, chunk_id, slot, value) of texts (kb_id, chunk_id, content). Each different term is hashed once."""
     terms = texts.select("kb_id", "chunk_id", F.explode(tokens(F.col("content"))).alias("term")).groupBy("kb_id", "chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    vocabulary = terms.select("term").distinct().select("term", token_slot(F.col("term")).alias("slot"), token_weight(F.col("term")).alias("weight"))
+    hashed = terms.select("term").distinct().select("term", token_hash(F.col("term")).alias("_hash"))
+    vocabulary = hashed.select("term", token_slot(F.col("_hash")).alias("slot"), token_weight(F.col("term"), F.col("_hash")).alias("weight"))
     slots = terms.join(vocabulary, "term").groupBy("kb_id", "chunk_id", "slot").agg(F.sum(F.col("tf") * F.col("weight")).alias("raw"))
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("kb_id", "chunk_id")))
     return slots.select("kb_id", "chunk_id", "slot", F.when(norm == 0, F.col("raw")).otherwise(F.col("raw") / norm).alias("value"))
 
 
-def _packed(rows: list[dict]) -> np.ndarray:
-    out = np.zeros((len(rows), DIM))
-    for k, r in enumerate(rows):
-        out[k, [p["slot"] for p in r["parts"]]] = [p["value"] for p in r["parts"]]
+def _packed(batch: pa.RecordBatch) -> np.ndarray:
+    sizes, row, parts = _lists(batch.column("parts"))
+    out = np.zeros((len(sizes), DIM))
+    out[row, np.asarray(parts.field("slot"))] = np.asarray(parts.field("value"))
     return out
 
 

@@ -5,9 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from knowlark.operators.layout import spread
+
+
+#: Tables whose rows are much work each.
+HEAVY = ("documents", "pages")
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in HEAVY else rows
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
