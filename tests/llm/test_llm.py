@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from knowlark.llm import queries as registered
-from knowlark.llm.decontaminate import Automaton, clean, decontaminate, match, words_of
+from knowlark.llm.decontaminate import Automaton, clean, cleaned, decontaminate, words_of
 from knowlark.llm.exact_dedup import exact_dedup
 from knowlark.llm.mixing import mix, mixed
 from knowlark.llm.quality import FEATURES, features, fit, quality
@@ -122,10 +122,28 @@ def test_automaton():
     for _ in range(600):
         letters, window = rnd.choice(["ab", "abc", "abcdef"]), rnd.choice([2, 3, 10])
         items = [(str(k), words_of(" ".join(rnd.choice(letters) for _ in range(rnd.randint(1, 12))))) for k in range(rnd.randint(0, 6))]
-        automaton = Automaton(items, window)
+        automaton = Automaton(items, window).compiled()
         doc = " ".join(rnd.choice(letters + "zX") for _ in range(rnd.randint(0, 30)))
-        n, hits, names = match(doc, automaton)
-        assert (n, hits.tolist(), names) == brute_hits(doc, items, window)
+        hits = np.zeros(len(words_of(doc)), bool)
+        names = automaton.match(words_of(doc), hits)
+        assert (len(hits), hits.tolist(), sorted(names)) == brute_hits(doc, items, window)
+
+
+def test_cut_to_the_end():
+    """What a cut joins is judged again; the words cut in all decide whether a text stays."""
+    automaton = Automaton([("1", words_of("red fox"))], 10).compiled()
+
+    def match(texts):
+        out = []
+        for t in texts:
+            hits = np.zeros(len(words_of(t)), bool)
+            out.append((hits, automaton.match(words_of(t), hits)))
+        return out
+
+    text = "red red fox fox and many other words that fill a line"
+    (left, stays), (gone, leaves), none = cleaned([text, "red red fox fox a b", None], match, 0.5)
+    assert left.split() == text.split()[4:] and stays and not leaves and none == (None, True)
+    assert cleaned(["red fox" * 0, "plain"], match, 0.5) == [("", True), ("plain", True)]
 
 
 def test_decontaminate(spark, corpus):
@@ -133,14 +151,16 @@ def test_decontaminate(spark, corpus):
     items = [(1, " ".join(pairs[5][1].split()[:14])), (2, "repeated"), (3, None), (4, "?!"), (None, "red fox")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = decontaminate(df, bench).select("n_words", "n_hit", "n_items", "items_sha256").collect()
-    known = [(str(i), words_of(t)) for i, t in items if i is not None]
+    known = [(str(i) if i is not None else "", words_of(t)) for i, t in items]
     want = []
     for _, t, _ in pairs:
         n, hits, names = brute_hits(t, known, 10)
-        want.append((n, sum(hits), len(names), hashlib.sha256(",".join(names).encode()).hexdigest()))
+        want.append((n, sum(hits), len(names), hashlib.sha256(",".join(x for x in names if x).encode()).hexdigest()))
     assert sorted(map(tuple, got)) == sorted(want)
-    split = decontaminate(df, bench, limit_mb=0.00005).select("n_words", "n_hit", "n_items", "items_sha256").collect()
-    assert sorted(map(tuple, split)) == sorted(want)
+    for limit in (0.00005, 0.00001):  # all columns, spans too
+        split = decontaminate(df, bench, limit_mb=limit)
+        assert sorted(map(repr, split.collect())) == sorted(map(repr, decontaminate(df, bench).collect()))
+    assert decontaminate(df.limit(0), bench).count() == 0 and clean(df.limit(0), bench).count() == 0
     left = clean(df, bench)
     assert left.columns == df.columns and decontaminate(left, bench).where("contaminated").count() == 0
     assert decontaminate(df, bench.limit(0)).where("contaminated").count() == 0
