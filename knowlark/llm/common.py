@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,10 +13,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; one of our own only where the session names none (local tests)."""
+    """The shared folder of spark.checkpoint.dir. Where the session names none, one of our own in local mode, as in tests; a cluster
+    must name one."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.match(r"local($|\[)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return context.getCheckpointDir()
 
 
@@ -51,3 +56,23 @@ def hot_pieces(keyed: DataFrame, key: str, bound: int) -> DataFrame:
     """
     counts = keyed.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > bound)
     return counts.select(key, F.ceil(F.col("_n") / F.lit(bound)).cast("int").alias("_pieces"))
+
+
+def join_unique(rows: DataFrame, table: DataFrame, key: str, bound: int, how: str = "left") -> DataFrame:
+    """rows with the columns of table, which has one row for each key at most.
+
+    Keys of over `bound` rows are looked up by broadcast, so their rows stay where they are: they are at most rows / bound. The rest is
+    a join by key, in which no key has more than `bound` rows. rows is read twice and should be checkpointed or cheap.
+    """
+    hot = checkpointed(hot_pieces(rows.select(key), key, bound).select(key))
+    if not hot.limit(1).count():
+        return rows.join(table, key, how)
+    marked = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
+    cold = marked.where("_hot is null").drop("_hot").join(table, key, how)
+    few = table.join(F.broadcast(hot), key, "left_semi")
+    return cold.unionByName(marked.where("_hot").drop("_hot").join(F.broadcast(few), key, how))
+
+
+def bound_for(n: int, spark: SparkSession, least: int = 64) -> int:
+    """Rows of a key from which it is hot: a quarter of a partition of n rows."""
+    return max(least, n // (4 * partitions(spark)))

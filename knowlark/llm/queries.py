@@ -16,16 +16,18 @@ from knowlark.llm.suffix_dedup import suffix_dedup
 from knowlark.llm.token_counts import token_counts
 from knowlark.llm.toxicity import toxicity
 from knowlark.llm.url_filter import filter_urls
+from knowlark.operators.layout import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in ("documents", "pages") else rows
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(_table(spark, sf_dir, "documents"))
+    return exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))  # in the files' own order
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

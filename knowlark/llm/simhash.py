@@ -9,7 +9,6 @@ and their counts is a range-join: linked fingerprints meet in a cell. There, the
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
 from itertools import combinations
 
 import numpy as np
@@ -17,9 +16,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from knowlark.llm.common import checkpointed, hot_pieces, partitions, text_of
+from knowlark.llm.common import bound_for, checkpointed, hot_pieces, join_unique, partitions, text_of
 from knowlark.llm.graph import components
 
 SEGMENTS, BLOCKS, EQUAL, BITS = 32, 6, 3, 3
@@ -45,7 +43,7 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = np.fromiter(map(fingerprint, batch.column(1).to_pylist()), np.uint64, batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64)), batch.column(2)], ["doc_id", "fp", "text_hash"])
 
 
 def _signed(x: int) -> int:
@@ -169,64 +167,59 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) for each row of docs; fp is the fingerprint as a signed 64-bit number."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("_text"))
-    return rows.mapInArrow(_fingerprints, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
+    """(doc_id, fp, text_hash) for each row of docs; fp is the fingerprint as a signed 64-bit number."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("_text"), F.xxhash64(text_of(text_col)).alias("text_hash"))
+    return rows.mapInArrow(_fingerprints, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long, text_hash long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_cell: int = 2000) -> DataFrame:
-    """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable by links).
-
-    Fingerprints link at 3 or fewer differing bits. Rows with one fingerprint are one vertex, so copies are never
-    paired. Null texts count as empty; texts without words have fingerprint zero and link like others. A null id never
-    is the smallest; a component of null ids alone has a null component_id. Repeated rows repeat; an empty table
-    gives an empty result; other columns are ignored.
-    """
+def _components(docs: DataFrame, id_col: str, text_col: str, min_cell: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp, text_hash) of each row, and (fp, root, component_id) of each fingerprint."""
     count = partitions(docs.sparkSession)
     rows = checkpointed(fingerprints(docs, id_col, text_col))
-    prints = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("_min"), F.count(F.lit(1)).alias("_n")))
+    prints = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("_min")))
     # 20 cells for each fingerprint; the bound keeps hot cells to a few times the partitions.
     cells = _cells(prints.select("fp"), count, max(min_cell, 20 * prints.count() // (4 * count)))
     dealt = cells.repartition(count, "mask", "cell").sortWithinPartitions("mask", "cell", "fp")
     edges = checkpointed(dealt.mapInArrow(_links, "a long, b long").distinct())
     roots = components(edges)
-    linked = checkpointed(prints.join(roots, F.col("fp") == F.col("node")).select("fp", "root", "_min"))
-    least = linked.groupBy("root").agg(F.min("_min").alias("_least"))
-    moved = linked.join(least, "root").select("fp", "_least")
-    of = checkpointed(prints.join(moved, "fp", "left").select("fp", F.coalesce("_least", "_min").alias("component_id"), "_n"))
-    # Fingerprints of over rows / (4 x partitions) rows are at most four times the partitions: their rows stay where they are.
-    bound = max(64, rows.count() // (4 * count))
-    hot = of.where(F.col("_n") > bound).select("fp", F.lit(1).alias("_hot"), F.col("component_id").alias("_of"))
-    marked = rows.join(F.broadcast(hot), "fp", "left")
-    cold = marked.where("_hot is null").select("doc_id", "fp").join(of.where(F.col("_n") <= bound), "fp").select("doc_id", "fp", "component_id")
-    joined = cold.unionByName(marked.where("_hot = 1").select("doc_id", "fp", F.col("_of").alias("component_id")))
-    return joined.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    linked = prints.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "_min")
+    linked = checkpointed(linked)
+    least = linked.groupBy("root").agg(F.min("_min").alias("component_id"))
+    return rows, checkpointed(linked.select("fp", "root").join(least, "root"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each component: that with the smallest id; columns stay as they are.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_cell: int = 2000) -> DataFrame:
+    """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable by links).
+
+    Fingerprints link at 3 or fewer differing bits. Rows with one fingerprint are one vertex, so copies are never
+    paired. Null texts count as empty; texts without words have fingerprint zero and link like others. A null id never
+    is the smallest; a component of null ids alone has a null component_id. Repeated rows repeat; very long texts count whole; an
+    empty table gives an empty result; other columns are ignored. Rows of a hot fingerprint stay where they are.
+    """
+    rows, of = _components(docs, id_col, text_col, min_cell)
+    found = join_unique(rows, of.select("fp", "component_id"), "fp", bound_for(rows.count(), docs.sparkSession), "inner")
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
 
-    Of repeated rows with one id, one stays. A row with a null id stays only where its component has null ids alone: one of each
-    fingerprint.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each component: that with the smallest id (a null id comes last), then the smallest fingerprint and hash of
+    its text; of rows repeated in id and text one stays, any of them. Columns stay as they are, whatever they are called; an empty
+    table gives an empty result.
     """
     names = docs.columns
     own = docs.toDF(*(f"_column{k}" for k in range(len(names))))  # whatever the columns are called, none clashes
-    row, text = f"_column{names.index(id_col)}", names.index(text_col)
-    near = near_duplicates(docs, id_col, text_col)
-    kept = checkpointed(near.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_kept")).agg(F.count(F.lit(1)).alias("_times")))
-    stay = own.join(kept.select("_kept"), F.col(row) == F.col("_kept"), "left_semi")
-    if kept.where("_times > 1").limit(1).count():
-        stay = stay.dropDuplicates([row])
-    lost = near.where("doc_id is null and component_id is null").select("fingerprint").distinct()
-    if lost.limit(1).count():
-        nulls = own.where(F.col(row).isNull())
-        printed = nulls.mapInArrow(partial(_with_print, column=text), T.StructType([*own.schema.fields, T.StructField("_fp", T.LongType())]))
-        named = F.lpad(F.lower(F.hex("_fp")), 16, "0")
-        stay = stay.unionByName(printed.join(lost, named == F.col("fingerprint"), "left_semi").dropDuplicates(["_fp"]).drop("_fp"))
-    return stay.toDF(*names)
-
-
-def _with_print(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        prints = np.fromiter(map(fingerprint, batch.column(column).to_pylist()), np.uint64, batch.num_rows)
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints.view(np.int64))], [*batch.schema.names, "_fp"])
+    row, text = f"_column{names.index(id_col)}", f"_column{names.index(text_col)}"
+    rows, of = _components(docs, id_col, text_col, 2000)
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "fp", "text_hash")
+    best = rows.select("fp", order.alias("best")).groupBy("fp").agg(F.min("best").alias("best"), F.count(F.lit(1)).alias("n"))  # combined before the shuffle
+    kept = best.join(of, "fp").groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.doc_id").alias("_id"), F.col("best.text_hash").alias("_hash"))
+    kept = checkpointed(kept)
+    marked = own.withColumn("_hash_of", F.xxhash64(text_of(text)))
+    stay = marked.join(kept, F.col(row).eqNullSafe(F.col("_id")) & (F.col("_hash_of") == F.col("_hash")), "left_semi")
+    times = rows.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    twice = checkpointed(times.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left_semi"))
+    if twice.limit(1).count():
+        again = twice.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+        same = F.col(row).eqNullSafe(F.col("_id")) & (F.col("_hash_of") == F.col("_hash"))
+        stay = stay.join(again, same, "left_anti").unionByName(stay.join(again, same, "left_semi").dropDuplicates([row, "_hash_of"]))
+    return stay.drop("_hash_of").toDF(*names)

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from knowlark.llm.common import checkpointed
+from knowlark.llm.common import bound_for, checkpointed, hot_pieces, join_unique
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Host of an absolute or protocol-relative link.
@@ -59,16 +59,26 @@ def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
     """(host, score): PageRank over links (src, dst, n) that restarts at seeds (host, mass), which sum to 1.
 
     Ranks flow by the links' counts. What a host without links receives goes back to the seeds. Ranks are cut from their
-    lineage every round.
+    lineage every round. Links of hubs, hosts with over rows / (4 x partitions) of all links, stay where they are and get their ranks by
+    broadcast; sums by target are combined before the shuffle. Without links or seeds the seeds' mass stays.
     """
-    out = links.groupBy(F.col("src").alias("_s")).agg(F.sum("n").alias("_all"))
-    flow = checkpointed(links.join(out, F.col("src") == F.col("_s")).select("src", "dst", (F.col("n") / F.col("_all")).alias("share")))
+    spark = links.sparkSession
+    links = links.select("src", "dst", "n")
+    total = links.count()
+    out = links.groupBy("src").agg(F.sum("n").alias("_all"))
+    hubs = checkpointed(hot_pieces(links.select("src"), "src", bound_for(total, spark)).select(F.col("src").alias("_hub")))
+    flow = join_unique(links, out, "src", bound_for(total, spark), "inner").select("src", "dst", (F.col("n") / F.col("_all")).alias("share"))
+    flow = checkpointed(flow.join(F.broadcast(hubs), F.col("src") == F.col("_hub"), "left"))
+    wide, narrow = flow.where("_hub is not null"), flow.where("_hub is null")
     restart = seeds.select("host", F.col("mass").cast("double").alias("score"))
     rank = checkpointed(restart)
     if not flow.limit(1).count():
         return rank
     for _ in range(rounds):
-        moved = rank.join(flow, F.col("host") == F.col("src")).groupBy(F.col("dst").alias("host")).agg((damping * F.sum(F.col("score") * F.col("share"))).alias("score"))
+        flowing = rank.join(narrow, F.col("host") == F.col("src")).select("dst", "score", "share")
+        of_hubs = rank.join(F.broadcast(hubs), F.col("host") == F.col("_hub"), "left_semi")
+        flowing = flowing.unionByName(wide.join(F.broadcast(of_hubs), F.col("host") == F.col("src")).select("dst", "score", "share"))
+        moved = flowing.groupBy(F.col("dst").alias("host")).agg((damping * F.sum(F.col("score") * F.col("share"))).alias("score"))
         moved = checkpointed(moved)
         left = 1.0 - (moved.agg(F.sum("score")).first()[0] or 0.0)
         back = restart.select("host", (F.col("score") * left).alias("score"))
@@ -83,9 +93,11 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], id_col:
     longest wins. Of two rules for one host and path, block wins. Pages without a rule take their host's verdict: block if
     distrust is over trust. Hosts of which more pages are allowed than blocked by rules seed trust, those of which more are
     blocked seed distrust, each by its number of pages. Null urls and those without `://` have an empty host and path and, as no
-    link reaches an empty host, are allowed unless a rule fits. Null html has no links. Repeated rows repeat; an empty
-    table gives an empty result; other columns are ignored.
+    link reaches an empty host, are allowed unless a rule fits. Null html has no links; of very long html every link counts. A host with
+    equal trust and distrust is allowed. Repeated rows repeat and vote again; an empty table gives an empty result; other columns are
+    ignored. A host of a third of all pages stays where its pages lie: its verdict comes by broadcast.
     """
+    spark = pages.sparkSession
     verdicts: dict[tuple[str, str], str] = {}
     for verdict, host, path in rules:
         verdicts[host, path] = "block" if "block" in (verdict, verdicts.get((host, path))) else "allow"
@@ -108,4 +120,4 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], id_col:
         score[sign] = propagate(edges, seeds.select("host", (F.col("votes") / total).alias("mass")), damping, rounds)
     trust, distrust = score[1].withColumnRenamed("score", "trust"), score[-1].withColumnRenamed("score", "distrust")
     bad = distrust.join(trust, "host", "left").where(F.col("distrust") > F.coalesce("trust", F.lit(0.0))).select("host", F.lit("block").alias("by_links"))
-    return slim.join(bad, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("ruled", "by_links", F.lit("allow")).alias("verdict"))
+    return join_unique(slim, checkpointed(bad), "host", bound_for(slim.count(), spark)).select("page_id", "host", "path", "rule", F.coalesce("ruled", "by_links", F.lit("allow")).alias("verdict"))
