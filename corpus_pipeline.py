@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from knowlark.llm.common import checkpoint_folder
 from knowlark.llm.decontaminate import clean
 from knowlark.llm.mixing import mixed
-from knowlark.llm.sharding import shard
+from knowlark.llm.sharding import sharded
 from knowlark.llm.simhash import keep_one
 from knowlark.llm.toxicity import reject_toxic
 
@@ -40,8 +40,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A shard and slot for each row of the mix."""
-    return shard(docs)
+    """Each row of the mix, with its shard and slot."""
+    return sharded(docs)
 
 
 STAGES = [
@@ -59,8 +59,20 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over documents. Each stage's rows are written to the shared folder and read again by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder, read = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if read:
+            _delete(spark, read)
+        read = f"{folder}/{name}"
+        docs = spark.read.parquet(read)
+    # The last stage holds its rows in the shared folder, so what it read isn't needed when its result is.
+    placed = STAGES[-1][1](spark, docs, sf_dir)
+    _delete(spark, folder)
+    return placed
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
