@@ -173,14 +173,18 @@ def held_out(column: str) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(label, _text, doc_id) of about `most` labelled rows at most, chosen by the hash of their ids, that aren't held out."""
+    """(label, _text, doc_id) of about `most` labelled ids at most, chosen by their hashes, that aren't held out; one row each.
+
+    Of an id's several labels the least counts, of its several texts that of the least hash. docs stay where they are but for the chosen rows.
+    """
     slim = labels.select(F.col(id_col).alias("doc_id"), F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull()).where(~held_out("doc_id"))
-    slim = slim.groupBy("doc_id").agg(F.min("label").alias("label"))  # of a row's several labels the least counts
+    slim = slim.groupBy("doc_id").agg(F.min("label").alias("label"))
     total = slim.count()
     if total > most:
-        slim = slim.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * most / total))
+        slim = slim.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 60)) < (most << 60) // total)
     texts = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("_text"))
-    return texts.join(F.broadcast(slim), "doc_id").select("label", "_text", "doc_id")
+    chosen = texts.join(F.broadcast(slim), "doc_id").groupBy("doc_id", "label").agg(F.min_by("_text", F.xxhash64("_text")).alias("_text"))
+    return chosen.select("label", "_text", "doc_id")
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", threshold: float = 0.3, most: int = 20_000) -> DataFrame:
@@ -188,7 +192,7 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
 
     The model learns from labels (id, 0 or 1) of at most about `most` rows (their features, not their texts, reach the
     driver, and the sample's ids are broadcast) outside the held-out fifth; inputs are counts over the whole text alone. Null
-    texts count as empty and get a score like others. Labels that are null or not 0 or 1, and labels without a row in docs,
+    texts count as empty and get a score like others; very long ones count whole. Labels that are null or not 0 or 1, and labels without a row in docs,
     teach nothing; without labels of both kinds the score is constant. Repeated rows repeat; an empty table gives an
     empty result; other columns are ignored.
     """

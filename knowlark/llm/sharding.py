@@ -1,7 +1,8 @@
 """Sharding by balanced label propagation, in DataFrame functions only.
 
-Law `rows`: shard counts are at most one apart. Links join rows with equal texts; each round moves linked rows towards
-the shard that holds most of their neighbours, under the shards' quotas, and rows without links fill the rest.
+Law `rows`: shard counts are at most one apart. Rows with equal texts are one vertex (of a hot text, a vertex for each piece), and
+different texts that hold the same long line are linked. Each round, links pass their vertices' shards on by joins, and a vertex moves
+towards the shard that most of its links are in, under the shards' quotas. Rows without links fill the rest.
 """
 
 from __future__ import annotations
@@ -9,18 +10,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from knowlark.llm.common import checkpointed, hot_pieces, partitions, small, text_of
+from knowlark.llm.common import bound_for, checkpointed, hot_pieces, join_unique, partitions, small, text_of
 
-#: Hash buckets in which movers of a target shard are admitted, and rows that one ranking window takes.
+#: Hash buckets in which movers to a shard are admitted, and rows that one ranking window takes.
 ADMIT, RANKED = 1024, 20_000
+#: Characters from which a line links the texts that hold it.
+LINE = 40
 
 
-def _ranked(df: DataFrame, group: str, lead: str, salt: str, ties: list[Column], name: str, rows: int) -> DataFrame:
+def _ranked(df: DataFrame, group: str, lead: str, salt: str, ties: list[Column], name: str, rows: int, groups: int) -> DataFrame:
     """df plus `name`: the rank from 0 in its group, ordered by (lead, hash bucket of salt, salt, ties), gapless.
 
     Buckets are ranked each for itself and placed by a running sum of their counts, so no task sorts a whole group.
     """
-    buckets = max(1, rows // RANKED)
+    buckets = max(1, rows // RANKED, partitions(df.sparkSession) // groups)
     cut = df.withColumn("_bucket", F.pmod(F.xxhash64(F.col(salt)), F.lit(buckets)))
     counts = checkpointed(cut.groupBy(group, lead, "_bucket").agg(F.count(F.lit(1)).alias("_n")))
     before = Window.partitionBy(group).orderBy(lead, "_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -33,43 +36,83 @@ def _ranked(df: DataFrame, group: str, lead: str, salt: str, ties: list[Column],
     )
 
 
-def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 40, rounds: int = 3) -> DataFrame:
+def shared_lines(docs: DataFrame, text_col: str) -> DataFrame:
+    """(text, line, n): hashes of texts and of the lines of at least LINE characters that n different texts hold, n over 1."""
+    text = text_of(text_col)
+    lines = F.array_distinct(F.transform(F.filter(F.split(text, "\n"), lambda x: F.char_length(x) >= LINE), lambda x: F.xxhash64(x)))
+    held = checkpointed(docs.select(F.xxhash64(F.sha2(text, 256)).alias("text"), F.explode(lines).alias("line")).distinct())
+    counts = checkpointed(held.groupBy("line").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    return join_unique(held, counts, "line", bound_for(held.count(), docs.sparkSession), "inner").select("text", "line", "n")
+
+
+def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 40, rounds: int = 3, report: list | None = None) -> DataFrame:
     """One row per row of docs: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     size is the text's UTF-8 bytes (null: none) plus 16, shard is 0 to shards - 1, and slot counts the rows of a shard
     from 0 without gaps. law is `rows`, so grown_shard is null. A text with more rows than a quarter of a shard or
-    of rows / (4 x partitions) is a chain of pieces, which start on neighbouring shards; each piece is one vertex group of
-    its own. Empty and null texts are equal to each other. Repeated rows are rows like others; an empty table
-    gives an empty result.
+    of rows / (4 x partitions) is a chain of pieces, dealt by the rows' places in the input, which start on neighbouring shards; each
+    piece is one vertex. Empty and null texts are equal to each other. Repeated rows are rows like others, null ids too; very long texts
+    are rows of their size, whose lines link like others'; an empty table gives an empty result. Other columns are ignored.
+
+    report gets the number of cut links before each round and at the end: of each line, its texts outside the shard that holds most.
     """
-    spark = docs.sparkSession
-    raw = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("_text")).select(
+    raw = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("_text"), F.monotonically_increasing_id().alias("_place"))
+    return _placed(raw, shared_lines(docs, text_col), shards, rounds, report).drop("_place")
+
+
+def sharded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 40, rounds: int = 3) -> DataFrame:
+    """docs, each row with its shard and slot as in shard(). If docs has columns of these names, the new ones end in underscores.
+
+    Rows are written to the shared folder once with a number of their own, by which they meet their places again: rows repeated in all
+    columns stay as many as they are.
+    """
+    names = docs.columns
+    own = docs.toDF(*(f"_column{k}" for k in range(len(names)))).withColumn("_place", F.monotonically_increasing_id())
+    own = checkpointed(own)
+    text = f"_column{names.index(text_col)}"
+    raw = own.select(F.col(f"_column{names.index(id_col)}").alias("doc_id"), text_of(text).alias("_text"), "_place")
+    placed = _placed(raw, shared_lines(own, text), shards, rounds, None).select("_place", "shard", "slot")
+    new = [next(n for n in (c + "_" * k for k in range(len(names) + 1)) if n not in names) for c in ("shard", "slot")]
+    return own.join(placed, "_place").drop("_place").toDF(*names, *new)
+
+
+def _placed(raw: DataFrame, lines: DataFrame, shards: int, rounds: int, report: list | None) -> DataFrame:
+    spark = raw.sparkSession
+    raw = raw.select(
         "doc_id",
+        "_place",
         (F.octet_length("_text") + 16).cast("long").alias("size"),
         F.crc32(F.encode("_text", "UTF-8")).alias("text_crc32"),
-        F.sha2("_text", 256).alias("_key"),
+        F.xxhash64(F.sha2("_text", 256)).alias("_key"),
     )
-    raw = checkpointed(raw.withColumn("_h", F.xxhash64("doc_id", "_key")))
+    raw = checkpointed(raw.withColumn("_h", F.xxhash64("doc_id", "_key", "_place")))
     n = raw.count()
     low, over = divmod(n, shards)
-    bound = max(1, min(max(64, n // (4 * partitions(spark))), max(1, low // 4)))
+    bound = max(1, min(bound_for(n, spark), max(1, low // 4)))
     hot = checkpointed(hot_pieces(raw.select("_key"), "_key", bound))
     run = max(1, low // bound)
     rows = raw.join(small(hot), "_key", "left").withColumn("_piece", F.coalesce(F.expr("cast(pmod(_h, _pieces) as int)"), F.lit(0)))
-    # Vertices: rows; a piece is a group of linked rows, and groups of one row have no link.
-    groups = rows.groupBy("_key", "_piece").agg(F.count(F.lit(1)).alias("_n"))
+    rows = rows.withColumn("_v", F.xxhash64("_key", "_piece"))
     chain = F.pmod(F.xxhash64("_key") + F.floor(F.col("_piece") / F.lit(run)), F.lit(shards))
-    first = F.when(F.col("_pieces").isNotNull(), chain).otherwise(F.pmod(F.col("_h"), F.lit(shards))).cast("int")
-    rows = checkpointed(
-        rows.join(groups.where("_n > 1").select("_key", "_piece", F.lit(1).alias("_linked")), ["_key", "_piece"], "left").select(
-            "doc_id", "size", "text_crc32", "_h", "_key", "_piece", F.when(F.col("_linked") == 1, 0).otherwise(1).alias("_single"), first.alias("shard")
-        )
-    )
-    for _ in range(rounds):
-        rows = _round(rows, low)
+    start = F.when(F.col("_pieces").isNotNull(), chain).otherwise(F.pmod(F.col("_v"), F.lit(shards))).cast("int")
+    vertices = checkpointed(rows.groupBy("_v", "_key", start.alias("shard")).agg(F.count(F.lit(1)).alias("_n")))
+    rows = checkpointed(rows.select("doc_id", "_place", "size", "text_crc32", "_h", "_v"))
+    links = checkpointed(vertices.select("_v", "_key").join(lines, F.col("_key") == F.col("text")).select("_v", "line", "n"))
+    has = links.select("_v").distinct().withColumn("_has", F.lit(1))
+    single = F.when((F.col("_n") > 1) | (F.col("_has") == 1), 0).otherwise(1)
+    vertices = checkpointed(vertices.join(has, "_v", "left").select("_v", "_n", "shard", single.alias("_single")))
+    labels = vertices.where("_single = 0").select("_v", "_n", "shard")
+    if links.limit(1).count():
+        for _ in range(rounds):
+            labels = _round(labels, links, low, report)
+    if report is not None:
+        report.append(cut_links(labels, links))
+    labels = labels.select("_v", "shard", F.lit(0).alias("_single")).unionByName(vertices.where("_single = 1").select("_v", "shard", "_single"))
+    rows = rows.join(checkpointed(labels), "_v")
     quota = low + (F.col("shard") < over).cast("long")
-    rows = rows.withColumn("_salt", F.when(F.col("_single") == 1, F.col("_h")).otherwise(F.xxhash64("_key", "_piece")))
-    ranked = checkpointed(_ranked(rows, "shard", "_single", "_salt", [F.col("_h"), F.col("doc_id")], "_rank", n // shards).withColumn("_out", (F.col("_rank") >= quota).cast("int")))
+    rows = rows.withColumn("_salt", F.when(F.col("_single") == 1, F.col("_h")).otherwise(F.col("_v")))
+    ties = [F.col("_h"), F.col("doc_id")]
+    ranked = checkpointed(_ranked(checkpointed(rows), "shard", "_single", "_salt", ties, "_rank", n // shards, shards).withColumn("_out", (F.col("_rank") >= quota).cast("int")))
     # Shards are few: their free places are one literal array, and a released row's rank finds its shard there.
     kept = {r["shard"]: r["n"] for r in ranked.where("_out = 0").groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
     places, at = [], 0
@@ -77,36 +120,56 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
         at += low + (s < over) - kept.get(s, 0)
         places.append(F.lit(at).cast("long"))
     out = ranked.where("_out = 1").withColumn("_all", F.lit(0))
-    out = _ranked(out, "_all", "_single", "_salt", [F.col("_h"), F.col("doc_id")], "_place", at)
-    filled = F.size(F.filter(F.array(*places), lambda x: x <= F.col("_place"))).cast("int")
-    names = ["doc_id", "size", "text_crc32", "_h", "_key", "_piece", "_single", "_salt"]
+    out = _ranked(out, "_all", "_single", "_salt", ties, "_to", at, 1)
+    filled = F.size(F.filter(F.array(*places), lambda x: x <= F.col("_to"))).cast("int")
+    names = ["doc_id", "_place", "size", "text_crc32", "_h", "_single", "_salt"]
     final = checkpointed(ranked.where("_out = 0").select(*names, "shard").unionByName(out.select(*names, filled.alias("shard"))))
-    return _ranked(final, "shard", "_single", "_salt", [F.col("_h"), F.col("doc_id")], "slot", n // shards).select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    return _ranked(final, "shard", "_single", "_salt", ties, "slot", n // shards, shards).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "_place"
     )
 
 
-def _round(rows: DataFrame, quota: int) -> DataFrame:
-    """One round: each linked group asks for the shard with most of its rows, and shards admit what their quota leaves.
+def _by_line(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(line, n, shard, _c): how many of a line's vertices are in each shard, combined before the shuffle."""
+    return links.join(labels.select("_v", "shard"), "_v").groupBy("line", "n", "shard").agg(F.count(F.lit(1)).alias("_c"))
+
+
+def _cut(by_line: DataFrame, links: DataFrame) -> int:
+    return links.count() - (by_line.groupBy("line").agg(F.max("_c").alias("_c")).agg(F.sum("_c")).first()[0] or 0)
+
 
-    Movers to a shard are admitted by buckets of the group hash, whole buckets at a time, up to the quota less the
-    linked rows that stay there. Groups that aren't admitted stay and ask again in the next round.
+def cut_links(labels: DataFrame, links: DataFrame) -> int:
+    """Links cut by labels (_v, shard): of each line, its vertices outside the shard that holds most of them."""
+    return _cut(_by_line(labels, links), links)
+
+
+def _round(labels: DataFrame, links: DataFrame, quota: int, report: list | None) -> DataFrame:
+    """One round: each line passes on the shard that holds most of its vertices, among those that aren't full, a vertex asks for the
+    shard that its lines name most, each weighed by one over its number of texts, and shards admit what their quota leaves.
+
+    Movers to a shard are admitted by buckets of the vertex hash, whole buckets at a time, up to the quota less the linked
+    rows that stay there. Vertices that aren't admitted stay and ask again in the next round.
     """
-    held = checkpointed(rows.where("_single = 0").groupBy("_key", "_piece", "shard").agg(F.count(F.lit(1)).alias("_n")))
-    most = Window.partitionBy("_key", "_piece").orderBy(F.desc("_n"), F.xxhash64("_key", "shard"), "shard")
-    asked = held.withColumn("_target", F.first("shard").over(most)).withColumn("_bucket", F.pmod(F.xxhash64("_key", "_piece"), F.lit(ADMIT)))
-    asked = checkpointed(asked)
-    moving = asked.where("shard <> _target")
-    loads = checkpointed(asked.groupBy(F.col("shard").alias("_target")).agg(F.sum("_n").alias("_load")))  # a row per shard
-    demand = moving.groupBy("_target", "_bucket").agg(F.sum("_n").alias("_want"))
+    spark = labels.sparkSession
+    by_line = checkpointed(_by_line(labels, links))
+    if report is not None:
+        report.append(_cut(by_line, links))
+    full = [r["shard"] for r in labels.groupBy("shard").agg(F.sum("_n").alias("n")).where(F.col("n") >= quota).collect()]  # shards are few
+    top = F.max(F.struct("_c", F.xxhash64("line", "shard").alias("h"), "shard")).alias("_top")
+    best = checkpointed(by_line.where(~F.col("shard").isin(full)).groupBy("line", "n").agg(top).select("line", "n", F.col("_top.shard").alias("_best")))
+    told = join_unique(links.select("_v", "line"), best, "line", bound_for(links.count(), spark), "inner")
+    votes = told.groupBy("_v", "_best").agg(F.sum(1 / F.col("n")).alias("_w"))
+    asked = votes.groupBy("_v").agg(F.max(F.struct(F.round("_w", 9).alias("w"), F.xxhash64("_v", "_best").alias("h"), "_best")).alias("_top")).select("_v", F.col("_top._best").alias("_target"))
+    moving = labels.join(asked, "_v", "left").withColumn("_target", F.coalesce("_target", "shard")).withColumn("_bucket", F.pmod(F.xxhash64("_v"), F.lit(ADMIT)))
+    moving = checkpointed(moving)
+    loads = checkpointed(moving.where("shard = _target").groupBy("_target").agg(F.sum("_n").alias("_load")))  # a row per shard
+    demand = moving.where("shard <> _target").groupBy("_target", "_bucket").agg(F.sum("_n").alias("_want"))
     upto = Window.partitionBy("_target").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     admitted = (
         demand.join(small(loads), "_target", "left")
         .withColumn("_upto", F.sum("_want").over(upto))
         .where(F.col("_upto") + F.coalesce("_load", F.lit(0)) <= quota)
-        .select("_target", "_bucket")
-    )
-    moves = moving.join(small(checkpointed(admitted)), ["_target", "_bucket"]).select("_key", "_piece", "shard", "_target")
-    return checkpointed(
-        rows.join(moves, ["_key", "_piece", "shard"], "left").withColumn("shard", F.coalesce("_target", "shard")).drop("_target")
+        .select("_target", "_bucket", F.lit(1).alias("_in"))
     )
+    moved = moving.join(small(checkpointed(admitted)), ["_target", "_bucket"], "left")
+    return checkpointed(moved.select("_v", "_n", F.when(F.col("_in") == 1, F.col("_target")).otherwise(F.col("shard")).alias("shard")))

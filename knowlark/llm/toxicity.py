@@ -7,6 +7,7 @@ contexts and never in clean ones. Contexts are counted instead of occurrences, s
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -29,11 +30,47 @@ REPORTING = {"said", "says", "called", "calling", "quote", "quoted", "quotes", "
 ADDRESS = {"you", "your", "youre", "u", "ur", "tu", "usted", "ustedes", "vosotros", "du", "dich", "dein", "ihr", "euch", "toi", "vous", "ton", "votre"}
 QUOTES = "\"“”«»„‟‘’‹›「」『』"
 SPAN = 6
-EXACT, FUZZY = 1.0, 0.4
+#: What a hit weighs: a misspelled term is a little less sure than a plain one, and surer than a quoted one.
+EXACT, FUZZY, QUOTED = 1.0, 0.95, 0.625
+#: Shortest term whose misspellings count, and how many clean words may be an edit from it.
+LOOSE, CROWD = 4, 3
 #: Entries of a worker's memo of words before it is emptied.
 MEMO = 1_000_000
 
 
+State = frozenset[tuple[int, int, bool]]
+
+
+@functools.cache
+def _step(state: State, matches: tuple[bool, ...], edits: int) -> tuple[int, State]:
+    """One transition of the parametric Levenshtein automaton: how far its base moves, and the state after a letter.
+
+    A state holds positions (letters of the word after the base, edits so far, whether the first of two swapped letters was read);
+    matches says which of the next letters from the base, at most 2 x edits + 2, are the one read. There are finitely many of both whatever
+    the word, so the table of transitions is bounded.
+    """
+    out: set[tuple[int, int, bool]] = set()
+    n = len(matches)
+    for at, used, swapped in state:
+        if swapped:
+            if at < n and matches[at]:
+                out.add((at + 2, used, False))
+            continue
+        if at < n and matches[at]:
+            out.add((at + 1, used, False))
+        if used < edits:
+            out.add((at, used + 1, False))
+            if at < n:
+                out.add((at + 1, used + 1, False))
+            for skip in range(1, edits - used + 1):
+                if at + skip < n and matches[at + skip]:
+                    out.add((at + skip + 1, used + skip, False))
+            if at + 1 < n and matches[at + 1]:
+                out.add((at, used + 1, True))
+    base = min((at for at, _, _ in out), default=0)
+    return base, frozenset((at - base, used, swapped) for at, used, swapped in out)
+
+
 class Trie:
     """Terms by letter; whole words end in a node's `word`, stems match any word that begins with them."""
 
@@ -57,39 +94,33 @@ class Trie:
 
     def fuzzy(self, word: str, edits: int = 1) -> set[str]:
         """Whole words of the trie within `edits` insertions, deletions, substitutions or swaps of neighbours of `word`, and stems
-        within as many of a beginning of it.
-
-        A state of the word's Levenshtein automaton is the row of distances up to edits + 1. The walk goes through trie and
-        automaton together and leaves a branch when its row has no distance within edits.
-        """
+        within as many of a beginning of it: the trie's paths are read by the word's Levenshtein automaton, and a branch is left
+        when no position is alive."""
         found: set[str] = set()
-        first = list(range(len(word) + 1))
+        size, window = len(word), 2 * edits + 2
 
-        def walk(node: dict, row: list[int], before: list[int] | None, last: str) -> None:
+        def walk(node: dict, base: int, state: State) -> None:
             for c, child in node.items():
                 if len(c) != 1:
                     continue
-                now = [row[0] + 1]
-                for k, x in enumerate(word):
-                    cost = min(now[k] + 1, row[k + 1] + 1, row[k] + (x != c))
-                    if before is not None and k and x == last and word[k - 1] == c:
-                        cost = min(cost, before[k - 1] + 1)
-                    now.append(cost)
-                if min(now) <= edits:
-                    if "word" in child and now[-1] <= edits:
-                        found.add(child["word"])
-                    if "stem" in child:
-                        found.add(child["stem"])
-                    walk(child, now, row, c)
-
-        walk(self.root, first, None, "")
+                moved, after = _step(state, tuple(x == c for x in word[base : base + window]), edits)
+                if not after:
+                    continue
+                at = base + moved
+                if "word" in child and any(not swapped and used + size - at - k <= edits for k, used, swapped in after if at + k <= size):
+                    found.add(child["word"])
+                if "stem" in child and any(not swapped and at + k <= size for k, _, swapped in after):
+                    found.add(child["stem"])
+                walk(child, at, after)
+
+        walk(self.root, 0, frozenset({(0, 0, False)}))
         return found
 
 
 @dataclass
 class Lexicon:
     """Terms with what their hits weigh, and the memo of words met. loose are the words whose misspellings count, roots the
-    beginnings of words for which an edit in them does."""
+    beginnings of words for which an edit in them does, known the clean words that look like a misspelling."""
 
     words: dict[str, float]
     stems: list[str]
@@ -97,6 +128,7 @@ class Lexicon:
     bias: float = -4.0
     slopes: tuple[float, float] = (6.0, 0.0)
     roots: list[str] = field(default_factory=list)
+    known: set[str] = field(default_factory=set)
     memo: dict[str, float] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
@@ -113,7 +145,7 @@ class Lexicon:
         self.firsts, self.places = sorted({len(b) for b in self.begins}), sorted({(k, k + len(t)) for k, t in self.parts})
 
     def __getstate__(self) -> dict:
-        return {k: getattr(self, k) for k in ("words", "stems", "loose", "bias", "slopes", "roots")}
+        return {k: getattr(self, k) for k in ("words", "stems", "loose", "bias", "slopes", "roots", "known")}
 
     def __setstate__(self, state: dict) -> None:
         self.__init__(**state)
@@ -122,6 +154,8 @@ class Lexicon:
         """A term's own weight, EXACT for one that a stem begins, FUZZY for a misspelled one, else 0."""
         if (term := self.trie.exact(word)) is not None:
             return self.words.get(term, EXACT)
+        if word in self.known:
+            return 0.0
         like_word = len(word) in self.sizes and (any(word[:n] in self.heads for n in self.halves) or any(word[-n:] in self.tails for n in self.rests))
         like_root = any(word[:n] in self.begins for n in self.firsts) or any((k, word[k:e]) in self.parts for k, e in self.places)
         return FUZZY if (like_word or like_root) and self.near.fuzzy(word) else 0.0
@@ -175,36 +209,43 @@ def _context(lower: str, words: list[str], spans: list[tuple[int, int]], k: int)
     return factor
 
 
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, before, toxic) of training rows, each once in a row."""
+def _words(batches: Iterator[pa.RecordBatch], most: int = 100_000) -> Iterator[pa.RecordBatch]:
+    """(word, before, toxic, row) of training rows, each once in a row; about `most` at a time."""
+
+    def made(rows: list[tuple[str, str, int, int]]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True) if rows else ((),) * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.int64()), strict=True)], ["word", "before", "y", "row"])
+
+    held: list[tuple[str, str, int, int]] = []
     for batch in batches:
-        out: set[tuple[str, str, int, int]] = set()
         for y, text, row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             words = TOKEN.findall(text.lower())
-            if y:
-                out.update((w, b, 1, row) for b, w in zip(["", *words], words, strict=False) if len(w) >= 3)
-            else:
-                out.update((w, "", 0, row) for w in set(words) if len(w) >= 3)
-        columns = zip(*out, strict=True) if out else ((),) * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.int64()), strict=True)], ["word", "before", "y", "row"])
+            held.extend((w, b, 1, row) for b, w in set(zip(["", *words], words, strict=False))) if y else held.extend((w, "", 0, row) for w in set(words))
+            if len(held) >= most:
+                yield made(held)
+                held = []
+    yield made(held)
 
 
 def _guarded(batches: Iterator[pa.RecordBatch], words: list[str], stems: list[str], roots: list[str]) -> Iterator[pa.RecordBatch]:
-    """Terms and roots that are an edit from a word of clean rows, or from its beginning, once for each such word."""
+    """(term, word): terms and roots that are an edit from a word of clean rows, or from its beginning."""
     lexicon = Lexicon(dict.fromkeys(words, EXACT), stems, words, roots=roots)
     for batch in batches:
-        near = [t for w in batch.column(0).to_pylist() if lexicon.weight(w) == FUZZY for t in lexicon.near.fuzzy(w)]
-        yield pa.RecordBatch.from_arrays([pa.array(near, pa.string())], ["term"])
+        near = [(t, w) for w in batch.column(0).to_pylist() if lexicon.weight(w) == FUZZY for t in lexicon.near.fuzzy(w)]
+        term, word = zip(*near, strict=True) if near else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(term, pa.string()), pa.array(word, pa.string())], ["term", "word"])
 
 
-def learn(training: DataFrame, rows: int = 2, endings: int = 3, impure: float = 0.01, stray: float = 0.2, doubt: float = 0.2, family: int = 5, terms: int = 20_000) -> Lexicon:
+def learn(training: DataFrame, rows: int = 2, endings: int = 3, impure: float = 0.01, stray: float = 0.2, doubt: float = 0.2, family: int = 5) -> Lexicon:
     """A lexicon from (label, _text, doc_id).
 
     Contexts of a word are the different words before it. A word in toxic rows, at least `rows` of them, and in few clean ones
     (at most the share `stray` of its contexts) is a term if chance gives less than `doubt` of the words with its number of contexts:
-    of N words in n rows, toxic rows being the share p of all words, N p^n would be in toxic rows alone. A term weighs one less that
-    share. Where `endings` terms begin with the same `family` letters, further pure words of toxic rows that do are terms. A stem
-    begins `endings` such words and is in clean rows for at most the share `impure`. At most `terms` of each, the most frequent. Then the slopes are fitted.
+    of N words in n rows, toxic rows being the share p of all words, N p^n would be in toxic rows alone. A term weighs the less the more
+    of `doubt` that share and its share in clean rows use up. Where `endings` terms begin with the same `family` letters, further pure words of toxic rows that do are terms. A stem
+    begins `endings` such words and is in clean rows for at most the share `impure`. What reaches the driver is the terms, which the sample of
+    rows bounds. Terms of LOOSE letters and more count misspelled too, but for those that CROWD clean words or more are an edit from; a
+    clean word beside a term is no misspelling of it. Then the slopes are fitted.
     """
     tokens = training.select("label", "_text", F.xxhash64("doc_id").alias("row")).mapInArrow(_words, "word string, before string, y int, row long")
     toxic = tokens.groupBy("word", "before", "y").agg(F.min("row").alias("row"), F.count_distinct("row").alias("n"))
@@ -224,23 +265,26 @@ def learn(training: DataFrame, rows: int = 2, endings: int = 3, impure: float =
     least = min((n for n in weights if all(weights[m] > 1 - doubt for m in weights if m >= n)), default=once)
     # A few clean rows may hold a term too: each must be made up for by two more contexts.
     mostly = (F.col("contexts") >= least + 2 * F.col("clean")) & (F.col("clean") <= stray * F.col("contexts"))
-    chosen = counts.where(mostly & (F.col("rows") >= rows)).orderBy(F.desc("contexts"), "word").limit(terms)
-    words = {r["word"]: weights.get(min(once, r["contexts"]), 1.0) * (1 - r["clean"] / r["contexts"]) for r in chosen.collect()}
+    chosen = counts.where(mostly & (F.col("rows") >= rows))
+    # A term of doubtful purity weighs less than its purity: nothing where the doubt is all that is allowed.
+    sure = lambda x: max(0.0, 1 - (1 - x) / doubt)
+    words = {r["word"]: sure(weights.get(min(once, r["contexts"]), 1.0) * (1 - r["clean"] / r["contexts"])) for r in chosen.collect()}
     begin = Counter(w[:family] for w in words if len(w) > family)
     kin = [k for k, n in begin.items() if n >= endings]
     if kin:
-        more = counts.where(pure & F.substring("word", 1, family).isin(kin) & (F.length("word") > family)).orderBy(F.desc("contexts"), "word").limit(terms)
-        words = {r["word"]: 1 - doubt for r in more.collect()} | words
+        more = counts.where(pure & F.substring("word", 1, family).isin(kin) & (F.length("word") > family))
+        words = {r["word"]: sure(1 - doubt / 2) for r in more.collect()} | words
     prefixes = F.explode(F.array(*(F.substring("word", 1, n) for n in STEMS))).alias("stem")
     grown = counts.where(F.length("word") >= STEMS[0]).select("word", "contexts", "rows", "clean", prefixes).distinct()
     by_stem = grown.groupBy("stem").agg(F.sum("contexts").alias("contexts"), F.sum("rows").alias("rows"), F.count(F.when(F.col("contexts") > 0, 1)).alias("endings"), F.sum("clean").alias("clean"))
     # Prefixes are as many as words, and each is tried once more: a little more evidence than for a word.
-    found = by_stem.where(pure & (F.col("contexts") >= least + 2) & (F.col("rows") >= rows + 1) & (F.col("endings") >= endings)).orderBy(F.desc("contexts"), "stem").limit(terms)
+    found = by_stem.where(pure & (F.col("contexts") >= least + 2) & (F.col("rows") >= rows + 1) & (F.col("endings") >= endings))
     stems: list[str] = []
     for stem in sorted((r["stem"] for r in found.collect()), key=lambda s: (len(s), s)):
         if not any(stem.startswith(t) for t in stems):
             stems.append(stem)
-    loose = {w for w, x in words.items() if len(w) >= 4 and x > 0.9}
+    words = {w: x for w, x in words.items() if x > 0}
+    loose = {w for w, x in words.items() if len(w) >= LOOSE and x > 0.9}
     words = {w: x for w, x in words.items() if not any(w.startswith(t) for t in stems)}
     roots: list[str] = []
     if stems:
@@ -248,17 +292,22 @@ def learn(training: DataFrame, rows: int = 2, endings: int = 3, impure: float =
         spark = training.sparkSession
         begun = grown.where(pure).join(F.broadcast(spark.createDataFrame([(t,) for t in stems], "stem string")), "stem")
         family_of: dict[str, list[str]] = defaultdict(list)
-        for row in begun.orderBy(F.desc("contexts"), "word").limit(terms).select("stem", "word").collect():
+        for row in begun.select("stem", "word").collect():
             family_of[row["stem"]].append(row["word"])
-        loose.update(w for ws in family_of.values() for w in ws)
+        loose.update(w for ws in family_of.values() for w in ws if len(w) >= LOOSE)
         # With a letter missing it must still be as long as a stem.
         roots = sorted({t for ws in family_of.values() if len(t := commonprefix(ws)) > STEMS[0]})
-    loose = sorted(loose)
+    loose, known = sorted(loose), set()
     if loose:
         clean = counts.where("contexts = 0 or clean > 0").select("word")
-        shaky = {r["term"] for r in clean.mapInArrow(partial(_guarded, words=loose, stems=stems, roots=roots), "term string").distinct().collect()}
-        loose, roots = [w for w in loose if w not in shaky], [t for t in roots if t not in shaky]
-    lexicon = Lexicon(words, stems, loose, roots=roots)
+        near = checkpointed(clean.mapInArrow(partial(_guarded, words=loose, stems=stems, roots=roots), "term string, word string").distinct())
+        sizes = near.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+        crowded = {r["term"] for r in sizes.where(F.col("n") >= CROWD).collect()} | {r["term"] for r in sizes.collect() if r["term"] in set(roots)}
+        loose, roots = [w for w in loose if w not in crowded], [t for t in roots if t not in crowded]
+        # Under CROWD clean words for each term that stays.
+        few = near.join(sizes.where(F.col("n") < CROWD), "term", "left_semi").select("word").distinct()
+        known = {r["word"] for r in few.collect()}
+    lexicon = Lexicon(words, stems, loose, roots=roots, known=known)
     shared = training.sparkSession.sparkContext.broadcast(lexicon)
     fitted = training.select("label", "_text").mapInArrow(partial(_inputs, lexicon=shared), "y int, a double, b double").collect()
     lexicon.bias, lexicon.slopes = _slopes(np.array(sorted(tuple(r) for r in fitted), dtype=float).reshape(-1, 3))
@@ -275,9 +324,9 @@ def _slopes(rows: np.ndarray, ridge: float = 0.02, steps: int = 50) -> tuple[flo
     """Bias and slopes of a logistic fit by Newton steps, slopes not below 0; without both labels, the defaults."""
     if not len(rows) or rows[:, 0].min() == rows[:, 0].max():
         return Lexicon.bias, Lexicon.slopes
-    # Weak prior: one plain hit is abuse, half of one (a quotation, a lone misspelling) isn't. Else, where every toxic row of the sample
+    # Weak prior: one hit is abuse, misspelled or not, and one in quotation isn't. Else, where every toxic row of the sample
     # has many hits, the bound would lie far above one.
-    rows = np.concatenate([rows, [[1, np.log1p(1.0), 0.05], [0, np.log1p(0.5), 0.02]] * 5])
+    rows = np.concatenate([rows, [[1, np.log1p(FUZZY), 0.05], [0, np.log1p(QUOTED), 0.03]] * 5])
     y, x = rows[:, 0], np.column_stack([np.ones(len(rows)), rows[:, 1:]])
     w = np.array([-2.0, 1.0, 0.0])
     for _ in range(steps):
@@ -298,7 +347,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """One row per row of docs: doc_id, held_out, score, predicted (score >= threshold).
 
     The lexicon is learned from at most about `most` labelled rows outside the held-out fifth (parameter; their word counts
-    stay distributed, and terms, at most 20,000 words and stems, reach the driver). Null texts count as empty; a text without a hit
+    stay distributed, and the terms reach the driver). Very long texts count whole. Null texts count as empty; a text without a hit
     gets the bias alone. Labels that are null or not 0 or 1 teach nothing; without toxic labels nothing is toxic.
     Repeated rows repeat; an empty table gives an empty result; other columns are ignored.
     """
@@ -316,7 +365,10 @@ def _clean(batches: Iterator[pa.RecordBatch], lexicon: object, threshold: float,
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", threshold: float = 0.5, most: int = 20_000) -> DataFrame:
-    """docs without the rows that toxicity() predicts; rows and columns of the rest stay as they are."""
+    """docs without the rows that toxicity() predicts; rows and columns of the rest stay as they are, whatever the columns are called: null
+    and empty texts stay, repeated rows stay or go together, and an empty table stays empty."""
     training = checkpointed(training_rows(docs, labels, label, most, id_col, text_col))
     lexicon = docs.sparkSession.sparkContext.broadcast(learn(training))
-    return docs.mapInArrow(partial(_clean, lexicon=lexicon, threshold=threshold, column=docs.columns.index(text_col)), docs.schema)
+    names = docs.columns
+    own = docs.toDF(*(f"_column{k}" for k in range(len(names))))
+    return own.mapInArrow(partial(_clean, lexicon=lexicon, threshold=threshold, column=names.index(text_col)), own.schema).toDF(*names)
