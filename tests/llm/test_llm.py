@@ -318,8 +318,15 @@ def test_suffix_dedup(spark, length, gram, block, flush):
         docs.append((i * 3, text))
     docs += [(1000, "a" * 500), (1001, "a" * 99), (1002, None), (1003, ""), (1004, "ab" * 300)]
     df = spark.createDataFrame([(i, t, "x") for i, t in docs], "doc_id long, text string, part string")
+    want = brute_removed(docs, length)
     got = suffix_dedup(df, length=length, gram=gram, block=block, flush=flush).drop("spans").collect()
-    assert sorted(map(tuple, got)) == brute_removed(docs, length)
+    assert sorted(map(tuple, got)) == want
+    # Every gram with several contexts is hot; and fingerprints of few bits, which collide, so that the next attempt gives the result.
+    for options in ({"sample": 1, "hot": 0}, {"bits": 12}, {"bits": 3, "sample": 1, "hot": 0}):
+        got = suffix_dedup(df, length=length, gram=gram, block=block, flush=flush, **options).drop("spans").collect()
+        assert sorted(map(tuple, got)) == want, options
+    with pytest.raises(RuntimeError, match="collided"):
+        suffix_dedup(df, length=length, gram=gram, block=block, flush=flush, bits=3, attempts=1)
 
 
 def test_suffix_dedup_ids(spark):
