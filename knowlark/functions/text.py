@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Function characters and two-character function words that retrieval ignores. Fixed values.
 STOP_CHARS = "的一是在了有和与就这那也都而及或把被很个中上下为等对从到于之以其所者能会可要还但并"
@@ -74,9 +78,21 @@ def levenshtein_similarity(a: Column, b: Column) -> Column:
     )
 
 
+@F.pandas_udf(T.StringType())
+def _folded(names: pd.Series) -> pd.Series:
+    return names.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
+
+
+def fold_names(c: Column) -> Column:
+    """Compatibility forms (full-width letters, ligatures) as plain ones: NFKC, which has no built-in. Where no name holds a character
+    beyond ASCII, none travels to Python but an empty string."""
+    plain = ~c.rlike(r"[^\x00-\x7F]")
+    return F.when(plain, c).otherwise(_folded(F.when(plain, "").otherwise(c)))
+
+
 def normalize_name(c: Column) -> Column:
-    """Lower-cased without white space and ASCII punctuation. Compatibility forms are folded beforehand by fold_names."""
-    return F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"[\s\p{Punct}]+", ""))
+    """Lower-cased without white space and ASCII punctuation, compatibility forms folded."""
+    return F.lower(F.regexp_replace(fold_names(F.coalesce(c, F.lit(""))), r"[\s\p{Punct}]+", ""))
 
 
 def safe_file_name(c: Column) -> Column:
@@ -113,6 +129,16 @@ def mask_secret(c: Column) -> Column:
     return F.when(c.isNull() | (c == ""), "").when(F.length(c) <= 8, "****").otherwise(F.concat(F.left(c, F.lit(4)), F.lit("****"), F.right(c, F.lit(4))))
 
 
+def encrypt(c: Column, key: Column) -> Column:
+    """A secret by AES-256-GCM with a nonce of 12 bytes before it, in Base64; null stays."""
+    return F.base64(F.aes_encrypt(c.cast("string"), key, F.lit("GCM")))
+
+
+def decrypt(c: Column, key: Column) -> Column:
+    """What encrypt() made; a wrong key fails the job, as tampering does."""
+    return F.aes_decrypt(F.unbase64(c), key, F.lit("GCM")).cast("string")
+
+
 def lenient_json(c: Column) -> Column:
     """From the first `{` to the last `}`, without trailing commas; null if there is no such span."""
     span = F.regexp_extract(c, r"(?s)(\{.*\})", 1)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DIM = 512
 
@@ -43,3 +46,15 @@ def token_weight(token: Column, hashed: Column) -> Column:
 
 def token_slot(hashed: Column) -> Column:
     return F.pmod(hashed, F.lit(DIM)).cast("int")
+
+
+@F.pandas_udf(T.BinaryType())
+def to_bytes(v: pd.Series) -> pd.Series:
+    """A vector as big-endian 32-bit floats."""
+    return v.map(lambda x: np.asarray(x, ">f4").tobytes(), na_action="ignore")
+
+
+@F.pandas_udf(T.ArrayType(T.FloatType()))
+def from_bytes(b: pd.Series) -> pd.Series:
+    """The vector that to_bytes() made; bytes beyond whole floats are left out."""
+    return b.map(lambda x: np.frombuffer(x[: len(x) // 4 * 4], ">f4").astype("f4"), na_action="ignore")

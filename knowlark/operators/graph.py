@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from knowlark.functions.text import levenshtein_similarity, tokens
+from knowlark.functions.text import lenient_json, levenshtein_similarity, normalize_name, tokens
+from knowlark.operators.layout import checkpointed
+from knowlark.operators.models import trimmed
 
 UNCATEGORISED = "未分类"
 
@@ -91,6 +93,11 @@ def match_entities(entities: DataFrame, queries: DataFrame, top: int = 5, strict
     return scored.select("query_id", "entity_id", F.round(text, 6).alias("score")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
 
 
+def full_view(entities: DataFrame, relations: DataFrame, limit: int = 400) -> DataFrame:
+    """Relations among the entities of the highest degree."""
+    return induced(relations, top_nodes(entities, relations, limit).select("entity_id"))
+
+
 def graph_retrieve(matched: DataFrame, relations: DataFrame, entity_chunk: DataFrame, hops: int = 2, cap: int = 15) -> DataFrame:
     """(query_id, chunk_id, score): chunks of matched entities (query_id, entity_id, score) by their best score, those of their
     neighbours at 0.5 where they have none; the best `cap` of each query."""
@@ -128,31 +135,55 @@ def relation_dedup(relations: DataFrame) -> DataFrame:
 
 
 def fuzzy_pairs(entities: DataFrame, least: float = 0.77, prefix: int = 2) -> DataFrame:
-    """(a, b, similarity) of names in one kb with equal first characters and a similarity of at least `least`, a < b.
+    """(kb_id, a, b, name_a, name_b, similarity) of names in one kb with equal first characters and a similarity of at least `least`, a < b.
 
-    A length too different rules a pair out before any distance is computed.
+    Names of n characters that are so alike are at most k = (1 - least) x n edits apart, and then one of k + 1 even pieces of the shorter name
+    is in the longer one unchanged, at most k places off: names meet by their first characters, the shorter one's length and such a
+    piece, not in whole blocks. The distance is computed once for each pair that meets.
     """
     named = entities.where("name is not null and name <> ''").select("kb_id", "entity_id", "name", F.lower(F.substring("name", 1, prefix)).alias("block"), F.length("name").alias("n"))
-    left = named.select("kb_id", "block", F.col("entity_id").alias("a"), F.col("name").alias("name_a"), F.col("n").alias("n_a"))
-    right = named.select("kb_id", "block", F.col("entity_id").alias("b"), F.col("name").alias("name_b"), F.col("n").alias("n_b"))
-    near = left.join(right, ["kb_id", "block"]).where((F.col("a") < F.col("b")) & (F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b")))
-    scored = near.select("kb_id", "a", "b", F.round(levenshtein_similarity(F.col("name_a"), F.col("name_b")), 6).alias("similarity"))
-    return scored.where(F.col("similarity") >= least)
-
-
-def resolve(entities: DataFrame, merge: float = 0.92) -> DataFrame:
+    # The shorter name has m characters; the longer one at most m / least, so k is at most (1 - least) x m / least.
+    edits = F.floor((1 - least) * F.floor(F.col("n") / F.lit(least) + 1e-9) + 1e-9).cast("int")
+    left = named.withColumn("k", F.least(edits, F.col("n") - 1)).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k"))))
+    begin, end = F.floor(F.col("j") * F.col("n") / (F.col("k") + 1)).cast("int"), F.floor((F.col("j") + 1) * F.col("n") / (F.col("k") + 1)).cast("int")
+    left = left.select("kb_id", "block", F.col("entity_id").alias("a"), F.col("name").alias("name_a"), F.col("n").alias("m"), "j", F.substr("name", begin + 1, end - begin).alias("piece"))
+    # A longer (or equally long) name offers, for each possible shorter length, the pieces at places up to k off.
+    longer = named.withColumn("m", F.explode(F.sequence(F.ceil(F.lit(least) * F.col("n") - 1e-9).cast("int"), F.col("n"))))
+    edits = F.floor((1 - least) * F.floor(F.col("m") / F.lit(least) + 1e-9) + 1e-9).cast("int")
+    longer = longer.withColumn("k", F.least(edits, F.col("m") - 1)).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k"))))
+    begin, end = F.floor(F.col("j") * F.col("m") / (F.col("k") + 1)).cast("int"), F.floor((F.col("j") + 1) * F.col("m") / (F.col("k") + 1)).cast("int")
+    longer = longer.withColumn("at", F.explode(F.sequence(F.greatest(begin - F.col("k"), F.lit(0)), F.least(begin + F.col("k"), F.greatest(F.col("n") - (end - begin), F.lit(0))))))
+    right = longer.select("kb_id", "block", F.col("entity_id").alias("b"), F.col("name").alias("name_b"), F.col("n").alias("n_b"), "m", "j", F.substr("name", F.col("at") + 1, end - begin).alias("piece")).distinct()
+    met = left.join(right, ["kb_id", "block", "m", "j", "piece"]).where((F.col("n_b") > F.col("m")) | (F.col("a") < F.col("b"))).where("a <> b")
+    first = F.col("a") < F.col("b")
+    pairs = met.select(
+        "kb_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(first, F.col("name_a")).otherwise(F.col("name_b")).alias("name_a"), F.when(first, F.col("name_b")).otherwise(F.col("name_a")).alias("name_b")
+    ).distinct()
+    return pairs.withColumn("similarity", F.round(levenshtein_similarity(F.col("name_a"), F.col("name_b")), 6)).where(F.col("similarity") >= least)
+
+
+def resolve(entities: DataFrame, merge: float = 0.92, decided: DataFrame | None = None) -> DataFrame:
     """(entity_id, root): equal names in a kb are one entity, and so are names linked by a similarity of at least `merge`; the root
-    is the smallest id. Names between merge and lower similarity are for a model to decide, on fuzzy_pairs()."""
+    is the smallest id. Names between merge and a lower similarity are for a model to decide: decided are pairs (a, b) that it merged.
+
+    Each round takes the least root among a node's neighbours and then its root's root, so a path's length at least halves; lineage is
+    cut by a checkpoint every round.
+    """
     same = entities.withColumn("root", F.min("entity_id").over(Window.partitionBy("kb_id", "name")))
     heads = same.where("entity_id = root").select("kb_id", "entity_id", "name")
     edges = fuzzy_pairs(heads, merge).select("a", "b")
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().cache()
-    state = heads.select(F.col("entity_id").alias("node"), F.col("entity_id").alias("top"))
+    if decided is not None:
+        edges = edges.unionByName(decided.select("a", "b"))
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    both = checkpointed(both)
+    state = checkpointed(heads.select(F.col("entity_id").alias("node"), F.col("entity_id").alias("top")))
     while True:
         near = both.join(state, F.col("b") == F.col("node")).groupBy("a").agg(F.min("top").alias("near"))
-        moved = state.join(near, F.col("node") == F.col("a"), "left").select("node", F.col("top").alias("was"), F.least("top", F.coalesce("near", "top")).alias("top")).cache()
-        changed = moved.where("top <> was").limit(1).count()
-        state = moved.select("node", "top")
+        moved = checkpointed(state.join(near, F.col("node") == F.col("a"), "left").select("node", F.col("top").alias("was"), F.least("top", F.coalesce("near", "top")).alias("top")))
+        over = moved.select(F.col("node").alias("_head"), F.col("top").alias("_over"))
+        state = checkpointed(moved.join(over, F.col("top") == F.col("_head")).select("node", "was", F.col("_over").alias("top")))
+        changed = state.where("top <> was").limit(1).count()
+        state = state.select("node", "top")
         if not changed:
             break
     return same.join(state, F.col("root") == F.col("node")).select("entity_id", F.col("top").alias("root"))
@@ -171,10 +202,50 @@ def extract_batches(chunks: DataFrame, size: int = 4) -> DataFrame:
     return chunks.select("kb_id", F.floor((n - 1) / size).cast("int").alias("batch_id"), "chunk_id")
 
 
+def built(entities: DataFrame, relations: DataFrame, batches: DataFrame, known: DataFrame, merge: float = 0.92, decided: DataFrame | None = None) -> dict[str, DataFrame]:
+    """entities, relations and entity_chunk of extracted entities (kb_id, batch_id, name, entity_type, description) and relations (kb_id,
+    batch_id, source, target, relation_type, description), beside known entities (entity_id, kb_id, name, entity_type, description).
+
+    Names are trimmed, blank ones skipped. A name is a known entity's, or merged with one (as in resolve(), known ones first), or new, with
+    the type 概念 where none is given. The longest description of a name stays. Every entity of a batch is linked to every chunk of the
+    batch (batches: kb_id, batch_id, chunk_id). A relation's ends are found by normalised name in its batch, then by exact name, and
+    else become entities of the type 未分类 without chunks; relations of an end to itself by name are skipped and each (source, target,
+    type) stays once. New ids are hashes of kb and name.
+    """
+    named = entities.select("kb_id", "batch_id", trimmed(F.col("name")).alias("name"), trimmed(F.col("entity_type")).alias("entity_type"), trimmed(F.col("description")).alias("description")).where("name <> ''")
+    ends = relations.select(
+        "kb_id", "batch_id", trimmed(F.col("source")).alias("source"), trimmed(F.col("target")).alias("target"), trimmed(F.col("relation_type")).alias("relation_type"), trimmed(F.col("description")).alias("description")
+    ).where("source <> '' and target <> '' and source <> target")
+    ids = F.pmod(F.xxhash64("kb_id", "name"), F.lit(1 << 62)) + F.lit(1 << 62)
+    old = known.select("entity_id", "kb_id", "name", "entity_type", F.coalesce("description", F.lit("")).alias("description"), F.lit(0).alias("new"))
+    fresh = named.select(ids.alias("entity_id"), "kb_id", "name", F.when(F.col("entity_type") == "", "概念").otherwise(F.col("entity_type")).alias("entity_type"), "description", F.lit(1).alias("new"))
+    order = F.struct("new", "entity_id", "entity_type")
+    all_ = old.unionByName(fresh).groupBy("kb_id", "name").agg(
+        F.min(order).alias("_first"), F.max_by("description", F.struct(F.length("description"), -F.col("new"), F.col("description"))).alias("description")
+    )
+    all_ = checkpointed(all_.select("kb_id", "name", F.col("_first.entity_id").alias("entity_id"), F.col("_first.entity_type").alias("entity_type"), "description"))
+    of = checkpointed(all_.join(resolve(all_, merge, decided), "entity_id").select("kb_id", "name", F.col("root").alias("entity_id")))
+    kept = all_.join(of.select("entity_id").distinct(), "entity_id", "left_semi")
+    in_batch = named.join(of, ["kb_id", "name"]).select("kb_id", "batch_id", "name", "entity_id").distinct()
+    links = in_batch.join(batches, ["kb_id", "batch_id"]).select("entity_id", "chunk_id").distinct()
+    by_norm = in_batch.groupBy("kb_id", "batch_id", normalize_name(F.col("name")).alias("norm")).agg(F.min("entity_id").alias("in_batch"))
+
+    def with_end(rows: DataFrame, end: str) -> DataFrame:
+        found = rows.withColumn("norm", normalize_name(F.col(end))).join(by_norm, ["kb_id", "batch_id", "norm"], "left")
+        found = found.join(of.select("kb_id", F.col("name").alias(end), F.col("entity_id").alias("by_name")), ["kb_id", end], "left")
+        new = F.pmod(F.xxhash64("kb_id", end), F.lit(1 << 62)) + F.lit(1 << 62)
+        made = F.col("in_batch").isNull() & F.col("by_name").isNull()
+        return found.withColumn(f"{end}_id", F.coalesce("in_batch", "by_name", new)).withColumn(f"{end}_new", made).drop("norm", "in_batch", "by_name")
+
+    tied = checkpointed(with_end(with_end(ends, "source"), "target"))
+    extra = tied.where("source_new").select(F.col("source_id").alias("entity_id"), "kb_id", F.col("source").alias("name")).unionByName(tied.where("target_new").select(F.col("target_id").alias("entity_id"), "kb_id", F.col("target").alias("name")))
+    extra = extra.distinct().select("entity_id", "kb_id", "name", F.lit(UNCATEGORISED).alias("entity_type"), F.lit("").alias("description"))
+    made = tied.groupBy("kb_id", "source_id", "target_id", "relation_type").agg(F.min("description").alias("description"))
+    return {"entities": kept.select(*extra.columns).unionByName(extra), "relations": made, "entity_chunk": links}
+
+
 def from_json(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Entities and relations of a model's answers (kb_id, batch_id, answer), by lenient JSON; unknown fields are ignored."""
-    from knowlark.functions.text import lenient_json
-
     schema = "entities array<struct<name:string,type:string,description:string>>, relations array<struct<source:string,target:string,type:string,description:string>>"
     parsed = answers.select("kb_id", "batch_id", F.from_json(lenient_json(F.col("answer")), schema).alias("g"))
     entities = parsed.select("kb_id", "batch_id", F.inline("g.entities")).withColumnRenamed("type", "entity_type").where("trim(name) <> ''")

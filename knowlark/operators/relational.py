@@ -64,3 +64,33 @@ def status_counts(documents: DataFrame, key: str, status: str) -> DataFrame:
     return documents.groupBy(key).agg(
         F.count(F.lit(1)).alias("total"), *(F.count_if(F.col(status) == s).alias(name) for s, name in (("PENDING", "pending"), ("PROCESSING", "processing"), ("FAILED", "failed"), ("INDEXED", "indexed")))
     )
+
+
+def delete_knowledge_base(tables: dict[str, DataFrame], kb: int) -> dict[str, DataFrame]:
+    """Every table without a knowledge base's rows: those of its own kb_id, and links of its entities (entity_chunk)."""
+    gone = tables["entities"].where(F.col("kb_id") == kb).select("entity_id") if "entities" in tables else None
+    out = {}
+    for name, t in tables.items():
+        if "kb_id" in t.columns:
+            out[name] = t.where(~F.col("kb_id").eqNullSafe(F.lit(kb)))
+        elif gone is not None and "entity_id" in t.columns:
+            out[name] = t.join(gone, "entity_id", "left_anti")
+        else:
+            out[name] = t
+    return out
+
+
+def listed(table: DataFrame, *order: str) -> DataFrame:
+    """Rows in a listing's order: column names, `-` before those that descend; ties need a last key that is unique."""
+    return table.orderBy(*(F.desc(c[1:]) if c.startswith("-") else F.asc(c) for c in order))
+
+
+def deletable(categories: DataFrame, bases: DataFrame) -> DataFrame:
+    """Categories (id, parent_id) that may go: without children and without knowledge bases (category_id)."""
+    used = categories.select(F.col("parent_id").alias("id")).unionByName(bases.select(F.col("category_id").alias("id"))).distinct()
+    return categories.join(used, "id", "left_anti")
+
+
+def save_evaluation(result: DataFrame, folder: str, name: str) -> None:
+    """An evaluation's rows as JSON under folder/name; the folder appears whole or not at all, by the writer's commit."""
+    result.write.mode("overwrite").json(f"{folder}/{name}")

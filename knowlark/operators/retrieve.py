@@ -23,6 +23,11 @@ class Params:
     rerank: str = "hybrid"
     score_norm: str = "none"
 
+    @classmethod
+    def of(cls, **given: object) -> Params:
+        """A request's knobs, of which null ones take their defaults."""
+        return cls(**{k: v for k, v in given.items() if v is not None})
+
     @property
     def limit(self) -> int:
         return max(1, min(50, self.top_k))
@@ -34,14 +39,17 @@ class Params:
 
 def stages(chunks: DataFrame, queries: DataFrame, params: Params = Params(), graph_hits: DataFrame | None = None) -> dict[str, DataFrame]:
     """vector, keyword, fused and reranked hits (query_id, chunk_id, score, source, ...) of chunks (kb_id, chunk_id, content) for
-    queries (query_id, query). Every stage is one plan over all queries."""
+    queries (query_id, query). Every stage is one plan over all queries. If queries have a column `search`, words and vectors are searched by
+    it (a rewritten query); if they have `passage`, vectors by that (a hypothetical document). Reranking goes by the query."""
+    by_words = queries.withColumn("query", F.col("search")) if "search" in queries.columns else queries
+    by_vector = queries.withColumn("query", F.col("passage")) if "passage" in queries.columns else by_words
     store_min = 0.0 if params.hybrid else params.min_score
-    vector = sparse_search(chunks, queries, params.recall, store_min).select("query_id", "chunk_id", "score")
+    vector = sparse_search(chunks, by_vector, params.recall, store_min).select("query_id", "chunk_id", "score")
     if params.score_norm == "minmax":
         vector = minmax(vector)
     content = chunks.select("chunk_id", "content")
     if params.hybrid:
-        keyword = bm25(chunks, queries, params.recall).select("query_id", "chunk_id", "score")
+        keyword = bm25(chunks, by_words, params.recall).select("query_id", "chunk_id", "score")
         fused = rrf(vector, keyword, params.min_score)
     else:
         keyword = vector.limit(0)

@@ -71,24 +71,28 @@ def graph_merge(spark, sf):
     return fusion.merge_graph(hits, near).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "source")
 
 
-def _nations(spark, sf):
-    """Nations and their regions under longer and shorter spellings."""
-    n = c.table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("entity_id"), F.col("n_name").alias("name"))
-    other = n.select((F.col("entity_id") + 100).alias("entity_id"), F.concat("name", F.lit("S")).alias("name"))
-    same = n.select((F.col("entity_id") + 200).alias("entity_id"), "name")
-    return n.unionByName(other).unionByName(same).withColumn("kb_id", F.lit(1).cast("long")).withColumn("description", F.concat(F.lit("d"), F.col("entity_id").cast("string")))
+def _spellings(spark, sf):
+    """All parts, and every tenth once more under a longer spelling. (Suppliers' names differ in digits alone, so each is like all others.)"""
+    n = c.entities(spark, sf).where(F.col("entity_id") < SUPPLIER).select("entity_id", "name")
+    other = n.where("entity_id % 10 = 0").select((F.col("entity_id") + SUPPLIER).alias("entity_id"), F.concat("name", F.lit("s")).alias("name"))
+    return n.unionByName(other).withColumn("kb_id", F.lit(1).cast("long")).withColumn("description", F.concat(F.lit("d"), F.col("entity_id").cast("string")))
 
 
 def entity_fuzzy_pairs(spark, sf):
-    return graph.fuzzy_pairs(_nations(spark, sf)).select("a", "b", "similarity")
+    """Pairs among different names, each by its first entity."""
+    return graph.fuzzy_pairs(graph.merge_descriptions(_spellings(spark, sf))).select("a", "b", "similarity")
 
 
 def entity_resolve(spark, sf):
-    return graph.resolve(_nations(spark, sf), 0.85)
+    return graph.resolve(_spellings(spark, sf), 0.85)
 
 
 def entity_merge(spark, sf):
-    return graph.merge_descriptions(_nations(spark, sf)).select("name", "entity_id", "description")
+    return graph.merge_descriptions(_spellings(spark, sf)).select("name", "entity_id", "description")
+
+
+def graph_full_view(spark, sf):
+    return graph.full_view(c.entities(spark, sf), c.relations(spark, sf)).select("relation_id", "source_id", "target_id")
 
 
 def _answers(spark, sf):
@@ -106,8 +110,8 @@ def graph_from_json(spark, sf):
 
 
 _EDGES = "few as (select * from relations), ends as (select source_id as node, target_id as other from few union select target_id, source_id from few)"
-_NATIONS = """nations as (
-  select n_nationkey::bigint as entity_id, n_name as name from nation union all select n_nationkey + 100, n_name || 'S' from nation union all select n_nationkey + 200, n_name from nation)"""
+_SPELLINGS = f"""spellings as (
+  select p_partkey as entity_id, p_name as name from part union all select p_partkey + {SUPPLIER}, p_name || 's' from part where p_partkey % 10 = 0)"""
 SQL = {
     "graph_degree": f"with {RELATIONS} select entity_id, count(*) as degree from (select source_id as entity_id from relations union all select target_id from relations) group by 1",
     "graph_top_nodes": f"""with {ENTITIES}, {RELATIONS}, d as (select entity_id, count(*) as degree from (select source_id as entity_id from relations union all select target_id from relations) group by 1)
@@ -143,16 +147,21 @@ SQL = {
         select query_id, chunk_id, score, row_number() over (partition by query_id order by score desc, chunk_id) as rank from s qualify rank <= 15""",
     "graph_merge": """select i % 3 as query_id, i as chunk_id, round(case when i < 30 then (i % 11) / 11.0 when i < 60 then greatest((i % 11) / 11.0, 0.5) else 0.5 end, 6) as score,
           case when i < 30 then 'vector' when i < 60 then 'both' else 'graph' end as source from range(0, 90) t(i)""",
-    "entity_fuzzy_pairs": f"""with {_NATIONS}, p as (select a.entity_id as a, b.entity_id as b, round(case when a.name = b.name then 1 else 1 - levenshtein(a.name, b.name) / greatest(length(a.name), length(b.name)) end, 6) as similarity
-          from nations a join nations b on a.entity_id < b.entity_id and lower(substr(a.name, 1, 2)) = lower(substr(b.name, 1, 2)))
+    "entity_fuzzy_pairs": f"""with {_SPELLINGS}, n as (select name, min(entity_id) as entity_id from spellings group by 1),
+          p as (select a.entity_id as a, b.entity_id as b, round(1 - levenshtein(a.name, b.name) / greatest(length(a.name), length(b.name)), 6) as similarity
+                from n a join n b on a.entity_id < b.entity_id and lower(substr(a.name, 1, 2)) = lower(substr(b.name, 1, 2)))
         select * from p where similarity >= 0.77""",
-    "entity_merge": f"with {_NATIONS} select name, min(entity_id) as entity_id, arg_max('d' || entity_id, length('d' || entity_id) * 100000 - entity_id) as description from nations group by 1",
+    "entity_resolve": f"with {_SPELLINGS} select entity_id, min(entity_id) over (partition by case when entity_id >= {SUPPLIER} then name[:-2] else name end) as root from spellings",
+    "entity_merge": f"with {_SPELLINGS} select name, min(entity_id) as entity_id, arg_max('d' || entity_id, length('d' || entity_id) * 10000000000 - entity_id) as description from spellings group by 1",
+    "graph_full_view": f"""with {ENTITIES}, {RELATIONS}, d as (select entity_id, count(*) as degree from (select source_id as entity_id from relations union all select target_id from relations) group by 1),
+          n as (select entity_id from entities left join d using (entity_id) order by coalesce(degree, 0) desc, entity_id limit 400)
+        select relation_id, source_id, target_id from relations where source_id in (select entity_id from n) and target_id in (select entity_id from n)""",
     "graph_from_json": "select n_nationkey as batch_id, 'entity' as kind, n_name as name, null::varchar as target from nation union all select n_nationkey, 'relation', n_name, 'WORLD' from nation where n_nationkey % 2 = 1",
 }
 QUERIES_OF = {
     f.__name__: f
     for f in (
         graph_degree, graph_top_nodes, graph_stats, graph_bfs, graph_view, graph_multi_merge, relation_dedup, entity_provenance, entity_match, graph_retrieve, graph_merge,
-        entity_fuzzy_pairs, entity_resolve, entity_merge, graph_from_json,
+        entity_fuzzy_pairs, entity_resolve, entity_merge, graph_full_view, graph_from_json,
     )
 }

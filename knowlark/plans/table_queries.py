@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -250,6 +252,15 @@ _FIXED = """
       select *, length(regexp_extract(substr(text, look + 1, stop - look), '(?s)^.*[。！？；.!?;\n]')) as cut from (
         select *, least(s + {size}, n) as stop, greatest(s, least(s + {size}, n) - 120) as look from spans))),
   pieces as (select doc_id, k, regexp_replace(substr(text, s + 1, e - s), '^[\\x00-\\x20]+|[\\x00-\\x20]+$', '', 'g') as content from cuts)"""
+def _fixed(size: int, overlap: int, prefix: str = "") -> str:
+    """Recursive spans over src (doc_id, text); prefix names a second set over its own source."""
+    sql = _FIXED.format(size=size, overlap=overlap)
+    for name in ("walk", "spans", "cuts", "pieces", "src"):
+        sql = re.sub(rf"\b{name}\b", prefix + name, sql)
+    return sql
+
+
+_TRIM = r"regexp_replace({}, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g')"
 _CITED = """cited as (
   select cast(floor(doc_id / 5) as bigint) as query_id, doc_id % 5 + 1 as rank, doc_id as chunk_id, 'd' || doc_id as doc_name,
          case when doc_id % 2 = 0 then 'graph' else 'vector' end as source, text as content, (doc_id % 7) / 10.0 as score from documents)"""
@@ -272,6 +283,25 @@ SQL = {
         from (select *, row_number() over (order by p_partkey) as n from part) group by 1""",
     "table_to_json": """select n_nationkey, '{"sheet":"nation","n_nationkey":"' || n_nationkey || '","n_name":"' || n_name || '"}' as content from nation""",
     "chunk_fixed": f"with recursive src as (select doc_id, text from documents), {_FIXED.format(size=600, overlap=100)} select doc_id, row_number() over (partition by doc_id order by k) - 1 as position, content from pieces where content <> ''",
+    "chunk_parent_child": f"""with recursive src as (select doc_id, text from documents), {_fixed(600, 100)},
+          child_src as (select doc_id * 1000000 + k as doc_id, content as text from pieces where content <> ''), {_fixed(200, 100, "child_")}
+        select doc_id // 1000000 as doc_id, row_number() over (partition by doc_id // 1000000 order by doc_id, k) - 1 as position, content, text as parent
+        from child_pieces join child_src using (doc_id) where content <> ''""",
+    "chunk_paragraph": rf"""with recursive paras as (
+            select doc_id, unnest(range(1, len(ps) + 1)) as i, unnest(ps) as p from (
+              select doc_id, list_filter(list_transform(regexp_split_to_array(replace(text, E'\n', E'\n\n'), '\n\s*\n'), lambda x: {_TRIM.format("x")}), lambda x: x <> '') as ps from documents)),
+          pack as (
+            select doc_id, 0::bigint as i, '' as buf, '' as done from documents
+            union all
+            select s.doc_id, s.i + 1, case when length(p) > 600 then '' when length(buf) + length(p) + 1 > 600 or buf = '' then p else buf || E'\n' || p end,
+                   case when length(p) > 600 or length(buf) + length(p) + 1 > 600 then buf else '' end
+            from pack s join paras q on q.doc_id = s.doc_id and q.i = s.i + 1),
+          src as (select doc_id * 1000000 + i as doc_id, p as text from paras where length(p) > 600), {_fixed(600, 100)},
+          flat as (
+            select doc_id, i, 0 as kind, 0 as k, done as content from pack
+            union all select doc_id // 1000000, doc_id % 1000000, 1, k, content from pieces
+            union all select doc_id, i, 2, 0, buf from pack qualify row_number() over (partition by doc_id order by i desc) = 1)
+        select doc_id, row_number() over (partition by doc_id order by i, kind, k) - 1 as position, content from flat where content <> ''""",
     "lookup_in": "select doc_id, source from documents where doc_id in (1, 5, 7, 1000000000000)",
     "upsert_latest": "select user_id, event_id, value from events qualify row_number() over (partition by user_id order by event_id desc) = 1",
     "upsert": f"with {c.VECTORS} select chunk_id, case when chunk_id % 10 = 0 then -1 else kb_id end as kb_id from vectors",

@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import html
 import io
+import json
 import posixpath
 import re
 import zipfile
@@ -18,13 +19,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knowlark.functions.text import parser_of
+from knowlark.functions.text import media_kind, parser_of
 
 GARBAGE, HEAD = 0.02, 4000
 DROPPED = {"script", "style", "noscript", "iframe", "nav", "footer", "header", "aside"}
-BLOCKS = {"p", "div", "br", "li", "ul", "ol", "tr", "table", "section", "article", "blockquote", "pre", "h1", "h2", "h3", "h4", "h5", "h6"}
+SCRIPTS = {"script", "style", "noscript", "iframe"}
+BLOCKS = {"p", "div", "br", "li", "tr", "table", "section", "blockquote", "pre", "h1", "h2", "h3", "h4"}
 VOID = {"br", "img", "hr", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
 MAX_MEDIA = 8 << 20
+#: Rows of a table that a summary is made from.
+SUMMARISED = 15
 
 
 def garbage_ratio(text: str) -> float:
@@ -39,22 +43,24 @@ def decode(raw: bytes) -> str:
 
 
 class _Html(HTMLParser):
-    def __init__(self) -> None:
+    """Collects text: each node of it trimmed and on a line, blocks after a line feed, headings and cells marked. dropped names the
+    elements that go with all they hold."""
+
+    def __init__(self, dropped: set[str]) -> None:
         super().__init__(convert_charrefs=True)
         self.out: list[str] = []
         self.title = ""
         self.inside: list[str] = []
+        self.unwanted = dropped
         self.dropped = 0
         self.in_title = False
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag == "title":
             self.in_title = True
-        if tag in VOID:
-            self.out += ["\n"] if tag == "br" and not self.dropped else []
-            return
-        self.inside.append(tag)
-        self.dropped += tag in DROPPED
+        if tag not in VOID:
+            self.inside.append(tag)
+            self.dropped += tag in self.unwanted
         if self.dropped:
             return
         if tag in BLOCKS:
@@ -63,6 +69,8 @@ class _Html(HTMLParser):
             self.out.append("#" * int(tag[1]) + " ")
         if tag in ("td", "th"):
             self.out.append("| ")
+        if tag == "tr":
+            self.out.append("\n")
 
     def handle_endtag(self, tag: str) -> None:
         if tag == "title":
@@ -70,7 +78,9 @@ class _Html(HTMLParser):
         if tag in self.inside:
             while self.inside:
                 top = self.inside.pop()
-                self.dropped -= top in DROPPED
+                self.dropped -= top in self.unwanted
+                if top in ("td", "th") and not self.dropped:
+                    self.out.append(" ")
                 if top == tag:
                     break
 
@@ -78,20 +88,24 @@ class _Html(HTMLParser):
         if self.in_title:
             self.title += data
         elif not self.dropped and "head" not in self.inside:
-            text = re.sub(r"\s+", " ", data)
-            if text.strip() or (text and self.out and not self.out[-1].endswith(("\n", " "))):
-                self.out.append(text)
+            text = re.sub(r"\s+", " ", data).strip()
+            if text:
+                self.out.append(text + "\n")
 
 
-def html_text(source: str) -> str:
-    """`# title`, then the body's text: a line for each block, headings marked, cells after bars; navigation and scripts dropped."""
-    parser = _Html()
+def _read_html(source: str, dropped: set[str]) -> tuple[str, str]:
+    """Title and body text."""
+    parser = _Html(dropped)
     parser.feed(source)
     parser.close()
-    body = re.sub(r" *\n *", "\n", "".join(parser.out))
-    body = re.sub(r"\n{2,}", "\n", body).strip()
-    title = re.sub(r"\s+", " ", parser.title).strip()
-    return f"# {title}\n{body}".strip() if title else body
+    return re.sub(r"\s+", " ", parser.title).strip(), "".join(parser.out)
+
+
+def html_text(source: str) -> str:
+    """`# title`, then the body's text: a line for each text node, blocks apart, headings marked, cells after bars; navigation and
+    scripts dropped."""
+    title, body = _read_html(source, DROPPED)
+    return (f"# {title}\n\n{body}" if title else body).strip()
 
 
 def parse_html(raw: bytes, name: str = "") -> str:
@@ -125,6 +139,34 @@ def markdown(sheet: str, rows: list[list[str]], batch: int = 1000) -> list[str]:
     return [top + "\n".join(map(line, body[k : k + batch])) for k in range(0, max(1, len(body)), batch)]
 
 
+def json_lines(sheet: str, rows: list[list[str]]) -> list[str]:
+    """One JSON object per row: the sheet, then cells by the header in its order. Short rows are padded, cells beyond the header dropped; of a
+    repeated name the last cell stays."""
+    head = rows[0] if rows else []
+    return [json.dumps({"sheet": sheet} | {h: r[k] if k < len(r) else "" for k, h in enumerate(head)}, ensure_ascii=False, separators=(",", ":")) for r in rows[1:]]
+
+
+def table_chunks(name: str, raw: bytes, strategy: str, summarise: Callable[[str], str] | None = None) -> list[str] | None:
+    """Chunks of a table file by strategy: table_json gives a chunk for each row; table_summary puts a model's summary of the first 15
+    before them, if there is one. None for other strategies (the text is then split like other texts) and other files."""
+    if strategy not in ("table_json", "table_summary"):
+        return None
+    if name.lower().endswith(".csv"):
+        rows = json_lines("CSV", csv_rows(raw))
+    elif name.lower().endswith(".xlsx"):
+        rows = [line for sheet, cells in xlsx_sheets(raw) for line in json_lines(sheet, cells)]
+    else:
+        return None
+    if strategy == "table_summary" and rows and summarise is not None:
+        sample = "\n".join(f"{k}. {r}" for k, r in enumerate(rows[:SUMMARISED], 1))
+        try:
+            told = (summarise(f"{posixpath.basename(name)}\n{sample}") or "").strip()
+        except Exception:  # noqa: BLE001  rows go in without a summary
+            told = ""
+        rows = [f"【表格摘要】{told}", *rows] if told else rows
+    return rows
+
+
 def parse_csv(raw: bytes, name: str = "") -> str:
     return "\n\n".join(markdown(posixpath.basename(name), csv_rows(raw)))
 
@@ -229,12 +271,10 @@ def parse_epub(raw: bytes, name: str = "") -> str:
         path = posixpath.normpath(posixpath.join(posixpath.dirname(place), html.unescape(items.get(ref) or "")))
         if path not in names:
             continue
-        parser = _Html()
-        parser.feed(pack.read(path).decode("utf-8", "replace"))
-        text = re.sub(r"\n{2,}", "\n", re.sub(r" *\n *", "\n", "".join(parser.out))).strip()
+        chapter, body = _read_html(pack.read(path).decode("utf-8", "replace"), SCRIPTS)
+        n += 1  # an empty chapter counts
+        text = re.sub(r"\n{2,}", "\n", body).strip()
         if text:
-            n += 1
-            chapter = re.sub(r"\s+", " ", parser.title).strip()
             out.append(f"## 第 {n} 章：{chapter}\n{text}" if chapter else f"## 第 {n} 章\n{text}")
     return "\n\n".join(out)
 
@@ -293,10 +333,46 @@ def pages_text(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "html").mapInArrow(_html, "page_id long, text string")
 
 
+def _csv_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for path, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            rows = csv_rows(raw)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([path] * len(rows), pa.string()), pa.array(range(len(rows)), pa.int64()), pa.array(rows, pa.list_(pa.string()))], ["path", "row", "cells"]
+            )
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV file with a header as strings, trimmed."""
-    df = spark.read.csv(path, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
-    return df.select(*(F.trim(F.col(f"`{c}`")).alias(c) for c in df.columns))
+    """CSV files with one header as trimmed strings, by the rules of csv_rows(). Short rows are padded with empty cells, cells beyond the
+    header dropped; of columns with one name the last stays."""
+    cells = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_csv_cells, "path string, row long, cells array<string>")
+    head = cells.where("row = 0").orderBy("path").first()
+    last = {name: k for k, name in enumerate(head["cells"] if head else [])}
+    return cells.where("row > 0").select(*(F.coalesce(F.get("cells", F.lit(k)), F.lit("")).alias(name) for name, k in last.items()))
+
+
+def file_chunks(files: DataFrame, strategy: str = "table_text", summarise: Callable[[str], str] | None = None, multimodal: bool = False) -> DataFrame:
+    """(path, position, content, error) of files (path, content): rows of tables by strategy, whole texts of other files. Media files are
+    an error where the knowledge base is of text only."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for path, kind, parser, raw in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                if kind != "other" and not multimodal:
+                    rows.append((path, 0, None, "media in a knowledge base of text only"))
+                    continue
+                try:
+                    table = table_chunks(path, raw, strategy, summarise)
+                except Exception as x:  # noqa: BLE001  whatever a broken file raises is its row's error
+                    rows.append((path, 0, None, f"{type(x).__name__}: {x}"))
+                    continue
+                rows += [(path, 0, *parse_file(path, parser, raw))] if table is None else [(path, k, t, None) for k, t in enumerate(table)]
+            columns = zip(*rows, strict=True) if rows else ((),) * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string(), pa.string()), strict=True)], ["path", "position", "content", "error"])
+
+    typed = files.select("path", media_kind(F.col("path")).alias("kind"), parser_of(F.col("path")).alias("parser"), "content")
+    return typed.mapInArrow(each, "path string, position long, content string, error string")
 
 
 def describe_media(files: DataFrame, model: Callable[[bytes, str], str] | None = None) -> DataFrame:

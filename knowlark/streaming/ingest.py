@@ -11,7 +11,7 @@ from knowlark.operators.lexical import postings
 from knowlark.operators.vector import hash_embed
 
 DOCUMENT = "doc_id long, kb_id long, text string"
-TABLES = ("chunks", "postings", "vectors")
+TABLES = ("chunks", "postings", "vectors", "documents")
 
 
 def prepared(docs: DataFrame, strategy: str = "fixed", size: int = 600, overlap: int = 100) -> dict[str, DataFrame]:
@@ -24,11 +24,19 @@ def prepared(docs: DataFrame, strategy: str = "fixed", size: int = 600, overlap:
 
 
 def write_batch(docs: DataFrame, batch: int, folder: str, **options) -> None:
-    """Write a batch's tables to its own folder, whole each time: a batch that runs again after a failure replaces itself."""
-    docs = docs.withColumn("_n", F.lit(1)).dropDuplicates(["doc_id"]).drop("_n")
+    """Write a batch's tables to its own folder, whole each time: a batch that runs again after a failure replaces itself.
+
+    Of a document's several versions in one batch the one with the greatest hash stays. The table of documents comes last: a document
+    counts as INDEXED with its batch, and with nothing in the other tables if its text is blank; one without an id or kb is FAILED.
+    """
+    version = F.xxhash64("kb_id", "text")
+    docs = docs.groupBy("doc_id").agg(F.max_by(F.struct("kb_id", "text"), version).alias("_d")).select("doc_id", "_d.kb_id", "_d.text")
     docs.persist()
-    for name, table in prepared(docs, **options).items():
-        table.withColumn("status", F.lit("INDEXED")).write.mode("overwrite").parquet(f"{folder}/{name}/batch={batch}")
+    bad = F.when(F.col("doc_id").isNull(), "no doc_id").when(F.col("kb_id").isNull(), "no kb_id")
+    for name, table in prepared(docs.where(bad.isNull()), **options).items():
+        table.write.mode("overwrite").parquet(f"{folder}/{name}/batch={batch}")
+    status = F.when(bad.isNull(), "INDEXED").otherwise("FAILED")
+    docs.select("doc_id", "kb_id", status.alias("status"), bad.alias("error_message")).write.mode("overwrite").parquet(f"{folder}/documents/batch={batch}")
     docs.unpersist()
 
 
@@ -38,16 +46,29 @@ def ingest(spark: SparkSession, source: str, folder: str, checkpoint: str, **opt
     return stream.writeStream.foreachBatch(lambda df, n: write_batch(df, n, folder, **options)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, kb_id, status, error_message, batch) of each document's latest batch."""
+    rows = spark.read.parquet(f"{folder}/documents")
+    latest = F.max_by(F.struct("kb_id", "status", "error_message"), "batch").alias("_d")
+    return rows.groupBy("doc_id").agg(latest, F.max("batch").alias("batch")).select("doc_id", "_d.kb_id", "_d.status", "_d.error_message", "batch")
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table with the latest batch of each document: re-ingesting a document replaces it."""
-    rows = spark.read.parquet(f"{folder}/{name}")
-    newest = rows.groupBy("doc_id").agg(F.max("batch").alias("batch"))
-    return rows.join(newest, ["doc_id", "batch"], "left_semi").drop("batch")
+    """A table with the latest batch of each document: re-ingesting a document replaces it, also where nothing is left of it."""
+    newest = documents(spark, folder).where("status = 'INDEXED'").select("doc_id", "batch")
+    return spark.read.parquet(f"{folder}/{name}").join(newest, ["doc_id", "batch"], "left_semi").drop("batch")
+
+
+def pending(spark: SparkSession, source: str, folder: str) -> DataFrame:
+    """Documents of the source that no batch has taken yet, or that failed: (doc_id, status)."""
+    known = documents(spark, folder).select("doc_id", "status")
+    there = spark.read.schema(DOCUMENT).parquet(source).select("doc_id").distinct().join(known, "doc_id", "left")
+    return there.select("doc_id", F.coalesce("status", F.lit("PENDING")).alias("status")).where("status <> 'INDEXED'")
 
 
-def without(rows: DataFrame, documents: DataFrame) -> DataFrame:
-    """Rows of documents that are still there."""
-    return rows.join(documents.select("doc_id"), "doc_id", "left_anti")
+def without(rows: DataFrame, deleted: DataFrame) -> DataFrame:
+    """Rows whose document isn't among the deleted ones (doc_id)."""
+    return rows.join(deleted.select("doc_id"), "doc_id", "left_anti")
 
 
 def incremental_stats(old: DataFrame, added: DataFrame) -> DataFrame:

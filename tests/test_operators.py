@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from knowlark.functions import text as t
-from knowlark.functions.vectors import token_hash
-from knowlark.operators import chat, chunk, fusion, graph, lexical, retrieve, vector
+from knowlark.functions.vectors import from_bytes, to_bytes, token_hash
+from knowlark.operators import chat, chunk, fusion, graph, lexical, models, relational, retrieve, vector
 from knowlark.plans import search_queries as registered
 from knowlark.settings import Settings, check_knowledge_base
 from knowlark.sources import files
@@ -141,7 +141,9 @@ def test_csv_and_markdown():
 
 def test_html():
     got = files.html_text("<html><head><title>T</title></head><body><nav>n</nav><h2>H</h2><p>a <b>b</b></p><script>s</script></body></html>")
-    assert got == "# T\n## H\na b"
+    # Each text node is a line of its own.
+    assert got == "# T\n\n\n## H\n\na\nb"
+    assert files.html_text("<table><tr><td>x</td><th>y</th></tr></table>") == "| x\n | y"
 
 
 def _zip(parts):
@@ -152,6 +154,111 @@ def _zip(parts):
     return out.getvalue()
 
 
+def files_of(spark, folder, name):
+    return spark.read.format("binaryFile").load(f"{folder}/{name}")
+
+
+def test_table_strategies(spark, tmp_path):
+    (tmp_path / "t.csv").write_text('a,b,b\n1\n"x, y",2,3,4\n')
+    (tmp_path / "p.png").write_bytes(b"x")
+
+    def told(prompt):
+        return " about numbers " if "1. {" in prompt else None
+
+    def broken(prompt):
+        raise ValueError
+
+    def rows(**options):
+        return [r["content"] for r in files.file_chunks(files_of(spark, tmp_path, "t.csv"), **options).orderBy("position").collect()]
+
+    lines = ['{"sheet":"CSV","a":"1","b":""}', '{"sheet":"CSV","a":"x, y","b":"3"}']
+    assert rows(strategy="table_json") == lines and rows(strategy="table_summary", summarise=broken) == lines
+    assert rows(strategy="table_summary", summarise=told) == ["【表格摘要】about numbers", *lines]
+    assert rows()[0].startswith("### Sheet: t.csv")
+    assert [tuple(r) for r in files.read_csv(spark, str(tmp_path / "t.csv")).collect()] == [("1", ""), ("x, y", "3")]
+    assert files.file_chunks(files_of(spark, tmp_path, "p.png")).first()["error"]
+
+
+def test_model_steps(spark):
+    asked = spark.createDataFrame([(1, "what about it?"), (2, "bad"), (3, None)], "query_id long, query string")
+    history = spark.createDataFrame([(1, 1, "user", "red fox"), (1, 2, "assistant", "yes")], "query_id long, turn int, role string, text string")
+
+    def model(prompt):
+        if "bad" in prompt:
+            raise ValueError
+        return " red fox " + "x" * 500 if "red fox" in prompt and "yes" in prompt else " "
+
+    got = {r["query_id"]: r for r in models.hypothetical(models.rewrite(asked, model, history), lambda p: "p" * 900 if "red" in p else None).collect()}
+    assert got[1]["search"].startswith("red fox") and len(got[1]["search"]) == 200 and got[1]["passage"] == "p" * 400
+    assert got[2]["search"] == got[2]["passage"] == "bad" and got[3]["search"] is None
+    chunks = spark.createDataFrame([(1, 1, "red fox"), (1, 2, "blue whale")], "kb_id long, chunk_id long, content string")
+    one_ = spark.createDataFrame([(1, "nothing", "blue", "red")], "query_id long, query string, search string, passage string")
+    found = retrieve.stages(chunks, one_)
+    assert [r["chunk_id"] for r in found["keyword"].collect()] == [2] and [r["chunk_id"] for r in found["vector"].collect()] == [1]
+    pairs = spark.createDataFrame([(1, 2, "a", "b", 0.95), (1, 3, "a", "c", 0.8), (1, 4, "a", "d", 0.8), (1, 5, "a", "e", 0.7)], "a long, b long, name_a string, name_b string, similarity double")
+    same = models.decide_merges(pairs, lambda p: 'so {"merge": "TRUE",}' if "实体 B：c" in p else "no idea")
+    assert {r["b"]: r["same"] for r in same.collect()} == {2: True, 3: True, 4: False, 5: False}
+
+
+def test_graph_built(spark):
+    known = spark.createDataFrame([(7, 1, "Alpha Corp", "ORG", "short")], "entity_id long, kb_id long, name string, entity_type string, description string")
+    entities = spark.createDataFrame(
+        [(1, 1, " Alpha Corp ", "ORG", "a longer text"), (1, 1, "Beta", None, None), (1, 2, "Alpha Corps", "ORG", "x"), (1, 2, " ", "t", "d")], "kb_id long, batch_id long, name string, entity_type string, description string"
+    )
+    relations = spark.createDataFrame(
+        [(1, 1, "alpha-corp", "Beta", "owns", "d"), (1, 1, "Alpha Corp", "Beta", "owns", "e"), (1, 1, "Beta", "Beta", "is", ""), (1, 2, "Alpha Corps", "Gamma", "", None), (1, 2, None, "Beta", "x", "")],
+        "kb_id long, batch_id long, source string, target string, relation_type string, description string",
+    )
+    batches = spark.createDataFrame([(1, 1, 10), (1, 1, 11), (1, 2, 12)], "kb_id long, batch_id long, chunk_id long")
+    got = graph.built(entities, relations, batches, known, 0.9)
+    made = {r["name"]: r for r in got["entities"].collect()}
+    assert set(made) == {"Alpha Corp", "Beta", "Gamma"} and made["Alpha Corp"]["entity_id"] == 7 and made["Alpha Corp"]["description"] == "a longer text"
+    assert made["Beta"]["entity_type"] == "概念" and made["Gamma"]["entity_type"] == graph.UNCATEGORISED
+    beta, gamma = made["Beta"]["entity_id"], made["Gamma"]["entity_id"]
+    assert {(r["entity_id"], r["chunk_id"]) for r in got["entity_chunk"].collect()} == {(7, 10), (7, 11), (7, 12), (beta, 10), (beta, 11)}
+    assert {(r["source_id"], r["target_id"], r["relation_type"]) for r in got["relations"].collect()} == {(7, beta, "owns"), (7, gamma, "")}
+
+
+def test_fuzzy_pairs_all(spark):
+    """Every pair that is similar enough, against all pairs."""
+    rng = np.random.default_rng(5)
+    names = ["ab" + "".join(rng.choice(list("cde"), rng.integers(0, 9))) for _ in range(120)]
+    df = spark.createDataFrame([(k, 1, n) for k, n in enumerate(names)], "entity_id long, kb_id long, name string")
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    for least in (0.77, 0.6):
+        want = {(a, b) for b in range(120) for a in range(b) if round(1 - distance(names[a], names[b]) / max(len(names[a]), len(names[b])), 6) >= least}
+        got = [(r["a"], r["b"]) for r in graph.fuzzy_pairs(df, least).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_names_secrets_and_bytes(spark):
+    assert one(spark, "ＡＢＣ ﬁ-x", t.normalize_name) == "abcfix" and one(spark, None, t.normalize_name) == ""
+    key = F.lit(b"0" * 32)
+    assert one(spark, "sécret", lambda c: t.decrypt(t.encrypt(c, key), key)) == "sécret"
+    assert one(spark, "x", lambda c: F.octet_length(F.unbase64(t.encrypt(c, key)))) == 12 + 1 + 16
+    row = spark.createDataFrame([([1.0, -2.5],)], "v array<float>").select(to_bytes("v").alias("b")).select("b", from_bytes("b").alias("v")).first()
+    assert bytes(row["b"]) == b"\x3f\x80\x00\x00\xc0\x20\x00\x00" and row["v"] == [1.0, -2.5]
+
+
+def test_relational_guards(spark, tmp_path):
+    e = spark.createDataFrame([(1, 1), (2, 2)], "entity_id long, kb_id long")
+    left = relational.delete_knowledge_base({"entities": e, "chunks": e.select("kb_id"), "entity_chunk": e.select("entity_id")}, 1)
+    assert {n: d.count() for n, d in left.items()} == {"entities": 1, "chunks": 1, "entity_chunk": 1} and left["entity_chunk"].first()[0] == 2
+    tree = spark.createDataFrame([(1, 0), (2, 1), (3, 0)], "id long, parent_id long")
+    assert [r["id"] for r in relational.deletable(tree, spark.createDataFrame([(3,)], "category_id long")).collect()] == [2]
+    assert [r["id"] for r in relational.listed(tree, "-parent_id", "id").collect()] == [2, 1, 3]
+    relational.save_evaluation(tree, str(tmp_path), "eval-1")
+    assert spark.read.json(f"{tmp_path}/eval-1").count() == 3 and retrieve.Params.of(top_k=None, min_score=0.3) == retrieve.Params(min_score=0.3)
+
+
 def test_office(spark, tmp_path):
     w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
     docx = _zip({"word/document.xml": f"<w:document {w}><w:body><w:p><w:r><w:t>hello</w:t></w:r></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>a</w:t></w:r></w:p></w:tc><w:tc><w:p><w:r><w:t>b</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:body></w:document>"})
@@ -172,6 +279,7 @@ def test_office(spark, tmp_path):
         (tmp_path / name).write_bytes(raw)
     got = {r["path"][-6:]: (r["text"], r["error"]) for r in files.read_files(spark, str(tmp_path)).collect()}
     assert got["a.docx"][0] == "hello\na\tb" and "| k |  | 2 |" in got["b.xlsx"][0] and got["c.pptx"][0] == "## 第 1 页\nslide"
+    assert files.file_chunks(files_of(spark, tmp_path, "b.xlsx"), "table_json").count() == 0  # a header alone
     assert got["d.epub"][0] == "# Book\n\n## 第 1 章：One\ntext" and got["/e.txt"][0] == "数据"
     assert got["/f.bin"][1] and got["/g.pdf"][1] and got["h.docx"][1]
 
@@ -186,6 +294,13 @@ def test_streaming_ingest(spark, tmp_path):
     chunks = ingest.table(spark, folder, "chunks")
     assert {r["content"] for r in chunks.where("doc_id = 2").collect()} == {"green"} and chunks.where("doc_id = 1").count() >= 2
     assert ingest.table(spark, folder, "postings").where("term = 'wblue'").count() == 0
+    spark.createDataFrame([(2, 1, " "), (3, None, "no kb")], schema).write.mode("append").parquet(source)
+    assert {r["doc_id"]: r["status"] for r in ingest.pending(spark, source, folder).collect()} == {3: "PENDING"}
+    ingest.ingest(spark, source, folder, state).awaitTermination()
+    for name in ("chunks", "postings", "vectors"):  # a document that is blank now has nothing left
+        assert ingest.table(spark, folder, name).where("doc_id = 2").count() == 0
+    status = {r["doc_id"]: r["status"] for r in ingest.documents(spark, folder).collect()}
+    assert status == {1: "INDEXED", 2: "INDEXED", 3: "FAILED"} and ingest.without(chunks, chunks.where("doc_id = 1")).where("doc_id = 1").count() == 0
 
 
 def test_model_answers(spark):
