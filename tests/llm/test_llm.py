@@ -629,3 +629,46 @@ def test_pipeline(spark):
         else:
             assert out.count() == mix(before).agg(F.sum("copies")).first()[0]
     assert corpus_pipeline.run(spark, SF).count() == out.count()
+
+
+def test_stages_edges(spark):
+    """Every stage on nulls, repeated rows, empty and very long texts, clashing names, and an empty table."""
+    import corpus_pipeline
+
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first()["text"]
+    long = " ".join(f"long{k % 977} word{k}" for k in range(60_000))
+    texts = [(1, "one plain text of its own"), (1, "one plain text of its own"), (2, None), (3, ""), (None, "no id at all here"), (None, None), (4, long), (5, f"before this {item} and after it " + "more words " * 200), (5, "another text under five")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _column0 string, _place long, shard string"
+    rows = [(i, t, None if k % 2 else "en", None if k % 3 == 0 else f"src{k % 2}", None if k % 4 == 0 else len(t or ""), "x", k, "s") for k, (i, t) in enumerate(texts)]
+    start = spark.createDataFrame(rows, schema)
+    for empty in (False, True):
+        docs = start.limit(0) if empty else start
+        for name, stage in corpus_pipeline.STAGES:
+            out, before = stage(spark, docs, SF).cache(), docs
+            if name == "sharding":
+                assert out.columns == [*before.columns, "shard_", "slot"] and out.count() == before.count()
+                continue
+            assert out.columns == before.columns and (empty or out.count())
+            found = [(r["doc_id"], r["text"]) for r in out.collect()]
+            if empty:
+                assert found == []
+            elif name == "toxicity":
+                assert sorted(map(repr, found)) == sorted(map(repr, texts))
+            elif name == "near_dedup":  # the empty texts are one component, and repeated rows
+                assert sorted(map(repr, found)) == sorted(map(repr, [(1, texts[0][1]), (2, None), (None, "no id at all here"), *texts[6:]]))
+            elif name == "decontamination":
+                left = dict(found)
+                assert (2, None) in found and (4, long) in found and decontaminate(out, spark.read.parquet(f"{SF}/benchmark.parquet")).where("contaminated").count() == 0
+                assert any(t and t.startswith("before this") and t.rstrip().endswith("more words") for _, t in found) and len(left) >= 4
+            docs = out
+
+
+def test_classifiers_edges(spark):
+    """Repeated and empty tables, null ids; an id with several texts teaches one row."""
+    docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (1, "c"), (None, "d"), (2, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (1, 0, 1), (None, 1, 1), (2, 5, None)], "doc_id long, quality int, toxic int")
+    assert [(r["doc_id"], r["label"]) for r in training_rows(docs, labels, "quality", 10).collect()] in ([(1, 0)], [])
+    for operator in (quality, toxicity):
+        assert operator(docs, labels).count() == 5 and operator(docs.limit(0), labels).count() == 0
+    pages = spark.createDataFrame([(1, "http://a.com/x", None)] * 3, "page_id long, url string, html string")
+    assert {tuple(r)[1:] for r in filter_urls(pages, registered.URL_RULES).collect()} == {("a.com", "/x", None, "allow")} and near_duplicates(docs.limit(0)).count() == 0
