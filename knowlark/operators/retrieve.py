@@ -78,6 +78,24 @@ def doc_names(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     return named.withColumn("doc_name", name).drop("file_name")
 
 
+def known_items(documents: DataFrame, items: DataFrame, width: int = 8) -> DataFrame:
+    """(query_id, doc_id): the first document (doc_id, text) whose text holds an item (query_id, query) as it is.
+
+    Documents and items meet by an equi-join on the hash of a few consecutive words, behind the item's first one, which may be glued to
+    others where it stands; then the whole item is compared.
+    """
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), 0)
+    sized = items.select("query_id", "query", words("query").alias("w")).where(F.size("w") > 0)
+    least = sized.agg(F.min(F.size("w"))).first()[0] or 1
+    begin, run = (2, min(width, least - 2)) if least > 2 else (1, 1)
+    asked = sized.select("query_id", "query", F.xxhash64(F.slice("w", begin, run)).alias("key"))
+    split = documents.select("doc_id", "text", F.explode(F.array(words("text"))).alias("w")).where(F.size("w") >= run)
+    keys = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - run + 1), lambda i: F.xxhash64(F.slice("w", i, F.lit(run)))))
+    spots = split.select("doc_id", F.explode(keys).alias("key")).join(asked, "key").select("query_id", "doc_id", "query")
+    found = spots.join(documents.select("doc_id", "text"), "doc_id").where(F.contains("text", "query"))
+    return found.groupBy("query_id").agg(F.min("doc_id").alias("doc_id"))
+
+
 def hit_at_k(hits: DataFrame, expected: DataFrame) -> DataFrame:
     """One row: questions, hits among them, and the rate in percent to one place. expected is (query_id, doc_id)."""
     found = hits.select("query_id", "doc_id").join(expected, ["query_id", "doc_id"], "left_semi").select("query_id").distinct().withColumn("hit", F.lit(1))

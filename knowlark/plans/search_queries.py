@@ -120,10 +120,8 @@ def retrieve_stages(spark, sf):
 
 
 def hit_at_k(spark, sf):
-    """Known-item questions: an item's document is the first that holds its first 60 characters."""
-    docs = c.table(spark, sf, "documents").select("doc_id", "text")
-    items = F.broadcast(c.queries(spark, sf).select("query_id", F.substring("query", 1, 60).alias("head")))
-    expected = docs.join(items, F.contains(F.col("text"), F.col("head"))).groupBy("query_id").agg(F.min("doc_id").alias("doc_id"))
+    """Known-item questions: an item's document is the first that holds it."""
+    expected = retrieve.known_items(c.table(spark, sf, "documents"), c.queries(spark, sf))
     hits = retrieve.retrieve(c.chunks(spark, sf), c.queries(spark, sf)).select("query_id", F.col("chunk_id").alias("doc_id"))
     return retrieve.hit_at_k(hits, expected)
 
@@ -206,7 +204,7 @@ SQL = {
         union all select query_id, 'fused', chunk_id, round(score + 1e-11, 9), source from fused
         union all select query_id, 'reranked', chunk_id, round(score + 1e-11, 9), source from reranked""",
     "hit_at_k": f"""{_STAGES}, expected as (
-          select q.query_id, min(d.doc_id) as doc_id from queries q join documents d on contains(d.text, substr(q.query, 1, 60)) group by 1),
+          select q.query_id, min(d.doc_id) as doc_id from queries q join documents d on contains(d.text, q.query) group by 1),
           hit as (select distinct query_id from reranked r join expected e using (query_id) where r.chunk_id = e.doc_id)
         select count(*) as total, count(h.query_id) as hits, floor(count(h.query_id) * 1000 / count(*) + 0.5) / 10 as hit_rate
         from expected e left join hit h using (query_id)""",
