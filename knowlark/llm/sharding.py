@@ -42,7 +42,7 @@ def shared_lines(docs: DataFrame, text_col: str) -> DataFrame:
     lines = F.array_distinct(F.transform(F.filter(F.split(text, "\n"), lambda x: F.char_length(x) >= LINE), lambda x: F.xxhash64(x)))
     held = checkpointed(docs.select(F.xxhash64(F.sha2(text, 256)).alias("text"), F.explode(lines).alias("line")).distinct())
     counts = checkpointed(held.groupBy("line").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    return join_unique(held, counts, "line", bound_for(held.count(), docs.sparkSession), "inner").select("text", "line", "n")
+    return checkpointed(join_unique(held, counts, "line", bound_for(held.count(), docs.sparkSession), "inner").select("text", "line", "n"))
 
 
 def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 40, rounds: int = 3, report: list | None = None) -> DataFrame:
@@ -104,11 +104,13 @@ def _placed(raw: DataFrame, lines: DataFrame, shards: int, rounds: int, report:
     labels = vertices.where("_single = 0").select("_v", "_n", "shard")
     if links.limit(1).count():
         for _ in range(rounds):
-            labels = _round(labels, links, low, report)
+            if report is not None:
+                report.append(cut_links(labels, links))
+            labels = _round(labels, links, low, shards, bound_for(links.count(), spark))
     if report is not None:
         report.append(cut_links(labels, links))
     labels = labels.select("_v", "shard", F.lit(0).alias("_single")).unionByName(vertices.where("_single = 1").select("_v", "shard", "_single"))
-    rows = rows.join(checkpointed(labels), "_v")
+    rows = rows.join(labels, "_v")
     quota = low + (F.col("shard") < over).cast("long")
     rows = rows.withColumn("_salt", F.when(F.col("_single") == 1, F.col("_h")).otherwise(F.col("_v")))
     ties = [F.col("_h"), F.col("doc_id")]
@@ -134,42 +136,38 @@ def _by_line(labels: DataFrame, links: DataFrame) -> DataFrame:
     return links.join(labels.select("_v", "shard"), "_v").groupBy("line", "n", "shard").agg(F.count(F.lit(1)).alias("_c"))
 
 
-def _cut(by_line: DataFrame, links: DataFrame) -> int:
-    return links.count() - (by_line.groupBy("line").agg(F.max("_c").alias("_c")).agg(F.sum("_c")).first()[0] or 0)
-
-
 def cut_links(labels: DataFrame, links: DataFrame) -> int:
     """Links cut by labels (_v, shard): of each line, its vertices outside the shard that holds most of them."""
-    return _cut(_by_line(labels, links), links)
+    most = _by_line(labels, links).groupBy("line").agg(F.max("_c").alias("_c"))
+    return links.count() - (most.agg(F.sum("_c")).first()[0] or 0)
+
 
+def _loads(rows: DataFrame, by: str) -> dict[int, int]:
+    """Rows of each shard; shards are few."""
+    return {r[by]: r["n"] for r in rows.groupBy(by).agg(F.sum("_n").alias("n")).collect()}
 
-def _round(labels: DataFrame, links: DataFrame, quota: int, report: list | None) -> DataFrame:
+
+def _round(labels: DataFrame, links: DataFrame, quota: int, shards: int, bound: int) -> DataFrame:
     """One round: each line passes on the shard that holds most of its vertices, among those that aren't full, a vertex asks for the
-    shard that its lines name most, each weighed by one over its number of texts, and shards admit what their quota leaves.
+    shard that its lines name most, each weighed by one over its number of texts, and shards admit what their quota leaves. Links of lines
+    with over `bound` texts stay where they are and are told by broadcast, as such lines are few.
 
     Movers to a shard are admitted by buckets of the vertex hash, whole buckets at a time, up to the quota less the linked
     rows that stay there. Vertices that aren't admitted stay and ask again in the next round.
     """
-    spark = labels.sparkSession
-    by_line = checkpointed(_by_line(labels, links))
-    if report is not None:
-        report.append(_cut(by_line, links))
-    full = [r["shard"] for r in labels.groupBy("shard").agg(F.sum("_n").alias("n")).where(F.col("n") >= quota).collect()]  # shards are few
+    full = [s for s, n in _loads(labels, "shard").items() if n >= quota]
     top = F.max(F.struct("_c", F.xxhash64("line", "shard").alias("h"), "shard")).alias("_top")
-    best = checkpointed(by_line.where(~F.col("shard").isin(full)).groupBy("line", "n").agg(top).select("line", "n", F.col("_top.shard").alias("_best")))
-    told = join_unique(links.select("_v", "line"), best, "line", bound_for(links.count(), spark), "inner")
+    best = _by_line(labels, links).where(~F.col("shard").isin(full)).groupBy("line", "n").agg(top).select("line", "n", F.col("_top.shard").alias("_best"))
+    wide = links.where(F.col("n") > bound).drop("n").join(F.broadcast(best.where(F.col("n") > bound)), "line")
+    told = links.where(F.col("n") <= bound).drop("n").join(best.where(F.col("n") <= bound), "line").unionByName(wide)
     votes = told.groupBy("_v", "_best").agg(F.sum(1 / F.col("n")).alias("_w"))
     asked = votes.groupBy("_v").agg(F.max(F.struct(F.round("_w", 9).alias("w"), F.xxhash64("_v", "_best").alias("h"), "_best")).alias("_top")).select("_v", F.col("_top._best").alias("_target"))
     moving = labels.join(asked, "_v", "left").withColumn("_target", F.coalesce("_target", "shard")).withColumn("_bucket", F.pmod(F.xxhash64("_v"), F.lit(ADMIT)))
     moving = checkpointed(moving)
-    loads = checkpointed(moving.where("shard = _target").groupBy("_target").agg(F.sum("_n").alias("_load")))  # a row per shard
+    stay = _loads(moving.where("shard = _target"), "_target")
+    room = F.element_at(F.lit([quota - stay.get(s, 0) for s in range(shards)]), F.col("_target") + 1)
     demand = moving.where("shard <> _target").groupBy("_target", "_bucket").agg(F.sum("_n").alias("_want"))
     upto = Window.partitionBy("_target").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    admitted = (
-        demand.join(small(loads), "_target", "left")
-        .withColumn("_upto", F.sum("_want").over(upto))
-        .where(F.col("_upto") + F.coalesce("_load", F.lit(0)) <= quota)
-        .select("_target", "_bucket", F.lit(1).alias("_in"))
-    )
-    moved = moving.join(small(checkpointed(admitted)), ["_target", "_bucket"], "left")
+    admitted = demand.withColumn("_upto", F.sum("_want").over(upto)).where(F.col("_upto") <= room).select("_target", "_bucket", F.lit(1).alias("_in"))
+    moved = moving.join(F.broadcast(admitted), ["_target", "_bucket"], "left")  # ADMIT rows for each shard at most
     return checkpointed(moved.select("_v", "_n", F.when(F.col("_in") == 1, F.col("_target")).otherwise(F.col("shard")).alias("shard")))
