@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from knowlark.functions.text import blank, strip, unix_lines
+from knowlark.operators.layout import numbered
 
 LOOKBACK = 120
 #: Characters after which a chunk may end. Fixed values.
@@ -89,28 +94,86 @@ def parent_child(text: Column, size: int = 600, overlap: int = 100) -> Column:
 
 
 STRATEGIES = {"fixed": fixed, "paragraph": paragraphs}
+#: Characters from which a text is chunked by a plain loop: built-in strings are counted from their begin for each chunk, which takes time by
+#: the square of a text's length.
+LONG = 100_000
+_BLANK = "".join(map(chr, range(33)))
 
 
-def chunked(docs: DataFrame, strategy: str = "fixed", size: int = 600, overlap: int = 100) -> DataFrame:
+def _cut_long(text: str, size: int, overlap: int) -> list[str]:
+    """fixed() for text with plain line feeds, in time by its length."""
+    size = max(50, size)
+    overlap = min(max(0, overlap), size // 2)
+    out, start, n = [], 0, len(text)
+    while start < n:
+        end = min(start + size, n)
+        if end < n:
+            cut = max(text.rfind(c, max(start, end - LOOKBACK), end) for c in BOUNDARY)
+            end = cut + 1 if cut >= 0 else end
+        if piece := text[start:end].strip(_BLANK):
+            out.append(piece)
+        if end >= n:
+            break
+        start = max(end - overlap, start + 1)
+    return out
+
+
+def _long_chunks(text: str, name: str, size: int, overlap: int) -> list[tuple[str, str | None]]:
+    """(content, parent) of a long text by strategy; the same as the built-in expressions give."""
+    plain = re.sub("\r\n?", "\n", text)
+    if name == "parent_child":
+        child = max(120, size // 3)
+        return [(c, p) for p in _cut_long(plain, size, overlap) for c in _cut_long(p, child, min(overlap, child // 2))]
+    if name != "paragraph":
+        return [(p, None) for p in _cut_long(plain, size, overlap)]
+    size = max(100, size)
+    overlap = min(max(0, overlap), size // 2)
+    out: list[str] = []
+    buffer = ""
+    for p in filter(None, (x.strip(_BLANK) for x in re.split(r"\n[ \t\n\x0b\f\r]*\n", plain))):
+        if len(buffer) + len(p) + 1 > size:
+            out += [buffer] if buffer else []
+            buffer = ""
+        if len(p) > size:
+            out += _cut_long(p, size, overlap)
+        else:
+            buffer = f"{buffer}\n{p}" if buffer else p
+    return [(p, None) for p in [*out, *([buffer] if buffer else [])]]
+
+
+def chunked(docs: DataFrame, strategy: str = "fixed", size: int = 600, overlap: int = 100, long: int = LONG) -> DataFrame:
     """(doc_id, position, content, parent) of docs (doc_id, text); parent is null but for parent_child. Unknown strategies
-    are fixed."""
+    are fixed. Texts of over `long` characters are cut in Arrow batches, others by built-in expressions."""
     name = strategy.lower()
+    short = docs.where(F.coalesce(F.char_length("text"), F.lit(0)) <= long)
     if name == "parent_child":
-        out = docs.select("doc_id", F.posexplode(parent_child(F.col("text"), size, overlap)).alias("position", "c"))
-        return out.select("doc_id", "position", F.col("c.child").alias("content"), F.col("c.parent").alias("parent"))
-    parts = STRATEGIES.get(name, fixed)(F.col("text"), size, overlap)
-    return docs.select("doc_id", F.posexplode(parts).alias("position", "content")).withColumn("parent", F.lit(None).cast("string"))
+        out = short.select("doc_id", F.posexplode(parent_child(F.col("text"), size, overlap)).alias("position", "c"))
+        out = out.select("doc_id", "position", F.col("c.child").alias("content"), F.col("c.parent").alias("parent"))
+    else:
+        parts = STRATEGIES.get(name, fixed)(F.col("text"), size, overlap)
+        out = short.select("doc_id", F.posexplode(parts).alias("position", "content")).withColumn("parent", F.lit(None).cast("string"))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, text in enumerate(batch.column(1).to_pylist()):
+                made = _long_chunks(text, name, size, overlap)
+                content, parent = zip(*made, strict=True) if made else ((), ())
+                ids = batch.column(0).slice(k, 1).take(pa.array([0] * len(made), pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(range(len(made)), pa.int32()), pa.array(content, pa.string()), pa.array(parent, pa.string())], ["doc_id", "position", "content", "parent"])
+
+    beyond = docs.where(F.char_length("text") > long).select("doc_id", "text")
+    return out.unionByName(beyond.mapInArrow(each, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, position int, content string, parent string"))
 
 
 def table_markdown(rows: DataFrame, sheet: str, order: list[str], batch: int = 1000, columns: list[str] | None = None) -> DataFrame:
-    """(batch, content): Markdown tables of `batch` rows each, with the header repeated; cells lose line feeds, `|` is escaped. A table is one sheet of a file,
-    so one window numbers its rows."""
+    """(batch, content): Markdown tables of `batch` rows each, with the header repeated; cells lose line feeds, `|` is escaped. order names
+    columns without ties."""
     names = columns or rows.columns
     cell = [F.regexp_replace(F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), "\n", " "), r"\|", "\\\\|") for c in names]
     line = F.concat(F.lit("| "), F.concat_ws(" | ", *cell), F.lit(" |"))
-    numbered = rows.select(F.row_number().over(Window.orderBy(*order)).alias("n"), line.alias("line"))
+    placed = numbered(rows.select(*(F.col(c).alias(f"_order{k}") for k, c in enumerate(order)), line.alias("line")), *(f"_order{k}" for k in range(len(order))))
     head = f"### Sheet: {sheet}\n\n| " + " | ".join(names) + " |\n|" + " --- |" * len(names) + "\n"
-    grouped = numbered.groupBy(((F.col("n") - 1) / batch).cast("int").alias("batch")).agg(F.array_sort(F.collect_list(F.struct("n", "line"))).alias("lines"))
+    grouped = placed.groupBy(((F.col("n") - 1) / batch).cast("int").alias("batch")).agg(F.array_sort(F.collect_list(F.struct("n", "line"))).alias("lines"))
     return grouped.select("batch", F.concat(F.lit(head), F.array_join(F.transform("lines", lambda x: x["line"]), "\n")).alias("content"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from knowlark.functions.text import lenient_json, levenshtein_similarity, normalize_name, tokens
-from knowlark.operators.layout import checkpointed
+from knowlark.operators.layout import checkpointed, numbered
 from knowlark.operators.models import trimmed
 
 UNCATEGORISED = "未分类"
@@ -198,8 +198,9 @@ def merge_descriptions(entities: DataFrame) -> DataFrame:
 
 def extract_batches(chunks: DataFrame, size: int = 4) -> DataFrame:
     """(kb_id, batch_id, chunk_id): chunks of a kb in order, `size` to a model call."""
-    n = F.row_number().over(Window.partitionBy("kb_id").orderBy("doc_id", "position", "chunk_id"))
-    return chunks.select("kb_id", F.floor((n - 1) / size).cast("int").alias("batch_id"), "chunk_id")
+    placed = numbered(chunks.select("kb_id", "doc_id", "position", "chunk_id"), "kb_id", "doc_id", "position", "chunk_id")
+    begins = placed.groupBy("kb_id").agg(F.min("n").alias("_first"))
+    return placed.join(begins, "kb_id").select("kb_id", F.floor((F.col("n") - F.col("_first")) / size).cast("int").alias("batch_id"), "chunk_id")
 
 
 def built(entities: DataFrame, relations: DataFrame, batches: DataFrame, known: DataFrame, merge: float = 0.92, decided: DataFrame | None = None) -> dict[str, DataFrame]:

@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def spread(scan: DataFrame) -> DataFrame:
@@ -27,3 +28,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint()
+
+
+def numbered(rows: DataFrame, *order: str | Column, name: str = "n") -> DataFrame:
+    """rows plus their number from 1 in the whole table's order, without one task that sorts them all: rows are dealt by ranges and sorted
+    there, and each partition begins where those before it end. The order should have no ties."""
+    spark = rows.sparkSession
+    ranged = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    placed = checkpointed(ranged.withColumn("_id", F.monotonically_increasing_id()))  # partition << 33 | place in it
+    part, place = F.shiftright("_id", 33), F.col("_id").bitwiseAND((1 << 33) - 1)
+    sizes = placed.groupBy(part.alias("_part")).agg((F.max(place) + 1).alias("_size"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    begins = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_begin"))
+    return placed.withColumn("_part", part).join(F.broadcast(begins), "_part").withColumn(name, F.col("_begin") + place + 1).drop("_part", "_begin", "_id")

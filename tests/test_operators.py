@@ -53,6 +53,17 @@ def test_paragraph_chunks(spark):
     assert all(p["child"] in p["parent"] for p in pairs)
 
 
+@pytest.mark.parametrize("strategy", ["fixed", "paragraph", "parent_child"])
+def test_long_chunks(spark, strategy):
+    """The loop for long texts gives what the expressions give."""
+    rng = np.random.default_rng(7)
+    texts = ["".join(rng.choice(list("abé数。. \n\r\t;"), n, p=[0.2, 0.2, 0.1, 0.1, 0.02, 0.05, 0.15, 0.1, 0.02, 0.03, 0.03])) for n in (1, 50, 700, 2500, 4000)] + ["x" * 900, " \n ", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for size, overlap in ((300, 40), (120, 60)):
+        want, got = (sorted(map(repr, chunk.chunked(df, strategy, size, overlap, long).collect())) for long in (10**6, 0))
+        assert got == want and want
+
+
 def test_bm25_ranking(spark):
     rows = [(1, 1, "数据库索引可以加速查询"), (1, 2, "内存数据库"), (1, 3, "今天天气很好"), (1, 4, "")]
     chunks = spark.createDataFrame(rows, "kb_id long, chunk_id long, content string")
