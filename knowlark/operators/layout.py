@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -18,15 +18,21 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialise df and cut its lineage, in the folder of spark.checkpoint.dir. Where the session names none, in one of our own in local
-    mode, as in tests; a cluster must name one that all its machines share."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder of spark.checkpoint.dir. Where the session names none, one of our own in local mode, as in tests; a cluster
+    must name one that all its machines share."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and not re.match(r"local($|\[)", spark.sparkContext.master):
+        if named is None and not re.match(r"local($|\[)", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Materialise df in the shared folder and cut its lineage."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
