@@ -2,34 +2,15 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from knowlark.operators.layout import checkpoint_folder, checkpointed  # noqa: F401
+
 WHITESPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir. Where the session names none, one of our own in local mode, as in tests; a cluster
-    must name one."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and not re.match(r"local($|\[)", context.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
-    return context.getCheckpointDir()
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared folder and cut its lineage."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def partitions(spark: SparkSession) -> int:
     """Shuffle partitions of the session, the unit in which group bounds are stated."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
