@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from knowlark.functions.text import tokens
-from knowlark.functions.vectors import DIM, dot, token_hash, token_slot, token_weight
+from knowlark.functions.vectors import DIM, dot, l2_normalize, token_hash, token_slot, token_weight
 
 
 #: Queries to a matrix, and numbers that one step of a distance may hold.
@@ -46,7 +46,7 @@ def _best(score: np.ndarray, chunk: np.ndarray, k: int) -> np.ndarray:
     return np.arange(len(score))
 
 
-def _each_block(vectors: DataFrame, queries: DataFrame, pack: Callable, score: Callable, k: int, least: float | None, kb: bool) -> DataFrame:
+def _each_block(vectors: DataFrame, queries: DataFrame, pack: Callable, score: Callable, k: int, least: float | None, kb: bool, positive: bool = True) -> DataFrame:
     """Scores of vectors (kb_id, chunk_id, ...) for blocks of queries: a matrix product for each Arrow batch, of which the best k of a
     query (and kb) go on. pack turns rows into a matrix, on either side; score makes (vectors x queries) of two."""
     out, spark = None, vectors.sparkSession
@@ -69,7 +69,7 @@ def _each_block(vectors: DataFrame, queries: DataFrame, pack: Callable, score: C
                     table = score(made, asked, slice(first, first + step))
                     for q in range(table.shape[1]):
                         for part in parts:
-                            mine = part if least is None else part[(table[part, q] > 0) & (table[part, q] >= least)]
+                            mine = part if least is None else part[(table[part, q] >= least) & ((table[part, q] > 0) | (not positive))]
                             mine = mine[_best(table[mine, q], chunk[mine], k)]
                             columns = ([group[mine]] if kb else []) + [[ids[first + q]] * len(mine), chunk[mine], table[mine, q]]
                             for c, x in zip(found, columns, strict=True):
@@ -105,16 +105,23 @@ def _cosine(vectors: tuple, queries: tuple, some: slice) -> np.ndarray:
     return np.round(x @ q[some].T, 6) * good[:, None] * fits[some]
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int, min_score: float = 0.0) -> DataFrame:
-    """Exact cosine top k of (kb_id, chunk_id, vec) for queries (query_id, vec) in each kb; scores are over 0 and at least min_score.
+def search(vectors: DataFrame, queries: DataFrame, k: int, min_score: float = 0.0, positive: bool = True) -> DataFrame:
+    """Exact cosine top k of (kb_id, chunk_id, vec) for queries (query_id, vec) in each kb; scores are at least min_score and over 0, the
+    latter only if positive (a database's own search keeps those of 0 and less where min_score lets them).
 
     Every query meets every vector, as an exact search must, in matrix products of a block of queries and a batch of vectors;
     of each the best k alone leave the worker. A vector of another length than the others' scores 0; check_dimension refuses it.
     """
-    scored = _each_block(vectors.select("kb_id", "chunk_id", "vec"), queries.select("query_id", "vec"), _dense, _cosine, k, min_score, True)
+    scored = _each_block(vectors.select("kb_id", "chunk_id", "vec"), queries.select("query_id", "vec"), _dense, _cosine, k, min_score, True, positive)
     return _top(scored, ["query_id", "kb_id"], k, F.desc("score"))
 
 
+def store_search(vectors: DataFrame, queries: DataFrame, top_k: int, min_score: float = 0.0, over: int = 4) -> DataFrame:
+    """A store's search: queries are brought to unit length, `over` times top_k hits are fetched, those under min_score go, top_k stay."""
+    unit = queries.select("query_id", l2_normalize(F.col("vec")).alias("vec"))
+    return search(vectors, unit, over * top_k).where((F.col("score") >= min_score) & (F.col("rank") <= top_k))
+
+
 def _distance(vectors: tuple, queries: tuple, some: slice) -> np.ndarray:
     x, q = vectors[0], queries[0][some]
     return -np.round(np.sqrt(np.stack([((x - v) ** 2).sum(1) for v in q], axis=1)), 6)

@@ -133,6 +133,10 @@ def test_search_by_blocks(spark, monkeypatch):
     with pytest.raises(Exception, match="not of 3 dimensions"):
         vector.check_dimension(vectors, 3).collect()
     assert vector.search(vectors, queries.limit(0), 4).count() == 0
+    low = vector.search(vectors, queries, 90, -100.0, positive=False)
+    assert low.where("score < 0").count() > 0 and low.groupBy("query_id").count().where("count < 90").count() == 0
+    two = queries.select("query_id", F.transform("vec", lambda x: x * 2).alias("vec"))
+    assert sorted(map(tuple, vector.store_search(vectors, two, 4, 0.5).collect())) == sorted(map(tuple, vector.store_search(vectors, queries, 4, 0.5).collect()))
 
 
 def test_graph_resolve(spark):
