@@ -128,6 +128,9 @@ class Transducer:
         for rank, pair in enumerate(model["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.merges[vocab[a], vocab[b]] = (rank, vocab[a + b])
+        self.split = {made: pair for pair, (_, made) in self.merges.items()}
+        if len(self.split) < len(self.merges):
+            raise ValueError("only vocabularies in which each token is made by one merge are compiled")
         self.symbols = {i: (b, False) for b, i in self.inner.items()} | {i: (b, True) for b, i in self.final.items()}
         # The trie of all tokens: (node, byte) to node, and the token that ends at a node inside a word and at its end.
         self.child: dict[int, int] = {}
@@ -143,6 +146,7 @@ class Transducer:
                         self.ends[1].append(-1)
                     node = self.child[key]
                 self.ends[kind][node] = i
+        self.branches = {key >> 8 for key in self.child}  # nodes that some token goes on from
         self.letters, self.numbers, self.space = classes(Tokenizer.from_str(content))
         self._start()
 
@@ -150,6 +154,7 @@ class Transducer:
         self.pattern = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{self.letters}]+|[{self.numbers}]|[^{self.space}{self.letters}{self.numbers}]+")
         self.cut = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.pairs = Memo(self._stand)  # by first token << 20 | second token; the first of a word has no token before it
+        self.edges = Memo(self._edge)
         self.words = Memo(self.count_word)
         self.normaliser = None
         self._empty()
@@ -162,7 +167,7 @@ class Transducer:
         self.last: dict[int, int] = {}
 
     def __getstate__(self) -> dict:
-        made = ("pattern", "cut", "pairs", "words", "normaliser", "states", "number", "moves", "last")
+        made = ("pattern", "cut", "pairs", "edges", "words", "normaliser", "states", "number", "moves", "last")
         return {k: v for k, v in vars(self).items() if k not in made}
 
     def __setstate__(self, state: dict) -> None:
@@ -176,12 +181,29 @@ class Transducer:
             out[-1] = self.final[raw[-1:]]
         return out
 
+    def _edge(self, key: int) -> list[int] | None:
+        """Of a token << 1 | side: the symbols that stand at its right (side 1) or left edge while its letters are merged; None if they don't
+        merge to it. Each token is made by one merge alone."""
+        token, side = key >> 1, key & 1
+        if self._merged(self._letters(token)) != [token]:
+            return None
+        out = [token]
+        while out[-1] in self.split:
+            out.append(self.split[out[-1]][side])
+        return out
+
     def _stand(self, pair: int) -> bool:
-        """Whether two tokens may stand together: their letters merge to these two again."""
+        """Whether two tokens may stand together: their letters merge to these two again. Without a merge across their edges they do."""
         a, b = pair >> 20, pair & 0xFFFFF
-        if a < 0:
-            return self._merged(self._letters(b)) == [b]
-        return (a, b) not in self.merges and self._merged(self._letters(a) + self._letters(b)) == [a, b]
+        right = self.edges[b << 1]
+        if a < 0 or right is None:
+            return right is not None
+        left = self.edges[a << 1 | 1]
+        if left is None:
+            return False
+        if any((x, y) in self.merges for x in left for y in right):
+            return self._merged(self._letters(a) + self._letters(b)) == [a, b]
+        return True
 
     def _merged(self, tokens: list[int]) -> list[int]:
         """Plain merging, to compile the pairs that may stand together."""
@@ -195,7 +217,7 @@ class Transducer:
 
     def _ended(self, state: int, byte: int, kind: int) -> tuple[int, int]:
         """The last token after a byte from a state, and the change of the count; exactly one of the running tokens may end here."""
-        for node, before, ahead in self.states[state]:
+        for node, before, ahead in reversed(self.states[state]):  # the longest first: it mostly is the one
             at = self.child.get(node << 8 | byte)
             token = -1 if at is None else self.ends[kind][at]
             if token >= 0 and self.pairs[before << 20 | token]:
@@ -205,7 +227,8 @@ class Transducer:
     def _move(self, state: int, byte: int) -> tuple[int, int]:
         """Determinise one transition."""
         token, change = self._ended(state, byte, 0)
-        running = [(at, before, ahead + change) for node, before, ahead in self.states[state] if (at := self.child.get(node << 8 | byte)) is not None]
+        child, inner = self.child, self.branches
+        running = [(at, before, ahead + change) for node, before, ahead in self.states[state] if (at := child.get(node << 8 | byte)) is not None and at in inner]
         new = ((0, token, 0), *running)
         target = self.number.get(new)
         if target is None:
