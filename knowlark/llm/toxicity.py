@@ -30,8 +30,9 @@ REPORTING = {"said", "says", "called", "calling", "quote", "quoted", "quotes", "
 ADDRESS = {"you", "your", "youre", "u", "ur", "tu", "usted", "ustedes", "vosotros", "du", "dich", "dein", "ihr", "euch", "toi", "vous", "ton", "votre"}
 QUOTES = "\"“”«»„‟‘’‹›「」『』"
 SPAN = 6
-#: What a hit weighs: a misspelled term is a little less sure than a plain one, and surer than a quoted one.
-EXACT, FUZZY, QUOTED = 1.0, 0.95, 0.625
+#: What a hit weighs: a misspelled term is a little less sure than a plain one, and surer than a quoted one; a word that only begins as
+#: terms do is as sure as a quoted one, so that one alone decides nothing.
+EXACT, FUZZY, QUOTED, STEM = 1.0, 0.95, 0.625, 0.6
 #: Shortest term whose misspellings count, and how many clean words may be an edit from it.
 LOOSE, CROWD = 4, 3
 #: Entries of a worker's memo of words before it is emptied.
@@ -134,6 +135,7 @@ class Lexicon:
     def __post_init__(self) -> None:
         self.trie = Trie(list(self.words), self.stems)
         self.near = Trie(self.loose, self.roots)
+        self.whole = {w for w in self.loose if w in self.words}  # the others begin with a stem
         # An edit leaves the first half of a word as it is, or what is beyond the letter after it.
         self.heads = {w[: len(w) // 2] for w in self.loose}
         self.tails = {w[len(w) // 2 + 1 :] for w in self.loose}
@@ -151,14 +153,15 @@ class Lexicon:
         self.__init__(**state)
 
     def weight(self, word: str) -> float:
-        """A term's own weight, EXACT for one that a stem begins, FUZZY for a misspelled one, else 0."""
+        """A term's own weight, STEM for a word that a stem or a misspelled one begins, FUZZY for a misspelled term, else 0."""
         if (term := self.trie.exact(word)) is not None:
-            return self.words.get(term, EXACT)
+            return self.words.get(term, STEM)
         if word in self.known:
             return 0.0
         like_word = len(word) in self.sizes and (any(word[:n] in self.heads for n in self.halves) or any(word[-n:] in self.tails for n in self.rests))
         like_root = any(word[:n] in self.begins for n in self.firsts) or any((k, word[k:e]) in self.parts for k, e in self.places)
-        return FUZZY if (like_word or like_root) and self.near.fuzzy(word) else 0.0
+        near = self.near.fuzzy(word) if like_word or like_root else ()
+        return 0.0 if not near else FUZZY if any(t in self.whole for t in near) else STEM
 
     def weights(self, words: list[str]) -> list[float]:
         memo = self.memo
@@ -231,7 +234,7 @@ def _guarded(batches: Iterator[pa.RecordBatch], words: list[str], stems: list[st
     """(term, word): terms and roots that are an edit from a word of clean rows, or from its beginning."""
     lexicon = Lexicon(dict.fromkeys(words, EXACT), stems, words, roots=roots)
     for batch in batches:
-        near = [(t, w) for w in batch.column(0).to_pylist() if lexicon.weight(w) == FUZZY for t in lexicon.near.fuzzy(w)]
+        near = [(t, w) for w in batch.column(0).to_pylist() if lexicon.trie.exact(w) is None and lexicon.weight(w) for t in lexicon.near.fuzzy(w)]
         term, word = zip(*near, strict=True) if near else ((), ())
         yield pa.RecordBatch.from_arrays([pa.array(term, pa.string()), pa.array(word, pa.string())], ["term", "word"])
 

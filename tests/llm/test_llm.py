@@ -20,7 +20,7 @@ from knowlark.llm.sharding import shard, sharded
 from knowlark.llm.simhash import _near, keep_one, near_duplicates
 from knowlark.llm.suffix_dedup import _part, suffix_dedup
 from knowlark.llm.token_counts import PLANES, compiled, token_counts
-from knowlark.llm.toxicity import FUZZY, Lexicon, Trie, learn, reject_toxic, toxicity
+from knowlark.llm.toxicity import FUZZY, STEM, Lexicon, Trie, learn, reject_toxic, toxicity
 from knowlark.llm.url_filter import filter_urls, propagate
 from tests.conftest import SF
 
@@ -446,7 +446,7 @@ def test_automaton_and_trie():
             if edits == 1:
                 loose = sorted(w for w in words if len(w) > 3)
                 want = FUZZY if any(brute_distance(w, word) <= 1 for w in loose) else 0.0
-                assert Lexicon({}, [], loose).weight(word) == want
+                assert Lexicon(dict.fromkeys(loose, FUZZY), [], loose).weight(word) == want
 
 
 @pytest.mark.parametrize("sf", ["sf0.1"])
@@ -472,7 +472,7 @@ def test_held_out(spark, sf):
 
 def test_lexicon():
     lexicon = Lexicon({"stupid": 1.0, "scum": 1.0}, ["grolk"], ["stupid"], -3.0, (6.0, 0.0))
-    for word, weight in (("stupid", 1.0), ("stupld", FUZZY), ("stpuid", FUZZY), ("tupid", FUZZY), ("stupidd", FUZZY), ("stuped", FUZZY), ("stop", 0.0), ("scum", 1.0), ("scun", 0.0), ("grolkens", 1.0)):
+    for word, weight in (("stupid", 1.0), ("stupld", FUZZY), ("stpuid", FUZZY), ("tupid", FUZZY), ("stupidd", FUZZY), ("stuped", FUZZY), ("stop", 0.0), ("scum", 1.0), ("scun", 0.0), ("grolkens", STEM)):
         assert lexicon.weight(word) == weight, word
     assert lexicon.score("you stupid thing") > lexicon.score('he said the word "stupid" to her') > lexicon.score("")
 
