@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from knowlark.llm.alignment import align, link_counts
 from knowlark.llm.decontaminate import decontaminate
 from knowlark.llm.exact_dedup import exact_dedup
 from knowlark.llm.mixing import mix
+from knowlark.llm.packing import pack
 from knowlark.llm.quality import quality
 from knowlark.llm.sharding import shard
 from knowlark.llm.simhash import near_duplicates
@@ -79,6 +82,21 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    pieces = pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as public
+
+    aligned = align(_table(spark, sf_dir, "documents"), public.path("byte_bpe_50k.json"), public.path("piece_bpe_32k.model"))
+    digest = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("")
+    return link_counts(aligned.withColumn("groups_sha256", digest).drop("groups"))
+
+
 def queries() -> dict[str, Query]:
     ops = (
         op1_exact_dedup,
@@ -91,6 +109,8 @@ def queries() -> dict[str, Query]:
         op8_suffix_dedup,
         op9_token_counts,
         op10_url_filter,
+        op11_packing,
+        op12_alignment,
     )
     return {f.__name__: f for f in ops}
 

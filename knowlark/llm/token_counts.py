@@ -72,6 +72,8 @@ def newer() -> re.Pattern[str]:
     return re.compile(f"[{_ranges([c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == 'Cn'])}]")
 
 
+#: Characters up to the first that Python's tables lack; a text of these alone needn't be searched for newer ones.
+OLD = re.compile("[\x00-\u0377]*")
 #: Lower-cased ASCII, Latin-1 and Latin Extended letters, all of them letters of one block after another; texts of these and
 #: ASCII alone take a pattern with short classes, which is several times as fast.
 LATIN = "a-z\xdf-\xf6\xf8-\u024f"
@@ -256,7 +258,7 @@ class Transducer:
         """NFC and lower case, as the tokenizer has them."""
         if text.isascii():
             return text.lower()
-        if newer().search(text):
+        if not OLD.fullmatch(text) and newer().search(text):
             if self.normaliser is None:
                 from tokenizers import Tokenizer
 
