@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from knowlark.llm.alignment import align, link_counts
 from knowlark.llm.decontaminate import decontaminate
 from knowlark.llm.exact_dedup import exact_dedup
+from knowlark.llm.hard_negatives import mine
 from knowlark.llm.mixing import mix
 from knowlark.llm.packing import pack
 from knowlark.llm.quality import quality
@@ -97,6 +98,16 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_counts(aligned.withColumn("groups_sha256", digest).drop("groups"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings").where("label is not null")
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * 256).cast("double"))
+    label = F.when(F.col("vec_id") % 7 == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label"))
+    vectors = rows.where(finite).select(F.col("vec_id").alias("id"), label.cast("long").alias("label"), whole.alias("vec"))
+    scores = (F.col(c).cast("long").alias(c) for c in ("positive_score", "negative_score"))
+    return mine(vectors, F.col("id") % 100 == 0).select("anchor_id", "positive_id", "rank", "negative_id", *scores)
+
+
 def queries() -> dict[str, Query]:
     ops = (
         op1_exact_dedup,
@@ -111,6 +122,7 @@ def queries() -> dict[str, Query]:
         op10_url_filter,
         op11_packing,
         op12_alignment,
+        op13_hard_negatives,
     )
     return {f.__name__: f for f in ops}
 
@@ -129,6 +141,23 @@ def oracle_sql() -> dict[str, str]:
                      count(*) over (partition by norm) as group_size
               from d)
             select doc_id, keep_id, group_size, rn = 1 as kept, sha256(norm) as text_sha256 from w""",
+        "op13_hard_negatives": """
+            with v as (
+              select vec_id as id, cast(case when vec_id % 7 = 0 then (label + 1) % 10 else label end as bigint) as label,
+                     list_transform(embedding, lambda x: floor(cast(x as double) * 256)) as vec
+              from embeddings
+              where label is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+            s as (
+              select a.id as anchor_id, b.id, a.label = b.label as same,
+                     cast(list_sum(list_transform(list_zip(a.vec, b.vec), lambda p: p[1] * p[2])) as bigint) as score
+              from v a join v b on a.id % 100 = 0 and a.id <> b.id),
+            pos as (
+              select anchor_id, id as positive_id, score as positive_score from s where same
+              qualify row_number() over (partition by anchor_id order by score desc, id) <= 5)
+            select p.anchor_id, positive_id, row_number() over (partition by p.anchor_id, positive_id order by score desc, id) as rank,
+                   id as negative_id, positive_score, score as negative_score
+            from pos p join s on p.anchor_id = s.anchor_id and not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score
+            qualify rank <= 10""",
         "op5_decontaminate": r"""
             with d as (
               select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
