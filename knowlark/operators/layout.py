@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,6 +37,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df, written as Parquet to a folder of its own in the shared folder and read again: lineage is cut, columns are compressed, and a plan
+    that needs some columns reads those alone."""
+    folder = f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)
+
+
 def numbered(rows: DataFrame, *order: str | Column, name: str = "n") -> DataFrame:
     """rows plus their number from 1 in the whole table's order, without one task that sorts them all: rows are dealt by ranges and sorted
     there, and each partition begins where those before it end. The order should have no ties."""
