@@ -56,9 +56,11 @@ def tokens(c: Column) -> Column:
     words = F.transform(F.regexp_extract_all(text, F.lit("[a-zA-Z0-9]+"), 0), lambda w: F.concat(F.lit("w"), F.lower(w)))
     han = F.regexp_replace(text, "[^\\u4e00-\\u9fa5]", "")
     n = F.length(han)
+    each = F.split(han, "")  # once: a substring counts characters from the begin
 
     def at(i: Column) -> Column:
-        one, two, three = (F.substr(han, i, F.lit(k)) for k in (1, 2, 3))
+        some = [F.get(each, i - 1 + k) for k in range(3)]
+        one, two, three = some[0], F.concat(*some[:2]), F.concat(*some)
         return F.array(
             F.when(~F.lit(STOP_CHARS).contains(one), F.concat(F.lit("c1"), one)),
             F.when((i < n) & ~two.isin(STOP_BIGRAMS), F.concat(F.lit("c2"), two)),

@@ -48,6 +48,16 @@ def token_slot(hashed: Column) -> Column:
     return F.pmod(hashed, F.lit(DIM)).cast("int")
 
 
+def hashed_token(token: str) -> tuple[int, float]:
+    """token_slot and token_weight of one token."""
+    h = 0
+    for c in token:
+        h = (h * 31 + ord(c)) % (1 << 32)
+    word = min(2.5, 0.8 + (len(token) - 1) * 0.25)
+    size = {"c1": 0.6, "c2": 1.0, "c3": 1.5}.get(token[:2], word)
+    return h % DIM, -size if h >= 1 << 31 else size
+
+
 @F.pandas_udf(T.BinaryType())
 def to_bytes(v: pd.Series) -> pd.Series:
     """A vector as big-endian 32-bit floats."""

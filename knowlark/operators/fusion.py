@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from knowlark.functions.text import lenient_json, round4
-from knowlark.operators.lexical import keyword_scores
+from knowlark.operators.lexical import forward, keyword_scores
 
 RRF_K = 60
 SCORE_WEIGHT, KEYWORD_WEIGHT = 0.65, 0.35
@@ -55,7 +55,9 @@ def keyword_scored(hits: DataFrame) -> DataFrame:
     """hits (query_id, chunk_id, query, content, ...) plus keyword_score; as they are if they have it."""
     if "keyword_score" in hits.columns:
         return hits
-    scores = keyword_scores(hits, hits.select("query_id", "query").dropDuplicates(["query_id"]), hits.select("chunk_id", "content").dropDuplicates(["chunk_id"]))
+    # A chunk of several hits is tokenized once.
+    rows = forward(hits.select(F.lit(0).alias("kb_id"), "chunk_id", "content").dropDuplicates(["chunk_id"]))
+    scores = keyword_scores(hits, hits.select("query_id", "query").dropDuplicates(["query_id"]), rows)
     return hits.join(scores, ["query_id", "chunk_id"])
 
 

@@ -1,25 +1,27 @@
-"""BM25 and keyword scores over postings: one row per (knowledge base, term, chunk)."""
+"""BM25 and keyword scores. A corpus is tokenized once, to `forward` rows: a chunk's length and its different terms with their counts; all
+else is made of these, without the texts."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from knowlark.functions.text import tokens
+from knowlark.functions.text import STOP_BIGRAMS, STOP_CHARS
+from knowlark.operators.layout import written
 
 K1, B = 1.5, 0.75
-
-
-def tokenized(chunks: DataFrame, *keys: str) -> DataFrame:
-    """keys and terms of chunks. The generator of one row is a barrier: a filter on terms can't be pushed below it, where it would
-    tokenize every text once more."""
-    return chunks.select(*keys, F.explode(F.array(tokens(F.col("content")))).alias("terms"))
+TERMS = T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("tf", T.IntegerType())]))
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """(kb_id, chunk_id, term, tf) of chunks (kb_id, chunk_id, content). Counted per chunk on the map side."""
-    terms = chunks.select("kb_id", "chunk_id", F.explode(tokens(F.col("content"))).alias("term"))
-    return terms.groupBy("kb_id", "chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(kb_id, chunk_id, term, tf) of chunks (kb_id, chunk_id, content). Nothing is shuffled."""
+    return forward(chunks).select("kb_id", "chunk_id", F.inline("terms")).withColumn("tf", F.col("tf").cast("long"))
 
 
 def lengths(posted: DataFrame) -> DataFrame:
@@ -36,47 +38,94 @@ def document_frequency(posted: DataFrame) -> DataFrame:
     return posted.groupBy("kb_id", "term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def query_terms(queries: DataFrame) -> DataFrame:
-    """(query_id, term), each once, of queries (query_id, query)."""
-    return queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
+_WORD, _HAN = re.compile("[a-zA-Z0-9]+"), re.compile("[\u4e00-\u9fa5]+")
+_STOP = frozenset(STOP_BIGRAMS)
+
+
+def han_tokens(text: str) -> list[str]:
+    """Tokens of a text's Han characters, as functions.text.tokens has them."""
+    han = "".join(_HAN.findall(text))
+    one = ["c1" + c for c in han if c not in STOP_CHARS]
+    two = ["c2" + p for p in map("".join, zip(han, han[1:], strict=False)) if p not in _STOP]
+    return one + two + ["c3" + "".join(t) for t in zip(han, han[1:], han[2:], strict=False)]
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (..., content) the number of tokens, and each different one with its count. Words are told apart once in a batch, as they
+    are written; all else goes by their numbers."""
+    for batch in batches:
+        texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
+        cut = [_WORD.findall(t) for t in texts]
+        han = [han_tokens(t) if not t.isascii() else [] for t in texts]
+        flat = pa.array([w for words in cut for w in words], pa.string()).dictionary_encode()
+        names = pa.array([*("w" + w.lower() for w in flat.dictionary.to_pylist()), *(t for some in han for t in some)], pa.string()).dictionary_encode()
+        number, wide = np.asarray(names.indices, dtype=np.int64), max(1, len(names.dictionary))
+        sizes, more = np.fromiter(map(len, cut), np.int64, len(cut)), np.fromiter(map(len, han), np.int64, len(han))
+        code = np.concatenate([number[np.asarray(flat.indices, dtype=np.int64)], number[len(flat.dictionary) :]])
+        row = np.concatenate([np.repeat(np.arange(len(cut)), sizes), np.repeat(np.arange(len(han)), more)])
+        key, times = np.unique(row * wide + code, return_counts=True)
+        ends = np.append(0, np.cumsum(np.bincount(key // wide, minlength=len(cut)))).astype(np.int32)
+        found = pa.StructArray.from_arrays([names.dictionary.take(pa.array(key % wide)), pa.array(times.astype(np.int32))], ["term", "tf"])
+        columns = [*batch.columns[:-1], pa.array((sizes + more).astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), found)]
+        yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "dl", "terms"])
+
+
+def forward(chunks: DataFrame) -> DataFrame:
+    """(kb_id, chunk_id, dl, terms array<struct<term, tf>>) of chunks (kb_id, chunk_id, content), those without tokens too. Nothing is shuffled."""
+    rows = chunks.select("kb_id", "chunk_id", "content")
+    return rows.mapInArrow(_counted, T.StructType([rows.schema["kb_id"], rows.schema["chunk_id"], T.StructField("dl", T.IntegerType()), T.StructField("terms", TERMS)]))
+
+
+def asked_terms(queries: DataFrame) -> DataFrame:
+    """(query_id, term, tf) of queries (query_id, query)."""
+    rows = forward(queries.select(F.lit(0).alias("kb_id"), F.col("query_id").alias("chunk_id"), F.col("query").alias("content")))
+    return rows.select(F.col("chunk_id").alias("query_id"), F.inline("terms"))
 
 
 def bm25(chunks: DataFrame, queries: DataFrame, limit: int, per_kb: bool = True) -> DataFrame:
-    """(query_id, kb_id, chunk_id, score): the best `limit` chunks of each query in each knowledge base, or over all.
+    """(query_id, kb_id, chunk_id, score, rank): the best `limit` chunks of each query in each knowledge base, or over all. Scores are rounded to nine places
+    before ranking; ties go to the smaller chunk_id. Statistics are per knowledge base."""
+    return bm25_rows(store(chunks), queries, limit, per_kb)
 
-    Scores are rounded to nine places before ranking; ties go to the smaller chunk_id. Postings are semi-joined with the
-    queries' terms before anything is scored, and statistics are per knowledge base. The queries' side is broadcast only
-    where Spark's own size threshold allows it.
-    """
-    sized = tokenized(chunks, "kb_id", "chunk_id").withColumn("dl", F.size("terms")).where("dl > 0")
+
+def bm25_rows(rows: DataFrame, queries: DataFrame, limit: int, per_kb: bool = True) -> DataFrame:
+    """The same from forward() rows, which are read twice and should be stored: for a batch of queries that ask for much of the corpus, where
+    an index's blocks can't be skipped. Postings are semi-joined with the queries' terms before anything is scored."""
+    sized = rows.where("dl > 0")
     stats = sized.groupBy("kb_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.avg("dl").alias("avg_len"))
-    asked = query_terms(queries)
-    posted = sized.select("kb_id", "chunk_id", "dl", F.explode("terms").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    posted = posted.groupBy("kb_id", "term", "chunk_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    asked = asked_terms(queries).select("query_id", "term")
+    posted = sized.select("kb_id", "chunk_id", "dl", F.inline("terms")).join(asked.select("term").distinct(), "term", "left_semi")
     df = posted.groupBy("kb_id", "term").agg(F.count(F.lit(1)).alias("df"))
-    scored = posted.join(df, ["kb_id", "term"]).join(stats, "kb_id")
-    idf = F.log(1 + (F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.greatest(F.lit(1e-6), F.col("avg_len"))))
-    weighted = scored.select("kb_id", "term", "chunk_id", weight.alias("weight"))
+    weight = rarity(F.col("n_chunks"), F.col("df")) * saturation(F.col("tf"), F.col("dl"), F.col("avg_len"))
+    weighted = posted.join(df.join(stats, "kb_id"), ["kb_id", "term"]).select("kb_id", "term", "chunk_id", weight.alias("weight"))
     hits = weighted.join(asked, "term").groupBy("query_id", "kb_id", "chunk_id").agg(F.round(F.sum("weight"), 9).alias("score"))
-    keys = ["query_id", "kb_id"] if per_kb else ["query_id"]
-    best = Window.partitionBy(*keys).orderBy(F.desc("score"), "chunk_id")
+    best = Window.partitionBy(*(["query_id", "kb_id"] if per_kb else ["query_id"])).orderBy(F.desc("score"), "chunk_id")
     return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
 
 
-def keyword_scores(pairs: DataFrame, queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, keyword_score) of pairs (query_id, chunk_id): 0.7 x share of the query's different tokens that the chunk has
-    + 0.3 x their occurrences (2 at most each) in the chunk over those in the query; 0 for a query without tokens.
+def saturation(tf: Column, dl: Column, avg_len: Column) -> Column:
+    """What a term's count gives in a chunk of this length, before the term's own weight."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.greatest(F.lit(1e-6), avg_len)))
+
 
-    A chunk of several pairs is tokenized once, and only the queries' terms of it go on.
-    """
+def rarity(n_chunks: Column, df: Column) -> Column:
+    return F.log(1 + (n_chunks - df + 0.5) / (df + 0.5))
+
+
+def keyword_scores(pairs: DataFrame, queries: DataFrame, rows: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, keyword_score) of pairs (query_id, chunk_id) and forward() rows: 0.7 x share of the query's different tokens that the
+    chunk has + 0.3 x their occurrences (2 at most each) in the chunk over those in the query; 0 for a query without tokens."""
     pairs = pairs.select("query_id", "chunk_id").distinct()
-    asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.least(F.count(F.lit(1)), F.lit(2)).alias("_asked"))
-    size = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("_terms"), F.sum("_asked").alias("_total"))
-    wanted = chunks.select("chunk_id", "content").join(pairs.select("chunk_id").distinct(), "chunk_id", "left_semi")
-    terms = wanted.select("chunk_id", F.explode(tokens(F.col("content"))).alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    terms = terms.groupBy("chunk_id", "term").agg(F.least(F.count(F.lit(1)), F.lit(2)).alias("_times"))
-    found = pairs.join(asked.drop("_asked"), "query_id").join(terms, ["chunk_id", "term"]).groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias("_hits"), F.sum("_times").alias("_found"))
-    score = 0.7 * F.col("_hits") / F.col("_terms") + 0.3 * F.col("_found") / F.col("_total")
-    scored = found.join(size, "query_id").select("query_id", "chunk_id", score.alias("keyword_score"))
+    asked = asked_terms(queries).select("query_id", "term", F.least("tf", F.lit(2)).alias("_asked"))
+    size = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("_terms"), F.sum("_asked").alias("_total"), F.collect_list("term").alias("_wanted"))  # one query's terms
+    held = pairs.join(size, "query_id").join(rows.select("chunk_id", "terms"), "chunk_id")
+    found = F.filter("terms", lambda t: F.array_contains(F.col("_wanted"), t["term"]))
+    times = F.aggregate(found, F.lit(0).cast("long"), lambda a, t: a + F.least(t["tf"], F.lit(2)))
+    score = 0.7 * F.size(found) / F.col("_terms") + 0.3 * times / F.col("_total")
+    scored = held.select("query_id", "chunk_id", score.alias("keyword_score"))
     return pairs.join(scored, ["query_id", "chunk_id"], "left").select("query_id", "chunk_id", F.coalesce("keyword_score", F.lit(0.0)).alias("keyword_score"))
+
+
+def store(chunks: DataFrame) -> DataFrame:
+    """forward() rows of chunks, written once to the shared folder."""
+    return written(forward(chunks))

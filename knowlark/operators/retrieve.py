@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from knowlark.operators.fusion import RERANKERS, merge_graph, minmax, rrf
-from knowlark.operators.lexical import bm25, keyword_scores
-from knowlark.operators.vector import sparse_search
+from knowlark.operators.layout import checkpointed
+from knowlark.operators.lexical import bm25_rows, keyword_scores, store
+from knowlark.operators.vector import hash_search
 
 
 @dataclass(frozen=True)
@@ -37,33 +38,37 @@ class Params:
         return min(100, self.limit * min(5, max(1, self.multiplier)))
 
 
-def stages(chunks: DataFrame, queries: DataFrame, params: Params = Params(), graph_hits: DataFrame | None = None) -> dict[str, DataFrame]:
+def stages(chunks: DataFrame, queries: DataFrame, params: Params = Params(), graph_hits: DataFrame | None = None, rows: DataFrame | None = None) -> dict[str, DataFrame]:
     """vector, keyword, fused and reranked hits (query_id, chunk_id, score, source, ...) of chunks (kb_id, chunk_id, content) for
     queries (query_id, query). Every stage is one plan over all queries. If queries have a column `search`, words and vectors are searched by
-    it (a rewritten query); if they have `passage`, vectors by that (a hypothetical document). Reranking goes by the query."""
+    it (a rewritten query); if they have `passage`, vectors by that (a hypothetical document). Reranking goes by the query. rows are
+    the chunks' stored lexical.forward() rows; without them chunks are tokenized here, once."""
     by_words = queries.withColumn("query", F.col("search")) if "search" in queries.columns else queries
     by_vector = queries.withColumn("query", F.col("passage")) if "passage" in queries.columns else by_words
     store_min = 0.0 if params.hybrid else params.min_score
-    vector = sparse_search(chunks, by_vector, params.recall, store_min).select("query_id", "chunk_id", "score")
+    rows = store(chunks) if rows is None else rows
+    vector = hash_search(rows, by_vector, params.recall, store_min).select("query_id", "chunk_id", "score")
     if params.score_norm == "minmax":
         vector = minmax(vector)
-    content = chunks.select("chunk_id", "content")
+    # Hits are few: held once, they serve every stage behind them, and texts are joined to the best alone.
+    vector = checkpointed(vector)
     if params.hybrid:
-        keyword = bm25(chunks, by_words, params.recall).select("query_id", "chunk_id", "score")
+        keyword = checkpointed(bm25_rows(rows, by_words, params.recall).select("query_id", "chunk_id", "score"))
         fused = rrf(vector, keyword, params.min_score)
     else:
         keyword = vector.limit(0)
         fused = vector.where(F.col("score") >= params.min_score).withColumn("source", F.lit("vector"))
     if graph_hits is not None:
         fused = merge_graph(fused, graph_hits)
-    scores = keyword_scores(fused, queries, content)
-    best = RERANKERS[params.rerank](fused.join(scores, ["query_id", "chunk_id"]), params.limit)
-    reranked = best.join(queries.select("query_id", "query"), "query_id").join(content, "chunk_id")  # texts of the best alone
+    fused = checkpointed(fused)
+    scores = keyword_scores(fused, queries, rows)
+    best = checkpointed(RERANKERS[params.rerank](fused.join(scores, ["query_id", "chunk_id"]), params.limit))
+    reranked = best.join(queries.select("query_id", "query"), "query_id").join(chunks.select("chunk_id", "content"), "chunk_id")
     return {"vector": vector.withColumn("source", F.lit("vector")), "keyword": keyword.withColumn("source", F.lit("keyword")), "fused": fused, "reranked": reranked}
 
 
-def retrieve(chunks: DataFrame, queries: DataFrame, params: Params = Params(), graph_hits: DataFrame | None = None) -> DataFrame:
-    return stages(chunks, queries, params, graph_hits)["reranked"]
+def retrieve(chunks: DataFrame, queries: DataFrame, params: Params = Params(), graph_hits: DataFrame | None = None, rows: DataFrame | None = None) -> DataFrame:
+    return stages(chunks, queries, params, graph_hits, rows)["reranked"]
 
 
 def parent_expand(chunks: DataFrame) -> DataFrame:

@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from knowlark.functions.text import tokens
-from knowlark.functions.vectors import DIM, dot, l2_normalize, token_hash, token_slot, token_weight
+from knowlark.functions.vectors import DIM, dot, hashed_token, l2_normalize
+from knowlark.operators.lexical import forward, store
 
 
-#: Queries to a matrix, and numbers that one step of a distance may hold.
-QUERIES, CELLS = 2048, 1 << 22
+#: Queries and vectors of a tile, about, and numbers that one step of it may hold.
+QUERIES, VECTORS, CELLS = 4096, 65_536, 1 << 22
 
 
 def _top(scored: DataFrame, keys: list[str], k: int, order) -> DataFrame:
@@ -29,15 +29,6 @@ def check_dimension(vectors: DataFrame, size: int) -> DataFrame:
     return vectors.withColumn("vec", F.when(F.size("vec") == size, F.col("vec")).otherwise(F.raise_error(told).cast(vectors.schema["vec"].dataType)))
 
 
-def blocks(queries: DataFrame, width: int = QUERIES) -> Iterator[pa.Table]:
-    """The rows of queries, about `width` at a time: the driver and the broadcast hold one block, however many queries there are."""
-    count = max(1, -(-queries.count() // width))
-    for b in range(count):
-        rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(count)) == b).toArrow()
-        if rows.num_rows:
-            yield rows.combine_chunks()
-
-
 def _best(score: np.ndarray, chunk: np.ndarray, k: int) -> np.ndarray:
     """Places of the k greatest scores, of equal ones those of the smaller chunks."""
     if len(score) > k:
@@ -46,40 +37,43 @@ def _best(score: np.ndarray, chunk: np.ndarray, k: int) -> np.ndarray:
     return np.arange(len(score))
 
 
-def _each_block(vectors: DataFrame, queries: DataFrame, pack: Callable, score: Callable, k: int, least: float | None, kb: bool, positive: bool = True) -> DataFrame:
-    """Scores of vectors (kb_id, chunk_id, ...) for blocks of queries: a matrix product for each Arrow batch, of which the best k of a
-    query (and kb) go on. pack turns rows into a matrix, on either side; score makes (vectors x queries) of two."""
-    out, spark = None, vectors.sparkSession
-    key = vectors.schema["chunk_id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
-    names = (["kb_id"] if kb else []) + ["query_id", "chunk_id", "score"]
-    schema = (f"kb_id {vectors.schema['kb_id'].dataType.simpleString()}, " if kb else "") + f"query_id {key[1]}, chunk_id {key[0]}, score double"
-    for rows in blocks(queries):
-        shared = spark.sparkContext.broadcast((rows.column("query_id").to_pylist(), pack(rows.to_batches()[0])))
-
-        def each(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, asked = shared.value
-            for batch in batches:
-                made = pack(batch)
-                chunk = np.array(batch.column("chunk_id").to_pylist())
-                group = np.array(batch.column("kb_id").to_pylist()) if kb else np.zeros(len(chunk), int)
-                parts = [np.flatnonzero(group == g) for g in dict.fromkeys(group.tolist())]
-                found: list[list] = [[] for _ in names]
-                step = max(1, CELLS // max(1, len(chunk)))
-                for first in range(0, len(ids), step):
-                    table = score(made, asked, slice(first, first + step))
-                    for q in range(table.shape[1]):
-                        for part in parts:
-                            mine = part if least is None else part[(table[part, q] >= least) & ((table[part, q] > 0) | (not positive))]
-                            mine = mine[_best(table[mine, q], chunk[mine], k)]
-                            columns = ([group[mine]] if kb else []) + [[ids[first + q]] * len(mine), chunk[mine], table[mine, q]]
-                            for c, x in zip(found, columns, strict=True):
-                                c.extend(x)
-                yield pa.RecordBatch.from_arrays([pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(found, fields, strict=True)], names)
-
-        fields = T._parse_datatype_string(schema).fields
-        some = vectors.mapInArrow(each, schema)
-        out = some if out is None else out.unionByName(some)
-    return spark.createDataFrame([], schema) if out is None else out
+def _tiles(vectors: DataFrame, queries: DataFrame, pack: Callable, score: Callable, k: int, least: float | None, kb: bool, positive: bool = True) -> DataFrame:
+    """Scores of vectors (kb_id, chunk_id, ...) for queries (query_id, ...), by a grid of tiles: vectors and queries are dealt to pieces, every piece of the one
+    meets every piece of the other in a task, as a matrix product, and the best k of a query (and kb) go on. pack turns rows into a
+    matrix, on either side; score makes (vectors x queries) of two. Both sides are dealt by joins, whatever their sizes; a vector is sent
+    once for each QUERIES queries, a query once for each piece of vectors."""
+    partitions = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    across = max(1, -(-queries.count() // QUERIES))
+    down = max(-(-partitions // across), -(-vectors.count() // VECTORS))
+    kinds = {c: (vectors if c in vectors.columns else queries).schema[c].dataType for c in (["kb_id"] if kb else []) + ["query_id", "chunk_id"]} | {"score": T.DoubleType()}
+    fields = [T.StructField(c, t) for c, t in kinds.items()]
+
+    def each(some: pa.Table, asked: pa.Table) -> pa.Table:
+        found: list[list] = [[] for _ in fields]
+        if some.num_rows and asked.num_rows:
+            made, wanted = (pack(t.combine_chunks().to_batches()[0]) for t in (some, asked))
+            ids, chunk = asked.column("query_id").to_pylist(), np.array(some.column("chunk_id").to_pylist())
+            group = np.array(some.column("kb_id").to_pylist()) if kb else np.zeros(len(chunk), int)
+            parts = [np.flatnonzero(group == g) for g in dict.fromkeys(group.tolist())]
+            step = max(1, CELLS // len(chunk))
+            for first in range(0, len(ids), step):
+                table = score(made, wanted, slice(first, first + step))
+                for q in range(table.shape[1]):
+                    for part in parts:
+                        mine = part if least is None else part[(table[part, q] >= least) & ((table[part, q] > 0) | (not positive))]
+                        mine = mine[_best(table[mine, q], chunk[mine], k)]
+                        columns = ([group[mine]] if kb else []) + [[ids[first + q]] * len(mine), chunk[mine], table[mine, q]]
+                        for c, x in zip(found, columns, strict=True):
+                            c.extend(x)
+        return pa.table([pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(found, fields, strict=True)], list(kinds))
+
+    def dealt(rows: DataFrame, key: str, mine: str, pieces: int, other: str, all_: int) -> DataFrame:
+        piece = F.pmod(F.xxhash64(key), F.lit(pieces)).cast("int")
+        return rows.withColumn(mine, piece).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(all_ - 1))))
+
+    left = dealt(vectors, "chunk_id", "_down", down, "_across", across).groupBy("_down", "_across")
+    right = dealt(queries, "query_id", "_across", across, "_down", down).groupBy("_down", "_across")
+    return left.cogroup(right).applyInArrow(each, T.StructType(fields))
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -109,10 +103,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, min_score: float = 0.
     """Exact cosine top k of (kb_id, chunk_id, vec) for queries (query_id, vec) in each kb; scores are at least min_score and over 0, the
     latter only if positive (a database's own search keeps those of 0 and less where min_score lets them).
 
-    Every query meets every vector, as an exact search must, in matrix products of a block of queries and a batch of vectors;
+    Every query meets every vector, as an exact search must, in matrix products of a piece of the queries and one of the vectors;
     of each the best k alone leave the worker. A vector of another length than the others' scores 0; check_dimension refuses it.
     """
-    scored = _each_block(vectors.select("kb_id", "chunk_id", "vec"), queries.select("query_id", "vec"), _dense, _cosine, k, min_score, True, positive)
+    scored = _tiles(vectors.select("kb_id", "chunk_id", "vec"), queries.select("query_id", "vec"), _dense, _cosine, k, min_score, True, positive)
     return _top(scored, ["query_id", "kb_id"], k, F.desc("score"))
 
 
@@ -129,7 +123,7 @@ def _distance(vectors: tuple, queries: tuple, some: slice) -> np.ndarray:
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The k least Euclidean distances of each query."""
-    scored = _each_block(vectors.select("chunk_id", "vec"), queries.select("query_id", "vec"), _dense, _distance, k, None, False)
+    scored = _tiles(vectors.select("chunk_id", "vec"), queries.select("query_id", "vec"), _dense, _distance, k, None, False)
     return _top(scored.select("query_id", "chunk_id", (-F.col("score")).alias("distance")), ["query_id"], k, F.asc("distance"))
 
 
@@ -185,14 +179,38 @@ def ann_search(vectors: DataFrame, queries: DataFrame, k: int, lists: int | None
     return _top(scored.where("score > 0"), ["query_id"], k, F.desc("score"))
 
 
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of forward() rows (kb_id, chunk_id, terms) the slots and values of their unit embedding. Each term is hashed once in a worker."""
+    known: dict[str, tuple[int, float]] = {}
+    for batch in batches:
+        sizes, row, terms = _lists(batch.column(2))
+        flat = terms.field("term").dictionary_encode()
+        names = flat.dictionary.to_pylist()
+        if len(known) > 1_000_000:
+            known.clear()
+        known.update((t, hashed_token(t)) for t in names if t not in known)
+        slot, weight = (np.array([known[t][k] for t in names], dtype=d) for k, d in ((0, np.int64), (1, float)))
+        code = np.asarray(flat.indices, dtype=np.int64)
+        key = row * DIM + slot[code]
+        there = np.unique(key)
+        raw = np.bincount(np.searchsorted(there, key), weights=weight[code] * np.asarray(terms.field("tf")), minlength=len(there))
+        norm = np.sqrt(np.bincount(there // DIM, weights=raw * raw, minlength=len(sizes)))[there // DIM]
+        value = np.divide(raw, norm, out=raw.copy(), where=norm > 0)
+        ends = np.append(0, np.cumsum(np.bincount(there // DIM, minlength=len(sizes)))).astype(np.int32)
+        parts = pa.StructArray.from_arrays([pa.array((there % DIM).astype(np.int32)), pa.array(value)], ["slot", "value"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.ListArray.from_arrays(pa.array(ends), parts)], [*batch.schema.names[:2], "parts"])
+
+
+def hash_parts(rows: DataFrame) -> DataFrame:
+    """Sparse unit embeddings (kb_id, chunk_id, parts array<struct<slot, value>>) of lexical.forward() rows that have terms."""
+    some = rows.where(F.size("terms") > 0).select("kb_id", "chunk_id", "terms")
+    parts = T.ArrayType(T.StructType([T.StructField("slot", T.IntegerType()), T.StructField("value", T.DoubleType())]))
+    return some.mapInArrow(_hashed, T.StructType([*some.schema.fields[:2], T.StructField("parts", parts)]))
+
+
 def hash_embed(texts: DataFrame) -> DataFrame:
-    """Sparse unit embeddings (kb_id, chunk_id, slot, value) of texts (kb_id, chunk_id, content). Each different term is hashed once."""
-    terms = texts.select("kb_id", "chunk_id", F.explode(tokens(F.col("content"))).alias("term")).groupBy("kb_id", "chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    hashed = terms.select("term").distinct().select("term", token_hash(F.col("term")).alias("_hash"))
-    vocabulary = hashed.select("term", token_slot(F.col("_hash")).alias("slot"), token_weight(F.col("term"), F.col("_hash")).alias("weight"))
-    slots = terms.join(vocabulary, "term").groupBy("kb_id", "chunk_id", "slot").agg(F.sum(F.col("tf") * F.col("weight")).alias("raw"))
-    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("kb_id", "chunk_id")))
-    return slots.select("kb_id", "chunk_id", "slot", F.when(norm == 0, F.col("raw")).otherwise(F.col("raw") / norm).alias("value"))
+    """Sparse unit embeddings (kb_id, chunk_id, slot, value) of texts (kb_id, chunk_id, content)."""
+    return hash_parts(forward(texts)).select("kb_id", "chunk_id", F.inline("parts"))
 
 
 def _packed(batch: pa.RecordBatch) -> np.ndarray:
@@ -203,13 +221,15 @@ def _packed(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def sparse_search(texts: DataFrame, queries: DataFrame, k: int, min_score: float = 0.0) -> DataFrame:
-    """Cosine top k per query and kb between hashed embeddings. A text's slots, 512 at most, are packed to a row where its norm was
-    computed, and rows meet the queries in matrix products."""
-    parts = F.collect_list(F.struct("slot", "value")).alias("parts")
-    docs = hash_embed(texts).groupBy("kb_id", "chunk_id").agg(parts)
-    q = hash_embed(queries.select(F.lit(0).alias("kb_id"), F.col("query_id").alias("chunk_id"), F.col("query").alias("content")))
-    q = q.groupBy(F.col("chunk_id").alias("query_id")).agg(parts)
-    scored = _each_block(docs, q, _packed, lambda x, y, some: np.round(x @ y[some].T, 6), k, min_score, True)
+    """Cosine top k per query and kb between hashed embeddings of texts (kb_id, chunk_id, content)."""
+    return hash_search(store(texts), queries, k, min_score)
+
+
+def hash_search(rows: DataFrame, queries: DataFrame, k: int, min_score: float = 0.0) -> DataFrame:
+    """The same of lexical.forward() rows, which are read twice and should be stored."""
+    q = forward(queries.select(F.lit(0).alias("kb_id"), F.col("query_id").alias("chunk_id"), F.col("query").alias("content")))
+    q = hash_parts(q).select(F.col("chunk_id").alias("query_id"), "parts")
+    scored = _tiles(hash_parts(rows), q, _packed, lambda x, y, some: np.round(x @ y[some].T, 6), k, min_score, True)
     return _top(scored, ["query_id", "kb_id"], k, F.desc("score"))
 
 

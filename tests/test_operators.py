@@ -115,8 +115,8 @@ def test_ann_recall_registered(spark, sf):
     assert len(exact & near) / len(exact) >= 0.95
 
 
-def test_search_by_blocks(spark, monkeypatch):
-    """Blocks of queries, ties and vectors of another length, against a plain loop."""
+def test_search_by_tiles(spark, monkeypatch):
+    """Tiles, ties and vectors of another length, against a plain loop."""
     rng = np.random.default_rng(3)
     x = [v.tolist() for v in rng.integers(-2, 3, (90, 3)).astype(float)] + [[1.0, 2.0], None]
     vectors = spark.createDataFrame([(k % 2, k, v) for k, v in enumerate(x)], "kb_id long, chunk_id long, vec array<double>").repartition(3)
@@ -126,8 +126,9 @@ def test_search_by_blocks(spark, monkeypatch):
         for kb in (0, 1):
             scores = sorted(((-float(np.dot(x[q], v)), k) for k, v in enumerate(x[:90]) if k % 2 == kb and np.dot(x[q], v) > 0))[:4]
             want += [(q, kb, k, -s, n) for n, (s, k) in enumerate(scores, 1)]
-    for width in (2048, 2):
-        monkeypatch.setattr(vector.blocks, "__defaults__", (width,))
+    for width, height in ((4096, 65_536), (2, 40)):
+        monkeypatch.setattr(vector, "QUERIES", width)
+        monkeypatch.setattr(vector, "VECTORS", height)
         got = vector.search(vectors, queries, 4).select("query_id", "kb_id", "chunk_id", "score", "rank").collect()
         assert sorted(map(tuple, got)) == sorted(want)
     with pytest.raises(Exception, match="not of 3 dimensions"):
