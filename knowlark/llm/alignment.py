@@ -1,12 +1,13 @@
 """Alignment of two tokenizers over the same texts by an event sweep.
 
-Every token of either side is an event at the byte where the token before it ends: the side, the place and the token's id. The events of both
-sides are brought together by document and sorted by place, and a sweep reads them with the two tokens that are open as its state: between
-two events the open tokens overlap, which is a link, and where both sides have an event a group ends. Events travel in rows of a side's
-events in WINDOW bytes of a document, so that rows stay small; what the sweep carries from one row to the next is the group that is open.
-
-Links are then counted over all documents. A pair of ids stands once in each block of documents (the rows that one task swept one after
-another), so that counts reach the documents by way of blocks, however many documents hold a pair.
+Every token of either side is an event at the byte where the token before it ends. The events of both sides are brought together by document
+and sorted by place, and a sweep reads them with the two tokens that are open as its state: between two events the open tokens overlap,
+which is a link, and where both sides have an event a group ends. Events travel in rows of a side's events in WINDOW bytes of a document,
+so that rows stay small, and as ids alone, since an id says how long its token is; what the sweep carries from one row to the next is
+the group that is open.
+
+Links are then counted over all documents. A pair of ids stands once in each block of DOCUMENTS rows of the input, so that counts reach the
+documents by way of blocks, however many documents hold a pair; a block's documents are swept again where its counts are.
 """
 
 from __future__ import annotations
@@ -16,45 +17,46 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from knowlark.llm.common import text_of, written
+from knowlark.llm.common import partitions, text_of
 from knowlark.llm.encoding import Encoder, blocks, byte_encoder, piece_encoder
 
-#: Bytes of a document whose events share a row, and links of the documents of a block.
-WINDOW, BLOCK = 1 << 17, 1 << 22
+#: Bytes of a document whose events share a row, documents of a block, and events that are swept at a time, about.
+WINDOW, DOCUMENTS, EVENTS = 1 << 17, 512, 1 << 17
 #: Ids of side B are below it: a pair of ids is one number.
 WIDE = 1 << 20
 LINKS = "array<struct<a:int,b:int,times:int>>"
 
 
-def _events(batches: Iterator[pa.RecordBatch], a: object, b: object, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
-    """(key, doc_id, window, side, places, ids) of rows (key, doc_id, text); a text without tokens has one row without events."""
-    names = ["key", "doc_id", "window", "side", "places", "ids"]
-    ints = pa.list_(pa.int32())
+def _events(batches: Iterator[pa.RecordBatch], a: object, b: object, kind: pa.DataType, window: int) -> Iterator[pa.RecordBatch]:
+    """Event rows of rows (block, key, doc_id, text); a text without tokens has one row without events. `place` is the first event's, `last`
+    says that the text ends behind the row's tokens."""
+    names = ["block", "key", "doc_id", "window", "side", "place", "last", "n", "ids"]
+    kinds = (pa.int64(), pa.int64(), kind, pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.binary())
+    wide = [len(x.value.lengths) for x in (a, b)]
     for batch in batches:
-        keys, docs, texts = (c.to_pylist() for c in batch.columns)
+        block, keys, docs, texts = (c.to_pylist() for c in batch.columns)
         for some in blocks(texts):
             rows: list[tuple] = []
             spaced = [" " + t if t else "" for t in texts[some]]
             sizes = np.fromiter((len(t.encode("utf-8", "surrogatepass")) for t in spaced), np.int64, len(spaced))
             sides = [_sides(encoder.value, spaced, sizes) for encoder in (a, b)]
             good = sides[0][2] & sides[1][2] & (sizes > 0)
-            for k, (key, doc) in enumerate(zip(keys[some], docs[some], strict=True)):
+            for k, row in enumerate(zip(block[some], keys[some], docs[some], strict=True)):
                 if not good[k]:
-                    rows.append((key, doc, 0, 0, [], []))
+                    rows.append((*row, 0, 0, 0, False, 0, b""))
                     continue
                 for side, (begins, ids, _, first) in enumerate(sides):
                     places, mine = begins[first[k] : first[k + 1]], ids[first[k] : first[k + 1]]
-                    # The last event ends the text; no token is open behind it.
-                    places, mine = np.append(places, sizes[k]).astype(np.int32), np.append(mine, -1).astype(np.int32)
-                    cuts = [0, *np.searchsorted(places, np.arange(WINDOW, sizes[k] + 1, WINDOW)).tolist(), len(places)]
-                    rows.extend((key, doc, w, side, places[s:e], mine[s:e]) for w, (s, e) in enumerate(zip(cuts, cuts[1:], strict=False)))
-            columns = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), kind, pa.int32(), pa.int32(), ints, ints), strict=True)], names)
+                    cuts = [0, *np.searchsorted(places, np.arange(window, sizes[k], window)).tolist(), len(places)]
+                    for w, (s, e) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                        if e > s:
+                            small = mine[s:e].astype(np.uint16 if wide[side] <= 1 << 16 else np.int32)
+                            rows.append((*row, w, side, int(places[s]), e == len(places), e - s, pa.compress(small.tobytes(), "zstd", asbytes=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
 def _sides(encoder: Encoder, texts: list[str], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -71,9 +73,19 @@ def _sides(encoder: Encoder, texts: list[str], sizes: np.ndarray) -> tuple[np.nd
 class Sweep:
     """The machine over sorted events. take() gets the events of both sides of one or more documents in order, the last of which may go on."""
 
-    def __init__(self, vocabulary: int) -> None:
+    def __init__(self, lengths: tuple[np.ndarray, np.ndarray], spelled: bool = True) -> None:
+        self.lengths, self.spelled = lengths, spelled  # bytes of each side's tokens; whether groups are told as text
         # An id with what stands behind it: the next of its group and side, the other side, the next group, nothing.
-        self.names = pa.array([f"{i}{s}" for i in range(vocabulary) for s in (",", "|", ";", "")])
+        self.names = pa.array([f"{i}{s}" for i in range(max(map(len, lengths)) if spelled else 0) for s in (",", "|", ";", "")], pa.string())
+
+    def events(self, side: int, place: int, last: bool, n: int, ids: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Places and ids of a row's events. An event without a token, -1, ends the text."""
+        lengths = self.lengths[side]
+        kind = np.uint16 if len(lengths) <= 1 << 16 else np.int32
+        mine = np.frombuffer(pa.decompress(ids, n * kind().itemsize, "zstd"), kind).astype(np.int64) if n else np.zeros(0, np.int64)
+        ends = place + np.cumsum(lengths[mine])
+        places = np.append(place, ends)[: n + last]
+        return places, np.append(mine, -1) if last else mine
 
     def groups(self, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of events (places, ids) of both sides: the places where groups begin, each link's place and its two ids as one number, and each
@@ -105,36 +117,33 @@ class Sweep:
 class Rows:
     """Documents' results, from batches of event rows sorted by document, window and side."""
 
-    def __init__(self, sweep: Sweep, base: int, kind: pa.DataType, block: int) -> None:
-        self.sweep, self.kind, self.block, self.number, self.links = sweep, kind, block, base, 0
-        self.key, self.doc = None, None
+    def __init__(self, sweep: Sweep, kind: pa.DataType) -> None:
+        self.sweep, self.kind = sweep, kind
+        self.block, self.key, self.doc = None, None, None
         self.carried = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * 2
         self.parts: list[tuple] = []  # of the document that goes on: counts, text, pairs, times
 
     def batch(self, batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys = batch.column(0).to_numpy()
-        sides = batch.column(3).to_numpy()
+        """The documents that a batch of event rows finishes."""
+        keys = batch.column(1).to_numpy()
         change = np.append(True, keys[1:] != keys[:-1])
-        made: list[tuple] = []
-        begins_with_last = len(keys) and self.key is not None and keys[0] == self.key
-        if self.key is not None and not begins_with_last:
-            made.append(self._document(self._sum()))
-        firsts = np.flatnonzero(change)
-        docs = batch.column(1).take(pa.array(firsts)).to_pylist()
-        index = np.cumsum(change) - 1
-        events = []
-        lengths = np.array(batch.column(4).value_lengths())
-        places, ids = (batch.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in (4, 5))
-        side_of, doc_of = np.repeat(sides, lengths), np.repeat(index, lengths)
-        for side in (0, 1):
-            mine = side_of == side
-            p, i, d = places[mine] + (doc_of[mine] << 32), ids[mine], doc_of[mine]
-            old = self.carried[side]
-            events.append((np.concatenate([old[0], p]), np.concatenate([old[1], i]), np.concatenate([np.zeros(len(old[0]), np.int64), d])) if begins_with_last else (p, i, d))
-        made += self._settle(events, keys[firsts].tolist(), docs, begins_with_last)
+        goes_on = self.key is not None and keys[0] == self.key
+        made = [self._document(self._sum())] if self.key is not None and not goes_on else []
+        index = (np.cumsum(change) - 1).tolist()
+        sides: list[list[tuple]] = [[], []]
+        for k, row in zip(index, zip(*(c.to_pylist() for c in batch.columns[4:]), strict=True), strict=True):
+            places, ids = self.sweep.events(*row)
+            sides[row[0]].append((places + (k << 32), ids, np.full(len(ids), k)))
+        if goes_on:
+            for side, (places, ids) in zip(sides, self.carried, strict=True):
+                side.insert(0, (places, ids, np.zeros(len(ids), np.int64)))
+        none = np.zeros(0, np.int64)
+        events = [tuple(np.concatenate([none, *c]) for c in zip(*side, strict=True)) if side else (none, none, none) for side in sides]
+        firsts = pa.array(np.flatnonzero(change))
+        made += self._settle(events, *(batch.column(c).take(firsts).to_pylist() for c in (0, 1, 2)), goes_on)
         return self._batch(made)
 
-    def _settle(self, events: list[tuple], keys: list[int], docs: list, goes_on: bool) -> list[tuple]:
+    def _settle(self, events: list[tuple], blocks_: list[int], keys: list[int], docs: list, goes_on: bool) -> list[tuple]:
         """Finished documents; the last one's part up to its open group is put aside, with the events of that group."""
         (pa_, ia, da), (pb, ib, db) = events
         n, last = len(keys), len(keys) - 1
@@ -155,7 +164,7 @@ class Rows:
         ends = np.append(doc_of_group[1:] != doc_of_group[:-1], True) if len(doc_of_group) else np.zeros(0, bool)
         if open_ is not None and len(ends) and doc_of_group[-1] == last:
             ends[-1] = False  # a group follows
-        text, starts, stops = self.sweep.told(ia[real_a], ga[real_a], ib[real_b], gb[real_b], ends) if len(begins) else (b"", begins, begins)
+        text, starts, stops = self.sweep.told(ia[real_a], ga[real_a], ib[real_b], gb[real_b], ends) if len(begins) and self.sweep.spelled else (b"", begins * 0, begins * 0)
         count = lambda d, real: np.bincount(d[real], minlength=n)
         n_a, n_b, n_groups, n_links = count(da, real_a), count(db, real_b), np.bincount(doc_of_group, minlength=n), np.bincount(at >> 32, minlength=n)
         first_group = np.append(0, np.cumsum(n_groups))
@@ -170,10 +179,10 @@ class Rows:
                 self.parts.append(part)
                 part = self._sum() if n > 1 else part
             if k < last:
-                out.append((keys[k], docs[k], *part))
+                out.append((blocks_[k], docs[k], *part))
         if not (n == 1 and goes_on):
             self.parts = [part]
-        self.key, self.doc = keys[last], docs[last]
+        self.block, self.key, self.doc = blocks_[last], keys[last], docs[last]
         cut = open_ if open_ is not None else np.iinfo(np.int64).max
         self.carried = [(p[p >= cut] & 0xFFFFFFFF, i[p >= cut]) for p, i, _ in events]
         return out
@@ -187,113 +196,129 @@ class Rows:
         return (*(sum(p[k] for p in parts) for k in range(4)), b"".join(p[4] for p in parts), pair, times)
 
     def _document(self, part: tuple) -> tuple:
-        return (self.key, self.doc, *part)
+        return (self.block, self.doc, *part)
 
     def rest(self) -> pa.RecordBatch:
         return self._batch([self._document(self._sum())] if self.key is not None else [])
 
     def _batch(self, made: list[tuple]) -> pa.RecordBatch:
-        key, doc, a, b, groups, links, text, pairs, times = zip(*made, strict=True) if made else ((),) * 9
-        where = []
-        for n in links:
-            where.append(self.number)
-            self.links += int(n)
-            if self.links >= self.block:
-                self.number, self.links = self.number + 1, 0
+        block, doc, a, b, groups, links, text, pairs, times = zip(*made, strict=True) if made else ((),) * 9
         pair = np.concatenate([np.zeros(0, np.int64), *pairs])
         columns = [pa.array(x.astype(np.int32)) for x in (pair // WIDE, pair % WIDE, np.concatenate([np.zeros(0, np.int64), *times]))]
         offsets = pa.array(np.append(0, np.cumsum([len(p) for p in pairs])).astype(np.int32))
         linked = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(columns, ["a", "b", "times"]))
         counted = [pa.array([int(v) for v in x], pa.int64()) for x in (a, b, groups, links)]
-        return pa.RecordBatch.from_arrays([pa.array(where, pa.int64()), pa.array(doc, self.kind), *counted, pa.array([t.decode() for t in text], pa.string()), linked], ["block", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups", "links"])
+        return pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(doc, self.kind), *counted, pa.array([t.decode() for t in text], pa.string()), linked], ["block", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups", "links"])
 
 
-def _swept(batches: Iterator[pa.RecordBatch], vocabulary: int, block: int, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
-    rows = Rows(Sweep(vocabulary), TaskContext.get().partitionId() << 33, kind, block)
+def _swept(batches: Iterator[pa.RecordBatch], lengths: tuple, kind: pa.DataType, spelled: bool = True) -> Iterator[pa.RecordBatch]:
+    """Documents of event rows that are sorted by document, window and side."""
+    rows = Rows(Sweep(lengths, spelled), kind)
     for batch in batches:
-        if batch.num_rows:
-            yield rows.batch(batch)
+        ends = np.cumsum(batch.column(7).to_numpy(), dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(ends, before + EVENTS)))
+            yield rows.batch(batch.slice(at, end - at))
+            at = end
     yield rows.rest()
 
 
-def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+def _ready(docs: DataFrame, a_path: str, b_path: str, id_col: str, text_col: str) -> tuple[DataFrame, str, dict]:
+    """Event rows of docs, brought together by blocks of documents; the type of ids; and what a sweep needs."""
+    spark = docs.sparkSession
+    a, b = byte_encoder(a_path), piece_encoder(b_path)
+    if max(len(a.lengths), len(b.lengths)) > WIDE:
+        raise ValueError(f"vocabularies of over {WIDE} tokens")
+    lengths = a.lengths, b.lengths
+    a, b = spark.sparkContext.broadcast(a), spark.sparkContext.broadcast(b)
+    key = F.monotonically_increasing_id()
+    rows = docs.select(F.floor(key / DOCUMENTS).cast("long").alias("block"), key.alias("key"), F.col(id_col).alias("doc_id"), text_of(text_col).alias("_text"))
+    kind = rows.schema["doc_id"].dataType
+    name, arrow = kind.simpleString(), to_arrow_type(kind)
+    schema = f"block long, key long, doc_id {name}, window int, side int, place int, last boolean, n int, ids binary"
+    events = rows.mapInArrow(partial(_events, a=a, b=b, kind=arrow, window=WINDOW), schema)
+    return events.repartition(partitions(spark), "block"), name, {"lengths": lengths, "kind": arrow}
+
+
+def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: block, doc_id, n_a, n_b, n_groups, n_links, groups, links.
 
     A is a byte-level BPE file, over a space and the text; B a sentencepiece model, which adds the space. groups is text, `a1,a2|b1;a3|b2,b3`:
     ids of A and of B between places where tokens of both end. links are the pairs of ids whose tokens overlap, and how many times they do.
     Texts that are null or empty, or whose tokens' bytes aren't those of space and text, have no tokens: zeros and empty values. Each
     row is a document of its own, also repeated ones and those without an id; an empty table gives an empty result; other columns are
-    ignored. block names rows that were swept together, for link_counts().
+    ignored. block names rows that lie together in the input.
     """
-    spark = docs.sparkSession
-    a, b = byte_encoder(a_path), piece_encoder(b_path)
-    size = max(len(a.lengths), len(b.lengths))
-    if size > WIDE:
-        raise ValueError(f"vocabularies of over {WIDE} tokens")
-    a, b = spark.sparkContext.broadcast(a), spark.sparkContext.broadcast(b)
-    rows = docs.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).alias("doc_id"), text_of(text_col).alias("_text"))
-    kind = rows.schema["doc_id"].dataType
-    name, arrow = kind.simpleString(), to_arrow_type(kind)
-    events = rows.mapInArrow(partial(_events, a=a, b=b, kind=arrow), f"key long, doc_id {name}, window int, side int, places array<int>, ids array<int>")
-    sorted_ = events.repartition("key").sortWithinPartitions("key", "window", "side")
+    events, name, sweep = _ready(docs, a_path, b_path, id_col, text_col)
+    return _documents(events, name, sweep)
+
+
+def _documents(events: DataFrame, name: str, sweep: dict) -> DataFrame:
     schema = f"block long, doc_id {name}, n_a long, n_b long, n_groups long, n_links long, groups string, links {LINKS}"
-    return sorted_.mapInArrow(partial(_swept, vocabulary=size, block=block, kind=arrow), schema)
+    return events.sortWithinPartitions("block", "key", "window", "side").mapInArrow(partial(_swept, **sweep), schema)
 
 
-def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(block, a, b, docs): each pair of a block once, and how many of its documents hold it. A block's rows lie one after another."""
 
     def made(block: int, held: list[np.ndarray]) -> pa.RecordBatch:
         pair, docs = np.unique(np.concatenate(held), return_counts=True)
-        columns = [pa.array(np.full(len(pair), block)), *(pa.array(x.astype(np.int32)) for x in (pair // WIDE, pair % WIDE)), pa.array(docs.astype(np.int64))]
+        columns = [pa.array(np.full(len(pair), block)), *(pa.array(x.astype(np.int32)) for x in (pair // WIDE, pair % WIDE, docs))]
         return pa.RecordBatch.from_arrays(columns, ["block", "a", "b", "docs"])
 
-    now, held, size = None, [], 0
+    now, held = None, []
     for batch in batches:
-        block = batch.column(0).to_numpy()
-        lists = batch.column(1)
+        block, lists = batch.column(0).to_numpy(), batch.column(1)
         links, sizes = lists.flatten(), np.array(lists.value_lengths().fill_null(0))
         pair = links.field("a").to_numpy().astype(np.int64) * WIDE + links.field("b").to_numpy()
-        of = np.repeat(block, sizes)
-        for n in dict.fromkeys(block.tolist()):
-            if now is not None and (n != now or size > BLOCK):
-                if held:
-                    yield made(now, held)
-                held, size = [], 0
-            now = n
-            held.append(pair[of == n])
-            size += len(held[-1])
+        ends = np.append(0, np.cumsum(sizes))
+        edge = np.append(np.flatnonzero(np.append(True, block[1:] != block[:-1])), len(block)) if len(block) else [0]
+        for s, e in zip(edge, edge[1:], strict=False):
+            if block[s] != now and held:
+                yield made(now, held)
+                held = []
+            now = int(block[s])
+            held.append(pair[ends[s] : ends[e]])
     if held:
         yield made(now, held)
 
 
-def _looked_up(docs: pa.Table, counts: pa.Table) -> pa.Table:
-    """A block's documents with the counts of their links."""
+def _looked_up(events: pa.Table, counts: pa.Table, lengths: tuple, kind: pa.DataType) -> pa.Table:
+    """A block's documents, swept again, with the counts of their links."""
     a, b, n, best = (counts.column(c).to_numpy() for c in ("a", "b", "count", "best"))
     pair = a.astype(np.int64) * WIDE + b
     order = np.argsort(pair, kind="stable")
-    links = docs.column("links").combine_chunks()
-    flat, sizes = links.flatten(), np.array(links.value_lengths().fill_null(0))
-    wanted = flat.field("a").to_numpy().astype(np.int64) * WIDE + flat.field("b").to_numpy()
-    times = flat.field("times").to_numpy().astype(np.int64)
-    at = order[np.searchsorted(pair, wanted, sorter=order)] if len(wanted) else np.zeros(0, np.int64)
-    ends = np.append(0, np.cumsum(sizes))
-
-    def summed(x: np.ndarray) -> pa.Array:
-        return pa.array(np.diff(np.append(0, np.cumsum(x))[ends]), pa.int64())
-
-    return docs.drop_columns(["block", "links"]).append_column("n_best", summed(times * (best[at] > 0))).append_column("count_sum", summed(times * n[at]))
-
-
-def link_counts(aligned: DataFrame) -> DataFrame:
+    pair, n, best = pair[order], n[order], best[order].astype(np.int64)
+    ready = events.sort_by([(c, "ascending") for c in ("key", "window", "side")]).combine_chunks().to_batches(max_chunksize=1024)
+    out = []
+    for docs in _swept(ready, lengths, kind):
+        links = docs.column(7)
+        flat, ends = links.flatten(), np.append(0, np.cumsum(np.array(links.value_lengths(), dtype=np.int64)))
+        times = flat.field("times").to_numpy().astype(np.int64)
+        at = np.searchsorted(pair, flat.field("a").to_numpy().astype(np.int64) * WIDE + flat.field("b").to_numpy())
+        sums = [pa.array(np.diff(np.append(0, np.cumsum(times * x[at]))[ends]), pa.int64()) for x in (best, n)]
+        out.append(pa.RecordBatch.from_arrays([*docs.columns[1:7], *sums], [*docs.schema.names[1:7], "n_best", "count_sum"]))
+    return pa.Table.from_batches(out)
+
+
+def counted(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """align()'s rows without block and links, but with n_best and count_sum over their links. A pair's count is the number of documents that
-    hold it, over all rows; a link is best if no pair with its id of A has a greater count. aligned is written to the shared folder once."""
-    held = written(aligned)
-    by_block = held.select("block", "links").where(F.size("links") > 0).mapInArrow(_block_pairs, "block long, a int, b int, docs long")
-    by_block = written(by_block)
-    # An id of A meets as many ids of B as the vocabulary holds at most.
-    best = F.max("count").over(Window.partitionBy("a")) == F.col("count")
-    counts = by_block.groupBy("a", "b").agg(F.sum("docs").alias("count")).withColumn("best", best.cast("int"))
-    found = by_block.select("block", "a", "b").join(counts, ["a", "b"]).select("block", "a", "b", "count", "best")
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in held.schema.fields if f.name not in ("block", "links"))
-    return held.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_looked_up, f"{schema}, n_best long, count_sum long")
+    hold it, over all rows; a link is best if no pair with its id of A has a greater count.
+
+    The events are shuffled once, by block, and swept twice: for the blocks' pairs, and where each block's counts have come to its events.
+    """
+    events, name, sweep = _ready(docs, a_path, b_path, id_col, text_col)
+    swept = _documents(events, name, sweep | {"spelled": False}).select("block", "links")
+    pairs = swept.mapInArrow(_pairs, "block long, a int, b int, docs int")
+    # A pair has a row for each block at most.
+    summed = pairs.withColumn("count", F.sum("docs").over(Window.partitionBy("a", "b")))
+    # A row for each id of A, whose number the vocabulary bounds. That it reads block too lets both sides of the join read one exchange of the
+    # pairs: with fewer columns it would be another, and the sweep behind it run once more.
+    most = F.broadcast(summed.groupBy("a").agg(F.max("count").alias("most"), F.max("block").alias("some")))
+    best = (F.col("count") == F.col("most")) & F.col("some").isNotNull()
+    found = summed.join(most, "a").select("block", "a", "b", "count", best.alias("best"))
+    look = partial(_looked_up, **sweep)
+    schema = f"doc_id {name}, n_a long, n_b long, n_groups long, n_links long, groups string, n_best long, count_sum long"
+    return events.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(lambda e, c: look(e, c), schema)

@@ -2,20 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knowlark.operators.layout import checkpoint_folder, checkpointed  # noqa: F401
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df, written to a folder of its own in the shared folder as Parquet and read again: lineage is cut, columns are stored compressed."""
-    folder = f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(folder)
-    return df.sparkSession.read.parquet(folder)
-
+from knowlark.operators.layout import checkpoint_folder, checkpointed, written  # noqa: F401
 
 WHITESPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knowlark.llm.alignment import align, link_counts
+from knowlark.llm.alignment import counted
 from knowlark.llm.decontaminate import decontaminate
 from knowlark.llm.exact_dedup import exact_dedup
 from knowlark.llm.hard_negatives import mine
@@ -93,9 +93,8 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as public
 
-    aligned = align(_table(spark, sf_dir, "documents"), public.path("byte_bpe_50k.json"), public.path("piece_bpe_32k.model"))
-    digest = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("")
-    return link_counts(aligned.withColumn("groups_sha256", digest).drop("groups"))
+    rows = counted(_table(spark, sf_dir, "documents"), public.path("byte_bpe_50k.json"), public.path("piece_bpe_32k.model"))
+    return rows.withColumn("groups_sha256", F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("")).drop("groups")
 
 
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -187,22 +187,26 @@ def brute_alignment(given, byte, piece):
 NUMBERS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
-@pytest.mark.parametrize("window,records", [(alignment.WINDOW, 10_000), (7, 3), (64, 1)])
+@pytest.mark.parametrize("window,records", [(alignment.WINDOW, 10_000), (7, 3), (64, 1), (1, 2)])
 def test_align(spark, libraries, monkeypatch, window, records):
     """Odd texts in whole rows and in windows of few bytes and small batches, where documents and groups cross from one to the next."""
     monkeypatch.setattr(alignment, "WINDOW", window)
+    monkeypatch.setattr(alignment, "DOCUMENTS", 512 if window > 99 else 5)
     given = [t if t is None or len(t) < 3000 or window > 9 else t[:400] for t in texts()]
     docs = spark.createDataFrame([(k if k % 5 else None, t, "x", 1) for k, t in enumerate(given)] + [(9000, "same text", "x", 1)] * 30, "doc_id long, text string, key string, block int").repartition(3)
     old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(records))
     try:
-        found = alignment.link_counts(alignment.align(docs, BYTE, PIECE, block=500)).collect()
-        empty = alignment.link_counts(alignment.align(docs.limit(0), BYTE, PIECE)).count()
+        found = alignment.counted(docs, BYTE, PIECE).collect()
+        plain = alignment.align(docs, BYTE, PIECE).collect()
+        empty = alignment.counted(docs.limit(0), BYTE, PIECE).count()
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
     want = brute_alignment([*given, *["same text"] * 30], *libraries[1:])
     assert sorted((tuple(r[c] for c in NUMBERS), r["groups"]) for r in found) == sorted((w[:6], w[6]) for w in want)
-    assert empty == 0
+    assert empty == 0 and sorted(r["groups"] for r in plain) == sorted(w[6] for w in want)
+    for r in plain:
+        assert sum(x["times"] for x in r["links"]) == r["n_links"] and len({(x["a"], x["b"]) for x in r["links"]}) == len(r["links"])
 
 
 def test_align_query(spark, libraries):
