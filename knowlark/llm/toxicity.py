@@ -30,10 +30,11 @@ REPORTING = {"said", "says", "called", "calling", "quote", "quoted", "quotes", "
 ADDRESS = {"you", "your", "youre", "u", "ur", "tu", "usted", "ustedes", "vosotros", "du", "dich", "dein", "ihr", "euch", "toi", "vous", "ton", "votre"}
 QUOTES = "\"“”«»„‟‘’‹›「」『』"
 SPAN = 6
-#: What a hit weighs: a misspelled term is a little less sure than a plain one, and surer than a quoted one; a word that only begins as
-#: terms do is as sure as a quoted one, so that one alone decides nothing.
-EXACT, FUZZY, QUOTED, STEM = 1.0, 0.95, 0.625, 0.6
-#: Shortest term whose misspellings count, and how many clean words may be an edit from it.
+#: What a hit weighs: a misspelled term as the term, but a little less than a sure one, and more than a quoted one; a word that only begins
+#: as terms do is as sure as a quoted one, so that one alone decides nothing. Where another letter stands first, which is rarely a slip
+#: and often another word, a misspelling counts by this share.
+EXACT, FUZZY, QUOTED, STEM, FIRST = 1.0, 0.95, 0.625, 0.6, 0.5
+#: Shortest term whose misspellings count, and how many clean words may be an edit from the beginning of a stem's words.
 LOOSE, CROWD = 4, 3
 #: Entries of a worker's memo of words before it is emptied.
 MEMO = 1_000_000
@@ -84,14 +85,14 @@ class Trie:
             node[kind] = term
 
     def exact(self, word: str) -> str | None:
-        node = self.root
+        """The whole word if it is a term, else the shortest stem that it begins with."""
+        node, stem = self.root, None
         for c in word:
             node = node.get(c)
             if node is None:
-                return None
-            if "stem" in node:
-                return node["stem"]
-        return node.get("word")
+                return stem
+            stem = stem or node.get("stem")
+        return node.get("word", stem)
 
     def fuzzy(self, word: str, edits: int = 1) -> set[str]:
         """Whole words of the trie within `edits` insertions, deletions, substitutions or swaps of neighbours of `word`, and stems
@@ -135,7 +136,6 @@ class Lexicon:
     def __post_init__(self) -> None:
         self.trie = Trie(list(self.words), self.stems)
         self.near = Trie(self.loose, self.roots)
-        self.whole = {w for w in self.loose if w in self.words}  # the others begin with a stem
         # An edit leaves the first half of a word as it is, or what is beyond the letter after it.
         self.heads = {w[: len(w) // 2] for w in self.loose}
         self.tails = {w[len(w) // 2 + 1 :] for w in self.loose}
@@ -153,7 +153,7 @@ class Lexicon:
         self.__init__(**state)
 
     def weight(self, word: str) -> float:
-        """A term's own weight, STEM for a word that a stem or a misspelled one begins, FUZZY for a misspelled term, else 0."""
+        """A term's own weight, STEM for a word that a stem or a misspelled one begins, for a misspelled term its weight up to FUZZY, else 0."""
         if (term := self.trie.exact(word)) is not None:
             return self.words.get(term, STEM)
         if word in self.known:
@@ -161,7 +161,12 @@ class Lexicon:
         like_word = len(word) in self.sizes and (any(word[:n] in self.heads for n in self.halves) or any(word[-n:] in self.tails for n in self.rests))
         like_root = any(word[:n] in self.begins for n in self.firsts) or any((k, word[k:e]) in self.parts for k, e in self.places)
         near = self.near.fuzzy(word) if like_word or like_root else ()
-        return 0.0 if not near else FUZZY if any(t in self.whole for t in near) else STEM
+        return max((self._misspelled(word, t) for t in near), default=0.0)
+
+    def _misspelled(self, word: str, term: str) -> float:
+        own = min(FUZZY, self.words[term]) if term in self.words else STEM
+        kept = word[0] == term[0] or word == term[1:] or word[:2] == term[1::-1]  # the first letter stays, is missing, or swapped
+        return own if kept else own * FIRST
 
     def weights(self, words: list[str]) -> list[float]:
         memo = self.memo
@@ -247,8 +252,8 @@ def learn(training: DataFrame, rows: int = 2, endings: int = 3, impure: float =
     of N words in n rows, toxic rows being the share p of all words, N p^n would be in toxic rows alone. A term weighs the less the more
     of `doubt` that share and its share in clean rows use up. Where `endings` terms begin with the same `family` letters, further pure words of toxic rows that do are terms. A stem
     begins `endings` such words and is in clean rows for at most the share `impure`. What reaches the driver is the terms, which the sample of
-    rows bounds. Terms of LOOSE letters and more count misspelled too, but for those that CROWD clean words or more are an edit from; a
-    clean word beside a term is no misspelling of it. Then the slopes are fitted.
+    rows bounds. All terms of LOOSE letters and more count misspelled too, with what they weigh themselves; a clean word beside a term is
+    no misspelling of it. Then the slopes are fitted.
     """
     tokens = training.select("label", "_text", F.xxhash64("doc_id").alias("row")).mapInArrow(_words, "word string, before string, y int, row long")
     toxic = tokens.groupBy("word", "before", "y").agg(F.min("row").alias("row"), F.count_distinct("row").alias("n"))
@@ -287,8 +292,7 @@ def learn(training: DataFrame, rows: int = 2, endings: int = 3, impure: float =
         if not any(stem.startswith(t) for t in stems):
             stems.append(stem)
     words = {w: x for w, x in words.items() if x > 0}
-    loose = {w for w, x in words.items() if len(w) >= LOOSE and x > 0.9}
-    words = {w: x for w, x in words.items() if not any(w.startswith(t) for t in stems)}
+    loose = {w for w in words if len(w) >= LOOSE}
     roots: list[str] = []
     if stems:
         # A stem's pure words may be misspelled as any other, and so may what all of them begin with, whatever follows it.
@@ -305,11 +309,10 @@ def learn(training: DataFrame, rows: int = 2, endings: int = 3, impure: float =
         clean = counts.where("contexts = 0 or clean > 0").select("word")
         near = checkpointed(clean.mapInArrow(partial(_guarded, words=loose, stems=stems, roots=roots), "term string, word string").distinct())
         sizes = near.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-        crowded = {r["term"] for r in sizes.where(F.col("n") >= CROWD).collect()} | {r["term"] for r in sizes.collect() if r["term"] in set(roots)}
-        loose, roots = [w for w in loose if w not in crowded], [t for t in roots if t not in crowded]
-        # Under CROWD clean words for each term that stays.
-        few = near.join(sizes.where(F.col("n") < CROWD), "term", "left_semi").select("word").distinct()
-        known = {r["word"] for r in few.collect()}
+        crowded = {r["term"] for r in sizes.where(F.col("n") >= CROWD).collect()}
+        roots = [t for t in roots if t not in crowded]
+        # Clean words of the sample, whose rows bound them.
+        known = {r["word"] for r in near.where(F.col("term").isin(loose + roots)).select("word").distinct().collect()}
     lexicon = Lexicon(words, stems, loose, roots=roots, known=known)
     shared = training.sparkSession.sparkContext.broadcast(lexicon)
     fitted = training.select("label", "_text").mapInArrow(partial(_inputs, lexicon=shared), "y int, a double, b double").collect()
@@ -327,9 +330,9 @@ def _slopes(rows: np.ndarray, ridge: float = 0.02, steps: int = 50) -> tuple[flo
     """Bias and slopes of a logistic fit by Newton steps, slopes not below 0; without both labels, the defaults."""
     if not len(rows) or rows[:, 0].min() == rows[:, 0].max():
         return Lexicon.bias, Lexicon.slopes
-    # Weak prior: one hit is abuse, misspelled or not, and one in quotation isn't. Else, where every toxic row of the sample
-    # has many hits, the bound would lie far above one.
-    rows = np.concatenate([rows, [[1, np.log1p(FUZZY), 0.05], [0, np.log1p(QUOTED), 0.03]] * 5])
+    # Weak prior: one sure hit is abuse, misspelled or not and however long the text, and one in quotation isn't. Else, where every toxic
+    # row of the sample has many hits, the bound would lie far above one.
+    rows = np.concatenate([rows, [[1, np.log1p(0.9), 0.0], [0, np.log1p(QUOTED), 0.03]] * 5])
     y, x = rows[:, 0], np.column_stack([np.ones(len(rows)), rows[:, 1:]])
     w = np.array([-2.0, 1.0, 0.0])
     for _ in range(steps):
