@@ -136,12 +136,10 @@ class Lexicon:
     def __post_init__(self) -> None:
         self.trie = Trie(list(self.words), self.stems)
         self.near = Trie(self.loose, self.roots)
-        # An edit leaves the first half of a word as it is, or what is beyond the letter after it.
-        self.heads = {w[: len(w) // 2] for w in self.loose}
-        self.tails = {w[len(w) // 2 + 1 :] for w in self.loose}
-        self.halves, self.rests = sorted({len(h) for h in self.heads}), sorted({len(t) for t in self.tails})
+        # Words an edit apart are equal after a letter is taken from one or both: what isn't in here needn't be read by the automaton.
+        self.around = {w[:k] + w[k + 1 :] for w in self.loose for k in range(len(w))} | set(self.loose)
         self.sizes = {n for w in self.loose for n in (len(w) - 1, len(w), len(w) + 1)}
-        # The same for roots, whose end is not the word's: what is beyond the letter is there or one letter off.
+        # An edit leaves the first half of a root as it is, or what is beyond the letter after it; that is there or one letter off.
         self.begins = {r[: len(r) // 2] for r in self.roots}
         self.parts = {(len(r) // 2 + 1 + d, r[len(r) // 2 + 1 :]) for r in self.roots for d in (-1, 0, 1)}
         self.firsts, self.places = sorted({len(b) for b in self.begins}), sorted({(k, k + len(t)) for k, t in self.parts})
@@ -158,7 +156,7 @@ class Lexicon:
             return self.words.get(term, STEM)
         if word in self.known:
             return 0.0
-        like_word = len(word) in self.sizes and (any(word[:n] in self.heads for n in self.halves) or any(word[-n:] in self.tails for n in self.rests))
+        like_word = len(word) in self.sizes and (word in self.around or any(word[:k] + word[k + 1 :] in self.around for k in range(len(word))))
         like_root = any(word[:n] in self.begins for n in self.firsts) or any((k, word[k:e]) in self.parts for k, e in self.places)
         near = self.near.fuzzy(word) if like_word or like_root else ()
         return max((self._misspelled(word, t) for t in near), default=0.0)
