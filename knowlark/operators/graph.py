@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from knowlark.functions.text import lenient_json, levenshtein_similarity, normalize_name, tokens
-from knowlark.operators.layout import checkpointed, numbered
+from knowlark.operators.layout import checkpointed, numbered, written
 from knowlark.operators.models import trimmed
 
 UNCATEGORISED = "未分类"
@@ -28,14 +28,24 @@ def top_nodes(entities: DataFrame, relations: DataFrame, limit: int = 400) -> Da
     return with_degree.orderBy(F.desc("degree"), "entity_id").limit(limit)
 
 
+def adjacency(relations: DataFrame, piece: int = 1024) -> DataFrame:
+    """(node, others): each node's different neighbours, in rows of about `piece`; a hub has as many rows as it needs. Written once, for walks
+    of several hops, each of which reads it without building it."""
+    edges = undirected(relations).select("node", "other").where("node is not null and other is not null").distinct()
+    sizes = edges.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / piece).alias("pieces")).where("pieces > 1")
+    dealt = edges.join(sizes, "node", "left").withColumn("piece", F.pmod(F.xxhash64("other"), F.coalesce("pieces", F.lit(1))))
+    return written(dealt.groupBy("node", "piece").agg(F.collect_list("other").alias("others")).select("node", "others"))
+
+
 def bfs(relations: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFrame:
-    """(node, depth) within max(1, hops) undirected hops of seeds (node): one join a hop, less what was reached before."""
-    edges = undirected(relations).select("node", "other").distinct()
+    """(node, depth) within max(1, hops) undirected hops of seeds (node): one join with the adjacency a hop, less what was reached before. What is
+    reached is held after each hop, so that none is walked again."""
+    lists = adjacency(relations)
     reached = seeds.select("node").distinct().withColumn("depth", F.lit(0))
     frontier = reached
     for hop in range(1, max(1, hops) + 1):
-        step = frontier.select("node").join(edges, "node").select(F.col("other").alias("node")).distinct()
-        frontier = step.join(reached.select("node"), "node", "left_anti").withColumn("depth", F.lit(hop))
+        step = frontier.select("node").join(lists, "node").select(F.explode("others").alias("node")).distinct()
+        frontier = checkpointed(step.join(reached.select("node"), "node", "left_anti").withColumn("depth", F.lit(hop)))
         reached = reached.unionByName(frontier)
     return reached
 
@@ -101,12 +111,12 @@ def full_view(entities: DataFrame, relations: DataFrame, limit: int = 400) -> Da
 def graph_retrieve(matched: DataFrame, relations: DataFrame, entity_chunk: DataFrame, hops: int = 2, cap: int = 15) -> DataFrame:
     """(query_id, chunk_id, score): chunks of matched entities (query_id, entity_id, score) by their best score, those of their
     neighbours at 0.5 where they have none; the best `cap` of each query."""
-    edges = undirected(relations).select("node", "other").distinct()
+    lists = adjacency(relations)
     reached = matched.select("query_id", F.col("entity_id").alias("node")).distinct()
     frontier = reached
     for _ in range(max(1, hops)):
-        step = frontier.join(edges, "node").select("query_id", F.col("other").alias("node")).distinct()
-        frontier = step.join(reached, ["query_id", "node"], "left_anti")
+        step = frontier.join(lists, "node").select("query_id", F.explode("others").alias("node")).distinct()
+        frontier = checkpointed(step.join(reached, ["query_id", "node"], "left_anti"))
         reached = reached.unionByName(frontier)
     own = matched.join(entity_chunk, "entity_id").select("query_id", "chunk_id", "score", F.lit(1).alias("own"))
     near = reached.join(entity_chunk, F.col("node") == F.col("entity_id")).select("query_id", "chunk_id", F.lit(0.5).alias("score"), F.lit(0).alias("own"))

@@ -11,12 +11,13 @@ and so is each block that can't, even with all other terms at their best. What i
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from knowlark.operators.layout import checkpointed
+from knowlark.operators.layout import checkpoint_folder, checkpointed
 from knowlark.operators.lexical import K1, asked_terms, rarity, saturation
 
 #: Chunks of a block, about, and levels of weight that a term's chunks are dealt to.
@@ -53,15 +54,16 @@ class Index:
 def build(rows: DataFrame, block: int = BLOCK) -> Index:
     """The index of forward() rows, which should be stored.
 
-    A frequent term's chunks are dealt to levels by what the term gives there, and a level's to blocks by their ids' hash: no term's postings
-    are sorted or held as a whole, however many chunks it is in.
+    A frequent term's chunks are dealt to levels by what the term gives there and their length, and a level's to blocks by their ids' hash: no
+    term's postings are sorted or held as a whole, however many chunks it is in.
     """
     sized = rows.where("dl > 0")
     stats = checkpointed(sized.groupBy("kb_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.avg("dl").alias("avg_len")))
     # As many rows as knowledge bases; Spark broadcasts it where its size allows.
     posted = sized.join(stats.select("kb_id", "avg_len"), "kb_id").select("kb_id", "chunk_id", "dl", "avg_len", F.inline("terms"))
-    level = F.floor(saturation(F.col("tf"), F.col("dl"), F.col("avg_len")) / (K1 + 1) * LEVELS).cast("int")
-    posted = posted.withColumn("level", level)
+    # What the term gives there, and the length's magnitude: with both alike, a block's bound is close to what its chunks get.
+    level = F.floor(saturation(F.col("tf"), F.col("dl"), F.col("avg_len")) / (K1 + 1) * LEVELS) * 128 + F.floor(F.log("dl") * 4)
+    posted = posted.withColumn("level", level.cast("int"))
     counts = checkpointed(posted.groupBy("kb_id", "term", "level").agg(F.count(F.lit(1)).alias("n")))  # counted on the map side first
     terms = counts.groupBy("kb_id", "term").agg(F.sum("n").alias("df"))
     # A term of few chunks is one block; a frequent one's levels are as many blocks as their chunks fill.
@@ -75,6 +77,14 @@ def build(rows: DataFrame, block: int = BLOCK) -> Index:
     return Index(rows, blocks, terms, stats)
 
 
+def stored(rows: DataFrame, block: int = BLOCK) -> Index:
+    """build(), written to the shared folder."""
+    spark = rows.sparkSession
+    folder = f"{checkpoint_folder(spark)}/index-{uuid.uuid4().hex}"
+    build(rows, block).save(folder)
+    return Index.load(spark, folder)
+
+
 def heads(index: Index, queries: DataFrame) -> DataFrame:
     """(query_id, kb_id, term, block, n, idf, avg_len, bound): the blocks of each query's terms and what they give a chunk at most. Entries
     aren't read."""

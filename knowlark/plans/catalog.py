@@ -57,8 +57,9 @@ def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def entity_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A part was seen in the document that its order's number gives."""
-    return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("entity_id"), (F.col("l_orderkey") % 200).cast("long").alias("chunk_id")).distinct()
+    """A part was seen in the document whose id is its order's number modulo the number of documents."""
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+    return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("entity_id"), (F.col("l_orderkey") % documents).cast("long").alias("chunk_id")).distinct()
 
 
 CHUNKS = "chunks as (select cast(substr(source, 4) as bigint) % 4 as kb_id, doc_id as chunk_id, doc_id, text as content from documents)"
@@ -71,7 +72,7 @@ ENTITIES = f"""entities as (
 RELATIONS = f"""relations as (
   select cast(l_orderkey * 8 + l_linenumber as bigint) as relation_id, 1::bigint as kb_id, l_partkey as source_id,
          l_suppkey + {SUPPLIER} as target_id, l_returnflag as relation_type from lineitem)"""
-ENTITY_CHUNK = "entity_chunk as (select distinct l_partkey as entity_id, cast(l_orderkey % 200 as bigint) as chunk_id from lineitem)"
+ENTITY_CHUNK = "entity_chunk as (select distinct l_partkey as entity_id, cast(l_orderkey % (select count(*) from documents) as bigint) as chunk_id from lineitem)"
 #: Tokens of Latin text; the tables hold no Han characters.
 TOKENS = "list_transform(regexp_extract_all({}, '[a-zA-Z0-9]+'), lambda x: 'w' || lower(x))"
 SIZED = f"""sized as (

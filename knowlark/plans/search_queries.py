@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from knowlark.functions.text import STOP_BIGRAMS, STOP_CHARS, tokens
 from knowlark.functions.vectors import l2_normalize
-from knowlark.operators import fusion, lexical, retrieve, vector
+from knowlark.operators import fusion, index, knn_graph, lexical, retrieve, vector
+from knowlark.operators.layout import checkpointed
 from knowlark.plans import catalog as c
 from knowlark.plans.catalog import BM25, CHUNKS, EMBED, QUERIES, QUERY_VECTORS, SIZED, TOKENS, VECTORS
 
@@ -29,6 +30,12 @@ def bm25_batch(spark, sf):
     return lexical.bm25(c.chunks(spark, sf), c.queries(spark, sf), 10).select("query_id", "kb_id", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+def bm25_indexed(spark, sf):
+    """bm25_batch from a stored index: postings in blocks, whose bounds say which are read."""
+    made = index.stored(lexical.store(c.chunks(spark, sf)))
+    return index.search(made, c.queries(spark, sf), 10).select("query_id", "kb_id", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 def bm25_stats(spark, sf):
     posted = lexical.postings(c.chunks(spark, sf))
     return lexical.corpus_stats(lexical.lengths(posted)).select("kb_id", "n_chunks", F.round("avg_len", 6).alias("avg_len"))
@@ -65,6 +72,27 @@ def vector_retrieve(spark, sf):
     return hits.select("query_id", "kb_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+def _graph_vectors(spark, sf):
+    return c.vectors(spark, sf).select(F.col("chunk_id").alias("id"), "vec")
+
+
+def knn_links(spark, sf):
+    """The graph of nearest neighbours: ten links of each vector."""
+    return knn_graph.build(_graph_vectors(spark, sf)).where("rank <= 10").select("id", "other", "score", F.col("rank").cast("long").alias("rank"))
+
+
+def knn_topk(spark, sf):
+    """vector_topk's queries by walks over the graph."""
+    rows = _graph_vectors(spark, sf)
+    return knn_graph.search(knn_graph.build(rows), rows, c.query_vectors(spark, sf), 10)
+
+
+def plain_retrieve(spark, sf):
+    """Retrieval by vectors alone, with scaled scores."""
+    params = retrieve.Params(hybrid=False, score_norm="minmax", rerank="none", min_score=0.2)
+    return retrieve.retrieve(c.chunks(spark, sf), c.queries(spark, sf), params).select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 def l2_topk(spark, sf):
     return vector.nearest(c.vectors(spark, sf), c.query_vectors(spark, sf), 10).select("query_id", "chunk_id", "distance", F.col("rank").cast("long").alias("rank"))
 
@@ -104,6 +132,12 @@ def score_distribution(spark, sf):
     return fusion.score_distribution(_sides(spark, sf)[0], ["query_id"])
 
 
+def similarity_distribution(spark, sf):
+    """The distribution of all queries' positive scores with all vectors, in one group."""
+    every = vector.search(c.vectors(spark, sf).withColumn("kb_id", F.lit(0).cast("long")), c.query_vectors(spark, sf), 1 << 30)
+    return fusion.score_distribution(checkpointed(every.select(F.lit("all").alias("scope"), "score")), ["scope"])
+
+
 def hybrid_rerank(spark, sf):
     hits = _keyword_pairs(spark, sf).withColumn("score", (F.col("chunk_id") % 7 - 2) / 10.0)
     return fusion.hybrid_rerank(hits, 20).select("chunk_id", "score", F.col("rank").cast("long").alias("rank"))
@@ -159,6 +193,12 @@ SQL = {
         select chunk_id, round(score, 6) as score, {_TOP.format("query_id")} as rank from bm qualify rank <= 10""",
     "bm25_batch": f"""with {CHUNKS}, {QUERIES}, {SIZED}, {BM25}
         select query_id, kb_id, chunk_id, round(score, 6) as score, {_TOP.format("query_id, kb_id")} as rank from bm qualify row_number() over (partition by query_id, kb_id order by bm.score desc, chunk_id) <= 10""",
+    "plain_retrieve": f"""{_STAGES}, strong as (select query_id, kb_id, chunk_id, score from sim where score >= 0.2),
+          few as (select query_id, chunk_id, score from strong qualify row_number() over (partition by query_id, kb_id order by score desc, chunk_id) <= 24),
+          w as (select *, min(score) over p as low, max(score) over p as high, count(*) over p as n from few window p as (partition by query_id)),
+          m as (select query_id, chunk_id, case when n < 2 or high - low < 1e-9 then score else (score - low) / (high - low) end as score from w)
+        select query_id, chunk_id, round(score, 6) as score, row_number() over (partition by query_id order by m.score desc, chunk_id) as rank from m where m.score >= 0.2
+        qualify row_number() over (partition by query_id order by m.score desc, chunk_id) <= 8""",
     "bm25_stats": f"with {CHUNKS}, {SIZED} select kb_id, count(*) as n_chunks, round(avg(dl), 6) as avg_len from sized group by 1",
     "doc_freq": f"with {CHUNKS}, {SIZED} select kb_id, term, count(*) as df from (select distinct kb_id, chunk_id, unnest(terms) as term from sized) group by all",
     "term_freq": f"with {CHUNKS}, {SIZED} select kb_id, chunk_id, term, count(*) as tf from (select kb_id, chunk_id, unnest(terms) as term from sized) group by all",
@@ -194,6 +234,13 @@ SQL = {
         select query_id, n, floor(lo * 10000 + 0.5) / 10000 as min_score, floor(hi * 10000 + 0.5) / 10000 as max_score, floor(av * 10000 + 0.5) / 10000 as avg_score,
                floor(md * 10000 + 0.5) / 10000 as p50_score, floor(greatest(0, floor(av * 20 + 0.5) / 20) * 10000 + 0.5) / 10000 as band_low,
                floor(least(1, floor((md + (hi - md) * 0.3) * 20 + 0.5) / 20) * 10000 + 0.5) / 10000 as band_high from b""",
+    "similarity_distribution": f"""with {VECTORS}, {QUERY_VECTORS}, s as (
+          select round(list_sum(list_transform(list_zip(vec, q), lambda p: p[1] * p[2])), 6) as score from vectors, qvec),
+          a as (select count(*) as n, min(score) as lo, max(score) as hi, avg(score) as av, list_sort(list(score)) as s from s where score > 0),
+          b as (select *, s[cast(floor(n / 2) as bigint) + 1] as md from a)
+        select 'all' as scope, n, floor(lo * 10000 + 0.5) / 10000 as min_score, floor(hi * 10000 + 0.5) / 10000 as max_score, floor(av * 10000 + 0.5) / 10000 as avg_score,
+               floor(md * 10000 + 0.5) / 10000 as p50_score, floor(greatest(0, floor(av * 20 + 0.5) / 20) * 10000 + 0.5) / 10000 as band_low,
+               floor(least(1, floor((md + (hi - md) * 0.3) * 20 + 0.5) / 20) * 10000 + 0.5) / 10000 as band_high from b""",
     "hybrid_rerank": f"""with {CHUNKS}, {_Q1}, {SIZED}, {_KW}, k as ({_KWS}),
           s as (select c.chunk_id, round(0.65 * greatest((c.chunk_id % 7 - 2) / 10.0, 0) + 0.35 * coalesce(kw, 0) + 1e-11, 9) as score from chunks c left join k using (chunk_id))
         select chunk_id, score, row_number() over (order by score desc, chunk_id) as rank from s qualify rank <= 20""",
@@ -210,9 +257,11 @@ SQL = {
         from expected e left join hit h using (query_id)""",
 }
 
+SQL["bm25_indexed"] = SQL["bm25_batch"]
+
 QUERIES_OF = {
-    "bm25_search": bm25_search, "bm25_batch": bm25_batch, "bm25_stats": bm25_stats, "doc_freq": doc_freq, "term_freq": term_freq, "tokenize": tokenize,
+    "bm25_search": bm25_search, "bm25_batch": bm25_batch, "bm25_indexed": bm25_indexed, "knn_links": knn_links, "knn_topk": knn_topk, "plain_retrieve": plain_retrieve, "bm25_stats": bm25_stats, "doc_freq": doc_freq, "term_freq": term_freq, "tokenize": tokenize,
     "keyword_score": keyword_score, "vector_topk": vector_topk, "vector_retrieve": vector_retrieve, "l2_topk": l2_topk, "l2_normalize": l2_norm, "ann_topk": ann_topk,
-    "hash_embed": hash_embed, "hash_embed_sim": hash_embed_sim, "rrf_fusion": rrf_fusion, "minmax_norm": minmax_norm, "score_distribution": score_distribution,
+    "hash_embed": hash_embed, "hash_embed_sim": hash_embed_sim, "rrf_fusion": rrf_fusion, "minmax_norm": minmax_norm, "score_distribution": score_distribution, "similarity_distribution": similarity_distribution,
     "hybrid_rerank": hybrid_rerank, "hybrid_retrieve": hybrid_retrieve, "retrieve_stages": retrieve_stages, "hit_at_k": hit_at_k,
 }

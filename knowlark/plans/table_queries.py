@@ -12,25 +12,27 @@ from knowlark.operators import chat, chunk, fusion, graph, relational, retrieve
 from knowlark.plans import catalog as c
 from knowlark.sources import files
 
-NAMES = ((1, "a.PDF"), (2, "notes.md"), (3, "x.tar.gz"), (4, "noext"), (5, "trailing."), (6, "pic.JPeG"), (7, "clip.mp4"), (8, "t.csv"), (9, "b.epub"), (10, "p.pptx"), (11, "q.htm"), (12, "s.doc"))
-#: A name beside an id, as a table in both engines.
-NAMED = f"names as (select * from (values {', '.join(f'({i}::bigint, ' + repr(n) + ')' for i, n in NAMES)}) v(id, name))"
+#: What is put behind a page's name, by its id.
+ENDINGS = ("a.PDF", "notes.md", "x.tar.gz", "noext", "trailing.", "pic.JPeG", "clip.mp4", "t.csv", "b.epub", "p.pptx", "q.htm", "s.doc")
+#: File names of all pages: the last part of the url, with an ending.
+NAMED = f"names as (select page_id as id, regexp_extract(url, '([^/?#.]*)([?#].*)?$', 1) || ({list(ENDINGS)})[page_id % {len(ENDINGS)} + 1] as name from pages)"
 
 
-def _names(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(NAMES, "id long, name string")
+def _names(spark: SparkSession, sf: str) -> DataFrame:
+    ending = F.get(F.lit(list(ENDINGS)), (F.col("page_id") % len(ENDINGS)).cast("int"))
+    return c.table(spark, sf, "pages").select(F.col("page_id").alias("id"), F.concat(F.regexp_extract("url", "([^/?#.]*)([?#].*)?$", 1), ending).alias("name"))
 
 
 def file_ext(spark, sf):
-    return _names(spark).select("id", t.file_ext(F.col("name")).alias("ext"))
+    return _names(spark, sf).select("id", t.file_ext(F.col("name")).alias("ext"))
 
 
 def parser_dispatch(spark, sf):
-    return _names(spark).select("id", t.parser_of(F.col("name")).alias("parser"))
+    return _names(spark, sf).select("id", t.parser_of(F.col("name")).alias("parser"))
 
 
 def media_filter(spark, sf):
-    return _names(spark).select("id", t.media_kind(F.col("name")).alias("kind"))
+    return _names(spark, sf).select("id", t.media_kind(F.col("name")).alias("kind"))
 
 
 def garbage_ratio(spark, sf):
@@ -213,10 +215,10 @@ def citations(spark, sf):
 
 
 def contextual_parse(spark, sf):
-    answers = c.table(spark, sf, "conversations").where("turn < 2").select(
-        F.col("conv_id").alias("batch_id"), F.concat(F.lit("x\n 1: "), F.regexp_replace("text", r"\s+", " "), F.lit("\n2： head two \nnoise")).alias("answer"), "turn"
+    answers = c.table(spark, sf, "conversations").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).cast("long").alias("batch_id"), F.concat(F.lit("x\n 1: "), F.regexp_replace("text", r"\s+", " "), F.lit("\n2： head two \nnoise")).alias("answer")
     )
-    return chat.contextual_headers(answers.where("turn = 0").drop("turn")).select("batch_id", F.col("number").cast("long").alias("number"), "head")
+    return chat.contextual_headers(answers).select("batch_id", F.col("number").cast("long").alias("number"), "head")
 
 
 def rerank_llm(spark, sf):
@@ -322,7 +324,8 @@ SQL = {
     "conversation_export": r"select conv_id, string_agg('## ' || case role when 'user' then '用户' when 'assistant' then '助手' else role end || E'\n\n' || text, E'\n\n' order by turn) as content from conversations group by 1",
     "build_context": rf"""with {_CITED} select query_id, string_agg('[' || rank || '] 来源：' || doc_name || '（第3段）' || case source when 'graph' then '【图谱召回】' else '' end || E'\n' || content, E'\n\n' order by rank) || E'\n\n【问题】why?' as context from cited group by 1""",
     "citations": f"with {_CITED} select query_id, case rank when 2 then 1 when 1 then 2 else 3 end::bigint as ord, rank as cited, chunk_id, doc_name, substr(content, 1, 200) as preview from cited where rank in (1, 2, 5)",
-    "contextual_parse": r"select conv_id as batch_id, 1::bigint as number, trim(regexp_replace(text, '\s+', ' ', 'g')) as head from conversations where turn = 0 union all select conv_id, 2::bigint, 'head two' from conversations where turn = 0",
+    "contextual_parse": r"""with a as (select cast(conv_id * 1000 + turn as bigint) as batch_id, text from conversations)
+        select batch_id, 1::bigint as number, trim(regexp_replace(text, '\s+', ' ', 'g')) as head from a union all select batch_id, 2::bigint, 'head two' from a""",
     "rerank_llm": f"""with {_CITED}, r as (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rk from cited),
           s as (select query_id, chunk_id, round(case when query_id % 2 = 0 then [1, 9, 5, 3, 7][rk] / 10 else 0.65 * score + 0.35 * case when regexp_matches(content, '(?i)(^|[^a-z0-9])why([^a-z0-9]|$)') then 1 else 0 end end + 1e-11, 9) as score from r)
         select query_id, chunk_id, score, row_number() over (partition by query_id order by score desc, chunk_id) as rank from s qualify rank <= 3""",

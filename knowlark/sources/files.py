@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from knowlark.functions.text import media_kind, parser_of
+from knowlark.operators.chunk import chunked
 
 GARBAGE, HEAD = 0.02, 4000
 DROPPED = {"script", "style", "noscript", "iframe", "nav", "footer", "header", "aside"}
@@ -334,21 +335,29 @@ def pages_text(pages: DataFrame) -> DataFrame:
 
 
 def _csv_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, head, cells) of CSV files' rows; a file's header is its first row and goes along with each other one."""
     for batch in batches:
         for path, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            rows = csv_rows(raw)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([path] * len(rows), pa.string()), pa.array(range(len(rows)), pa.int64()), pa.array(rows, pa.list_(pa.string()))], ["path", "row", "cells"]
-            )
+            head, *rows = csv_rows(raw) or [[]]
+            lists = pa.list_(pa.string())
+            for k in range(0, max(1, len(rows)), 10_000):
+                some = rows[k : k + 10_000] or [None]  # a file of a header alone still tells its columns
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(some), pa.string()), pa.array([head] * len(some), lists), pa.array(some, lists)], ["path", "head", "cells"])
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """CSV files with one header as trimmed strings, by the rules of csv_rows(). Short rows are padded with empty cells, cells beyond the
-    header dropped; of columns with one name the last stays."""
-    cells = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_csv_cells, "path string, row long, cells array<string>")
-    head = cells.where("row = 0").orderBy("path").first()
-    last = {name: k for k, name in enumerate(head["cells"] if head else [])}
-    return cells.where("row > 0").select(*(F.coalesce(F.get("cells", F.lit(k)), F.lit("")).alias(name) for name, k in last.items()))
+    """CSV files as trimmed strings, by the rules of csv_rows(), each by its own header: columns of the first path's header, then those that
+    only others have, in their order by name; a cell that a row lacks is empty, cells beyond the header are dropped, and of columns with
+    one name the last counts."""
+    rows = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_csv_cells, "path string, head array<string>, cells array<string>")
+    first = rows.orderBy("path").select("head").first()
+    own = list(dict.fromkeys(first["head"] if first else []))
+    # As many as the result has columns.
+    others = sorted(r["name"] for r in rows.select(F.explode("head").alias("name")).distinct().collect() if r["name"] not in own)
+    back = F.reverse("head")
+    cell = lambda n: F.get("cells", (F.size("head") - F.array_position(back, n)).cast("int"))  # noqa: E731  null where the name isn't there: its place is beyond
+    there = rows.where(F.col("cells").isNotNull())
+    return there.select(*(F.coalesce(F.when(F.array_contains("head", n), cell(n)), F.lit("")).alias(n) for n in own + others))
 
 
 def file_chunks(files: DataFrame, strategy: str = "table_text", summarise: Callable[[str], str] | None = None, multimodal: bool = False) -> DataFrame:
@@ -375,6 +384,19 @@ def file_chunks(files: DataFrame, strategy: str = "table_text", summarise: Calla
     return typed.mapInArrow(each, "path string, position long, content string, error string")
 
 
+def file_pieces(files: DataFrame, table: str = "table_text", strategy: str = "fixed", size: int = 600, overlap: int = 100, summarise: Callable[[str], str] | None = None, multimodal: bool = False) -> DataFrame:
+    """(path, position, content, parent, error) of files (path, content) as a knowledge base stores them: texts, and tables as Markdown
+    (`table_text`), go through the splitter by strategy; tables by `table_json` or `table_summary` stay a piece for each row. A file that
+    fails has one row, with the error alone."""
+    found = file_chunks(files, table, summarise, multimodal)
+    rows = parser_of(F.col("path")) == "table" if table in ("table_json", "table_summary") else F.lit(False)
+    as_is = F.col("error").isNotNull() | F.coalesce(rows, F.lit(False))
+    kept = found.where(as_is).select("path", F.col("position").cast("int").alias("position"), "content", F.lit(None).cast("string").alias("parent"), "error")
+    texts = found.where(~as_is).select(F.col("path").alias("doc_id"), F.col("content").alias("text"))
+    cut = chunked(texts, strategy, size, overlap).select(F.col("doc_id").alias("path"), F.col("position").cast("int").alias("position"), "content", "parent", F.lit(None).cast("string").alias("error"))
+    return kept.unionByName(cut)
+
+
 def describe_media(files: DataFrame, model: Callable[[bytes, str], str] | None = None) -> DataFrame:
     """(path, text): a model's description of media files (path, content); the name alone for files over 8 MB and failures."""
 

@@ -35,6 +35,7 @@ def write_batch(docs: DataFrame, batch: int, folder: str, **options) -> None:
     bad = F.when(F.col("doc_id").isNull(), "no doc_id").when(F.col("kb_id").isNull(), "no kb_id")
     for name, table in prepared(docs.where(bad.isNull()), **options).items():
         table.write.mode("overwrite").parquet(f"{folder}/{name}/batch={batch}")
+    _write_changes(docs.sparkSession, docs, batch, folder)
     status = F.when(bad.isNull(), "INDEXED").otherwise("FAILED")
     docs.select("doc_id", "kb_id", status.alias("status"), bad.alias("error_message")).write.mode("overwrite").parquet(f"{folder}/documents/batch={batch}")
     docs.unpersist()
@@ -71,6 +72,60 @@ def without(rows: DataFrame, deleted: DataFrame) -> DataFrame:
     return rows.join(deleted.select("doc_id"), "doc_id", "left_anti")
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def _write_changes(spark: SparkSession, docs: DataFrame, batch: int, folder: str) -> None:
+    """Write what a batch changes in the corpus statistics: its chunks and terms count one more, those of the versions that its documents
+    replace, with a blank or a failed one too, one less. Versions of earlier batches alone are looked at, so a batch that runs again writes the same."""
+    changes = spark.read.parquet(f"{folder}/postings/batch={batch}").select("kb_id", "chunk_id", "term", "tf", F.lit(1).alias("sign"))
+    if _exists(spark, f"{folder}/documents"):
+        known = spark.read.parquet(f"{folder}/documents").where((F.col("batch") < batch) & (F.col("status") == "INDEXED"))
+        taken = known.join(docs.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("batch").alias("batch"))
+        old = spark.read.parquet(f"{folder}/postings").where(F.col("batch") < batch).join(taken, ["doc_id", "batch"], "left_semi")
+        changes = changes.unionByName(old.select("kb_id", "chunk_id", "term", "tf", F.lit(-1).alias("sign")))
+    changes = changes.persist()
+    terms = changes.groupBy("kb_id", "term").agg(F.sum("sign").alias("df")).where("df <> 0")
+    terms.write.mode("overwrite").parquet(f"{folder}/frequency/batch={batch}")
+    chunks = changes.groupBy("kb_id", "chunk_id", "sign").agg(F.sum("tf").alias("dl"))
+    totals = chunks.groupBy("kb_id").agg(F.sum("sign").alias("n_chunks"), F.sum(F.col("sign") * F.col("dl")).alias("tokens"))
+    totals.write.mode("overwrite").parquet(f"{folder}/totals/batch={batch}")
+    changes.unpersist()
+
+
+def _summed(spark: SparkSession, folder: str, name: str, keys: list[str], values: list[str]) -> DataFrame:
+    """The sum of a table of changes: the latest snapshot and the batches behind it."""
+    rows, base = spark.read.parquet(f"{folder}/{name}"), f"{folder}/{name}_snapshots"
+    if _exists(spark, base):
+        whole = spark.read.parquet(base)
+        last = whole.agg(F.max("upto")).first()[0]
+        rows = rows.where(F.col("batch") > last).select(*keys, *values).unionByName(whole.where(F.col("upto") == last).select(*keys, *values))
+    return rows.groupBy(*keys).agg(*(F.sum(v).alias(v) for v in values))
+
+
+def frequencies(spark: SparkSession, folder: str) -> DataFrame:
+    """(kb_id, term, df) of the corpus as it stands."""
+    return _summed(spark, folder, "frequency", ["kb_id", "term"], ["df"]).where("df > 0")
+
+
+def statistics(spark: SparkSession, folder: str) -> DataFrame:
+    """(kb_id, n_chunks, avg_len) of the corpus as it stands."""
+    found = _summed(spark, folder, "totals", ["kb_id"], ["n_chunks", "tokens"]).where("n_chunks > 0")
+    return found.select("kb_id", "n_chunks", (F.col("tokens") / F.col("n_chunks")).alias("avg_len"))
+
+
+def compact(spark: SparkSession, folder: str) -> None:
+    """Fold the changes so far into a snapshot, so that reading sums few rows. A snapshot counts once it is whole; batches that come meanwhile
+    stand behind it."""
+    for name, keys, values in (("frequency", ["kb_id", "term"], ["df"]), ("totals", ["kb_id"], ["n_chunks", "tokens"])):
+        upto = spark.read.parquet(f"{folder}/{name}").agg(F.max("batch")).first()[0]
+        if upto is not None:
+            summed = _summed(spark, folder, name, keys, values)
+            summed.where(" or ".join(f"{v} <> 0" for v in values)).write.mode("overwrite").parquet(f"{folder}/{name}_snapshots/upto={upto}")
+
+
 def incremental_stats(old: DataFrame, added: DataFrame) -> DataFrame:
     """Corpus statistics (kb_id, n_chunks, avg_len) with those of new chunks: exact, without counting anything twice."""
     both = old.unionByName(added)

@@ -193,6 +193,27 @@ def test_table_strategies(spark, tmp_path):
     assert rows()[0].startswith("### Sheet: t.csv")
     assert [tuple(r) for r in files.read_csv(spark, str(tmp_path / "t.csv")).collect()] == [("1", ""), ("x, y", "3")]
     assert files.file_chunks(files_of(spark, tmp_path, "p.png")).first()["error"]
+    # Files with other headers, in another order, and a header alone.
+    (tmp_path / "u.csv").write_text("c,a\n5,6\n7\n")
+    (tmp_path / "v.csv").write_text("z\n")
+    got = files.read_csv(spark, str(tmp_path / "*.csv"))
+    assert got.columns == ["a", "b", "c", "z"] and sorted(map(tuple, got.collect())) == [("", "", "7", ""), ("1", "", "", ""), ("6", "", "5", ""), ("x, y", "3", "", "")]
+
+
+def test_file_pieces(spark, tmp_path):
+    """Tables as text are split as any text, rows of tables are not, and failing files stay as an error."""
+    (tmp_path / "t.csv").write_text("a,b\n" + "".join(f"{k},word {k}\n" for k in range(200)))
+    (tmp_path / "n.md").write_text("one sentence. " * 100)
+    (tmp_path / "p.png").write_bytes(b"x")
+    every = spark.read.format("binaryFile").load(str(tmp_path))
+    whole = {r["path"][-5:]: r["content"] for r in files.file_chunks(every).collect()}
+    got = files.file_pieces(every, size=300, overlap=20).collect()
+    for name in ("t.csv", "/n.md"):
+        want = [r["content"] for r in chunk.chunked(spark.createDataFrame([(1, whole[name])], "doc_id long, text string"), "fixed", 300, 20).orderBy("position").collect()]
+        assert [r["content"] for r in sorted(got, key=lambda r: r["position"]) if r["path"].endswith(name)] == want and len(want) > 3
+    assert [(r["content"], bool(r["error"])) for r in got if r["path"].endswith("png")] == [(None, True)]
+    rows = files.file_pieces(every, table="table_json").where("path like '%csv'")
+    assert rows.count() == 200 and rows.where("content like '{%'").count() == 200
 
 
 def test_model_steps(spark):
@@ -212,7 +233,7 @@ def test_model_steps(spark):
     found = retrieve.stages(chunks, one_)
     assert [r["chunk_id"] for r in found["keyword"].collect()] == [2] and [r["chunk_id"] for r in found["vector"].collect()] == [1]
     pairs = spark.createDataFrame([(1, 2, "a", "b", 0.95), (1, 3, "a", "c", 0.8), (1, 4, "a", "d", 0.8), (1, 5, "a", "e", 0.7)], "a long, b long, name_a string, name_b string, similarity double")
-    same = models.decide_merges(pairs, lambda p: 'so {"merge": "TRUE",}' if "实体 B：c" in p else "no idea")
+    same = models.decide_merges(pairs, lambda p: 'so {"merge": "TRUE",}' if "second: c" in p else "no idea")
     assert {r["b"]: r["same"] for r in same.collect()} == {2: True, 3: True, 4: False, 5: False}
 
 
@@ -319,6 +340,42 @@ def test_streaming_ingest(spark, tmp_path):
     assert status == {1: "INDEXED", 2: "INDEXED", 3: "FAILED"} and ingest.without(chunks, chunks.where("doc_id = 1")).where("doc_id = 1").count() == 0
 
 
+def test_streaming_statistics(spark, tmp_path):
+    """After additions, replacements, deletions and a batch that runs again, the statistics are those of a rebuild; also over snapshots."""
+    folder, schema = str(tmp_path / "out"), "doc_id long, kb_id long, text string"
+
+    def same():
+        kept = ingest.table(spark, folder, "postings")
+        want = lexical.document_frequency(kept).collect()
+        assert sorted(map(tuple, ingest.frequencies(spark, folder).collect())) == sorted(map(tuple, want)) and want
+        want = lexical.corpus_stats(lexical.lengths(kept)).collect()
+        assert sorted((r["kb_id"], r["n_chunks"], round(r["avg_len"], 9)) for r in ingest.statistics(spark, folder).collect()) == sorted((r["kb_id"], r["n_chunks"], round(r["avg_len"], 9)) for r in want)
+
+    batches = [
+        [(1, 1, "red fox. " * 100), (2, 1, "blue fox"), (3, 2, "red whale")],
+        [(2, 1, "green"), (3, 2, " "), (4, 1, "a fox")],
+        [(2, 2, "green fox moved"), (5, None, "no kb"), (1, 1, "red fox")],
+        [(1, None, "fails, and the old one is gone"), (3, 2, "back again")],
+    ]
+    for n, rows in enumerate(batches):
+        ingest.write_batch(spark.createDataFrame(rows, schema), n, folder)
+        if n == 1:
+            ingest.compact(spark, folder)
+            ingest.write_batch(spark.createDataFrame(rows, schema), n, folder)  # again, as after a failure
+        same()
+    ingest.compact(spark, folder)
+    assert {(r["kb_id"], r["term"]): r["df"] for r in ingest.frequencies(spark, folder).collect()} == {(1, "wfox"): 1, (1, "wa"): 1, (2, "wgreen"): 1, (2, "wfox"): 1, (2, "wmoved"): 1, (2, "wback"): 1, (2, "wagain"): 1}
+
+
+def test_walks_with_hubs(spark):
+    """A hub's neighbours are cut to pieces; walks reach what a plain loop reaches."""
+    rows = [(k, 1, 0, k, "x") for k in range(1, 300)] + [(1000 + k, 1, k, k + 300, "x") for k in range(1, 300)] + [(5000, 1, 7, 7, "x"), (5001, 1, None, 7, "x"), (5002, 1, 600, 601, "x")]
+    relations = spark.createDataFrame(rows, "relation_id long, kb_id long, source_id long, target_id long, relation_type string")
+    assert graph.adjacency(relations, 50).where("node = 0").count() == 6 and graph.adjacency(relations, 50).agg(F.sum(F.size("others"))).first()[0] == 2 * 299 * 2 + 1 + 2
+    got = {r["node"]: r["depth"] for r in graph.bfs(relations, spark.createDataFrame([(301,), (900,)], "node long"), 3).collect()}
+    assert got == {301: 0, 900: 0, 1: 1, 0: 2} | {k: 3 for k in range(2, 300)}
+
+
 def test_model_answers(spark):
     lines = spark.createDataFrame([(1, "1: one\nnoise\n 2： two ")], "batch_id long, answer string")
     assert {(r["number"], r["head"]) for r in chat.contextual_headers(lines).collect()} == {(1, "one"), (2, "two")}
