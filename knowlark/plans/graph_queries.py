@@ -71,10 +71,12 @@ def graph_merge(spark, sf):
     return fusion.merge_graph(hits, near).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "source")
 
 
-def _spellings(spark, sf):
-    """All parts, and every tenth once more under a longer spelling. (Suppliers' names differ in digits alone, so each is like all others.)"""
-    n = c.entities(spark, sf).where(F.col("entity_id") < SUPPLIER).select("entity_id", "name")
-    other = n.where("entity_id % 10 = 0").select((F.col("entity_id") + SUPPLIER).alias("entity_id"), F.concat("name", F.lit("s")).alias("name"))
+def _spellings(spark, sf, suppliers=False):
+    """All parts, and every tenth once more under a longer spelling; suppliers on demand. (Suppliers' names differ in digits alone, so each is
+    like all others, and their similar pairs are as many as their square.)"""
+    n = c.entities(spark, sf).select("entity_id", "name")
+    n = n if suppliers else n.where(F.col("entity_id") < SUPPLIER)
+    other = n.where((F.col("entity_id") < SUPPLIER) & (F.col("entity_id") % 10 == 0)).select((F.col("entity_id") + 2 * SUPPLIER).alias("entity_id"), F.concat("name", F.lit("s")).alias("name"))
     return n.unionByName(other).withColumn("kb_id", F.lit(1).cast("long")).withColumn("description", F.concat(F.lit("d"), F.col("entity_id").cast("string")))
 
 
@@ -88,7 +90,7 @@ def entity_resolve(spark, sf):
 
 
 def entity_merge(spark, sf):
-    return graph.merge_descriptions(_spellings(spark, sf)).select("name", "entity_id", "description")
+    return graph.merge_descriptions(_spellings(spark, sf, suppliers=True)).select("name", "entity_id", "description")
 
 
 def graph_full_view(spark, sf):
@@ -111,7 +113,7 @@ def graph_from_json(spark, sf):
 
 _EDGES = "few as (select * from relations), ends as (select source_id as node, target_id as other from few union select target_id, source_id from few)"
 _SPELLINGS = f"""spellings as (
-  select p_partkey as entity_id, p_name as name from part union all select p_partkey + {SUPPLIER}, p_name || 's' from part where p_partkey % 10 = 0)"""
+  select p_partkey as entity_id, p_name as name from part union all select p_partkey + {2 * SUPPLIER}, p_name || 's' from part where p_partkey % 10 = 0)"""
 SQL = {
     "graph_degree": f"with {RELATIONS} select entity_id, count(*) as degree from (select source_id as entity_id from relations union all select target_id from relations) group by 1",
     "graph_top_nodes": f"""with {ENTITIES}, {RELATIONS}, d as (select entity_id, count(*) as degree from (select source_id as entity_id from relations union all select target_id from relations) group by 1)
@@ -151,8 +153,8 @@ SQL = {
           p as (select a.entity_id as a, b.entity_id as b, round(1 - levenshtein(a.name, b.name) / greatest(length(a.name), length(b.name)), 6) as similarity
                 from n a join n b on a.entity_id < b.entity_id and lower(substr(a.name, 1, 2)) = lower(substr(b.name, 1, 2)))
         select * from p where similarity >= 0.77""",
-    "entity_resolve": f"with {_SPELLINGS} select entity_id, min(entity_id) over (partition by case when entity_id >= {SUPPLIER} then name[:-2] else name end) as root from spellings",
-    "entity_merge": f"with {_SPELLINGS} select name, min(entity_id) as entity_id, arg_max('d' || entity_id, length('d' || entity_id) * 10000000000 - entity_id) as description from spellings group by 1",
+    "entity_resolve": f"with {_SPELLINGS} select entity_id, min(entity_id) over (partition by case when entity_id >= {2 * SUPPLIER} then name[:-2] else name end) as root from spellings",
+    "entity_merge": f"with {_SPELLINGS} select name, min(entity_id) as entity_id, arg_max('d' || entity_id, length('d' || entity_id) * 10000000000 - entity_id) as description from (from spellings union all select s_suppkey + {SUPPLIER}, s_name from supplier) group by 1",
     "graph_full_view": f"""with {ENTITIES}, {RELATIONS}, d as (select entity_id, count(*) as degree from (select source_id as entity_id from relations union all select target_id from relations) group by 1),
           n as (select entity_id from entities left join d using (entity_id) order by coalesce(degree, 0) desc, entity_id limit 400)
         select relation_id, source_id, target_id from relations where source_id in (select entity_id from n) and target_id in (select entity_id from n)""",
