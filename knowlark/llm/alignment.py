@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from knowlark.llm.common import partitions, text_of
-from knowlark.llm.encoding import Encoder, blocks, byte_encoder, piece_encoder
+from knowlark.llm.encoding import Encoder, blocks, byte_encoder, piece_encoder, sliced
 
 #: Bytes of a document whose events share a row, documents of a block, and events that are swept at a time, about.
 WINDOW, DOCUMENTS, EVENTS = 1 << 17, 512, 1 << 17
@@ -37,7 +37,7 @@ def _events(batches: Iterator[pa.RecordBatch], a: object, b: object, kind: pa.Da
     names = ["block", "key", "doc_id", "window", "side", "place", "last", "n", "ids"]
     kinds = (pa.int64(), pa.int64(), kind, pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.binary())
     wide = [len(x.value.lengths) for x in (a, b)]
-    for batch in batches:
+    for batch in sliced(batches):
         block, keys, docs, texts = (c.to_pylist() for c in batch.columns)
         for some in blocks(texts):
             rows: list[tuple] = []

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 
 from knowlark.llm.token_counts import LATIN_ONLY, LATIN_WORD, Transducer, byte_names, compiled
 
@@ -89,6 +90,13 @@ class Encoder:
         return ids, tokens, sizes, marks, counts
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Batches of fewer rows, so that few texts are held as strings beside their batch."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def blocks(texts: list[str], most: int = BLOCK) -> Iterator[slice]:
     """Slices of texts of about `most` characters; a longer text is alone."""
     begin = held = 0

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from knowlark.llm.common import text_of
-from knowlark.llm.encoding import blocks, word_encoder
+from knowlark.llm.encoding import blocks, sliced, word_encoder
 
 #: Tokens of the stream whose edges are chosen together; what is behind the best edge near their end waits for the next ones.
 BLOCK = 1 << 20
@@ -155,7 +155,7 @@ class Packer:
 
 def _pieces(batches: Iterator[pa.RecordBatch], encoder: object, size: int, end: int, costs: Costs, block: int, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
     packer, base = Packer(size, costs, block), TaskContext.get().partitionId() << 33
-    for batch in batches:
+    for batch in sliced(batches):
         docs, texts = (c.to_pylist() for c in batch.columns)
         for some in blocks(texts):
             made: list[tuple] = []
