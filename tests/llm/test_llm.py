@@ -609,7 +609,7 @@ def test_propagate(spark):
 @pytest.mark.parametrize("name", sorted(registered.oracle_sql()))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "benchmark", "pages"):
+    for table in ("documents", "benchmark", "pages", "embeddings"):
         con.execute(f"create view {table} as select * from read_parquet('{SF}/{table}.parquet')")
     df = registered.queries()[name](spark, SF)
     found = con.execute(registered.oracle_sql()[name])
