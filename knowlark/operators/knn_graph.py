@@ -118,7 +118,7 @@ def entries(vectors: DataFrame, many: int = 64) -> list:
     return [r["id"] for r in vectors.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(many).collect()]
 
 
-def search(graph: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, beam: int = 48, hops: int = 12, wide: int = 8) -> DataFrame:
+def search(graph: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, beam: int = 64, hops: int = 12, wide: int = 8) -> DataFrame:
     """(query_id, id, score, rank): about the k vectors of the greatest cosine of each query (query_id, vec), by walks over the graph.
 
     Every query holds its `beam` best vectors so far; a hop follows the links, either way, of the `wide` best among them that it hasn't
@@ -128,7 +128,7 @@ def search(graph: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, bea
     return walked(graph, vectors, queries, k, beam, hops, wide)["hits"]
 
 
-def walked(graph: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, beam: int = 48, hops: int = 12, wide: int = 8) -> dict[str, DataFrame]:
+def walked(graph: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, beam: int = 64, hops: int = 12, wide: int = 8) -> dict[str, DataFrame]:
     """search()'s hits, and the number of distances of each query as (query_id, n)."""
     asked = queries.select(F.col("query_id").alias("query"), "vec")
     left = asked.select(F.col("query").alias("id"), "vec")
