@@ -10,6 +10,8 @@ from knowlark.operators.layout import checkpointed, numbered, written
 from knowlark.operators.models import trimmed
 
 UNCATEGORISED = "未分类"
+#: Grams of all queries that are sent to every task.
+SOUGHT = 200_000
 
 
 def undirected(relations: DataFrame) -> DataFrame:
@@ -81,6 +83,9 @@ def match_entities(entities: DataFrame, queries: DataFrame, top: int = 5, strict
 
     Candidates are names that hold a gram in any case. Two-character grams are joined on the names' own pairs. Longer ones
     only count in the share, for candidates; a name that only a longer gram finds also holds its pairs.
+
+    Either the queries' grams go to every task, or, where they are very many, both sides are shuffled. Never the names' pairs: the planner takes
+    them for no larger than the file of names and would gather them on the driver.
     """
     grams = query_grams(queries, strict)
     size = grams.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_grams"))
@@ -89,11 +94,13 @@ def match_entities(entities: DataFrame, queries: DataFrame, top: int = 5, strict
     pairs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(lowered) - 1, F.lit(1))), lambda i: F.substr(lowered, i, F.lit(2))))
     found = named.select("entity_id", "name", F.explode(pairs).alias("pair"))
     seek = grams.select("query_id", F.lower("gram").alias("gram"), F.substring(F.lower("gram"), 1, 2).alias("pair")).distinct()
-    candidates = found.join(seek, "pair").where(F.contains(F.lower("name"), F.col("gram"))).select("query_id", "entity_id", "name").distinct()
+    seek = checkpointed(seek)
+    how = "broadcast" if seek.limit(SOUGHT + 1).count() <= SOUGHT else "merge"
+    candidates = found.join(seek.hint(how), "pair").where(F.contains(F.lower("name"), F.col("gram"))).select("query_id", "entity_id", "name").distinct()
     lists = grams.groupBy("query_id").agg(F.collect_list("gram").alias("grams"))  # one query's grams
     asked = queries.select("query_id", "query").join(lists, "query_id").join(size, "query_id")
     overlap = F.size(F.filter("grams", lambda g: F.contains(F.col("name"), g)))
-    scored = candidates.join(asked, "query_id")
+    scored = candidates.join(asked.hint(how), "query_id")
     inside = F.when(F.contains(F.col("query"), F.col("name")), 1.0).otherwise(0.0)
     text = 0.4 * overlap / F.col("n_grams") + 0.2 * inside
     if vector_scores is not None:
