@@ -1,8 +1,12 @@
 """What went wrong on larger tables, on small ones."""
 
+import math
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from knowlark.operators import graph
+from knowlark.functions.vectors import hashed_token, hashed_tokens
+from knowlark.operators import graph, lexical, tiles
 from knowlark.plans import table_queries
 
 
@@ -29,3 +33,41 @@ def test_rerank_llm_short_group(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     got = {(r["query_id"], r["rank"]): (r["chunk_id"], r["score"]) for r in table_queries.rerank_llm(spark, str(tmp_path)).collect()}
     assert got == {(0, 1): (0, 0.9), (0, 2): (1, 0.1), (1, 1): (5, 0.325), (2, 1): (12, 0.9), (2, 2): (14, 0.7), (2, 3): (11, 0.5)}
+
+
+def test_slices_by_size():
+    """A batch of long texts is taken in slices of about TEXT bytes; a longer text is alone, and none is lost."""
+    texts = ["x" * 400_000] * 5 + ["y" * 3_000_000, None, "", "z"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["id", "text"])
+    sizes = [b.num_rows for b in tiles.by_size([batch])]
+    assert sizes == [2, 2, 1, 1, 3] and [x for b in tiles.by_size([batch]) for x in b.column(0).to_pylist()] == list(range(len(texts)))
+    lists = pa.RecordBatch.from_arrays([pa.array([[1] * 100_000, None, [2] * 100_000])], ["values"])
+    assert [b.num_rows for b in tiles.by_size([lists])] == [2, 1]
+    assert [b.num_rows for b in lexical._counted([batch])] == sizes
+
+
+def test_hashed_tokens():
+    names = ["", "w", "wword", "c1的", "c2数据", "c3数据库", "cx", "w" + "long" * 50, "😀"]
+    slots, weights = hashed_tokens(names)
+    assert list(zip(slots.tolist(), weights.tolist(), strict=True)) == [hashed_token(n) for n in names]
+
+
+def test_best_leave_tiles(spark):
+    """BM25 by tiles gives a plain loop's rows; no more than the best of each tile leave it."""
+    rows = [(k % 2, k, "fox " * (k % 5 + 1) + f"red w{k % 7} " + "pad " * (k % 11)) for k in range(300)] + [(None, 999, "fox"), (1, 1000, "")]
+    chunks = spark.createDataFrame(rows, "kb_id long, chunk_id long, content string")
+    queries = spark.createDataFrame([(1, "fox"), (2, "red w3 fox"), (3, "none of it"), (4, "")], "query_id long, query string")
+    stored = lexical.store(chunks)
+    got = {(r["query_id"], r["kb_id"], r["rank"]): (r["chunk_id"], r["score"]) for r in lexical.bm25_rows(stored, queries, 4).collect()}
+    want = {}
+    for q, query in ((1, {"fox"}), (2, {"red", "w3", "fox"})):
+        for kb in (0, 1):
+            texts = {c: t.split() for b, c, t in rows if b == kb and t}
+            mean = sum(map(len, texts.values())) / len(texts)
+            idf = {w: math.log(1 + (len(texts) - n + 0.5) / (n + 0.5)) for w in query if (n := sum(w in t for t in texts.values()))}
+            scores = {c: round(sum(i * t.count(w) * 2.5 / (t.count(w) + 1.5 * (0.25 + 0.75 * len(t) / mean)) for w, i in idf.items()), 9) for c, t in texts.items()}
+            for n, (c, s) in enumerate(sorted(((c, s) for c, s in scores.items() if s > 0), key=lambda x: (-x[1], x[0]))[:4], 1):
+                want[q, kb, n] = (c, s)
+    assert got == want
+    plan = lexical.bm25_rows(stored, queries, 4)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan
