@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from knowlark.functions.text import blank, strip, unix_lines
 from knowlark.operators.layout import numbered
+from knowlark.operators.tiles import by_size
 
 LOOKBACK = 120
 #: Characters after which a chunk may end. Fixed values.
@@ -95,8 +96,10 @@ def parent_child(text: Column, size: int = 600, overlap: int = 100) -> Column:
 
 STRATEGIES = {"fixed": fixed, "paragraph": paragraphs}
 #: Characters from which a text is chunked by a plain loop: built-in strings are counted from their begin for each chunk, which takes time by
-#: the square of a text's length.
-LONG = 100_000
+#: the square of a text's length, and many times the loop's already for texts of a few chunks.
+LONG = 600
+#: Characters of chunks, about, that a batch holds.
+HELD = 1 << 21
 _BLANK = "".join(map(chr, range(33)))
 
 
@@ -143,7 +146,7 @@ def _long_chunks(text: str, name: str, size: int, overlap: int) -> list[tuple[st
 
 def chunked(docs: DataFrame, strategy: str = "fixed", size: int = 600, overlap: int = 100, long: int = LONG) -> DataFrame:
     """(doc_id, position, content, parent) of docs (doc_id, text); parent is null but for parent_child. Unknown strategies
-    are fixed. Texts of over `long` characters are cut in Arrow batches, others by built-in expressions."""
+    are fixed. Texts of over `long` characters are cut by a loop in slices of Arrow batches, others by built-in expressions."""
     name = strategy.lower()
     short = docs.where(F.coalesce(F.char_length("text"), F.lit(0)) <= long)
     if name == "parent_child":
@@ -154,12 +157,22 @@ def chunked(docs: DataFrame, strategy: str = "fixed", size: int = 600, overlap:
         out = short.select("doc_id", F.posexplode(parts).alias("position", "content")).withColumn("parent", F.lit(None).cast("string"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_size(batches):
+            made: list[tuple] = []
+            places: list[int] = []
+            ids: list[int] = []
+            held = 0
             for k, text in enumerate(batch.column(1).to_pylist()):
-                made = _long_chunks(text, name, size, overlap)
-                content, parent = zip(*made, strict=True) if made else ((), ())
-                ids = batch.column(0).slice(k, 1).take(pa.array([0] * len(made), pa.int64()))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(range(len(made)), pa.int32()), pa.array(content, pa.string()), pa.array(parent, pa.string())], ["doc_id", "position", "content", "parent"])
+                some = _long_chunks(text, name, size, overlap)
+                made += some
+                places += range(len(some))
+                ids += [k] * len(some)
+                held += sum(len(c) + len(p or "") for c, p in some)
+                if made and (held > HELD or k + 1 == batch.num_rows):
+                    content, parent = zip(*made, strict=True)
+                    columns = [batch.column(0).take(pa.array(ids)), pa.array(places, pa.int32()), pa.array(content, pa.string()), pa.array(parent, pa.string())]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "position", "content", "parent"])
+                    made, places, ids, held = [], [], [], 0
 
     beyond = docs.where(F.char_length("text") > long).select("doc_id", "text")
     return out.unionByName(beyond.mapInArrow(each, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, position int, content string, parent string"))

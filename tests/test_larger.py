@@ -6,8 +6,9 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from knowlark.functions.vectors import hashed_token, hashed_tokens
-from knowlark.operators import graph, lexical, tiles
-from knowlark.plans import table_queries
+from knowlark.operators import chunk, graph, lexical, tiles
+from knowlark.plans import graph_queries, table_queries
+from tests.conftest import SF
 
 
 def test_names_are_not_gathered(spark):
@@ -71,3 +72,24 @@ def test_best_leave_tiles(spark):
     assert got == want
     plan = lexical.bm25_rows(stored, queries, 4)._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapCoGroupsInArrow" in plan
+
+
+def test_short_texts_by_the_loop(spark):
+    """Texts of a few chunks are cut by the loop too, in whole batches, with the rows of the built-in expressions."""
+    texts = [("Some words here. " * k + "tail\r\n\n" * (k % 3)) for k in range(0, 120, 7)] + [None, " "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    for name in ("fixed", "paragraph", "parent_child"):
+        got, want = (sorted(map(tuple, chunk.chunked(docs, name, long=n).collect())) for n in (chunk.LONG, 1 << 30))
+        assert got == want
+    assert chunk.LONG <= 1000
+
+
+def test_links_are_shuffled_once(spark):
+    """Links dealt by chunk meet texts where they are: one exchange of the links, none between their distinct and the join with texts."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = graph_queries.entity_provenance(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    links = plan[: plan.index("l_orderkey")]
+    assert links.count("Exchange hashpartitioning") == 1, plan
