@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from knowlark.functions.vectors import hashed_token, hashed_tokens
-from knowlark.operators import chunk, graph, lexical, tiles
+from knowlark.operators import chunk, fusion, graph, lexical, tiles, vector
 from knowlark.plans import graph_queries, table_queries
 from tests.conftest import SF
 
@@ -93,3 +93,14 @@ def test_links_are_shuffled_once(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     links = plan[: plan.index("l_orderkey")]
     assert links.count("Exchange hashpartitioning") == 1, plan
+
+
+def test_all_scores_as_counts(spark):
+    """Pairs leave a tile as counts of different scores; their distribution is that of the pairs."""
+    vectors = spark.createDataFrame([(1, k, [float(k % 3), float(k % 2) - 0.5]) for k in range(60)], "kb_id long, chunk_id long, vec array<double>")
+    queries = vectors.where("chunk_id < 9").select(F.col("chunk_id").alias("query_id"), "vec")
+    pairs = vector.search(vectors, queries, 1 << 30)
+    counts = vector.score_counts(vectors, queries)
+    assert sorted(map(tuple, counts.collect())) == sorted(map(tuple, pairs.groupBy("score").count().collect())) and counts.count() < pairs.count()
+    one = fusion.score_distribution(pairs.select(F.lit(1).alias("g"), "score"), ["g"]).collect()
+    assert fusion.score_distribution(counts.select(F.lit(1).alias("g"), "score", "n"), ["g"], "n").collect() == one
