@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from knowlark.llm.common import partitions, text_of
-from knowlark.llm.encoding import Encoder, blocks, byte_encoder, piece_encoder, sliced
+from knowlark.llm.encoding import Joint, blocks, byte_encoder, byte_sizes, piece_encoder, sliced
 
 #: Bytes of a document whose events share a row, documents of a block, and events that are swept at a time, about.
 WINDOW, DOCUMENTS, EVENTS = 1 << 17, 512, 1 << 17
@@ -31,43 +31,39 @@ WIDE = 1 << 20
 LINKS = "array<struct<a:int,b:int,times:int>>"
 
 
-def _events(batches: Iterator[pa.RecordBatch], a: object, b: object, kind: pa.DataType, window: int) -> Iterator[pa.RecordBatch]:
+def _events(batches: Iterator[pa.RecordBatch], both: object, kind: pa.DataType, window: int) -> Iterator[pa.RecordBatch]:
     """Event rows of rows (block, key, doc_id, text); a text without tokens has one row without events. `place` is the first event's, `last`
     says that the text ends behind the row's tokens."""
     names = ["block", "key", "doc_id", "window", "side", "place", "last", "n", "ids"]
     kinds = (pa.int64(), pa.int64(), kind, pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.binary())
-    wide = [len(x.value.lengths) for x in (a, b)]
+    lengths = [x.lengths for x in (both.value.a, both.value.b)]
     for batch in sliced(batches):
         block, keys, docs, texts = (c.to_pylist() for c in batch.columns)
         for some in blocks(texts):
             rows: list[tuple] = []
             spaced = [" " + t if t else "" for t in texts[some]]
-            sizes = np.fromiter((len(t.encode("utf-8", "surrogatepass")) for t in spaced), np.int64, len(spaced))
-            sides = [_sides(encoder.value, spaced, sizes) for encoder in (a, b)]
-            good = sides[0][2] & sides[1][2] & (sizes > 0)
+            sizes = byte_sizes(spaced)
+            sides, good = both.value.block(spaced)
+            sides = [(_begins(ids, first, own), ids, first) for (ids, first), own in zip(sides, lengths, strict=True)]
+            good &= sizes > 0
             for k, row in enumerate(zip(block[some], keys[some], docs[some], strict=True)):
                 if not good[k]:
                     rows.append((*row, 0, 0, 0, False, 0, b""))
                     continue
-                for side, (begins, ids, _, first) in enumerate(sides):
+                for side, (begins, ids, first) in enumerate(sides):
                     places, mine = begins[first[k] : first[k + 1]], ids[first[k] : first[k + 1]]
                     cuts = [0, *np.searchsorted(places, np.arange(window, sizes[k], window)).tolist(), len(places)]
                     for w, (s, e) in enumerate(zip(cuts, cuts[1:], strict=False)):
                         if e > s:
-                            small = mine[s:e].astype(np.uint16 if wide[side] <= 1 << 16 else np.int32)
+                            small = mine[s:e].astype(np.uint16 if len(lengths[side]) <= 1 << 16 else np.int32)
                             rows.append((*row, w, side, int(places[s]), e == len(places), e - s, pa.compress(small.tobytes(), "zstd", asbytes=True)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
-def _sides(encoder: Encoder, texts: list[str], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Each token's first byte in its text, its id, whether a text's tokens have its bytes, and each text's first token."""
-    ids, tokens, _, wrong, counts = encoder.block(texts)
-    ids = ids.astype(np.int64)
-    ends = np.append(0, np.cumsum(encoder.lengths[ids]))
-    first = np.append(0, np.cumsum(tokens))
-    bad = np.append(0, np.cumsum(wrong))[np.append(0, np.cumsum(counts))]
-    good = (np.diff(bad) == 0) & (np.diff(ends[first]) == sizes)
-    return ends[:-1] - np.repeat(ends[first[:-1]], tokens), ids, good, first
+def _begins(ids: np.ndarray, first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Each token's first byte in its text."""
+    ends = np.append(0, np.cumsum(lengths[ids]))
+    return ends[:-1] - np.repeat(ends[first[:-1]], np.diff(first))
 
 
 class Sweep:
@@ -232,13 +228,13 @@ def _ready(docs: DataFrame, a_path: str, b_path: str, id_col: str, text_col: str
     if max(len(a.lengths), len(b.lengths)) > WIDE:
         raise ValueError(f"vocabularies of over {WIDE} tokens")
     lengths = a.lengths, b.lengths
-    a, b = spark.sparkContext.broadcast(a), spark.sparkContext.broadcast(b)
+    both = spark.sparkContext.broadcast(Joint(a, b))
     key = F.monotonically_increasing_id()
     rows = docs.select(F.floor(key / DOCUMENTS).cast("long").alias("block"), key.alias("key"), F.col(id_col).alias("doc_id"), text_of(text_col).alias("_text"))
     kind = rows.schema["doc_id"].dataType
     name, arrow = kind.simpleString(), to_arrow_type(kind)
     schema = f"block long, key long, doc_id {name}, window int, side int, place int, last boolean, n int, ids binary"
-    events = rows.mapInArrow(partial(_events, a=a, b=b, kind=arrow, window=WINDOW), schema)
+    events = rows.mapInArrow(partial(_events, both=both, kind=arrow, window=WINDOW), schema)
     return events.repartition(partitions(spark), "block"), name, {"lengths": lengths, "kind": arrow}
 
 

@@ -5,20 +5,93 @@ from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Callable, Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 
 from knowlark.llm.token_counts import LATIN_ONLY, LATIN_WORD, Transducer, byte_names, compiled
 
-#: Pieces that a worker's table may hold, and a sixteenth of the ids, before it is emptied.
+#: Pieces that a worker's table may hold, and a sixteenth of the ids, before it is thinned out.
 MEMO = 300_000
 #: Characters that are encoded at a time.
 BLOCK = 1 << 20
 
 
+class Numbers(dict):
+    """Pieces to their numbers, in the order in which they are first met."""
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = n = len(self)
+        return n
+
+
+class Ids:
+    """The ids of each number from 0, one number's after another's, and a mark."""
+
+    def __init__(self) -> None:
+        self.n, self.used, self.ids = 0, 0, np.zeros(1 << 16, np.uint32)
+        self.begin, self.size, self.marked = (np.zeros(1 << 14, t) for t in (np.int64, np.int64, bool))
+
+    def add(self, ids: np.ndarray, sizes: np.ndarray, marks: np.ndarray) -> None:
+        n, total = self.n, len(ids)
+        while self.used + total > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while n + len(sizes) > len(self.begin):
+            self.begin, self.size, self.marked = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size, self.marked))
+        some = slice(n, n + len(sizes))
+        self.size[some], self.begin[some], self.marked[some] = sizes, self.used + np.cumsum(sizes) - sizes, marks
+        self.ids[self.used : self.used + total] = ids
+        self.n, self.used = n + len(sizes), self.used + total
+
+    def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of numbers one after another, how many each has, and their marks."""
+        sizes = self.size[at]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.ids[np.repeat(self.begin[at] - (ends - sizes), sizes) + np.arange(total)], sizes, self.marked[at]
+
+    def of(self, at: np.ndarray) -> Ids:
+        made = Ids()
+        made.add(*self.take(at))
+        return made
+
+
+class Memo:
+    """A worker's table of pieces and their ids, on one side or more. Once it is full, the pieces that were met most since it last was stay,
+    in half of it at most."""
+
+    def __init__(self, sides: int = 1) -> None:
+        self.number, self.met, self.sides = Numbers(), np.zeros(0, np.int64), [Ids() for _ in range(sides)]
+
+    def numbers(self, cut: list[list[str]], encode: Callable[[list[str]], list[tuple]]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of texts' pieces, and where each text's begin and end. New pieces are encoded: ids, sizes and marks of each side."""
+        if self._full(np.arange(len(self.number)), 1):
+            self._shrink()
+        edges = np.append(0, np.cumsum(np.fromiter(map(len, cut), np.int64, len(cut))))
+        known = len(self.number)
+        at = np.fromiter(map(self.number.__getitem__, chain.from_iterable(cut)), np.int64, int(edges[-1]))
+        if new := list(islice(self.number, known, None)):
+            for side, made in zip(self.sides, encode(new), strict=True):
+                side.add(*made)
+        met = np.bincount(at, minlength=len(self.number))
+        met[:known] += self.met
+        self.met = met
+        return at, edges
+
+    def _full(self, at: np.ndarray, part: int) -> bool:
+        return part * len(at) > MEMO or any(part * int(x.size[at].sum()) > 16 * MEMO for x in self.sides)
+
+    def _shrink(self) -> None:
+        least = 2
+        while self._full(kept := np.flatnonzero(self.met >= least), 2):
+            least *= 2
+        names = list(self.number)
+        self.number = Numbers((names[k], n) for n, k in enumerate(kept.tolist()))
+        self.sides, self.met = [x.of(kept) for x in self.sides], np.zeros(len(kept), np.int64)
+
+
 class Encoder:
     """Texts to ids. A tokenizer says how texts fall into pieces and how pieces are encoded; pieces must not depend on their neighbours."""
 
@@ -42,52 +115,32 @@ class Encoder:
     def encode(self, pieces: list[str]) -> list[list[int]]:
         raise NotImplementedError
 
-    def mark(self, piece: str, ids: list[int]) -> bool:
-        """A fact about a piece that mark()s of a block's pieces are kept for."""
-        return False
+    def marks(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """A fact about each piece that is kept beside its ids."""
+        return np.zeros(len(pieces), bool)
 
-    def _empty(self) -> None:
-        self.place: dict[str, int] = {}
-        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.begin, self.size, self.marked = (np.zeros(1 << 14, t) for t in (np.int64, np.int64, bool))
-
-    def _add(self, new: list[str]) -> None:
-        """Encode pieces and append them to the tables."""
-        made = self.encode(new)
-        n, total = len(self.place), sum(map(len, made))
-        while self.used + total > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while n + len(new) > len(self.begin):
-            self.begin, self.size, self.marked = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size, self.marked))
-        sizes = np.fromiter(map(len, made), np.int64, len(made))
-        some = slice(n, n + len(new))
-        self.size[some], self.begin[some] = sizes, self.used + np.cumsum(sizes) - sizes
-        self.marked[some] = [self.mark(p, x) for p, x in zip(new, made, strict=True)]
-        self.ids[self.used : self.used + total] = np.fromiter((i for x in made for i in x), np.uint32, total)
-        self.used += total
-        self.place.update(zip(new, range(n, n + len(new)), strict=True))
+    def made(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pieces' ids one after another, how many each has, and their marks."""
+        rows = self.encode(pieces)
+        sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+        ids = np.fromiter(chain.from_iterable(rows), np.uint32, int(sizes.sum()))
+        return ids, sizes, self.marks(pieces, ids, sizes)
 
     def block(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of texts: their ids one after another, each text's number of ids, the pieces' sizes in ids, their marks, and each text's number of
         pieces."""
-        cut = [self.pieces(t) for t in texts]
-        counts = np.fromiter(map(len, cut), np.int64, len(cut))
-        flat = list(chain.from_iterable(cut))
-        place = list(map(self.place.get, flat))
-        if None in place:
-            if len(self.place) > MEMO or self.used > 16 * MEMO:
-                self._empty()
-                place = [None] * len(flat)
-            self._add(list(dict.fromkeys(p for p, k in zip(flat, place, strict=True) if k is None)))
-            known = self.place
-            place = [known[p] if k is None else k for p, k in zip(flat, place, strict=True)]
-        at = np.array(place, dtype=np.int64)
-        sizes, marks = self.size[at], self.marked[at]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.ids[np.repeat(self.begin[at] - (ends - sizes), sizes) + np.arange(total)]
-        tokens = np.add.reduceat(np.append(sizes, 0), np.append(0, np.cumsum(counts))[:-1]) * (counts > 0) if len(counts) else counts
-        return ids, tokens, sizes, marks, counts
+        at, edges = self.memo.numbers(list(map(self.pieces, texts)), lambda new: [self.made(new)])
+        ids, sizes, marks = self.memo.sides[0].take(at)
+        return ids, sums(sizes, edges), sizes, marks, np.diff(edges)
+
+
+def sums(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Sums of values between edges, of which the first is 0 and the last the end."""
+    return np.diff(np.append(0, np.cumsum(values))[edges])
+
+
+def byte_sizes(texts: list[str]) -> np.ndarray:
+    return np.fromiter((len(t) if t.isascii() else len(t.encode("utf-8", "surrogatepass")) for t in texts), np.int64, len(texts))
 
 
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
@@ -113,9 +166,12 @@ def blocks(texts: list[str], most: int = BLOCK) -> Iterator[slice]:
 NAMES = {b: c for c, b in byte_names().items()}
 
 
-def merged(tokenizer: object, piece: str) -> list[int]:
-    """Ids of a piece by the library's own merges, without its splitting and normalising, which are done."""
-    return [t.id for t in tokenizer.model.tokenize(piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(NAMES))]
+def merged(tokenizer: object, pieces: list[str]) -> list[list[int]]:
+    """Ids of pieces by the library's own merges, without its splitting and normalising, which are done."""
+    tokenize = tokenizer.model.tokenize
+    # No text in UTF-8 holds the byte 255, which parts them.
+    named = b"\xff".join([p.encode("utf-8", "surrogatepass") for p in pieces]).decode("latin-1").translate(NAMES)
+    return [[t.id for t in tokenize(p)] for p in named.split(NAMES[255])] if pieces else []
 
 
 class WordEncoder(Encoder):
@@ -137,7 +193,7 @@ class WordEncoder(Encoder):
         self.tokenizer = Tokenizer.from_str(self.rules.content)
         self.special = {s: self.tokenizer.token_to_id(s) for s in self.rules.special}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self._empty()
+        self.memo = Memo()
 
     def pieces(self, text: str) -> list[str]:
         out: list[str] = []
@@ -150,10 +206,11 @@ class WordEncoder(Encoder):
         return out
 
     def encode(self, pieces: list[str]) -> list[list[int]]:
-        return [[self.special[p]] if p in self.special else merged(self.tokenizer, p) for p in pieces]
+        made = iter(merged(self.tokenizer, [p for p in pieces if p not in self.special]))
+        return [[self.special[p]] if p in self.special else next(made) for p in pieces]
 
-    def mark(self, piece: str, ids: list[int]) -> bool:
-        return self.SENTENCE.search(piece) is not None
+    def marks(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        return np.fromiter((self.SENTENCE.search(p) is not None for p in pieces), bool, len(pieces))
 
 
 class ByteEncoder(Encoder):
@@ -175,20 +232,18 @@ class ByteEncoder(Encoder):
         names = byte_names()
         tokens = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
         self.bytes = [bytes(names[c] for c in t) if all(c in names for c in t) else t.encode() for t in tokens]
-        self.sizes = [len(b) for b in self.bytes]
-        self.lengths = np.array(self.sizes, np.int64)
-        self._empty()
+        self.lengths = np.array([len(b) for b in self.bytes], np.int64)
+        self.memo = Memo()
 
     def pieces(self, text: str) -> list[str]:
         return (self.QUICK_PIECE if self.QUICK.fullmatch(text) else self.pattern).findall(text)
 
     def encode(self, pieces: list[str]) -> list[list[int]]:
-        return [merged(self.tokenizer, p) for p in pieces]
+        return merged(self.tokenizer, pieces)
 
-    def mark(self, piece: str, ids: list[int]) -> bool:
+    def marks(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Merging only joins bytes, so they are the piece's unless some are missing."""
-        size = self.sizes
-        return sum([size[i] for i in ids]) != (len(piece) if piece.isascii() else len(piece.encode("utf-8", "surrogatepass")))
+        return sums(self.lengths[ids], np.append(0, np.cumsum(sizes))) != byte_sizes(pieces)
 
 
 class PieceEncoder(Encoder):
@@ -211,18 +266,56 @@ class PieceEncoder(Encoder):
         self.space = self.model.piece_to_id("▁")
         self.bytes = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else b"" if self.model.is_control(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)]
         self.lengths = np.array([len(b) for b in self.bytes], np.int64)
-        self._empty()
+        self.memo = Memo()
 
     def pieces(self, text: str) -> list[str]:
         return self.split.findall(text.replace("▁", " "))  # the same to the library; the bytes then aren't the text's
 
     def encode(self, pieces: list[str]) -> list[list[int]]:
         """A piece that doesn't begin with a space is encoded behind a line end, whose two tokens and that of the space are dropped."""
+        pieces = [p.replace("▁", " ") for p in pieces]
         made = self.model.encode([p[1:] if p[0] == " " else "\n" + p for p in pieces], num_threads=1)
         return [[self.space] if p == " " else x if p[0] == " " else x[2:] for p, x in zip(pieces, made, strict=True)]
 
-    def mark(self, piece: str, ids: list[int]) -> bool:
-        return b"".join([self.bytes[i] for i in ids]) != piece.encode("utf-8", "surrogatepass")
+    def marks(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        tokens, edges = [self.bytes[i] for i in ids.tolist()], np.append(0, np.cumsum(sizes))
+        wrong = sums(self.lengths[ids], edges) != byte_sizes(pieces)
+        if wrong.any() or b"".join(tokens) != "".join(pieces).encode("utf-8", "surrogatepass"):
+            ends = edges.tolist()
+            return np.array([b"".join(tokens[s:e]) != p.encode("utf-8", "surrogatepass") for p, s, e in zip(pieces, ends, ends[1:], strict=False)])
+        return wrong
+
+
+class Joint:
+    """Texts to ids of a byte-level encoder and a sentencepiece one at once, over texts that begin with a space. They are cut before the spaces and
+    line ends that follow other characters than white space, where both encoders cut, and each piece is looked up once for both."""
+
+    # What either encoder may take for white space: a cut is only where both agree. It is not given back, so that long texts take no stack.
+    CUT = re.compile(r"[\s▁]*[^\s▁]++(?:(?![ \n])[\s▁]++[^\s▁]*+)*+|[\s▁]+")
+
+    def __init__(self, a: ByteEncoder, b: PieceEncoder) -> None:
+        self.a, self.b, self.memo = a, b, Memo(2)
+
+    def __getstate__(self) -> dict:
+        return {"a": self.a, "b": self.b}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__init__(**state)
+
+    def _made(self, new: list[str]) -> list[tuple]:
+        """A's ids by its own pieces, whose words come again with other signs around them; B's by whole pieces."""
+        ids, tokens, _, marks, counts = self.a.block(new)
+        return [(ids, tokens, sums(marks, np.append(0, np.cumsum(counts))) > 0), self.b.made(new)]
+
+    def block(self, texts: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+        """Of each side the ids, and where each text's begin and end; whether the tokens of both have a text's bytes."""
+        at, edges = self.memo.numbers(list(map(self.CUT.findall, texts)), self._made)
+        sides, wrong = [], np.zeros(len(texts), np.int64)
+        for side in self.memo.sides:
+            ids, sizes, marks = side.take(at)
+            sides.append((ids, np.append(0, np.cumsum(sizes))[edges]))
+            wrong += sums(marks, edges)
+        return sides, wrong == 0
 
 
 @functools.cache

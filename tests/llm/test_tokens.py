@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
-from knowlark.llm import alignment, packing
+from knowlark.llm import alignment, encoding, packing
 from knowlark.llm import queries as registered
 from knowlark.llm.encoding import blocks, byte_encoder, piece_encoder, word_encoder
 from knowlark.llm.token_counts import byte_names
@@ -56,6 +56,41 @@ def test_encoders(libraries):
             assert [g.tolist() for g in got] == want
 
 
+def test_known_pieces(libraries, monkeypatch):
+    """Pieces that come again are encoded once, also where the table is full time and again; ids stay the library's."""
+    monkeypatch.setattr(encoding, "MEMO", 100)
+    with open(BYTE, "rb") as file:
+        encoder = encoding.ByteEncoder(file.read())
+    asked, encode = Counter(), encoder.encode
+    monkeypatch.setattr(encoder, "encode", lambda pieces: asked.update(pieces) or encode(pieces))
+    common = [f" {x}{y}" for x in "abcde" for y in "wxyz"]
+    for k in range(40):
+        some = ["".join(common + [f" {x}q{chr(97 + k % 26)}{chr(97 + k // 26)}" for x in "ghijklmnop"])] * 2
+        ids, tokens, *_ = encoder.block(some)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(tokens)[:-1])] == [libraries[1].encode(t, add_special_tokens=False).ids for t in some]
+    assert {asked[p] for p in common} == {1}
+
+
+@pytest.mark.parametrize("memo", [encoding.MEMO, 60])
+def test_joint(libraries, monkeypatch, memo):
+    """Both sides' ids are the libraries', by one cut and look-up, and texts whose tokens lack their bytes are told."""
+    monkeypatch.setattr(encoding, "MEMO", memo)
+    byte, piece = libraries[1:]
+    joint, names = encoding.Joint(byte_encoder(BYTE), piece_encoder(PIECE)), byte_names()
+    odd = ["a\tb \n c\x1cd\x85 \xa0e", "1\t2\t ", "x▁ y ▁z", " \n", "it's 'll\n's", "a\t" * 200_000, "\u3000 a\u3000b"]
+    given = [" " + t if t else "" for t in [*texts(), *odd, *texts()]]
+    assert all("".join(joint.CUT.findall(t)) == t for t in given)
+    for part in blocks(given, 500):
+        (a, b), good = joint.block(given[part])
+        for k, t in enumerate(given[part]):
+            want = byte.encode(t, add_special_tokens=False).ids, piece.encode(t[1:])
+            raw = b"".join(bytes([int(p[3:5], 16)]) if piece.is_byte(i) else p.replace("▁", " ").encode() for i in want[1] for p in [piece.id_to_piece(i)])
+            same = raw == t.encode() == b"".join(bytes(names[c] for c in byte.id_to_token(i)) for i in want[0])
+            assert good[k] == same
+            if same:
+                assert tuple(ids[first[k] : first[k + 1]].tolist() for ids, first in (a, b)) == want
+
+
 def brute_cost(at, price, size, costs):
     """Least cost up to every edge, over all edges before it."""
     least = [0]
