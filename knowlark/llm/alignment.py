@@ -6,8 +6,9 @@ which is a link, and where both sides have an event a group ends. Events travel
 so that rows stay small, and as ids alone, since an id says how long its token is; what the sweep carries from one row to the next is
 the group that is open.
 
-Links are then counted over all documents. A pair of ids stands once in each block of DOCUMENTS rows of the input, so that counts reach the
-documents by way of blocks, however many documents hold a pair; a block's documents are swept again where its counts are.
+Links are then counted over all documents. A pair of ids stands once in each block of the input, DOCUMENTS rows or SPAN characters, so that
+counts reach the documents by way of blocks, however many documents hold a pair; a block's documents are swept again where its counts are.
+A task runs one Python function at a time: each worker that a task holds keeps its memory for as long as it may be used again.
 """
 
 from __future__ import annotations
@@ -26,19 +27,36 @@ from knowlark.llm.encoding import Joint, blocks, byte_encoder, byte_sizes, piece
 
 #: Bytes of a document whose events share a row, documents of a block, and events that are swept at a time, about.
 WINDOW, DOCUMENTS, EVENTS = 1 << 17, 512, 1 << 17
+#: Characters of a block, at most; a longer document is alone.
+SPAN = 1 << 22
 #: Ids of side B are below it: a pair of ids is one number.
 WIDE = 1 << 20
 LINKS = "array<struct<a:int,b:int,times:int>>"
 
 
-def _events(batches: Iterator[pa.RecordBatch], both: object, kind: pa.DataType, window: int) -> Iterator[pa.RecordBatch]:
-    """Event rows of rows (block, key, doc_id, text); a text without tokens has one row without events. `place` is the first event's, `last`
+class Block:
+    """Names the blocks of a task's rows by their first keys."""
+
+    def __init__(self, documents: int, span: int) -> None:
+        self.documents, self.span, self.name, self.n, self.held = documents, span, None, 0, 0
+
+    def of(self, key: int, text: str) -> int:
+        if self.name is None or self.n == self.documents or self.held + len(text) > self.span:
+            self.name, self.n, self.held = key, 0, 0
+        self.n, self.held = self.n + 1, self.held + len(text)
+        return self.name
+
+
+def _events(batches: Iterator[pa.RecordBatch], both: object, kind: pa.DataType, window: int, documents: int, span: int) -> Iterator[pa.RecordBatch]:
+    """Event rows of rows (key, doc_id, text); a text without tokens has one row without events. `place` is the first event's, `last`
     says that the text ends behind the row's tokens."""
     names = ["block", "key", "doc_id", "window", "side", "place", "last", "n", "ids"]
     kinds = (pa.int64(), pa.int64(), kind, pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.binary())
     lengths = [x.lengths for x in (both.value.a, both.value.b)]
+    block = Block(documents, span)
     for batch in sliced(batches):
-        block, keys, docs, texts = (c.to_pylist() for c in batch.columns)
+        keys, docs, texts = (c.to_pylist() for c in batch.columns)
+        named = [block.of(key, t) for key, t in zip(keys, texts, strict=True)]
         for some in blocks(texts):
             rows: list[tuple] = []
             spaced = [" " + t if t else "" for t in texts[some]]
@@ -46,7 +64,7 @@ def _events(batches: Iterator[pa.RecordBatch], both: object, kind: pa.DataType,
             sides, good = both.value.block(spaced)
             sides = [(_begins(ids, first, own), ids, first) for (ids, first), own in zip(sides, lengths, strict=True)]
             good &= sizes > 0
-            for k, row in enumerate(zip(block[some], keys[some], docs[some], strict=True)):
+            for k, row in enumerate(zip(named[some], keys[some], docs[some], strict=True)):
                 if not good[k]:
                     rows.append((*row, 0, 0, 0, False, 0, b""))
                     continue
@@ -230,11 +248,11 @@ def _ready(docs: DataFrame, a_path: str, b_path: str, id_col: str, text_col: str
     lengths = a.lengths, b.lengths
     both = spark.sparkContext.broadcast(Joint(a, b))
     key = F.monotonically_increasing_id()
-    rows = docs.select(F.floor(key / DOCUMENTS).cast("long").alias("block"), key.alias("key"), F.col(id_col).alias("doc_id"), text_of(text_col).alias("_text"))
+    rows = docs.select(key.alias("key"), F.col(id_col).alias("doc_id"), text_of(text_col).alias("_text"))
     kind = rows.schema["doc_id"].dataType
     name, arrow = kind.simpleString(), to_arrow_type(kind)
     schema = f"block long, key long, doc_id {name}, window int, side int, place int, last boolean, n int, ids binary"
-    events = rows.mapInArrow(partial(_events, both=both, kind=arrow, window=WINDOW), schema)
+    events = rows.mapInArrow(partial(_events, both=both, kind=arrow, window=WINDOW, documents=DOCUMENTS, span=SPAN), schema)
     return events.repartition(partitions(spark), "block"), name, {"lengths": lengths, "kind": arrow}
 
 
@@ -248,16 +266,16 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
     ignored. block names rows that lie together in the input.
     """
     events, name, sweep = _ready(docs, a_path, b_path, id_col, text_col)
-    return _documents(events, name, sweep)
+    schema = f"block long, doc_id {name}, n_a long, n_b long, n_groups long, n_links long, groups string, links {LINKS}"
+    return _sorted(events).mapInArrow(partial(_swept, **sweep), schema)
 
 
-def _documents(events: DataFrame, name: str, sweep: dict) -> DataFrame:
-    schema = f"block long, doc_id {name}, n_a long, n_b long, n_groups long, n_links long, groups string, links {LINKS}"
-    return events.sortWithinPartitions("block", "key", "window", "side").mapInArrow(partial(_swept, **sweep), schema)
+def _sorted(events: DataFrame) -> DataFrame:
+    return events.sortWithinPartitions("block", "key", "window", "side")
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, a, b, docs): each pair of a block once, and how many of its documents hold it. A block's rows lie one after another."""
+def _pairs(batches: Iterator[pa.RecordBatch], lengths: tuple, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """(block, a, b, docs) of sorted event rows: each pair of a block once, and how many of its documents hold it."""
 
     def made(block: int, held: list[np.ndarray]) -> pa.RecordBatch:
         pair, docs = np.unique(np.concatenate(held), return_counts=True)
@@ -265,8 +283,8 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays(columns, ["block", "a", "b", "docs"])
 
     now, held = None, []
-    for batch in batches:
-        block, lists = batch.column(0).to_numpy(), batch.column(1)
+    for batch in _swept(batches, lengths, kind, spelled=False):
+        block, lists = batch.column("block").to_numpy(), batch.column("links")
         links, sizes = lists.flatten(), np.array(lists.value_lengths().fill_null(0))
         pair = links.field("a").to_numpy().astype(np.int64) * WIDE + links.field("b").to_numpy()
         ends = np.append(0, np.cumsum(sizes))
@@ -306,8 +324,7 @@ def counted(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", t
     The events are shuffled once, by block, and swept twice: for the blocks' pairs, and where each block's counts have come to its events.
     """
     events, name, sweep = _ready(docs, a_path, b_path, id_col, text_col)
-    swept = _documents(events, name, sweep | {"spelled": False}).select("block", "links")
-    pairs = swept.mapInArrow(_pairs, "block long, a int, b int, docs int")
+    pairs = _sorted(events).mapInArrow(partial(_pairs, **sweep), "block long, a int, b int, docs int")
     # A pair has a row for each block at most.
     summed = pairs.withColumn("count", F.sum("docs").over(Window.partitionBy("a", "b")))
     # A row for each id of A, whose number the vocabulary bounds. That it reads block too lets both sides of the join read one exchange of the

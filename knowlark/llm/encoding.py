@@ -16,7 +16,7 @@ from knowlark.llm.token_counts import LATIN_ONLY, LATIN_WORD, Transducer, byte_n
 #: Pieces that a worker's table may hold, and a sixteenth of the ids, before it is thinned out.
 MEMO = 300_000
 #: Characters that are encoded at a time.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 
 class Numbers(dict):

@@ -244,6 +244,35 @@ def test_align(spark, libraries, monkeypatch, window, records):
         assert sum(x["times"] for x in r["links"]) == r["n_links"] and len({(x["a"], x["b"]) for x in r["links"]}) == len(r["links"])
 
 
+def test_align_memory(spark, monkeypatch):
+    """No task holds two Python workers, and a block is bounded in documents and in characters."""
+    docs = spark.createDataFrame([(k, "one two three " * (1000 if k % 50 == 7 else k % 9)) for k in range(1500)], "doc_id long, text string")
+    stages = [[]]
+
+    def walk(node, stage):
+        if "Exchange" in node.nodeName():
+            stages.append(stage := [])
+        elif "InArrow" in node.nodeName():
+            stage.append(node.nodeName())
+        for k in range(node.children().size()):
+            walk(node.children().apply(k), stage)
+
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        walk(alignment.counted(docs, BYTE, PIECE)._jdf.queryExecution().executedPlan(), stages[0])
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
+    assert sum(map(len, stages)) >= 3 and max(map(len, stages)) == 1
+    monkeypatch.setattr(alignment, "DOCUMENTS", 100)
+    monkeypatch.setattr(alignment, "SPAN", 20_000)
+    sizes, n = Counter(), Counter()
+    for r in alignment.align(docs, BYTE, PIECE).join(docs, "doc_id").select("block", F.length("text").alias("size")).collect():
+        sizes[r["block"]] += r["size"]
+        n[r["block"]] += 1
+    assert sum(n.values()) == 1500 and max(n.values()) <= 100 and max(sizes.values()) <= 20_000
+
+
 def test_align_query(spark, libraries):
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
     want = {r["doc_id"]: w for r, w in zip(docs, brute_alignment([r["text"] for r in docs], *libraries[1:]))}
