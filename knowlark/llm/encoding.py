@@ -3,15 +3,17 @@ different piece is encoded once by the tokenizer's own library and then looked u
 
 from __future__ import annotations
 
+import codecs
 import functools
 import re
-from collections.abc import Callable, Iterator
+import sys
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 
-from knowlark.llm.token_counts import LATIN_ONLY, LATIN_WORD, Transducer, byte_names, compiled
+from knowlark.llm.token_counts import Transducer, byte_names, compiled
 
 #: Pieces that a worker's table may hold, and a sixteenth of the ids, before it is thinned out.
 MEMO = 300_000
@@ -67,25 +69,31 @@ class Memo:
 
     def numbers(self, cut: list[list[str]], encode: Callable[[list[str]], list[tuple]]) -> tuple[np.ndarray, np.ndarray]:
         """The numbers of texts' pieces, and where each text's begin and end. New pieces are encoded: ids, sizes and marks of each side."""
-        if self._full(np.arange(len(self.number)), 1):
-            self._shrink()
         edges = np.append(0, np.cumsum(np.fromiter(map(len, cut), np.int64, len(cut))))
+        return self.found(chain.from_iterable(cut), int(edges[-1]), encode), edges
+
+    def found(self, pieces: Iterable, n: int, encode: Callable[[list], list[tuple]], which: np.ndarray | None = None) -> np.ndarray:
+        """The numbers of n pieces; if `which` is given, of the pieces at these places, each piece looked up once."""
+        if len(self.number) > MEMO or any(x.used > 16 * MEMO for x in self.sides):
+            self._shrink()
         known = len(self.number)
-        at = np.fromiter(map(self.number.__getitem__, chain.from_iterable(cut)), np.int64, int(edges[-1]))
-        if new := list(islice(self.number, known, None)):
+        at = np.fromiter(map(self.number.__getitem__, pieces), np.int64, n)
+        if which is not None:
+            at = at[which]
+        if new := list(islice(reversed(self.number), len(self.number) - known))[::-1]:
             for side, made in zip(self.sides, encode(new), strict=True):
                 side.add(*made)
         met = np.bincount(at, minlength=len(self.number))
         met[:known] += self.met
         self.met = met
-        return at, edges
+        return at
 
-    def _full(self, at: np.ndarray, part: int) -> bool:
-        return part * len(at) > MEMO or any(part * int(x.size[at].sum()) > 16 * MEMO for x in self.sides)
+    def _over_half(self, at: np.ndarray) -> bool:
+        return 2 * len(at) > MEMO or any(2 * int(x.size[at].sum()) > 16 * MEMO for x in self.sides)
 
     def _shrink(self) -> None:
         least = 2
-        while self._full(kept := np.flatnonzero(self.met >= least), 2):
+        while self._over_half(kept := np.flatnonzero(self.met >= least)):
             least *= 2
         names = list(self.number)
         self.number = Numbers((names[k], n) for n, k in enumerate(kept.tolist()))
@@ -162,23 +170,27 @@ def blocks(texts: list[str], most: int = BLOCK) -> Iterator[slice]:
         yield slice(begin, len(texts))
 
 
-#: Each byte's printable character in byte-level vocabularies, by the Latin-1 character of the byte.
-NAMES = {b: c for c, b in byte_names().items()}
+#: The printable characters of the bytes in byte-level vocabularies, in the bytes' order.
+NAMES = "".join(sorted(byte_names(), key=byte_names().get))
 
 
 def merged(tokenizer: object, pieces: list[str]) -> list[list[int]]:
     """Ids of pieces by the library's own merges, without its splitting and normalising, which are done."""
     tokenize = tokenizer.model.tokenize
     # No text in UTF-8 holds the byte 255, which parts them.
-    named = b"\xff".join([p.encode("utf-8", "surrogatepass") for p in pieces]).decode("latin-1").translate(NAMES)
+    named = codecs.charmap_decode(b"\xff".join([p.encode("utf-8", "surrogatepass") for p in pieces]), "strict", NAMES)[0]
     return [[t.id for t in tokenize(p)] for p in named.split(NAMES[255])] if pieces else []
 
 
 class WordEncoder(Encoder):
     """BPE with word ends over lower-cased text, with special strings inside texts as its library has them by default. Pieces are words; they
-    are marked where a sentence ends."""
+    are marked where a sentence ends.
+
+    The texts of a block are cut together: the classes of their characters are looked up in a table, words begin where the class changes, and
+    of the block's words the different ones alone are looked up."""
 
     SENTENCE = re.compile("[.!?…。！？]")
+    SPACE, LETTER, NUMBER, OTHER, SPECIAL = range(5)
 
     def __init__(self, rules: Transducer) -> None:
         self.rules = rules
@@ -193,17 +205,59 @@ class WordEncoder(Encoder):
         self.tokenizer = Tokenizer.from_str(self.rules.content)
         self.special = {s: self.tokenizer.token_to_id(s) for s in self.rules.special}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.kinds = np.full(sys.maxunicode + 1, self.OTHER, np.uint8)
+        for kind, some in ((self.SPACE, self.rules.space), (self.LETTER, self.rules.letters), (self.NUMBER, self.rules.numbers)):
+            for a, b in re.findall(r"\\?(.)-\\?(.)", some, re.DOTALL):
+                self.kinds[ord(a) : ord(b) + 1] = kind
         self.memo = Memo()
 
-    def pieces(self, text: str) -> list[str]:
-        out: list[str] = []
-        for part in self.cut.split(text) if self.cut is not None and "<|" in text else [text]:
-            if part in self.special:
-                out.append(part)
-            else:
-                plain = self.rules._normal(part)
-                out += (LATIN_WORD if LATIN_ONLY.fullmatch(plain) else self.rules.pattern).findall(plain)
-        return out
+    def words(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """The words of texts in UTF-8, and where each text's begin and end among them."""
+        parts, first, special = [], [], []
+        for t in texts:
+            first.append(len(parts))
+            for k, part in enumerate(self.cut.split(t) if self.cut is not None and "<|" in t else (t,)):
+                if k % 2:
+                    special.append(len(parts))
+                parts.append(part if k % 2 else self.rules._normal(part))
+        joined = "\n".join([*parts, ""])  # what is beside a line end is cut as at a text's end
+        edges = np.append(0, np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1))
+        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        kind = self.kinds[points]
+        for k in special:
+            kind[edges[k] : edges[k + 1] - 1] = self.SPECIAL
+        begins = kind == self.NUMBER
+        begins[:1] = True
+        begins[1:] |= kind[1:] != kind[:-1]
+        self._shorten(points, kind, begins)
+        at = np.flatnonzero(begins)
+        raw = joined.encode("utf-8", "surrogatepass")
+        place = at
+        if len(raw) > len(points):
+            wide = (points > 0x7F).astype(np.uint8) + (points > 0x7FF) + (points > 0xFFFF)
+            place = at + (np.cumsum(wide, dtype=np.int64) - wide)[at]
+        runs = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(np.append(place, len(raw))), pa.py_buffer(raw)])
+        word = kind[at] != self.SPACE
+        return runs.filter(pa.array(word)), np.searchsorted(at[word], edges[[*first, -1]])
+
+    def _shorten(self, points: np.ndarray, kind: np.ndarray, begins: np.ndarray) -> None:
+        """'s, 't, 're, 've, 'm, 'll and 'd are words where the apostrophe begins one."""
+        at = np.flatnonzero((points == ord("'")) & (kind == self.OTHER) & begins)
+        one, two = points[at + 1], points[np.minimum(at + 2, len(points) - 1)]
+        size = np.where(np.isin(one, [ord(c) for c in "stmd"]), 2, 0)
+        for a, b in ("re", "ve", "ll"):
+            size[(one == ord(a)) & (two == ord(b))] = 3
+        at, size = at[size > 0], size[size > 0]
+        begins[at + 1] = False
+        begins[at + size] = True
+
+    def block(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        words, edges = self.words(texts)
+        found = words.dictionary_encode()
+        different = found.dictionary.to_numpy(zero_copy_only=False).tolist()
+        at = self.memo.found(different, len(different), lambda new: [self.made([p.decode("utf-8", "surrogatepass") for p in new])], found.indices.to_numpy())
+        ids, sizes, marks = self.memo.sides[0].take(at)
+        return ids, sums(sizes, edges), sizes, marks, np.diff(edges)
 
     def encode(self, pieces: list[str]) -> list[list[int]]:
         made = iter(merged(self.tokenizer, [p for p in pieces if p not in self.special]))

@@ -71,6 +71,45 @@ def test_known_pieces(libraries, monkeypatch):
     assert {asked[p] for p in common} == {1}
 
 
+def test_looked_up(libraries):
+    """The different words of a block are looked up once each, however often they stand in it."""
+    encoder, asked = encoding.WordEncoder(word_encoder(WORD).rules), Counter()
+
+    class Counted(encoding.Numbers):
+        def __getitem__(self, piece):
+            asked[piece] += 1
+            return super().__getitem__(piece)
+
+    encoder.memo.number = Counted()
+    some = ["One two, three; it's two! 12 数 é " * 500, "two", ""]
+    for _ in range(2):
+        asked.clear()
+        ids, tokens, *_ = encoder.block(some)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(tokens)[:-1])] == [libraries[0].encode(t, add_special_tokens=False).ids for t in some]
+        assert len(asked) == 12 and set(asked.values()) == {1}
+
+
+def test_words(libraries):
+    """Texts that are cut together fall into the words of the tokenizer's pattern, for every character, apostrophes and special strings."""
+    encoder, rnd = word_encoder(WORD), random.Random(4)
+    given = texts() + ["".join(rnd.choice("'strevmldST !1é数\n") for _ in range(rnd.randint(0, 30))) for _ in range(3000)]
+    given += ["<|endoftext|><|startoftext|>'s", "'<|endoftext|>'ll<|endoftext|", "'", "''s'", "'l", "'r", "a'", "'LL'Re've", "<|ENDOFTEXT|>'t"]
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    given += ["".join(f"a{chr(c)}'s{chr(c)}{chr(c)} " for c in points[k : k + 4096]) for k in range(0, len(points), 4096)]
+    given = [t or "" for t in given]
+    want = []
+    for t in given:
+        parts = encoder.cut.split(t)
+        want.append([w for k, p in enumerate(parts) for w in ([p] if k % 2 else encoder.rules.pattern.findall(encoder.rules._normal(p)))])
+    words, edges = encoder.words(given)
+    words = [w.decode() for w in words.to_pylist()]
+    assert [words[b:e] for b, e in zip(edges, edges[1:])] == want
+    some = [t for t in given if len(t) < 100]
+    ids, tokens, *_ = encoder.block(some)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(tokens)[:-1])] == [libraries[0].encode(t, add_special_tokens=False).ids for t in some]
+    assert [len(x) for x in encoder.block([])] == [0] * 5 and [len(x) for x in encoder.block([""])] == [0, 1, 0, 0, 1]
+
+
 @pytest.mark.parametrize("memo", [encoding.MEMO, 60])
 def test_joint(libraries, monkeypatch, memo):
     """Both sides' ids are the libraries', by one cut and look-up, and texts whose tokens lack their bytes are told."""
