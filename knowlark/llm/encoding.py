@@ -19,6 +19,8 @@ from knowlark.llm.token_counts import Transducer, byte_names, compiled
 MEMO = 300_000
 #: Characters that are encoded at a time.
 BLOCK = 1 << 18
+#: White space to every tokenizer; no special string holds any.
+BLANK = re.compile("[\t\n\r ]")
 
 
 class Numbers(dict):
@@ -170,6 +172,15 @@ def blocks(texts: list[str], most: int = BLOCK) -> Iterator[slice]:
         yield slice(begin, len(texts))
 
 
+def spaced(text: str, most: int = BLOCK) -> Iterator[str]:
+    """A text in parts between white space, which they lack, of `most` characters and what is left of a word there."""
+    begin = 0
+    while len(text) - begin > most and (m := BLANK.search(text, begin + most)):
+        yield text[begin : m.start()]
+        begin = m.end()
+    yield text[begin:]
+
+
 #: The printable characters of the bytes in byte-level vocabularies, in the bytes' order.
 NAMES = "".join(sorted(byte_names(), key=byte_names().get))
 
@@ -252,6 +263,14 @@ class WordEncoder(Encoder):
         begins[at + size] = True
 
     def block(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        parts = [list(spaced(t)) for t in texts]
+        every = list(chain.from_iterable(parts))
+        made = [self._short(every[some]) for some in blocks(every)] or [self._short([])]
+        ids, tokens, sizes, marks, counts = made[0] if len(made) == 1 else map(np.concatenate, zip(*made, strict=True))
+        first = np.append(0, np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))))
+        return ids, sums(tokens, first), sizes, marks, sums(counts, first)
+
+    def _short(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         words, edges = self.words(texts)
         found = words.dictionary_encode()
         different = found.dictionary.to_numpy(zero_copy_only=False).tolist()

@@ -130,6 +130,21 @@ def test_joint(libraries, monkeypatch, memo):
                 assert tuple(ids[first[k] : first[k + 1]].tolist() for ids, first in (a, b)) == want
 
 
+def test_long(libraries, monkeypatch):
+    """A long text is cut at white space, so that a block's arrays stay small; ids stay the library's."""
+    encoder, held = encoding.WordEncoder(word_encoder(WORD).rules), []
+    words = encoder.words
+    monkeypatch.setattr(encoder, "words", lambda some: held.append(sum(map(len, some))) or words(some))
+    long = "It's <|endoftext|> \u0301 n\u0303 数据 x!\n" * 60_000
+    given = ["short 's", long, "", long[:-1] + "end" * 200_000 + " 'll"]
+    for some in ([given[0]], [given[1]], given):
+        ids, tokens, sizes, _, counts = encoder.block(some)
+        assert len(tokens) == len(counts) == len(some) and counts.sum() == len(sizes)
+        for x, t in zip(np.split(ids, np.cumsum(tokens)[:-1]), some, strict=True):
+            assert np.array_equal(x, libraries[0].encode(t, add_special_tokens=False).ids)
+    assert len(held) > 10 and sorted(held)[-2] <= encoding.BLOCK + 100 and max(held) < 600_000 + encoding.BLOCK
+
+
 def brute_cost(at, price, size, costs):
     """Least cost up to every edge, over all edges before it."""
     least = [0]
