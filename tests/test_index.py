@@ -65,6 +65,42 @@ def test_index(spark, tmp_path, per_kb):
     assert "content" not in found["hits"]._jdf.queryExecution().analyzed().toString()
 
 
+def test_postings_are_shuffled_once(spark):
+    """Postings leave a slice as blobs, which are dealt once; forward rows aren't written again. A frequent term's slices are dealt apart, and all
+    postings are in blocks, none of which is too large."""
+    rows = lexical.store(spark.createDataFrame([(k % 3, k, f"all w{k % 9} r{k} " + "pad " * (k % 4)) for k in range(900)] + [(None, 900, "all"), (1, 901, "")], "kb_id long, chunk_id long, content string"))
+    made = index.build(rows, block=8)
+    assert made.blocks._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange") == 1
+    kept = index.stored(rows, block=8)
+    assert kept.forward is rows
+    got = kept.blocks.select("kb_id", "term", F.inline("entries")).select("kb_id", "chunk_id", "dl", "term", "tf")
+    want = rows.where("dl > 0 and kb_id is not null").select("kb_id", "chunk_id", "dl", F.inline("terms"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert kept.blocks.where("n > 8 or n <> size(entries) or most_tf <> array_max(entries.tf) or least_dl <> array_min(entries.dl)").count() == 0
+    assert kept.blocks.groupBy("kb_id", "term", "block").count().where("count > 1").count() == 0
+    held = rows.where("dl > 0 and kb_id is not null").toArrow().to_batches()
+    size = index.HELD
+    try:
+        index.HELD = 500
+        dealt = [r for b in index._dealt(iter([b.slice(k, 90) for b in held for k in range(0, b.num_rows, 90)]), 40, 32) for r in b.to_pylist()]
+    finally:
+        index.HELD = size
+    kinds = index.pa.schema([("0", "int64"), ("1", "string"), ("2", "int32")])
+    parts = {}
+    for r in dealt:
+        for x in index._unpacked(r["sizes"][0], r["terms"], kinds).to_pylist():
+            parts.setdefault((x["0"], x["1"]), set()).add(r["part"])
+    assert len(parts[0, "wall"]) > 1 and all(len(p) == 1 for (_, term), p in parts.items() if term.startswith("wr"))
+
+
+def test_index_of_nothing(spark):
+    none = spark.createDataFrame([(1, 1, "")], "kb_id long, chunk_id string, content string")
+    asked = spark.createDataFrame([(1, "fox")], "query_id long, query string")
+    assert index.search(index.stored(lexical.store(none)), asked, 3).count() == 0
+    some = index.stored(lexical.store(none.unionByName(none.withColumn("chunk_id", F.lit("b")).withColumn("content", F.lit("a fox")))))
+    assert [r["chunk_id"] for r in index.search(some, asked, 3).collect()] == ["b"] and index.search(some, asked.limit(0), 3).count() == 0
+
+
 def test_forward_tokens(spark):
     """Tokens in Python are those of the expression, Han texts and odd letters too."""
     rnd = random.Random(8)
