@@ -12,6 +12,8 @@ from knowlark.operators.models import trimmed
 UNCATEGORISED = "未分类"
 #: Grams of all queries that are sent to every task.
 SOUGHT = 200_000
+#: Bytes of different texts of a task, about, so that hardly any has over the 1 MB of a Parquet dictionary; entities whose names are sent to every task.
+TEXTS, NAMED = 700_000, 1 << 16
 
 
 def undirected(relations: DataFrame) -> DataFrame:
@@ -132,8 +134,19 @@ def graph_retrieve(matched: DataFrame, relations: DataFrame, entity_chunk: DataF
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= cap)
 
 
-def provenance(entities: DataFrame, entity_chunk: DataFrame, chunks: DataFrame) -> DataFrame:
-    return entities.join(entity_chunk, "entity_id").join(chunks, "chunk_id")
+def provenance(entities: DataFrame, links: DataFrame, chunks: DataFrame) -> DataFrame:
+    """entities with the chunks that links (entity_id, chunk_id) name; a link that comes again is taken once.
+
+    A chunk's text is in as many rows as it has links. Chunks are dealt to so many tasks that one has about TEXTS bytes of different texts, which
+    Parquet's writer then holds in a dictionary; beyond it every row's text would be written. Links meet names first, where they are made distinct.
+    """
+    size = chunks.agg(F.sum(F.octet_length("content"))).first()[0] or 0
+    pieces = max(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TEXTS))
+    if entities.count() <= NAMED:
+        named = links.repartition(pieces, "chunk_id").distinct().join(F.broadcast(entities), "entity_id")
+    else:
+        named = links.repartition("entity_id").distinct().join(entities, "entity_id").repartition(pieces, "chunk_id")
+    return named.join(chunks.repartition(pieces, "chunk_id").hint("merge"), "chunk_id")
 
 
 def multi_merge(relations: DataFrame) -> DataFrame:

@@ -47,7 +47,7 @@ def relation_dedup(spark, sf):
 
 
 def entity_provenance(spark, sf):
-    found = graph.provenance(c.entities(spark, sf).drop("kb_id"), c.entity_chunk(spark, sf), c.chunks(spark, sf))
+    found = graph.provenance(c.entities(spark, sf).drop("kb_id"), c.links(spark, sf), c.chunks(spark, sf))
     return found.select("entity_id", "name", "chunk_id", "content")
 
 

@@ -96,6 +96,31 @@ def test_links_are_shuffled_once(spark):
     assert links.count("Exchange hashpartitioning") == 1, plan
 
 
+def test_texts_are_written_once(spark, tmp_path):
+    """A text is in the rows of all its links, but about once in a Parquet file, whether names are broadcast or meet links by a shuffle; links that come
+    again are taken once."""
+    text = F.concat(*(F.sha2(F.concat("id", F.lit(f" {k}")), 512) for k in range(80)))
+    spark.range(800).select(F.col("id").alias("chunk_id"), text.alias("content")).write.parquet(str(tmp_path / "chunks"))
+    chunks = spark.read.parquet(str(tmp_path / "chunks"))
+    entities = spark.range(60).select(F.col("id").alias("entity_id"), F.concat(F.lit("name "), "id").alias("name"))
+    links = spark.range(800 * 16).select(F.expr("(id div 800 % 8 * 7 + id % 800) % 64").alias("entity_id"), (F.col("id") % 800).alias("chunk_id"))
+    want = {(e, k % 800) for k in range(800 * 16) if (e := (k // 800 % 8 * 7 + k % 800) % 64) < 60}
+    kept = graph.NAMED
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for graph.NAMED in (kept, 1):
+            found = graph.provenance(entities, links, chunks).select("entity_id", "name", "chunk_id", "content")
+            assert ("BroadcastHashJoin" in found._jdf.queryExecution().executedPlan().toString()) == (graph.NAMED == kept)
+            found.write.parquet(str(tmp_path / f"found{graph.NAMED}"))
+            size = sum(f.stat().st_size for f in (tmp_path / f"found{graph.NAMED}").glob("*.parquet"))
+            assert size < 1.5 * 800 * 80 * 128 < 5 * 800 * 80 * 128 < found.count() * 80 * 128
+            rows = found.join(chunks.withColumnRenamed("content", "own"), "chunk_id").select("entity_id", "chunk_id", "name", (F.col("content") == F.col("own")).alias("same")).collect()
+            assert len(rows) == len(want) and {(r["entity_id"], r["chunk_id"]) for r in rows} == want and all(r["same"] and r["name"] == f"name {r['entity_id']}" for r in rows)
+    finally:
+        graph.NAMED = kept
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_all_scores_as_counts(spark):
     """Pairs leave a tile as counts of different scores; their distribution is that of the pairs."""
     vectors = spark.createDataFrame([(1, k, [float(k % 3), float(k % 2) - 0.5]) for k in range(60)], "kb_id long, chunk_id long, vec array<double>")
